@@ -135,3 +135,179 @@ def h1_select_compact(spark, sf):
     """H1-H6 with a compact configuration (16 frames, 6 buckets, 3 per
     bucket) so that every branch of the walk runs on this data."""
     return _selection(spark, sf, 16, 6, 3)
+
+
+# ---- class statistics on class_counts_v (asset = supplier, frame = order) ----
+
+def frame_preds(spark, sf) -> DataFrame:
+    return B.frame_predictions(B.class_counts_v(spark, sf))
+
+
+def class_metrics_v(spark, sf) -> DataFrame:
+    """F6 summary shaped like the class_metrics mart."""
+    s = OC.class_summary(B.class_counts_v(spark, sf))
+    return s.select("asset_id", "class_id", CL.canonical_class("class_name").alias("class_name"),
+                    CL.translate("class_name").alias("class_name_ru"), "frames_present", "pixel_count",
+                    TX.share_pct("pixel_share").alias("pixel_share_pct"))
+
+
+@query("f6_class_summary")
+def f6_class_summary(spark, sf):
+    return OC.class_summary(B.class_counts_v(spark, sf))
+
+
+@query("f20_visible_pixels")
+def f20_visible_pixels(spark, sf):
+    return frame_preds(spark, sf).select("asset_id", "frame_idx",
+                                         CL.visible_pixels("class_pixel_counts").alias("visible_pixels"))
+
+
+@query("c25_ratios")
+def c25_ratios(spark, sf):
+    f = frame_preds(spark, sf)
+    return f.select("asset_id", "frame_idx", F.explode("class_pixel_ratios").alias("class_id", "ratio"))
+
+
+@query("k3_explode_map")
+def k3_explode_map(spark, sf):
+    """K3: map -> rows (the counts map rebuilt from rows, then exploded)."""
+    f = frame_preds(spark, sf)
+    return f.select("asset_id", "frame_idx", F.explode("class_pixel_counts").alias("class_id", "pixels"))
+
+
+@query("c18_risk_score")
+def c18_risk_score(spark, sf):
+    return frame_preds(spark, sf).select("asset_id", "frame_idx", "risk_score")
+
+
+@query("c19_risk_band")
+def c19_risk_band(spark, sf):
+    f = frame_preds(spark, sf)
+    return f.select("asset_id", "frame_idx", RK.risk_band("risk_score", "pipeline").alias("band_pipeline"),
+                    RK.risk_band("risk_score", "dashboard").alias("band_dashboard"))
+
+
+@query("c20_urgency_state")
+def c20_urgency_state(spark, sf):
+    f = frame_preds(spark, sf)
+    return f.select("asset_id", "frame_idx", RK.urgency("risk_score").alias("urgency"),
+                    RK.state_label("risk_score").alias("state_label"))
+
+
+@query("c21_codes")
+def c21_codes(spark, sf):
+    f = frame_preds(spark, sf)
+    issue = CL.translate("primary_sign_name")
+    return f.select("asset_id", "frame_idx", RK.issue_code(issue).alias("issue_code"),
+                    RK.state_code(RK.state_label("risk_score")).alias("state_code"))
+
+
+@query("f4_dominant_class")
+def f4_dominant_class(spark, sf):
+    f = frame_preds(spark, sf)
+    return f.select("asset_id", "frame_idx", "dominant_class_id",
+                    CL.class_name("dominant_class_id").alias("dominant_class_name"))
+
+
+@query("f5_predicted_ids")
+def f5_predicted_ids(spark, sf):
+    f = frame_preds(spark, sf)
+    return f.select("asset_id", "frame_idx", F.array_join("predicted_class_ids", ",").alias("predicted_class_ids"))
+
+
+@query("c27_primary_sign")
+def c27_primary_sign(spark, sf):
+    return frame_preds(spark, sf).select("asset_id", "frame_idx", "primary_sign_id", "primary_sign_name")
+
+
+@query("c47_predicted_names")
+def c47_predicted_names(spark, sf):
+    f = frame_preds(spark, sf)
+    return f.select("asset_id", "frame_idx",
+                    F.array_join(CL.predicted_names("predicted_class_ids", K.SIGN_EXCLUDED_IDS), ", ").alias("video_names"),
+                    F.array_join(CL.predicted_names("predicted_class_ids", K.VISIBLE_EXCLUDED_IDS), ", ").alias("photo_names"))
+
+
+@query("c26_text_fields")
+def c26_text_fields(spark, sf):
+    """Ids as CSV text, counts as JSON keyed by class name."""
+    f = frame_preds(spark, sf)
+    named = F.transform_keys("class_pixel_counts", lambda k, v: CL.class_name(k))
+    return f.select("asset_id", "frame_idx", F.array_join("predicted_class_ids", ",").alias("predicted_csv"),
+                    F.to_json(named).alias("counts_json"))
+
+
+@query("g5_top_classes")
+def g5_top_classes(spark, sf):
+    f = OC.frame_top_classes(frame_preds(spark, sf))
+    e = f.select("asset_id", "frame_idx", F.posexplode("top_classes").alias("pos", "c"))
+    return e.select("asset_id", "frame_idx", (F.col("pos") + 1).alias("class_rank"), "c.class_id", "c.class_name",
+                    "c.pixel_count", "c.pixel_share")
+
+
+@query("i8_frame_signs")
+def i8_frame_signs(spark, sf):
+    f = OC.frame_signs(frame_preds(spark, sf))
+    return f.select("asset_id", "frame_idx", "primary_sign_label",
+                    F.array_join("extra_signs", ", ").alias("extra_signs"), "truth_label")
+
+
+@query("d7_has_defect")
+def d7_has_defect(spark, sf):
+    return OC.defect_frames(frame_preds(spark, sf)).select("asset_id", "frame_idx")
+
+
+@query("e2_with_class")
+def e2_with_class(spark, sf):
+    cc = B.class_counts_v(spark, sf)
+    j = OC.with_class(cc, CL.class_dimension(spark), "left")
+    return j.select("asset_id", "frame_idx", "class_id", "pixels", "class_name", "color_hex", "risk_weight")
+
+
+@query("e3_visible_only")
+def e3_visible_only(spark, sf):
+    cc = B.class_counts_v(spark, sf)
+    j = OC.with_class(cc, CL.class_dimension(spark), "visible")
+    return j.select("asset_id", "frame_idx", "class_id", "pixels", "class_name")
+
+
+@query("f12_asset_risk")
+def f12_asset_risk(spark, sf):
+    return OC.asset_risk(frame_preds(spark, sf))
+
+
+@query("f17_class_heatmap")
+def f17_class_heatmap(spark, sf):
+    return OC.class_heatmap(B.class_counts_v(spark, sf), 18)
+
+
+@query("k4_pivot_frames")
+def k4_pivot_frames(spark, sf):
+    return OC.pivot_heatmap(OC.class_heatmap(B.class_counts_v(spark, sf), 18), 18)
+
+
+@query("f13_fallback_risk")
+def f13_fallback_risk(spark, sf):
+    return OC.fallback_risk(class_metrics_v(spark, sf), ["asset_id"])
+
+
+@query("f15_issue_type_count")
+def f15_issue_type_count(spark, sf):
+    return OC.issue_type_count(class_metrics_v(spark, sf), ["asset_id"])
+
+
+@query("f16_primary_issue")
+def f16_primary_issue(spark, sf):
+    return OC.primary_issue(class_metrics_v(spark, sf), ["asset_id"], "live")
+
+
+@query("f16_primary_issue_shadowed")
+def f16_primary_issue_shadowed(spark, sf):
+    return OC.primary_issue(class_metrics_v(spark, sf), ["asset_id"], "shadowed")
+
+
+@query("g4_story_frames")
+def g4_story_frames(spark, sf):
+    f = frame_preds(spark, sf)
+    s = S.story_frames(f, K.STORY_FRAMES, K.STORY_FRAMES, key="asset_id")
+    return s.select("asset_id", "frame_idx", "story_pick")

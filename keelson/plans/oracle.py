@@ -198,6 +198,9 @@ def with_views(names: list[str], body: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{body}"
 
 
@@ -256,3 +259,177 @@ oracle("g3_bucket_rank", ["buckets_v"], """
 SELECT video_id, frame_idx, bucket,
        row_number() OVER (PARTITION BY video_id, bucket ORDER BY score DESC, frame_idx DESC) AS bucket_rank
 FROM buckets_v""")
+
+
+# ---- class statistics ------------------------------------------------------
+
+def color_hex_sql(col: str) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = {c} THEN '#{r:02x}{g:02x}{b:02x}'" for c, _, (r, g, b) in K.CLASS_INFO) + " END"
+
+
+view("cm_v", ["summary_v"], f"""
+SELECT asset_id, class_id, CASE WHEN class_name = 'Ship hull' THEN 'Normal' ELSE class_name END AS class_name,
+       {translate_sql('class_name')} AS class_name_ru, frames_present, pixel_count,
+       round(coalesce(pixel_share, {D(0)}) * {D(100)}, 2) AS pixel_share_pct
+FROM summary_v""")
+
+view("ratios_v", ["class_counts_v"], """
+SELECT c.asset_id, c.frame_idx, c.class_id, c.pixels, t.tot,
+       CASE WHEN t.tot > 0 THEN round(c.pixels / t.tot, 6) ELSE CAST(0 AS DOUBLE) END AS ratio
+FROM class_counts_v c JOIN (SELECT asset_id, frame_idx, sum(pixels) AS tot FROM class_counts_v GROUP BY ALL) t
+  USING (asset_id, frame_idx)""")
+
+oracle("f6_class_summary", ["summary_v"], f"""
+SELECT asset_id, class_id, class_name, {color_hex_sql('class_id')} AS color_hex, pixel_count,
+       CAST(frames_present AS BIGINT) AS frames_present, pixel_share FROM summary_v""")
+
+oracle("f20_visible_pixels", ["frame_pred_v"],
+       "SELECT asset_id, frame_idx, CAST(" + " + ".join(f"p{c}" for c in VISIBLE_IDS) + " AS BIGINT) AS visible_pixels FROM frame_pred_v")
+
+oracle("c25_ratios", ["ratios_v"], "SELECT asset_id, frame_idx, class_id, ratio FROM ratios_v")
+
+oracle("k3_explode_map", ["class_counts_v"], "SELECT asset_id, frame_idx, class_id, pixels FROM class_counts_v")
+
+oracle("c18_risk_score", ["frame_pred_v"], "SELECT asset_id, frame_idx, risk_score FROM frame_pred_v")
+
+oracle("c19_risk_band", ["frame_pred_v"], f"""
+SELECT asset_id, frame_idx, {band_sql('risk_score', 'pipeline')} AS band_pipeline,
+       {band_sql('risk_score', 'dashboard')} AS band_dashboard FROM frame_pred_v""")
+
+oracle("c20_urgency_state", ["frame_pred_v"], f"""
+SELECT asset_id, frame_idx, {three_sql('risk_score', K.URGENCY_LABELS)} AS urgency,
+       {three_sql('risk_score', K.STATE_LABELS)} AS state_label FROM frame_pred_v""")
+
+oracle("c21_codes", ["frame_pred_v"], f"""
+SELECT asset_id, frame_idx, {code_sql(translate_sql('primary_sign_name'), K.ISSUE_CODES, K.ISSUE_DEFAULT_CODE)} AS issue_code,
+       {code_sql(three_sql('risk_score', K.STATE_LABELS), K.STATE_CODES, K.STATE_DEFAULT_CODE)} AS state_code
+FROM frame_pred_v""")
+
+oracle("f4_dominant_class", ["frame_pred_v"], f"""
+SELECT asset_id, frame_idx, CAST(dominant_class_id AS INTEGER) AS dominant_class_id,
+       {class_name_sql('dominant_class_id')} AS dominant_class_name FROM frame_pred_v""")
+
+oracle("f5_predicted_ids", ["frame_pred_v"],
+       "SELECT asset_id, frame_idx, array_to_string(predicted_class_ids, ',') AS predicted_class_ids FROM frame_pred_v")
+
+oracle("c27_primary_sign", ["frame_pred_v"],
+       "SELECT asset_id, frame_idx, CAST(primary_sign_id AS INTEGER) AS primary_sign_id, primary_sign_name FROM frame_pred_v")
+
+oracle("c47_predicted_names", ["frame_pred_v"], f"""
+SELECT asset_id, frame_idx,
+       array_to_string(list_transform(list_filter(predicted_class_ids, lambda x: x NOT IN (0, 1)), lambda x: {class_name_sql('x')}), ', ') AS video_names,
+       array_to_string(list_transform(list_filter(predicted_class_ids, lambda x: x NOT IN (0)), lambda x: {class_name_sql('x')}), ', ') AS photo_names
+FROM frame_pred_v""")
+
+oracle("c26_text_fields", ["frame_pred_v", "class_counts_v"], f"""
+SELECT f.asset_id, f.frame_idx, array_to_string(f.predicted_class_ids, ',') AS predicted_csv, j.counts_json
+FROM frame_pred_v f JOIN (
+  SELECT asset_id, frame_idx,
+         '{{' || string_agg('"' || {class_name_sql('class_id')} || '":' || CAST(pixels AS VARCHAR), ',' ORDER BY class_id) || '}}' AS counts_json
+  FROM class_counts_v GROUP BY ALL) j USING (asset_id, frame_idx)""")
+
+oracle("g5_top_classes", ["ratios_v"], f"""
+SELECT asset_id, frame_idx, CAST(class_rank AS INTEGER) AS class_rank, class_id, {class_name_sql('class_id')} AS class_name,
+       pixels AS pixel_count, ratio AS pixel_share
+FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, frame_idx ORDER BY pixels DESC, class_id) AS class_rank
+      FROM ratios_v WHERE class_id <> 0 AND pixels > 0)
+WHERE class_rank <= 3""")
+
+oracle("i8_frame_signs", ["frame_pred_v", "ratios_v"], f"""
+SELECT f.asset_id, f.frame_idx,
+       coalesce(s.primary_label, {translate_sql('f.primary_sign_name')}) AS primary_sign_label,
+       coalesce(s.extras, '') AS extra_signs,
+       CASE WHEN coalesce(s.extras, '') <> '' THEN s.extras
+            WHEN {translate_sql('f.primary_sign_name')} NOT IN ('', {_q(K.CLASS_TRANSLATIONS['Normal'])}, {_q(K.CLASS_TRANSLATIONS['Void'])})
+              THEN {translate_sql('f.primary_sign_name')}
+            ELSE {_q(K.NO_SIGN_LABEL)} END AS truth_label
+FROM frame_pred_v f LEFT JOIN (
+  SELECT asset_id, frame_idx,
+         max(label) FILTER (WHERE rk = 1) AS primary_label,
+         string_agg(label, ', ' ORDER BY rk) FILTER (WHERE rk <= 3 AND ratio >= {D(K.EXTRA_SIGN_MIN_RATIO)}) AS extras
+  FROM (SELECT *, {translate_sql(class_name_sql('class_id'))} AS label,
+               row_number() OVER (PARTITION BY asset_id, frame_idx ORDER BY ratio DESC, class_id) AS rk
+        FROM ratios_v WHERE class_id IN (2, 6, 9))
+  GROUP BY ALL) s USING (asset_id, frame_idx)""")
+
+oracle("d7_has_defect", ["frame_pred_v"], f"""
+SELECT asset_id, frame_idx FROM frame_pred_v
+WHERE {' OR '.join(f'(h{c} AND r{c} >= {D(K.DEFECT_MIN_RATIO)})' for c in (2, 6, 9))}
+   OR primary_sign_name NOT IN ('', 'Normal', 'Void', 'Ship hull')""")
+
+DIM_SQL = "(VALUES " + ", ".join(
+    f"({c}, {_q(n)}, '#{r:02x}{g:02x}{b:02x}', {D(K.RISK_WEIGHTS.get(c, K.DEFAULT_RISK_WEIGHT))}, {str(c not in K.VISIBLE_EXCLUDED_IDS).lower()})"
+    for c, n, (r, g, b) in K.CLASS_INFO) + ") AS d(class_id, class_name, color_hex, risk_weight, is_visible)"
+
+oracle("e2_with_class", ["class_counts_v"], f"""
+SELECT c.asset_id, c.frame_idx, c.class_id, c.pixels, coalesce(d.class_name, 'Unknown') AS class_name, d.color_hex, d.risk_weight
+FROM class_counts_v c LEFT JOIN {DIM_SQL} USING (class_id)""")
+
+oracle("e3_visible_only", ["class_counts_v"], f"""
+SELECT c.asset_id, c.frame_idx, c.class_id, c.pixels, d.class_name
+FROM class_counts_v c JOIN {DIM_SQL} USING (class_id) WHERE d.is_visible""")
+
+oracle("f12_asset_risk", ["frame_pred_v"], f"""
+SELECT asset_id, risk_score, max_risk_score, {band_sql('risk_score', 'pipeline')} AS risk_band
+FROM (SELECT asset_id, round(avg(risk_score), 3) AS risk_score, round(max(risk_score), 3) AS max_risk_score
+      FROM frame_pred_v GROUP BY asset_id)""")
+
+view("heat_v", ["frame_pred_v"], "\nUNION ALL\n".join(
+    f"""SELECT asset_id, frame_pos, frame_idx, {c} AS class_id, {_q(CLASS_NAMES[c])} AS class_name,
+       round(p{c} / greatest(tot, 1) * {D(100)}, 2) AS share_pct
+FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY frame_idx) AS frame_pos FROM frame_pred_v)
+WHERE frame_pos <= 18""" for c in VISIBLE_IDS))
+
+oracle("f17_class_heatmap", ["heat_v"], "SELECT asset_id, CAST(frame_pos AS INTEGER) AS frame_pos, frame_idx, class_id, class_name, share_pct FROM heat_v")
+
+oracle("k4_pivot_frames", ["heat_v"], "SELECT asset_id, class_id, class_name, " + ", ".join(
+    f'coalesce(max(share_pct) FILTER (WHERE frame_pos = {i}), {D(0)}) AS "{i}"' for i in range(1, 19))
+    + " FROM heat_v GROUP BY asset_id, class_id, class_name")
+
+DEFECT_SQL = "class_name NOT IN ('Void', 'Normal', 'Ship hull') AND (frames_present > 0 OR pixel_share_pct > 0)"
+
+oracle("f13_fallback_risk", ["cm_v"], f"""
+SELECT asset_id, CASE WHEN s <> 0 THEN round(w / greatest(s, {D(1e-6)}), 3) ELSE {D(0)} END AS fallback_risk
+FROM (SELECT asset_id,
+             sum(pixel_share_pct / {D(100)} * CASE {' '.join(f"WHEN class_name = {_q(n)} THEN {D(v)}" for n, v in K.FALLBACK_RISK_WEIGHTS.items())}
+                 ELSE {D(K.FALLBACK_RISK_DEFAULT)} END) AS w,
+             sum(pixel_share_pct / {D(100)}) AS s
+      FROM cm_v GROUP BY asset_id)""")
+
+oracle("f15_issue_type_count", ["cm_v"], f"SELECT asset_id, count_if({DEFECT_SQL}) AS issue_types FROM cm_v GROUP BY asset_id")
+
+oracle("f16_primary_issue", ["cm_v"], f"""
+SELECT a.asset_id, coalesce(p.class_name_ru, {_q(K.NO_ISSUE_LABEL)}) AS primary_issue
+FROM (SELECT DISTINCT asset_id FROM cm_v) a LEFT JOIN (
+  SELECT asset_id, class_name_ru FROM (
+    SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY frames_present DESC, pixel_share_pct DESC,
+                                 pixel_count DESC, class_id) AS r
+    FROM cm_v WHERE {DEFECT_SQL}) WHERE r = 1) p USING (asset_id)""")
+
+oracle("f16_primary_issue_shadowed", ["cm_v"], f"""
+SELECT a.asset_id, coalesce(p.class_name_ru, q.class_name_ru, {_q(K.NO_ISSUE_LABEL)}) AS primary_issue
+FROM (SELECT DISTINCT asset_id FROM cm_v) a
+LEFT JOIN (SELECT asset_id, class_name_ru FROM (
+    SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY pixel_share_pct DESC, frames_present DESC,
+                                 pixel_count DESC, class_id) AS r
+    FROM cm_v WHERE {DEFECT_SQL}) WHERE r = 1) p USING (asset_id)
+LEFT JOIN (SELECT asset_id, class_name_ru FROM (
+    SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY pixel_share_pct DESC, frames_present DESC,
+                                 pixel_count DESC, class_id) AS r
+    FROM cm_v WHERE class_name <> 'Void') WHERE r = 1) q USING (asset_id)""")
+
+oracle("g4_story_frames", ["frame_pred_v"], f"""
+WITH f AS (SELECT asset_id, frame_idx, risk_score, len(predicted_class_ids) AS n,
+                  row_number() OVER (PARTITION BY asset_id ORDER BY frame_idx) AS rn,
+                  count(*) OVER (PARTITION BY asset_id) AS t FROM frame_pred_v),
+     b AS (SELECT *, floor((rn * least({K.STORY_FRAMES}, t) - 1) / t) AS bk FROM f WHERE t > {K.STORY_FRAMES}),
+     best AS (SELECT asset_id, frame_idx FROM (
+              SELECT *, row_number() OVER (PARTITION BY asset_id, bk ORDER BY risk_score DESC, n DESC, frame_idx DESC) AS r
+              FROM b) WHERE r = 1),
+     np AS (SELECT asset_id, count(*) AS k FROM best GROUP BY asset_id)
+SELECT asset_id, frame_idx, 'all' AS story_pick FROM f WHERE t <= {K.STORY_FRAMES}
+UNION ALL SELECT asset_id, frame_idx, 'bucket' FROM best
+UNION ALL SELECT asset_id, frame_idx, 'fill' FROM (
+  SELECT b.*, row_number() OVER (PARTITION BY b.asset_id ORDER BY risk_score DESC, n DESC, frame_idx) AS r, np.k
+  FROM b JOIN np USING (asset_id) WHERE (b.asset_id, b.frame_idx) NOT IN (SELECT asset_id, frame_idx FROM best))
+WHERE r <= {K.STORY_FRAMES} - k""")
