@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelson.functions.num import brnd, rnd  # noqa: F401
+
 from keelson import constants as K
 
 
@@ -88,7 +90,7 @@ def ratios(counts) -> Column:
     """Class -> count map to class -> count / total, 6 decimals; keys kept."""
     c = _c(counts)
     total = F.aggregate(F.map_values(c), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return F.transform_values(c, lambda k, v: F.when(total > 0, F.round(v / total, 6)).otherwise(F.lit(0.0)))
+    return F.transform_values(c, lambda k, v: F.when(total > 0, rnd(v / total, 6)).otherwise(F.lit(0.0)))
 
 
 def visible_pixels(counts) -> Column:
@@ -143,7 +145,7 @@ def apportion(total, scored) -> Column:
 
     def step(acc, x):
         last = acc["i"] == n - 1
-        share = F.when(score_sum > 0, F.bround(_c(total) * (x["score"] / score_sum), 0)).otherwise(F.lit(0.0)).cast("bigint")
+        share = F.when(score_sum > 0, brnd(_c(total) * (x["score"] / score_sum), 0)).otherwise(F.lit(0.0)).cast("bigint")
         take = F.when(last, F.greatest(_c(total) - acc["used"], F.lit(0))).otherwise(
             F.least(share, F.greatest(_c(total) - acc["used"], F.lit(0)))).cast("bigint")
         return F.struct((acc["i"] + 1).alias("i"), (acc["used"] + take).alias("used"),

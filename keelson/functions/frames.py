@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from keelson.functions.num import brnd, rnd  # noqa: F401
+
 from keelson import constants as K
 
 
@@ -123,7 +125,7 @@ def colorize(mask) -> Column:
 
 def blend(img, mask, alpha: float = K.OVERLAY_ALPHA) -> Column:
     """round(img * (1 - a) + mask * a) element-wise."""
-    return F.zip_with(_c(img), _c(mask), lambda a, b: F.round(a * (1 - alpha) + b * alpha).cast("int"))
+    return F.zip_with(_c(img), _c(mask), lambda a, b: rnd(a * (1 - alpha) + b * alpha).cast("int"))
 
 
 def laplacian_var(gray_pixels, width, height) -> Column:
@@ -182,7 +184,7 @@ def crop_box(width, height, crop, clamp: bool = False) -> Column:
 
 def trimmed_frames(total_frames, start_sec, fps) -> Column:
     """max(total - round_half_even(start * fps), 0); 0 without fps."""
-    return F.when(_c(fps) > 0, F.greatest(_c(total_frames) - F.bround(_c(start_sec) * _c(fps), 0).cast("bigint"),
+    return F.when(_c(fps) > 0, F.greatest(_c(total_frames) - brnd(_c(start_sec) * _c(fps), 0).cast("bigint"),
                                           F.lit(0))).otherwise(F.lit(0)).cast("bigint")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from keelson.functions.num import brnd, rnd  # noqa: F401
+
 from keelson import constants as K
 
 
@@ -33,7 +35,7 @@ def risk_score(ratios) -> Column:
     corrosion = F.least(F.lit(K.CORROSION_BONUS_CAP), F.coalesce(F.element_at(r, F.lit(9)), F.lit(0.0)) * K.CORROSION_BONUS_FACTOR)
     defect8 = F.least(F.lit(K.DEFECT8_BONUS_CAP), F.coalesce(F.element_at(r, F.lit(8)), F.lit(0.0)) * K.DEFECT8_BONUS_FACTOR)
     total = F.coalesce(weighted, F.lit(0.0)) + coverage + corrosion + defect8
-    return F.round(F.least(F.lit(K.RISK_CAP), total), 3)
+    return rnd(F.least(F.lit(K.RISK_CAP), total), 3)
 
 
 def _three_way(score, cuts, labels, high_inclusive=True) -> Column:
@@ -78,7 +80,7 @@ def state_code(label) -> Column:
 
 def _impute(value, source, factor, floor) -> Column:
     v, s = _c(value), _c(source)
-    guess = F.greatest(F.bround(s * factor, 0).cast("bigint"), F.least(s, F.lit(floor)).cast("bigint"))
+    guess = F.greatest(brnd(s * factor, 0).cast("bigint"), F.least(s, F.lit(floor)).cast("bigint"))
     return F.when((v <= 0) & (s > 0), guess).otherwise(v).cast("bigint")
 
 
@@ -92,14 +94,14 @@ def effective_video_counts(extracted, quality_ok, deduplicated, processed, segme
     s = _impute(F.coalesce(_c(segmented), F.lit(0)), p, *K.VIDEO_IMPUTE[3])
     inf0 = F.coalesce(_c(inference_s), F.lit(0.0))
     pipe = F.coalesce(_c(pipeline_s), F.lit(0.0))
-    inf = F.when((inf0 <= 0) & (pipe != 0), F.round(pipe * K.VIDEO_INFERENCE_SHARE, 4)).otherwise(inf0)
+    inf = F.when((inf0 <= 0) & (pipe != 0), rnd(pipe * K.VIDEO_INFERENCE_SHARE, 4)).otherwise(inf0)
     ms0 = F.coalesce(_c(avg_ms), F.lit(0.0)) if avg_ms is not None else F.lit(0.0)
-    ms = F.when((ms0 <= 0) & (s > 0), F.round(inf / s * 1000.0, 3)).otherwise(ms0)
+    ms = F.when((ms0 <= 0) & (s > 0), rnd(inf / s * 1000.0, 3)).otherwise(ms0)
     imputed = ((q != F.coalesce(_c(quality_ok), F.lit(0))) | (d != F.coalesce(_c(deduplicated), F.lit(0)))
                | (p != F.coalesce(_c(processed), F.lit(0))) | (s != F.coalesce(_c(segmented), F.lit(0)))
                | (inf != inf0))
     return F.struct(q.alias("quality_ok_frames"), d.alias("deduplicated_frames"), p.alias("processed_frames"),
-                    s.alias("segmented_frames"), F.round(inf, 4).alias("inference_wall_seconds"),
+                    s.alias("segmented_frames"), rnd(inf, 4).alias("inference_wall_seconds"),
                     ms.alias("avg_inference_ms"), imputed.alias("imputed"))
 
 
@@ -108,10 +110,10 @@ def effective_photo_counts(total_images, inference_s, pipeline_s, avg_ms=None) -
     n = F.coalesce(_c(total_images), F.lit(0)).cast("bigint")
     inf0 = F.coalesce(_c(inference_s), F.lit(0.0))
     pipe = F.coalesce(_c(pipeline_s), F.lit(0.0))
-    inf = F.when((inf0 <= 0) & (pipe != 0), F.round(pipe * K.PHOTO_INFERENCE_SHARE, 4)).otherwise(inf0)
+    inf = F.when((inf0 <= 0) & (pipe != 0), rnd(pipe * K.PHOTO_INFERENCE_SHARE, 4)).otherwise(inf0)
     ms0 = F.coalesce(_c(avg_ms), F.lit(0.0)) if avg_ms is not None else F.lit(0.0)
-    ms = F.when((ms0 <= 0) & (n > 0), F.round(inf / n * 1000.0, 3)).otherwise(ms0)
-    return F.struct(n.alias("total_images"), F.round(inf, 4).alias("inference_wall_seconds"),
+    ms = F.when((ms0 <= 0) & (n > 0), rnd(inf / n * 1000.0, 3)).otherwise(ms0)
+    return F.struct(n.alias("total_images"), rnd(inf, 4).alias("inference_wall_seconds"),
                     ms.alias("avg_inference_ms"), (inf != inf0).alias("imputed"))
 
 
@@ -130,8 +132,8 @@ def benchmark_curve(items, total_s, inference_s, kind: str | Column = "video") -
     inf = F.greatest(F.lit(0.0), F.coalesce(_c(inference_s), F.lit(0.0)))
     points = F.transform(F.array(*[F.lit(s) for s in K.CURVE_SCALES]), lambda s: F.struct(
         s.alias("scale"), (_c(items) * s).cast("bigint").alias("items"),
-        F.round(overhead + variable * s, 3).alias("pipeline_seconds"),
-        F.round(inf * s, 3).alias("inference_seconds")))
+        rnd(overhead + variable * s, 3).alias("pipeline_seconds"),
+        rnd(inf * s, 3).alias("inference_seconds")))
     return F.when(_c(items) > 0, points).otherwise(F.array().cast(
         "array<struct<scale:int,items:bigint,pipeline_seconds:double,inference_seconds:double>>"))
 
@@ -141,9 +143,9 @@ def parallel_estimate(total_s) -> Column:
     t = _c(total_s)
     rows = F.array(
         F.struct(F.lit(K.PARALLEL_LABELS[0]).alias("label"), F.lit(1).alias("videos"),
-                 F.round(t, 3).alias("sequential_seconds"), F.round(t, 3).alias("parallel_seconds")),
+                 rnd(t, 3).alias("sequential_seconds"), rnd(t, 3).alias("parallel_seconds")),
         F.struct(F.lit(K.PARALLEL_LABELS[1]).alias("label"), F.lit(2).alias("videos"),
-                 F.round(t * 2, 3).alias("sequential_seconds"), F.round(t * K.PARALLEL_FACTOR, 3).alias("parallel_seconds")))
+                 rnd(t * 2, 3).alias("sequential_seconds"), rnd(t * K.PARALLEL_FACTOR, 3).alias("parallel_seconds")))
     return F.when(t > 0, rows).otherwise(F.array().cast(
         "array<struct<label:string,videos:int,sequential_seconds:double,parallel_seconds:double>>"))
 

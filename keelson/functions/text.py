@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from keelson.functions.num import brnd, rnd  # noqa: F401
+
 from keelson import constants as K
 
 
@@ -37,7 +39,7 @@ def rgb_hex(r, g, b) -> Column:
 
 def size_kb(length) -> Column:
     """Bytes / 1024, 2 decimals."""
-    return F.round(_c(length) / 1024.0, 2)
+    return rnd(_c(length) / 1024.0, 2)
 
 
 def asset_id(*candidates, default="unknown") -> Column:
@@ -54,13 +56,13 @@ def epoch_iso(ts) -> Column:
 
 def share_pct(share) -> Column:
     """Share * 100 rounded to 2; 0 when absent."""
-    return F.round(F.coalesce(_c(share), F.lit(0.0)) * 100.0, 2)
+    return rnd(F.coalesce(_c(share), F.lit(0.0)) * 100.0, 2)
 
 
 def time_label(t) -> Column:
     """C35: 'x.x sec' or 'time not given'."""
     return F.when(_c(t).isNull(), F.lit(K.TIME_NOT_GIVEN)).otherwise(
-        F.concat(F.format_string("%.1f", _c(t).cast("double")), F.lit(K.TIME_SUFFIX)))
+        F.concat(F.format_string("%.1f", rnd(_c(t).cast("double"), 1)), F.lit(K.TIME_SUFFIX)))
 
 
 def defect_comment(share_pct_col, frames) -> Column:
@@ -92,7 +94,7 @@ def summary_text(kind_label, dominant, band, score, urgency_col) -> Column:
     return F.format_string(
         "%s показала, что среди выявленных не-фоновых признаков чаще всего отмечался признак \"%s\". "
         "Интегральный риск оценивается как %s (%.3f), приоритет действий - %s.",
-        _c(kind_label), _c(dominant), F.lower(_c(band)), _c(score).cast("double"), F.lower(_c(urgency_col)))
+        _c(kind_label), _c(dominant), F.lower(_c(band)), rnd(_c(score).cast("double"), 3), F.lower(_c(urgency_col)))
 
 
 def recommendations(score, corrosion_pct, peel_pct, growth_pct, extracted=None, segmented=None,

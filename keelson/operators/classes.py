@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.functions.num import brnd, rnd  # noqa: F401
+
 from keelson import constants as K
 from keelson.functions import classes as CL
 from keelson.functions import risk as RK
@@ -64,7 +66,7 @@ def class_summary(counts: DataFrame, key: str = "asset_id") -> DataFrame:
                               F.col(f"_f{cid}").cast("bigint").alias("frames_present"))
                      for cid, name, rgb in VISIBLE])
     e = g.select(*keys, "_total", F.explode(rows).alias("c")).select(*keys, "_total", "c.*")
-    return e.withColumn("pixel_share", F.when(F.col("_total") > 0, F.round(F.col("pixel_count") / F.col("_total"), 6))
+    return e.withColumn("pixel_share", F.when(F.col("_total") > 0, rnd(F.col("pixel_count") / F.col("_total"), 6))
                         .otherwise(F.lit(0.0))).drop("_total")
 
 
@@ -81,7 +83,7 @@ def class_summary_binary(frames: DataFrame, key: str = "asset_id") -> DataFrame:
     s = f.select(key, "frame_idx", "classification_scores",
                  F.explode(F.when(F.size(signs) > 0, signs).otherwise(fallback)).alias("class_id"))
     s = s.where(F.col("class_id").isin(*[c for c, _, _ in VISIBLE]))
-    s = s.withColumn("pseudo", F.greatest(F.lit(1), F.bround(
+    s = s.withColumn("pseudo", F.greatest(F.lit(1), brnd(
         F.coalesce(F.element_at("classification_scores", F.col("class_id")), F.lit(0.0)) * 1000.0, 0).cast("bigint")))
     s = s.select(key, "frame_idx", "class_id", F.col("pseudo").alias("pixels"))
     return class_summary(s, key)
@@ -101,8 +103,8 @@ def frame_top_classes(frames: DataFrame, k: int = 3) -> DataFrame:
 
 def asset_risk(frames: DataFrame, key: str = "asset_id", preset: str = "pipeline") -> DataFrame:
     """mean and max frame risk (3 decimals) and the band."""
-    g = frames.groupBy(*_keys(key)).agg(F.round(F.avg("risk_score"), 3).alias("risk_score"),
-                                F.round(F.max("risk_score"), 3).alias("max_risk_score"))
+    g = frames.groupBy(*_keys(key)).agg(rnd(F.avg("risk_score"), 3).alias("risk_score"),
+                                rnd(F.max("risk_score"), 3).alias("max_risk_score"))
     return g.withColumn("risk_band", RK.risk_band("risk_score", preset))
 
 
@@ -113,7 +115,7 @@ def fallback_risk(class_metrics: DataFrame, keys: list[str]) -> DataFrame:
     share = F.col("pixel_share_pct") / 100.0
     g = class_metrics.groupBy(*keys).agg(F.sum(share * RK.fallback_weight("class_name")).alias("_w"),
                                          F.sum(share).alias("_s"))
-    return g.select(*keys, F.when(F.col("_s") != 0, F.round(F.col("_w") / F.greatest(F.col("_s"), F.lit(1e-6)), 3))
+    return g.select(*keys, F.when(F.col("_s") != 0, rnd(F.col("_w") / F.greatest(F.col("_s"), F.lit(1e-6)), 3))
                     .otherwise(F.lit(0.0)).alias("fallback_risk"))
 
 
@@ -165,7 +167,7 @@ def class_heatmap(counts: DataFrame, n: int = 18, key: str = "asset_id") -> Data
     w = Window.partitionBy(key).orderBy("frame_idx")
     first = frames.withColumn("frame_pos", F.row_number().over(w)).where(F.col("frame_pos") <= n)
     rows = F.array(*[F.struct(F.lit(cid).alias("class_id"), F.lit(name).alias("class_name"),
-                              F.round(F.col(f"_p{cid}") / F.greatest(F.col("_tot"), F.lit(1)) * 100.0, 2).alias("share_pct"))
+                              rnd(F.col(f"_p{cid}") / F.greatest(F.col("_tot"), F.lit(1)) * 100.0, 2).alias("share_pct"))
                      for cid, name, _ in VISIBLE])
     return first.select(key, "frame_pos", "frame_idx", F.explode(rows).alias("c")).select(key, "frame_pos", "frame_idx", "c.*")
 

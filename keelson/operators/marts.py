@@ -9,9 +9,13 @@ Keys: (kind, asset_id).
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.functions.num import brnd, rnd  # noqa: F401
+
 from keelson import constants as K
 from keelson.functions import classes as CL
 from keelson.functions import risk as RK
@@ -38,15 +42,16 @@ def stage_times(runs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     only when > .05; zero rows dropped; 3 decimals."""
     ex, pre, inf, exp = (F.coalesce(F.col(c), F.lit(0.0)) for c in (
         "extraction_wall_seconds", "preprocessing_wall_seconds", "inference_wall_seconds", "export_stage_wall_seconds"))
-    other = F.greatest(F.coalesce(F.col("pipeline_wall_seconds"), F.lit(0.0)) - (ex + pre + inf + exp), F.lit(0.0))
+    # snapped to 9 decimals so float noise cannot decide the > .05 test
+    other = F.greatest(rnd(F.coalesce(F.col("pipeline_wall_seconds"), F.lit(0.0)) - (ex + pre + inf + exp), 9), F.lit(0.0))
     names = K.STAGE_NAMES
     rows = F.array(
-        F.struct(F.lit(names[0]).alias("stage_name"), F.round(ex, 3).alias("seconds"), F.lit(1).alias("stage_order")),
-        F.struct(F.lit(names[1]).alias("stage_name"), F.round(pre, 3).alias("seconds"), F.lit(2).alias("stage_order")),
-        F.struct(F.lit(names[2]).alias("stage_name"), F.round(inf, 3).alias("seconds"), F.lit(3).alias("stage_order")),
-        F.struct(F.lit(names[3]).alias("stage_name"), F.round(exp, 3).alias("seconds"), F.lit(4).alias("stage_order")),
+        F.struct(F.lit(names[0]).alias("stage_name"), rnd(ex, 3).alias("seconds"), F.lit(1).alias("stage_order")),
+        F.struct(F.lit(names[1]).alias("stage_name"), rnd(pre, 3).alias("seconds"), F.lit(2).alias("stage_order")),
+        F.struct(F.lit(names[2]).alias("stage_name"), rnd(inf, 3).alias("seconds"), F.lit(3).alias("stage_order")),
+        F.struct(F.lit(names[3]).alias("stage_name"), rnd(exp, 3).alias("seconds"), F.lit(4).alias("stage_order")),
         F.struct(F.lit(names[4]).alias("stage_name"),
-                 F.when(other > K.OTHER_STAGE_MIN, F.round(other, 3)).otherwise(F.lit(0.0)).alias("seconds"),
+                 F.when(other > K.OTHER_STAGE_MIN, rnd(other, 3)).otherwise(F.lit(0.0)).alias("seconds"),
                  F.lit(5).alias("stage_order")))
     e = runs.select(*keys, F.explode(rows).alias("s")).select(*keys, "s.*")
     return e.where(F.col("seconds") > 0)
@@ -64,83 +69,124 @@ def parallel_mart(runs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return runs.select(*keys, F.explode(RK.parallel_estimate("pipeline_wall_seconds")).alias("p")).select(*keys, "p.*")
 
 
-def build_marts(lines: DataFrame) -> dict[str, DataFrame]:
-    """B7 / L1-L5. ``lines``: (kind, asset_id, frame_idx, updated_at,
-    l_linenumber, l_quantity, l_tax, l_discount, l_extendedprice) — one row
-    per detected region of a frame (see bindings.mart_lines)."""
-    from keelson.sources.bindings import _stage_sums, class_of_line, frame_predictions
-
-    counts = (lines.select(*KEYS, "frame_idx", class_of_line("l_linenumber").alias("class_id"), "l_quantity")
-                   .groupBy(*KEYS, "frame_idx", "class_id").agg(F.sum("l_quantity").cast("bigint").alias("pixels")))
-    frames = frame_predictions(counts, keys=tuple(KEYS))
-    frame_time = lines.groupBy(*KEYS, "frame_idx").agg(F.max("updated_at").alias("frame_time"))
-    meta = (lines.groupBy(*KEYS).agg(F.max("updated_at").alias("updated_at"))
-                 .withColumn("updated_at_epoch", F.unix_timestamp("updated_at"))
-                 .withColumn("updated_at_iso", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss")))
-
-    # L2 class_metrics
-    summary = OC.class_summary(counts, key=KEYS)
-    class_metrics = class_metrics_mart(summary, meta)
-
-    # L3 dynamics: photos are numbered oldest first (G6), videos keep frame_idx
-    dyn = frames.join(frame_time, KEYS + ["frame_idx"])
-    dyn = ordinal(dyn.withColumn("_ak", F.concat_ws("|", "kind", F.col("asset_id").cast("string"))),
-                  "_ak", ["frame_time", "frame_idx"], name="photo_index").drop("_ak")
-    dyn_idx = F.when(F.col("kind") == "photo", F.col("photo_index")).otherwise(F.col("frame_idx")).cast("bigint")
-    dynamics = dyn.join(meta.select(*KEYS, "updated_at_epoch"), KEYS).select(
-        *KEYS, "updated_at_epoch", dyn_idx.alias("frame_idx"), dyn_idx.cast("string").alias("frame_label"),
-        "risk_score", CL.translate("primary_sign_name").alias("dominant_class_name_ru"))
-
-    # L1 runs
-    stages = _stage_sums(lines, KEYS)
-    nframes = frames.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_frames"))
-    risk = OC.asset_risk(frames, key=KEYS)
-    fb = OC.fallback_risk(class_metrics, KEYS)
-    issue = OC.primary_issue(class_metrics, KEYS, "live")
-    r = (meta.join(stages, KEYS).join(nframes, KEYS).join(risk.select(*KEYS, F.col("risk_score").alias("_avg")), KEYS, "left")
-             .join(fb, KEYS, "left").join(issue, KEYS, "left"))
-    video = F.col("kind") == "video"
-    extracted = F.when(video, F.col("items")).otherwise(F.lit(0)).cast("bigint")
-    seg_raw = F.when(video, F.col("_frames")).otherwise(F.lit(0)).cast("bigint")
-    total_images = F.when(video, F.lit(0)).otherwise(F.col("_frames")).cast("bigint")
-    r = r.withColumn("extracted_frames", extracted).withColumn("segmented_frames_raw", seg_raw) \
-         .withColumn("total_images", total_images)
-    vc = RK.effective_video_counts("extracted_frames", F.lit(0), F.lit(0), F.lit(0), "segmented_frames_raw",
-                                   "inference_wall_seconds", "pipeline_wall_seconds")
-    pc = RK.effective_photo_counts("total_images", "inference_wall_seconds", "pipeline_wall_seconds")
-    score0 = F.coalesce(F.col("_avg"), F.lit(0.0))
-    score = F.when(score0 <= 0, F.coalesce(F.col("fallback_risk"), F.lit(0.0))).otherwise(score0)
-    r = (r.withColumn("_vc", vc).withColumn("_pc", pc).withColumn("risk_score", score)
-          .withColumn("state_label", RK.state_label("risk_score")))
-    zero = F.lit(0).cast("bigint")
-    runs = r.select(
-        *KEYS, "updated_at_iso", "updated_at_epoch",
-        F.col("asset_id").cast("string").alias("source_name"),
-        "extracted_frames",
-        F.when(video, F.col("_vc.quality_ok_frames")).otherwise(zero).alias("quality_ok_frames"),
-        F.when(video, F.col("_vc.deduplicated_frames")).otherwise(zero).alias("deduplicated_frames"),
-        F.when(video, F.col("_vc.processed_frames")).otherwise(zero).alias("processed_frames"),
-        F.when(video, F.col("_vc.segmented_frames")).otherwise(F.col("total_images")).alias("segmented_frames"),
-        "total_images",
-        F.round("extraction_wall_seconds", 3).alias("extraction_wall_seconds"),
-        F.round("preprocessing_wall_seconds", 3).alias("preprocessing_wall_seconds"),
-        F.round(F.when(video, F.col("_vc.inference_wall_seconds")).otherwise(F.col("_pc.inference_wall_seconds")), 3)
-        .alias("inference_wall_seconds"),
-        F.round("export_stage_wall_seconds", 3).alias("export_stage_wall_seconds"),
-        F.round("pipeline_wall_seconds", 3).alias("pipeline_wall_seconds"),
-        F.when(video, F.col("_vc.avg_inference_ms")).otherwise(F.col("_pc.avg_inference_ms")).alias("avg_inference_ms"),
-        "risk_score", RK.risk_band("risk_score", "dashboard").alias("risk_band"),
-        F.coalesce(F.col("primary_issue"), F.lit(K.NO_ISSUE_LABEL)).alias("primary_issue"),
-        RK.issue_code(F.coalesce(F.col("primary_issue"), F.lit(K.NO_ISSUE_LABEL))).alias("primary_issue_code"),
-        "state_label", RK.state_code("state_label").alias("state_code"))
-
-    raw = r.select(*KEYS, "updated_at_epoch", "segmented_frames_raw", "total_images", "extraction_wall_seconds",
-                   "preprocessing_wall_seconds", "inference_wall_seconds", "export_stage_wall_seconds",
-                   "pipeline_wall_seconds")
-    stage = stage_times(raw, KEYS + ["updated_at_epoch"])
-    bench = benchmark_mart(raw, KEYS + ["updated_at_epoch"])
-    return {"runs": runs, "class_metrics": class_metrics, "dynamics": dynamics,
-            "stage_times": stage, "benchmark_curve": bench, "frames": frames, "counts": counts}
+class Marts:
+    """B7 / L1-L5, built lazily per table. ``lines``: (kind, asset_id,
+    frame_idx, updated_at, l_linenumber, l_quantity, l_tax, l_discount,
+    l_extendedprice) — one row per detected region of a frame (see
+    bindings.mart_lines). Each table is one DataFrame; the sink writes each
+    with ``mode('overwrite')``."""
+
+    def __init__(self, lines: DataFrame):
+        self.lines = lines
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        from keelson.sources.bindings import class_of_line
+        return (self.lines.select(*KEYS, "frame_idx", class_of_line("l_linenumber").alias("class_id"), "l_quantity")
+                    .groupBy(*KEYS, "frame_idx", "class_id").agg(F.sum("l_quantity").cast("bigint").alias("pixels")))
+
+    @cached_property
+    def frames(self) -> DataFrame:
+        from keelson.sources.bindings import frame_predictions
+        return frame_predictions(self.counts, keys=tuple(KEYS))
+
+    @cached_property
+    def meta(self) -> DataFrame:
+        return (self.lines.groupBy(*KEYS).agg(F.max("updated_at").alias("updated_at"))
+                    .withColumn("updated_at_epoch", F.unix_timestamp("updated_at"))
+                    .withColumn("updated_at_iso", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss")))
+
+    @cached_property
+    def class_metrics(self) -> DataFrame:
+        """L2."""
+        return class_metrics_mart(OC.class_summary(self.counts, key=KEYS), self.meta)
+
+    @cached_property
+    def dynamics(self) -> DataFrame:
+        """L3: photos are numbered oldest first (G6), videos keep frame_idx."""
+        frame_time = self.lines.groupBy(*KEYS, "frame_idx").agg(F.max("updated_at").alias("frame_time"))
+        dyn = self.frames.join(frame_time, KEYS + ["frame_idx"])
+        dyn = ordinal(dyn.withColumn("_ak", F.concat_ws("|", "kind", F.col("asset_id").cast("string"))),
+                      "_ak", ["frame_time", "frame_idx"], name="photo_index").drop("_ak")
+        dyn_idx = F.when(F.col("kind") == "photo", F.col("photo_index")).otherwise(F.col("frame_idx")).cast("bigint")
+        return dyn.join(self.meta.select(*KEYS, "updated_at_epoch"), KEYS).select(
+            *KEYS, "updated_at_epoch", dyn_idx.alias("frame_idx"), dyn_idx.cast("string").alias("frame_label"),
+            "risk_score", CL.translate("primary_sign_name").alias("dominant_class_name_ru"))
+
+    @cached_property
+    def _runs_raw(self) -> DataFrame:
+        from keelson.sources.bindings import _stage_sums
+        stages = _stage_sums(self.lines, KEYS)
+        nframes = self.frames.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_frames"))
+        r = self.meta.join(stages, KEYS).join(nframes, KEYS)
+        video = F.col("kind") == "video"
+        return (r.withColumn("extracted_frames", F.when(video, F.col("items")).otherwise(F.lit(0)).cast("bigint"))
+                 .withColumn("segmented_frames_raw", F.when(video, F.col("_frames")).otherwise(F.lit(0)).cast("bigint"))
+                 .withColumn("total_images", F.when(video, F.lit(0)).otherwise(F.col("_frames")).cast("bigint")))
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        """L1."""
+        risk = OC.asset_risk(self.frames, key=KEYS)
+        fb = OC.fallback_risk(self.class_metrics, KEYS)
+        issue = OC.primary_issue(self.class_metrics, KEYS, "live")
+        r = (self._runs_raw.join(risk.select(*KEYS, F.col("risk_score").alias("_avg")), KEYS, "left")
+                 .join(fb, KEYS, "left").join(issue, KEYS, "left"))
+        video = F.col("kind") == "video"
+        vc = RK.effective_video_counts("extracted_frames", F.lit(0), F.lit(0), F.lit(0), "segmented_frames_raw",
+                                       "inference_wall_seconds", "pipeline_wall_seconds")
+        pc = RK.effective_photo_counts("total_images", "inference_wall_seconds", "pipeline_wall_seconds")
+        score0 = F.coalesce(F.col("_avg"), F.lit(0.0))
+        score = F.when(score0 <= 0, F.coalesce(F.col("fallback_risk"), F.lit(0.0))).otherwise(score0)
+        r = (r.withColumn("_vc", vc).withColumn("_pc", pc).withColumn("risk_score", score)
+              .withColumn("state_label", RK.state_label("risk_score")))
+        zero = F.lit(0).cast("bigint")
+        issue_col = F.coalesce(F.col("primary_issue"), F.lit(K.NO_ISSUE_LABEL))
+        return r.select(
+            *KEYS, "updated_at_iso", "updated_at_epoch",
+            F.col("asset_id").cast("string").alias("source_name"),
+            "extracted_frames",
+            F.when(video, F.col("_vc.quality_ok_frames")).otherwise(zero).alias("quality_ok_frames"),
+            F.when(video, F.col("_vc.deduplicated_frames")).otherwise(zero).alias("deduplicated_frames"),
+            F.when(video, F.col("_vc.processed_frames")).otherwise(zero).alias("processed_frames"),
+            F.when(video, F.col("_vc.segmented_frames")).otherwise(F.col("total_images")).alias("segmented_frames"),
+            "total_images",
+            rnd("extraction_wall_seconds", 3).alias("extraction_wall_seconds"),
+            rnd("preprocessing_wall_seconds", 3).alias("preprocessing_wall_seconds"),
+            rnd(F.when(video, F.col("_vc.inference_wall_seconds")).otherwise(F.col("_pc.inference_wall_seconds")), 3)
+            .alias("inference_wall_seconds"),
+            rnd("export_stage_wall_seconds", 3).alias("export_stage_wall_seconds"),
+            rnd("pipeline_wall_seconds", 3).alias("pipeline_wall_seconds"),
+            F.when(video, F.col("_vc.avg_inference_ms")).otherwise(F.col("_pc.avg_inference_ms")).alias("avg_inference_ms"),
+            "risk_score", RK.risk_band("risk_score", "dashboard").alias("risk_band"),
+            issue_col.alias("primary_issue"), RK.issue_code(issue_col).alias("primary_issue_code"),
+            "state_label", RK.state_code("state_label").alias("state_code"))
+
+    @cached_property
+    def stage_times(self) -> DataFrame:
+        """L4."""
+        return stage_times(self._runs_raw, KEYS + ["updated_at_epoch"])
+
+    @cached_property
+    def benchmark_curve(self) -> DataFrame:
+        """L5."""
+        return benchmark_mart(self._runs_raw, KEYS + ["updated_at_epoch"])
+
+    @cached_property
+    def parallel_estimate(self) -> DataFrame:
+        """C42 per asset."""
+        return parallel_mart(self._runs_raw, KEYS + ["updated_at_epoch"])
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {n: self[n] for n in ("runs", "class_metrics", "dynamics", "stage_times", "benchmark_curve")}
+
+
+def build_marts(lines: DataFrame) -> Marts:
+    """The five mart tables (lazy; see :class:`Marts`)."""
+    return Marts(lines)
 
 
 # ---- panels -----------------------------------------------------------------

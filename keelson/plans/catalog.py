@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keelson.functions.num import brnd, rnd  # noqa: F401
+
 from keelson import constants as K
 from keelson.functions import classes as CL
 from keelson.functions import frames as FR
@@ -54,7 +56,7 @@ def c2_frame_rows(spark, sf):
     fr = B.frames_v(spark, sf)
     idx = FR.frame_index(F.col("frame_idx"), F.lit(12))
     return fr.select("video_id", idx.alias("frame_idx"),
-                     F.round(FR.frame_timestamp(idx, F.lit(25.0)), 6).alias("timestamp_sec"),
+                     rnd(FR.frame_timestamp(idx, F.lit(25.0)), 6).alias("timestamp_sec"),
                      F.format_string("frames/%d/frame_%06d.jpg", F.col("video_id"), idx).alias("raw_frame_path"))
 
 
@@ -72,7 +74,7 @@ def c9_hamming(spark, sf):
 @query("c11_quality_score")
 def c11_quality_score(spark, sf):
     fr = B.frames_v(spark, sf)
-    return fr.select("video_id", "frame_idx", F.round(FR.quality_score("brightness", "laplacian_var"), 6).alias("score"))
+    return fr.select("video_id", "frame_idx", rnd(FR.quality_score("brightness", "laplacian_var"), 6).alias("score"))
 
 
 @query("d1_quality_ok")
@@ -311,3 +313,222 @@ def g4_story_frames(spark, sf):
     f = frame_preds(spark, sf)
     s = S.story_frames(f, K.STORY_FRAMES, K.STORY_FRAMES, key="asset_id")
     return s.select("asset_id", "frame_idx", "story_pick")
+
+
+# ---- marts and dashboard panels (asset = (kind, customer), frame = order) ----
+
+from keelson.operators import marts as M  # noqa: E402
+
+
+def marts(spark, sf) -> M.Marts:
+    return M.build_marts(B.mart_lines(spark, sf))
+
+
+@query("l1_runs_mart")
+def l1_runs_mart(spark, sf):
+    return marts(spark, sf).runs
+
+
+@query("l2_class_metrics_mart")
+def l2_class_metrics_mart(spark, sf):
+    return marts(spark, sf).class_metrics
+
+
+@query("l3_dynamics_mart")
+def l3_dynamics_mart(spark, sf):
+    return marts(spark, sf).dynamics
+
+
+@query("l4_stage_times_mart")
+def l4_stage_times_mart(spark, sf):
+    return marts(spark, sf).stage_times
+
+
+@query("l5_benchmark_curve_mart")
+def l5_benchmark_curve_mart(spark, sf):
+    return marts(spark, sf).benchmark_curve
+
+
+@query("c42_parallel_estimate")
+def c42_parallel_estimate(spark, sf):
+    return marts(spark, sf).parallel_estimate
+
+
+for _kind in ("video", "photo"):
+    def _panels(kind):
+        @query(f"l6_panel_issue_types_{kind}")
+        def l6(spark, sf):
+            return M.panel_issue_types(marts(spark, sf), kind)
+
+        @query(f"l7_panel_primary_code_{kind}")
+        def l7(spark, sf):
+            return M.panel_primary_code(marts(spark, sf), kind)
+
+        @query(f"l8_panel_state_code_{kind}")
+        def l8(spark, sf):
+            return M.panel_state_code(marts(spark, sf), kind)
+
+        @query(f"l9_panel_risk_{kind}")
+        def l9(spark, sf):
+            return M.panel_risk(marts(spark, sf), kind)
+
+        @query(f"l10_panel_class_frames_{kind}")
+        def l10(spark, sf):
+            return M.panel_class_frames(marts(spark, sf), kind)
+
+        @query(f"l11_panel_class_table_{kind}")
+        def l11(spark, sf):
+            return M.panel_class_table(marts(spark, sf), kind)
+
+        @query(f"l12_panel_dynamics_{kind}")
+        def l12(spark, sf):
+            return M.panel_dynamics(marts(spark, sf), kind)
+
+        @query(f"l13_panel_class_share_{kind}")
+        def l13(spark, sf):
+            return M.panel_class_share(marts(spark, sf), kind)
+    _panels(_kind)
+
+
+@query("e4_latest_run_rows")
+def e4_latest_run_rows(spark, sf):
+    m = marts(spark, sf)
+    return M.latest_rows(m.class_metrics, m.runs, "video").select("kind", "asset_id", "class_name", "frames_present")
+
+
+@query("i3_top_by_frames")
+def i3_top_by_frames(spark, sf):
+    """I3 per asset: defect classes by frames then share, first 8."""
+    cm = marts(spark, sf).class_metrics.where(~F.col("class_name").isin(*K.NON_DEFECT_NAMES))
+    w = Window.partitionBy("kind", "asset_id").orderBy(F.col("frames_present").desc(), F.col("pixel_share_pct").desc(),
+                                                       F.col("class_id"))
+    return cm.withColumn("pos", F.row_number().over(w)).where("pos <= 8").select(
+        "kind", "asset_id", "pos", "class_name_ru", "frames_present")
+
+
+@query("i4_top_by_share")
+def i4_top_by_share(spark, sf):
+    """I4 per asset: defect classes with share > 0 by share, first 8."""
+    cm = marts(spark, sf).class_metrics.where(~F.col("class_name").isin(*K.NON_DEFECT_NAMES) & (F.col("pixel_share_pct") > 0))
+    w = Window.partitionBy("kind", "asset_id").orderBy(F.col("pixel_share_pct").desc(), F.col("class_id"))
+    return cm.withColumn("pos", F.row_number().over(w)).where("pos <= 8").select(
+        "kind", "asset_id", "pos", "class_name_ru", "pixel_share_pct")
+
+
+@query("i5_first_points")
+def i5_first_points(spark, sf):
+    """I5 per asset: the first 12 dynamics points by frame_idx."""
+    d = marts(spark, sf).dynamics
+    w = Window.partitionBy("kind", "asset_id").orderBy("frame_idx")
+    return d.withColumn("pos", F.row_number().over(w)).where("pos <= 12").select(
+        "kind", "asset_id", "pos", "frame_label", "risk_score")
+
+
+@query("i6_defect_table")
+def i6_defect_table(spark, sf):
+    return M.defect_table(marts(spark, sf))
+
+
+@query("c37_recommendations")
+def c37_recommendations(spark, sf):
+    r = M.recommendations_mart(marts(spark, sf), "live")
+    return r.select("kind", "asset_id", F.array_join("recommendations", " | ").alias("recommendations"),
+                    "primary_recommendation")
+
+
+@query("c37_recommendations_strict")
+def c37_recommendations_strict(spark, sf):
+    r = M.recommendations_mart(marts(spark, sf), "strict")
+    return r.select("kind", "asset_id", F.array_join("recommendations", " | ").alias("recommendations"),
+                    "primary_recommendation")
+
+
+@query("f19_reviewed_items")
+def f19_reviewed_items(spark, sf):
+    return M.reviewed_items(marts(spark, sf).runs)
+
+
+@query("f14_timing_stats")
+def f14_timing_stats(spark, sf):
+    """ms of inference per item and seconds per item (0 when none)."""
+    r = marts(spark, sf).runs
+    n = F.when(F.col("kind") == "photo", F.col("total_images")).otherwise(F.col("segmented_frames"))
+    return r.select("kind", "asset_id",
+                    F.when(n > 0, rnd(F.col("inference_wall_seconds") / n * 1000.0, 3)).otherwise(F.lit(0.0)).alias("ms_per_item"),
+                    F.when(n > 0, rnd(F.col("pipeline_wall_seconds") / n, 3)).otherwise(F.lit(0.0)).alias("sec_per_item"))
+
+
+@query("l16_report_tables")
+def l16_report_tables(spark, sf):
+    """KPI row per asset: reviewed items, issue types, primary issue,
+    risk, urgency, summary sentence (C40)."""
+    m = marts(spark, sf)
+    r = m.runs.join(M.reviewed_items(m.runs), M.KEYS).join(OC.issue_type_count(m.class_metrics, M.KEYS), M.KEYS)
+    kind_label = F.when(F.col("kind") == "photo", F.lit("Фотоинспекция")).otherwise(F.lit("Видеоинспекция"))
+    return r.select("kind", "asset_id", "reviewed_items", "issue_types", "primary_issue", "risk_score",
+                    RK.urgency("risk_score").alias("urgency"),
+                    TX.summary_text(kind_label, "primary_issue", "risk_band", "risk_score", RK.urgency("risk_score"))
+                    .alias("summary"))
+
+
+# ---- runs_v (kind, customer, order) and stage_v (supplier) -----------------
+
+@query("g9_latest_run")
+def g9_latest_run(spark, sf):
+    r = B.runs_v(spark, sf)
+    lr = M.latest_run(r, None, time_col="updated_at", tie=F.col("run_id"))
+    return lr.select("kind", "asset_id", "run_id", "updated_at", rnd("risk_score", 6).alias("risk_score"))
+
+
+@query("g10_latest_kind")
+def g10_latest_kind(spark, sf):
+    return M.latest_kind(B.runs_v(spark, sf), time_col="updated_at")
+
+
+@query("c29_c30_run_ids")
+def c29_c30_run_ids(spark, sf):
+    r = B.runs_v(spark, sf)
+    t = TX.epoch_iso("updated_at")
+    return r.select("run_id", TX.asset_id(F.col("asset_id"), F.col("run_id")).alias("asset_key"),
+                    t["epoch"].alias("updated_at_epoch"), t["iso"].alias("updated_at_iso"))
+
+
+@query("c19_run_band")
+def c19_run_band(spark, sf):
+    r = B.runs_v(spark, sf)
+    s = rnd("risk_score", 3)
+    return r.select("run_id", s.alias("risk_score"), RK.risk_band(s, "pipeline").alias("band_pipeline"),
+                    RK.risk_band(s, "dashboard").alias("band_dashboard"), RK.state_label(s).alias("state_label"),
+                    RK.state_code(RK.state_label(s)).alias("state_code"))
+
+
+@query("k1_stage_times")
+def k1_stage_times(spark, sf):
+    return M.stage_times(B.stage_v(spark, sf), ["asset_id"])
+
+
+@query("c31_effective_video_counts")
+def c31_effective_video_counts(spark, sf):
+    s = B.stage_v(spark, sf)
+    c = RK.effective_video_counts("items", F.lit(0), F.lit(0), F.lit(0), F.lit(0),
+                                  "inference_wall_seconds", "pipeline_wall_seconds")
+    return s.select("asset_id", F.col("items").alias("extracted_frames"), c.alias("c")).select(
+        "asset_id", "extracted_frames", "c.*")
+
+
+@query("c32_effective_photo_counts")
+def c32_effective_photo_counts(spark, sf):
+    s = B.stage_v(spark, sf)
+    c = RK.effective_photo_counts("items", F.lit(0.0), "pipeline_wall_seconds")
+    return s.select("asset_id", c.alias("c")).select("asset_id", "c.*")
+
+
+@query("c41_benchmark_curve")
+def c41_benchmark_curve(spark, sf):
+    s = B.stage_v(spark, sf)
+    rows = []
+    for kind in ("video", "photo"):
+        curve = RK.benchmark_curve("items", "pipeline_wall_seconds", "inference_wall_seconds", kind)
+        rows.append(s.select("asset_id", F.lit(kind).alias("kind"), F.explode(curve).alias("p")))
+    u = rows[0].unionByName(rows[1])
+    return u.select("asset_id", "kind", "p.*")

@@ -162,12 +162,16 @@ FROM orders""")
 
 
 def stage_sums(src: str, keys: str) -> str:
+    """Stage sums in exact integer units of 1e-8 s, divided once (a correctly
+    rounded division, the same double as Spark's exact decimal cast)."""
     dec = "DECIMAL(18,2)"
+    u = D(100000000)
     return f"""
 SELECT {keys}, items,
        CAST(q AS DOUBLE) AS extraction_wall_seconds, CAST(t AS DOUBLE) AS preprocessing_wall_seconds,
-       CAST(d AS DOUBLE) AS inference_wall_seconds, CAST(e / 1000000 AS DOUBLE) AS export_stage_wall_seconds,
-       CAST(q + t + d + e / 1000000 + items / 1000.0 AS DOUBLE) AS pipeline_wall_seconds
+       CAST(d AS DOUBLE) AS inference_wall_seconds, CAST(CAST(e * 100 AS BIGINT) AS DOUBLE) / {u} AS export_stage_wall_seconds,
+       CAST(CAST(q * 100 AS BIGINT) * 1000000 + CAST(t * 100 AS BIGINT) * 1000000 + CAST(d * 100 AS BIGINT) * 1000000
+            + CAST(e * 100 AS BIGINT) + items * 100000 AS DOUBLE) / {u} AS pipeline_wall_seconds
 FROM (SELECT {keys}, sum(CAST(l_quantity AS {dec})) AS q, sum(CAST(l_tax AS {dec})) AS t,
              sum(CAST(l_discount AS {dec})) AS d, sum(CAST(l_extendedprice AS {dec})) AS e, count(*) AS items
       FROM {src} GROUP BY {keys})"""
@@ -182,6 +186,51 @@ SELECT event_id, printf('photos/%d.jpg', event_id) AS path, CAST(ts AS TIMESTAMP
 FROM events""")
 
 
+def _split_args(text: str) -> list[str]:
+    out, depth, cur, quote = [], 0, [], False
+    for ch in text:
+        if ch == "'":
+            quote = not quote
+        if not quote:
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 0:
+                out.append("".join(cur))
+                cur = []
+                continue
+        cur.append(ch)
+    out.append("".join(cur))
+    return out
+
+
+def decimal_rounds(sql: str) -> str:
+    """Rewrite ``round(x, n)`` / ``round_even(x, n)`` to round on
+    DECIMAL(38,12) (the same rule as keelson.functions.num)."""
+    import re
+    pat = re.compile(r"(?<![A-Za-z0-9_])(round_even|round)\(")
+    out, i = [], 0
+    while True:
+        m = pat.search(sql, i)
+        if not m:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:m.start()])
+        j, depth = m.end(), 1
+        while depth:
+            if sql[j] == "(":
+                depth += 1
+            elif sql[j] == ")":
+                depth -= 1
+            j += 1
+        args = _split_args(sql[m.end():j - 1])
+        x = decimal_rounds(args[0])
+        n = args[1].strip() if len(args) > 1 else "0"
+        out.append(f"CAST({m.group(1)}(CAST(({x}) AS DECIMAL(38,12)), {n}) AS DOUBLE)")
+        i = j
+
+
 def with_views(names: list[str], body: str) -> str:
     """Resolve view dependencies and emit ``WITH a AS (...), b AS (...) body``."""
     order: list[str] = []
@@ -196,12 +245,12 @@ def with_views(names: list[str], body: str) -> str:
     for n in names:
         visit(n)
     if not order:
-        return body
+        return decimal_rounds(body)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
     stripped = body.lstrip()
     if stripped[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{stripped[5:]}"
-    return f"WITH {ctes}\n{body}"
+        return decimal_rounds(f"WITH {ctes},\n{stripped[5:]}")
+    return decimal_rounds(f"WITH {ctes}\n{body}")
 
 
 # ---- queries -------------------------------------------------------------------
@@ -433,3 +482,305 @@ UNION ALL SELECT asset_id, frame_idx, 'fill' FROM (
   SELECT b.*, row_number() OVER (PARTITION BY b.asset_id ORDER BY risk_score DESC, n DESC, frame_idx) AS r, np.k
   FROM b JOIN np USING (asset_id) WHERE (b.asset_id, b.frame_idx) NOT IN (SELECT asset_id, frame_idx FROM best))
 WHERE r <= {K.STORY_FRAMES} - k""")
+
+
+# ---- marts -----------------------------------------------------------------
+
+view("mlines_v", [], """
+SELECT CASE WHEN o.o_orderstatus = 'P' THEN 'photo' ELSE 'video' END AS kind, o.o_custkey AS asset_id,
+       l.l_orderkey AS frame_idx, CAST(o.o_orderdate AS TIMESTAMP) AS updated_at,
+       l.l_linenumber, l.l_quantity, l.l_tax, l.l_discount, l.l_extendedprice
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""")
+
+view("mcounts_v", ["mlines_v"], f"""
+SELECT kind, asset_id, frame_idx, {CLASS_OF_LINE} AS class_id, CAST(sum(l_quantity) AS BIGINT) AS pixels
+FROM mlines_v GROUP BY ALL""")
+
+view("mframe_v", ["mcounts_v"], frame_level("mcounts_v", "kind, asset_id"))
+
+view("mmeta_v", ["mlines_v"], """
+SELECT kind, asset_id, max(updated_at) AS updated_at, CAST(epoch(max(updated_at)) AS BIGINT) AS updated_at_epoch,
+       strftime(max(updated_at), '%Y-%m-%dT%H:%M:%S') AS updated_at_iso
+FROM mlines_v GROUP BY kind, asset_id""")
+
+view("mcm_v", ["mcounts_v", "mmeta_v"], "\nUNION ALL\n".join(
+    f"""SELECT s.kind, s.asset_id, m.updated_at_epoch, {c} AS class_id, {_q(CLASS_NAMES[c])} AS class_name,
+       {_q(K.CLASS_TRANSLATIONS[CLASS_NAMES[c]])} AS class_name_ru, CAST(s.f AS BIGINT) AS frames_present,
+       CAST(s.p AS BIGINT) AS pixel_count,
+       round(CASE WHEN s.t > 0 THEN round(s.p / s.t, 6) ELSE {D(0)} END * {D(100)}, 2) AS pixel_share_pct
+FROM (SELECT kind, asset_id, coalesce(sum(pixels) FILTER (WHERE class_id = {c}), 0) AS p,
+             count_if(class_id = {c} AND pixels > 0) AS f, sum(pixels) FILTER (WHERE class_id <> 0) AS t
+      FROM mcounts_v GROUP BY kind, asset_id) s JOIN mmeta_v m USING (kind, asset_id)""" for c in VISIBLE_IDS))
+
+view("mraw_v", ["mlines_v", "mframe_v", "mmeta_v"], f"""
+SELECT m.kind, m.asset_id, m.updated_at_epoch, m.updated_at_iso, s.items,
+       s.extraction_wall_seconds, s.preprocessing_wall_seconds, s.inference_wall_seconds,
+       s.export_stage_wall_seconds, s.pipeline_wall_seconds,
+       CAST(CASE WHEN m.kind = 'video' THEN s.items ELSE 0 END AS BIGINT) AS extracted_frames,
+       CAST(CASE WHEN m.kind = 'video' THEN n.frames ELSE 0 END AS BIGINT) AS segmented_frames_raw,
+       CAST(CASE WHEN m.kind = 'video' THEN 0 ELSE n.frames END AS BIGINT) AS total_images
+FROM mmeta_v m
+JOIN ({stage_sums('mlines_v', 'kind, asset_id')}) s USING (kind, asset_id)
+JOIN (SELECT kind, asset_id, count(*) AS frames FROM mframe_v GROUP BY ALL) n USING (kind, asset_id)""")
+
+
+def impute_sql(value: str, source: str, factor: float, floor: int) -> str:
+    guess = f"greatest(CAST(round_even({source} * {D(factor)}, 0) AS BIGINT), least({source}, {floor}))"
+    return f"CAST(CASE WHEN {value} <= 0 AND {source} > 0 THEN {guess} ELSE {value} END AS BIGINT)"
+
+
+def video_counts_sql(extracted: str, segmented: str, inference: str, pipeline: str) -> str:
+    """C31 as nested selects: q, d, p, s, inf, ms."""
+    f = K.VIDEO_IMPUTE
+    return f"""
+SELECT *, CASE WHEN s > 0 THEN round(inf / s * {D(1000)}, 3) ELSE {D(0)} END AS ms FROM (
+ SELECT *, {impute_sql(segmented, 'p', *f[3])} AS s FROM (
+  SELECT *, {impute_sql('0', 'd', *f[2])} AS p FROM (
+   SELECT *, {impute_sql('0', 'q', *f[1])} AS d FROM (
+    SELECT *, {impute_sql('0', extracted, *f[0])} AS q,
+           CASE WHEN {inference} <= 0 AND {pipeline} <> 0 THEN round({pipeline} * {D(K.VIDEO_INFERENCE_SHARE)}, 4)
+                ELSE {inference} END AS inf
+    FROM __SRC__))))"""
+
+
+view("mruns_v", ["mraw_v", "mframe_v", "mcm_v"], f"""
+SELECT kind, asset_id, updated_at_iso, updated_at_epoch, CAST(asset_id AS VARCHAR) AS source_name, extracted_frames,
+       CAST(CASE WHEN kind = 'video' THEN q ELSE 0 END AS BIGINT) AS quality_ok_frames,
+       CAST(CASE WHEN kind = 'video' THEN d ELSE 0 END AS BIGINT) AS deduplicated_frames,
+       CAST(CASE WHEN kind = 'video' THEN p ELSE 0 END AS BIGINT) AS processed_frames,
+       CAST(CASE WHEN kind = 'video' THEN s ELSE total_images END AS BIGINT) AS segmented_frames,
+       total_images,
+       round(extraction_wall_seconds, 3) AS extraction_wall_seconds,
+       round(preprocessing_wall_seconds, 3) AS preprocessing_wall_seconds,
+       round(CASE WHEN kind = 'video' THEN round(inf, 4) ELSE round(pinf, 4) END, 3) AS inference_wall_seconds,
+       round(export_stage_wall_seconds, 3) AS export_stage_wall_seconds,
+       round(pipeline_wall_seconds, 3) AS pipeline_wall_seconds,
+       CASE WHEN kind = 'video' THEN ms ELSE pms END AS avg_inference_ms,
+       risk_score, {band_sql('risk_score', 'dashboard')} AS risk_band,
+       coalesce(primary_issue, {_q(K.NO_ISSUE_LABEL)}) AS primary_issue,
+       {code_sql(f"coalesce(primary_issue, {_q(K.NO_ISSUE_LABEL)})", K.ISSUE_CODES, K.ISSUE_DEFAULT_CODE)} AS primary_issue_code,
+       {three_sql('risk_score', K.STATE_LABELS)} AS state_label,
+       {code_sql(three_sql('risk_score', K.STATE_LABELS), K.STATE_CODES, K.STATE_DEFAULT_CODE)} AS state_code
+FROM (
+  SELECT *, CASE WHEN coalesce(avg_risk, {D(0)}) <= 0 THEN coalesce(fallback_risk, {D(0)}) ELSE avg_risk END AS risk_score,
+         CASE WHEN total_images > 0 THEN round(pinf / total_images * {D(1000)}, 3) ELSE {D(0)} END AS pms
+  FROM (
+    SELECT *, CASE WHEN inference_wall_seconds <= 0 AND pipeline_wall_seconds <> 0
+                   THEN round(pipeline_wall_seconds * {D(K.PHOTO_INFERENCE_SHARE)}, 4) ELSE inference_wall_seconds END AS pinf
+    FROM ({video_counts_sql('extracted_frames', 'segmented_frames_raw', 'inference_wall_seconds', 'pipeline_wall_seconds')
+           .replace('__SRC__', '''(SELECT r.*, a.avg_risk, fb.fallback_risk, pi.primary_issue FROM mraw_v r
+              LEFT JOIN (SELECT kind, asset_id, round(avg(risk_score), 3) AS avg_risk FROM mframe_v GROUP BY ALL) a USING (kind, asset_id)
+              LEFT JOIN (SELECT kind, asset_id, CASE WHEN s <> 0 THEN round(w / greatest(s, ''' + D(1e-6) + '''), 3) ELSE ''' + D(0) + ''' END AS fallback_risk
+                         FROM (SELECT kind, asset_id,
+                                      sum(pixel_share_pct / ''' + D(100) + ''' * CASE ''' + ' '.join(f"WHEN class_name = {_q(n)} THEN {D(v)}" for n, v in K.FALLBACK_RISK_WEIGHTS.items()) + ''' ELSE ''' + D(K.FALLBACK_RISK_DEFAULT) + ''' END) AS w,
+                                      sum(pixel_share_pct / ''' + D(100) + ''') AS s
+                               FROM mcm_v GROUP BY ALL)) fb USING (kind, asset_id)
+              LEFT JOIN (SELECT kind, asset_id, class_name_ru AS primary_issue FROM (
+                           SELECT *, row_number() OVER (PARTITION BY kind, asset_id ORDER BY frames_present DESC,
+                                     pixel_share_pct DESC, pixel_count DESC, class_id) AS rk
+                           FROM mcm_v WHERE class_name NOT IN ('Void', 'Normal', 'Ship hull')
+                             AND (frames_present > 0 OR pixel_share_pct > 0)) WHERE rk = 1) pi USING (kind, asset_id))''')})))""")
+
+view("mdyn_v", ["mframe_v", "mlines_v", "mmeta_v"], f"""
+SELECT f.kind, f.asset_id, m.updated_at_epoch,
+       CAST(CASE WHEN f.kind = 'photo' THEN row_number() OVER (PARTITION BY f.kind, f.asset_id ORDER BY t.frame_time, f.frame_idx)
+                 ELSE f.frame_idx END AS BIGINT) AS frame_idx,
+       CAST(CAST(CASE WHEN f.kind = 'photo' THEN row_number() OVER (PARTITION BY f.kind, f.asset_id ORDER BY t.frame_time, f.frame_idx)
+                 ELSE f.frame_idx END AS BIGINT) AS VARCHAR) AS frame_label,
+       f.risk_score, {translate_sql('f.primary_sign_name')} AS dominant_class_name_ru
+FROM mframe_v f JOIN (SELECT kind, asset_id, frame_idx, max(updated_at) AS frame_time FROM mlines_v GROUP BY ALL) t
+  USING (kind, asset_id, frame_idx)
+JOIN mmeta_v m USING (kind, asset_id)""")
+
+
+def stage_rows_sql(src: str, keys: str) -> str:
+    names = K.STAGE_NAMES
+    cols = ["extraction_wall_seconds", "preprocessing_wall_seconds", "inference_wall_seconds", "export_stage_wall_seconds"]
+    parts = [f"SELECT {keys}, {_q(names[i])} AS stage_name, round({c}, 3) AS seconds, {i + 1} AS stage_order FROM {src}"
+             for i, c in enumerate(cols)]
+    other = (f"greatest(round(pipeline_wall_seconds - (((extraction_wall_seconds + preprocessing_wall_seconds) + "
+             f"inference_wall_seconds) + export_stage_wall_seconds), 9), {D(0)})")
+    parts.append(f"SELECT {keys}, {_q(names[4])} AS stage_name, CASE WHEN {other} > {D(K.OTHER_STAGE_MIN)} "
+                 f"THEN round({other}, 3) ELSE {D(0)} END AS seconds, 5 AS stage_order FROM {src}")
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE seconds > 0"
+
+
+def curve_sql(src: str, keys: str, items: str, kind_expr: str) -> str:
+    vf, vr = K.VIDEO_OVERHEAD
+    pf, pr = K.PHOTO_OVERHEAD
+    over = (f"CASE WHEN {kind_expr} = 'photo' THEN greatest({D(pf)}, pipeline_wall_seconds * {D(pr)}) "
+            f"ELSE greatest({D(vf)}, pipeline_wall_seconds * {D(vr)}) END")
+    return f"""
+SELECT {keys}, scale, CAST(it * scale AS BIGINT) AS items,
+       round(ov + greatest({D(0)}, pipeline_wall_seconds - ov) * scale, 3) AS pipeline_seconds,
+       round(greatest({D(0)}, inference_wall_seconds) * scale, 3) AS inference_seconds
+FROM (SELECT *, {items} AS it, {over} AS ov FROM {src}) CROSS JOIN (VALUES (1), (2), (3), (4)) AS sc(scale)
+WHERE it > 0"""
+
+
+oracle("l1_runs_mart", ["mruns_v"], "SELECT * FROM mruns_v")
+oracle("l2_class_metrics_mart", ["mcm_v"], "SELECT * FROM mcm_v")
+oracle("l3_dynamics_mart", ["mdyn_v"], "SELECT * FROM mdyn_v")
+oracle("l4_stage_times_mart", ["mraw_v"], stage_rows_sql("mraw_v", "kind, asset_id, updated_at_epoch"))
+oracle("l5_benchmark_curve_mart", ["mraw_v"],
+       curve_sql("mraw_v", "kind, asset_id, updated_at_epoch",
+                 "CASE WHEN kind = 'photo' THEN total_images ELSE segmented_frames_raw END", "kind"))
+oracle("c42_parallel_estimate", ["mraw_v"], f"""
+SELECT kind, asset_id, updated_at_epoch, {_q(K.PARALLEL_LABELS[0])} AS label, 1 AS videos,
+       round(pipeline_wall_seconds, 3) AS sequential_seconds, round(pipeline_wall_seconds, 3) AS parallel_seconds
+FROM mraw_v WHERE pipeline_wall_seconds > 0
+UNION ALL
+SELECT kind, asset_id, updated_at_epoch, {_q(K.PARALLEL_LABELS[1])}, 2,
+       round(pipeline_wall_seconds * 2, 3), round(pipeline_wall_seconds * {D(K.PARALLEL_FACTOR)}, 3)
+FROM mraw_v WHERE pipeline_wall_seconds > 0""")
+
+
+def latest_sql(kind: str) -> str:
+    return (f"(SELECT kind, asset_id FROM mruns_v WHERE kind = {_q(kind)} "
+            f"ORDER BY updated_at_epoch DESC, asset_id ASC LIMIT 1)")
+
+
+for _k in ("video", "photo"):
+    lr = latest_sql(_k)
+    oracle(f"l6_panel_issue_types_{_k}", ["mruns_v", "mcm_v"], f"""
+SELECT count(*) AS issue_types FROM mcm_v WHERE kind = {_q(_k)} AND asset_id = (SELECT asset_id FROM {lr})
+  AND class_name NOT IN ('Void', 'Normal', 'Ship hull') AND frames_present > 0""")
+    oracle(f"l7_panel_primary_code_{_k}", ["mruns_v"], f"""
+SELECT coalesce(primary_issue_code, {K.ISSUE_DEFAULT_CODE}) AS value FROM mruns_v
+WHERE kind = {_q(_k)} ORDER BY updated_at_epoch DESC, asset_id LIMIT 1""")
+    oracle(f"l8_panel_state_code_{_k}", ["mruns_v"], f"""
+SELECT coalesce(state_code, {K.STATE_DEFAULT_CODE}) AS value FROM mruns_v
+WHERE kind = {_q(_k)} ORDER BY updated_at_epoch DESC, asset_id LIMIT 1""")
+    oracle(f"l9_panel_risk_{_k}", ["mruns_v"], f"""
+SELECT risk_score AS value FROM mruns_v WHERE kind = {_q(_k)} ORDER BY updated_at_epoch DESC, asset_id LIMIT 1""")
+    oracle(f"l10_panel_class_frames_{_k}", ["mruns_v", "mcm_v"], f"""
+SELECT class_name_ru AS metric, frames_present AS value FROM mcm_v
+WHERE kind = {_q(_k)} AND asset_id = (SELECT asset_id FROM {lr}) AND class_name NOT IN ('Void', 'Normal', 'Ship hull')
+ORDER BY frames_present DESC, pixel_share_pct DESC LIMIT 8""")
+    oracle(f"l11_panel_class_table_{_k}", ["mruns_v", "mcm_v"], f"""
+SELECT class_name_ru AS sign, frames_present AS frames, printf('%.2f %%', pixel_share_pct) AS zone_share FROM mcm_v
+WHERE kind = {_q(_k)} AND asset_id = (SELECT asset_id FROM {lr}) AND class_name NOT IN ('Void', 'Normal', 'Ship hull')
+ORDER BY frames_present DESC, pixel_share_pct DESC LIMIT 8""")
+    oracle(f"l12_panel_dynamics_{_k}", ["mruns_v", "mdyn_v"], f"""
+SELECT frame_label AS metric, risk_score AS value FROM mdyn_v
+WHERE kind = {_q(_k)} AND asset_id = (SELECT asset_id FROM {lr}) ORDER BY frame_idx LIMIT 12""")
+    oracle(f"l13_panel_class_share_{_k}", ["mruns_v", "mcm_v"], f"""
+SELECT class_name_ru AS metric, pixel_share_pct AS value FROM mcm_v
+WHERE kind = {_q(_k)} AND asset_id = (SELECT asset_id FROM {lr}) AND class_name NOT IN ('Void', 'Normal', 'Ship hull')
+  AND pixel_share_pct > 0 ORDER BY pixel_share_pct DESC LIMIT 8""")
+
+oracle("e4_latest_run_rows", ["mruns_v", "mcm_v"], f"""
+SELECT kind, asset_id, class_name, frames_present FROM mcm_v
+WHERE (kind, asset_id) IN (SELECT kind, asset_id FROM {latest_sql('video')})""")
+
+oracle("i3_top_by_frames", ["mcm_v"], """
+SELECT kind, asset_id, CAST(pos AS INTEGER) AS pos, class_name_ru, frames_present FROM (
+  SELECT *, row_number() OVER (PARTITION BY kind, asset_id ORDER BY frames_present DESC, pixel_share_pct DESC, class_id) AS pos
+  FROM mcm_v WHERE class_name NOT IN ('Void', 'Normal', 'Ship hull')) WHERE pos <= 8""")
+
+oracle("i4_top_by_share", ["mcm_v"], """
+SELECT kind, asset_id, CAST(pos AS INTEGER) AS pos, class_name_ru, pixel_share_pct FROM (
+  SELECT *, row_number() OVER (PARTITION BY kind, asset_id ORDER BY pixel_share_pct DESC, class_id) AS pos
+  FROM mcm_v WHERE class_name NOT IN ('Void', 'Normal', 'Ship hull') AND pixel_share_pct > 0) WHERE pos <= 8""")
+
+oracle("i5_first_points", ["mdyn_v"], """
+SELECT kind, asset_id, CAST(pos AS INTEGER) AS pos, frame_label, risk_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY kind, asset_id ORDER BY frame_idx) AS pos FROM mdyn_v) WHERE pos <= 12""")
+
+C = K.DEFECT_COMMENTS
+oracle("i6_defect_table", ["mcm_v"], f"""
+SELECT kind, asset_id, CAST(row_no AS INTEGER) AS row_no, class_name_ru AS sign, frames_present, pixel_share_pct,
+       CASE WHEN pixel_share_pct >= 25 THEN {_q(C[0])} WHEN pixel_share_pct >= 10 THEN {_q(C[1])}
+            WHEN frames_present >= 10 THEN {_q(C[2])} ELSE {_q(C[3])} END AS comment
+FROM (SELECT *, row_number() OVER (PARTITION BY kind, asset_id ORDER BY pixel_share_pct DESC, frames_present DESC, class_id) AS row_no
+      FROM mcm_v WHERE class_name NOT IN ('Void', 'Normal', 'Ship hull') AND (frames_present > 0 OR pixel_share_pct > 0))
+WHERE row_no <= 6""")
+
+
+def recs_sql(preset: str) -> str:
+    t = K.RECOMMENDATIONS_LIVE if preset == "live" else K.RECOMMENDATIONS_STRICT
+    c = K.RECOMMENDATION_CUTS_LIVE if preset == "live" else K.RECOMMENDATION_CUTS_STRICT
+    items = [f"CASE WHEN r.risk_score >= {D(0.7)} THEN {_q(t['high'])} WHEN r.risk_score >= {D(0.45)} THEN {_q(t['medium'])} ELSE {_q(t['low'])} END",
+             f"CASE WHEN coalesce(s.c, 0) >= {D(c['corrosion'])} THEN {_q(t['corrosion'])} END",
+             f"CASE WHEN coalesce(s.p, 0) >= {D(c['peel'])} THEN {_q(t['peel'])} END",
+             f"CASE WHEN coalesce(s.g, 0) >= {D(c['growth'])} THEN {_q(t['growth'])} END"]
+    if preset != "live":
+        items.append(f"CASE WHEN r.extracted_frames > 0 AND r.segmented_frames > 0 AND "
+                     f"r.segmented_frames / greatest(r.extracted_frames, 1) < {D(c['coverage'])} THEN {_q(t['coverage'])} END")
+    arr = "list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL)"
+    return f"""
+SELECT kind, asset_id, array_to_string(recs, ' | ') AS recommendations, coalesce(recs[1], {_q(K.DEFAULT_RECOMMENDATION)}) AS primary_recommendation
+FROM (SELECT kind, asset_id, list_slice(CASE WHEN len(a) < 2 THEN list_append(a, {_q(t['filler'])}) ELSE a END, 1, 4) AS recs
+      FROM (SELECT r.kind, r.asset_id, {arr} AS a
+            FROM mruns_v r LEFT JOIN (
+              SELECT kind, asset_id, max(pixel_share_pct) FILTER (WHERE class_name = 'Corrosion') AS c,
+                     max(pixel_share_pct) FILTER (WHERE class_name = 'Paint peel') AS p,
+                     max(pixel_share_pct) FILTER (WHERE class_name = 'Marine growth') AS g
+              FROM mcm_v GROUP BY ALL) s USING (kind, asset_id)))"""
+
+
+oracle("c37_recommendations", ["mruns_v", "mcm_v"], recs_sql("live"))
+oracle("c37_recommendations_strict", ["mruns_v", "mcm_v"], recs_sql("strict"))
+
+oracle("f19_reviewed_items", ["mruns_v"], """
+SELECT kind, asset_id, CAST(coalesce(nullif(segmented_frames, 0), nullif(processed_frames, 0), nullif(deduplicated_frames, 0),
+                                nullif(quality_ok_frames, 0), nullif(extracted_frames, 0), nullif(total_images, 0), 0) AS BIGINT) AS reviewed_items
+FROM mruns_v""")
+
+oracle("f14_timing_stats", ["mruns_v"], f"""
+SELECT kind, asset_id,
+       CASE WHEN n > 0 THEN round(inference_wall_seconds / n * {D(1000)}, 3) ELSE {D(0)} END AS ms_per_item,
+       CASE WHEN n > 0 THEN round(pipeline_wall_seconds / n, 3) ELSE {D(0)} END AS sec_per_item
+FROM (SELECT *, CASE WHEN kind = 'photo' THEN total_images ELSE segmented_frames END AS n FROM mruns_v)""")
+
+oracle("l16_report_tables", ["mruns_v", "mcm_v"], f"""
+SELECT r.kind, r.asset_id,
+       CAST(coalesce(nullif(segmented_frames, 0), nullif(processed_frames, 0), nullif(deduplicated_frames, 0),
+                     nullif(quality_ok_frames, 0), nullif(extracted_frames, 0), nullif(total_images, 0), 0) AS BIGINT) AS reviewed_items,
+       c.issue_types, r.primary_issue, r.risk_score, {three_sql('r.risk_score', K.URGENCY_LABELS)} AS urgency,
+       printf('%s показала, что среди выявленных не-фоновых признаков чаще всего отмечался признак "%s". '
+              || 'Интегральный риск оценивается как %s (%.3f), приоритет действий - %s.',
+              CASE WHEN r.kind = 'photo' THEN 'Фотоинспекция' ELSE 'Видеоинспекция' END, r.primary_issue,
+              lower(r.risk_band), r.risk_score, lower({three_sql('r.risk_score', K.URGENCY_LABELS)})) AS summary
+FROM mruns_v r JOIN (SELECT kind, asset_id, count_if(class_name NOT IN ('Void', 'Normal', 'Ship hull')
+                            AND (frames_present > 0 OR pixel_share_pct > 0)) AS issue_types FROM mcm_v GROUP BY ALL) c
+  USING (kind, asset_id)""")
+
+# ---- runs_v / stage_v ------------------------------------------------------------
+
+oracle("g9_latest_run", ["runs_v"], """
+SELECT kind, asset_id, run_id, updated_at, round(risk_score, 6) AS risk_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY kind ORDER BY updated_at DESC, run_id DESC) AS r FROM runs_v) WHERE r = 1""")
+
+oracle("g10_latest_kind", ["runs_v"], """
+SELECT kind FROM runs_v ORDER BY updated_at DESC, (kind = 'photo') DESC, kind DESC LIMIT 1""")
+
+oracle("c29_c30_run_ids", ["runs_v"], """
+SELECT run_id, coalesce(nullif(CAST(asset_id AS VARCHAR), ''), nullif(CAST(run_id AS VARCHAR), ''), 'unknown') AS asset_key,
+       CAST(epoch(updated_at) AS BIGINT) AS updated_at_epoch, strftime(updated_at, '%Y-%m-%dT%H:%M:%S') AS updated_at_iso
+FROM runs_v""")
+
+oracle("c19_run_band", ["runs_v"], f"""
+SELECT run_id, s AS risk_score, {band_sql('s', 'pipeline')} AS band_pipeline, {band_sql('s', 'dashboard')} AS band_dashboard,
+       {three_sql('s', K.STATE_LABELS)} AS state_label,
+       {code_sql(three_sql('s', K.STATE_LABELS), K.STATE_CODES, K.STATE_DEFAULT_CODE)} AS state_code
+FROM (SELECT run_id, round(risk_score, 3) AS s FROM runs_v)""")
+
+oracle("k1_stage_times", ["stage_v"], stage_rows_sql("stage_v", "asset_id"))
+
+oracle("c31_effective_video_counts", ["stage_v"], "SELECT asset_id, extracted_frames, q AS quality_ok_frames, "
+       "d AS deduplicated_frames, p AS processed_frames, s AS segmented_frames, round(inf, 4) AS inference_wall_seconds, "
+       "ms AS avg_inference_ms, (q <> 0 OR d <> 0 OR p <> 0 OR s <> 0 OR inf <> inference_wall_seconds) AS imputed FROM ("
+       + video_counts_sql("extracted_frames", "0", "inference_wall_seconds", "pipeline_wall_seconds")
+       .replace("__SRC__", "(SELECT *, items AS extracted_frames FROM stage_v)") + ")")
+
+oracle("c32_effective_photo_counts", ["stage_v"], f"""
+SELECT asset_id, CAST(items AS BIGINT) AS total_images, round(inf, 4) AS inference_wall_seconds,
+       CASE WHEN items > 0 THEN round(inf / items * {D(1000)}, 3) ELSE {D(0)} END AS avg_inference_ms,
+       (inf <> 0) AS imputed
+FROM (SELECT *, CASE WHEN pipeline_wall_seconds <> 0 THEN round(pipeline_wall_seconds * {D(K.PHOTO_INFERENCE_SHARE)}, 4)
+                     ELSE {D(0)} END AS inf FROM stage_v)""")
+
+oracle("c41_benchmark_curve", ["stage_v"],
+       curve_sql("(SELECT *, 'video' AS kind FROM stage_v)", "asset_id, kind", "items", "kind")
+       + " UNION ALL " + curve_sql("(SELECT *, 'photo' AS kind FROM stage_v)", "asset_id, kind", "items", "kind"))
