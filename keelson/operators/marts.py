@@ -21,7 +21,7 @@ from keelson.functions import classes as CL
 from keelson.functions import risk as RK
 from keelson.functions import text as TX
 from keelson.operators import classes as OC
-from keelson.operators.ordering import ordinal
+from keelson.operators.ordering import ordinal, time_chunk
 
 KEYS = ["kind", "asset_id"]
 
@@ -110,7 +110,8 @@ class Marts:
         frame_time = self.lines.groupBy(*KEYS, "frame_idx").agg(F.max("updated_at").alias("frame_time"))
         dyn = self.frames.join(frame_time, KEYS + ["frame_idx"])
         dyn = ordinal(dyn.withColumn("_ak", F.concat_ws("|", "kind", F.col("asset_id").cast("string"))),
-                      "_ak", ["frame_time", "frame_idx"], name="photo_index").drop("_ak")
+                      "_ak", ["frame_time", "frame_idx"], name="photo_index",
+                      chunk=time_chunk("frame_time", 86_400_000_000)).drop("_ak")
         dyn_idx = F.when(F.col("kind") == "photo", F.col("photo_index")).otherwise(F.col("frame_idx")).cast("bigint")
         return dyn.join(self.meta.select(*KEYS, "updated_at_epoch"), KEYS).select(
             *KEYS, "updated_at_epoch", dyn_idx.alias("frame_idx"), dyn_idx.cast("string").alias("frame_label"),

@@ -1,23 +1,24 @@
 """Ordering primitives that stay parallel when one key holds most rows.
 
 A plain ``Window.partitionBy(video_id).orderBy(...)`` sends every row of a
-video to one task. If one video carries a third of the data, that task does a
-third of the work alone. The helpers here split a key's rows across many
-tasks and stitch the pieces back with small per-piece summaries:
+video to one task; if one video carries a third of the data, one task does a
+third of the work. The helpers here cut each key into *chunks* by a column
+that is monotone in the sort order (the hour of a timestamp, ``frame_idx div
+65536``), work inside ``(key, chunk)`` groups, and stitch the chunks together
+from exact per-chunk summaries (one row per chunk, so the stitching window
+over a key's chunks is small):
 
-* :func:`ordinal` — row_number per key. Range-partition on (key, order), so a
-  hot key spans many partitions; number rows inside each partition; add the
-  count of the key's rows in earlier partitions (a window over at most
-  ``#partitions`` summary rows per key).
-* :func:`last_before` — value of the nearest earlier row where it is not null
-  (``last(x, ignorenulls) over rows unbounded preceding .. -1``), computed in
-  fixed-size chunks of the ordinal, then carried across chunks from per-chunk
-  tails.
+* :func:`ordinal` — row_number per key = row_number inside the chunk + the
+  number of the key's rows in earlier chunks.
+* :func:`last_before` — ``last(x, ignorenulls) over (rows unbounded
+  preceding .. 1 preceding)`` per key = the value inside the chunk, else the
+  last non-null tail of an earlier chunk.
 
-The order columns must make rows unique within a key (ties would make the
-numbering depend on shuffle arrival order). The range-partitioned table is
-checkpointed once: partition ids come from a sampled range partitioner and
-must not be recomputed differently by the two branches that use them.
+Both are deterministic (no sampling, no partition ids), need no
+materialisation, and when two steps use the same chunk column the second
+window reuses the first one's partitioning (no extra shuffle).
+
+The order columns must make rows unique within a key.
 """
 
 from __future__ import annotations
@@ -25,57 +26,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.session import cut_lineage
-
 DEFAULT_CHUNK_ROWS = 1 << 16
+HOUR_MICROS = 3_600_000_000
+
 
+def time_chunk(ts: Column | str, micros: int = HOUR_MICROS) -> Column:
+    """Chunk of a timestamp: whole periods of ``micros`` since the epoch."""
+    t = F.col(ts) if isinstance(ts, str) else ts
+    return F.floor(F.unix_micros(t.cast("timestamp")) / micros).cast("bigint")
 
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+def index_chunk(idx: Column | str, rows: int = DEFAULT_CHUNK_ROWS) -> Column:
+    """Chunk of a dense integer position: blocks of ``rows``."""
+    i = F.col(idx) if isinstance(idx, str) else idx
+    return F.floor(i / rows).cast("bigint")
 
 
 def ordinal(df: DataFrame, key: str, order: list[str], name: str = "rn", start: int = 1,
-            partitions: int | None = None, group_min: list[str] | None = None) -> DataFrame:
-    """Add ``name`` = position of each row within its ``key`` by ``order``
-    (starting at ``start``). ``group_min`` columns get a ``<col>_first``
-    companion: their minimum over the whole key, from the same summaries."""
+            chunk: Column | None = None, group_min: list[str] | None = None,
+            keep_chunk: str | None = None) -> DataFrame:
+    """Add ``name`` = position of each row within ``key`` by ``order``
+    (starting at ``start``). ``chunk`` must be non-decreasing along
+    ``order`` within a key; without it the whole key is one chunk (a plain
+    window). ``group_min`` columns get a ``<col>_first`` companion: their
+    minimum over the key. ``keep_chunk`` keeps the chunk column under that
+    name so a following step can reuse the partitioning."""
     group_min = group_min or []
-    n = _partitions(df, partitions)
-    ranged = (df.repartitionByRange(n, F.col(key), *[F.col(c) for c in order])
-                .sortWithinPartitions(key, *order)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id()))
-    # Freeze partition ids and row ids: the summary branch and the main branch
-    # must see the same range bounds (a second evaluation would re-sample).
-    # A reliable checkpoint in the shared folder also cuts lineage here.
-    ranged = cut_lineage(ranged)
-    aggs = [F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n")]
-    aggs += [F.min(c).alias(f"_gmin_{c}") for c in group_min]
-    stats = ranged.groupBy("_pid", key).agg(*aggs)
-    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    d = df.withColumn("_chunk", F.lit(0).cast("bigint") if chunk is None else chunk)
+    sizes = d.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(f"_m_{c}") for c in group_min])
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(key)
-    stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("bigint"))
     for c in group_min:
-        stats = stats.withColumn(f"{c}_first", F.min(f"_gmin_{c}").over(whole))
-    stats = stats.select("_pid", key, "_m0", "_off", *[f"{c}_first" for c in group_min])
-    out = ranged.join(stats, ["_pid", key])
-    return (out.withColumn(name, (F.col("_mid") - F.col("_m0") + F.col("_off") + F.lit(start)).cast("bigint"))
-               .drop("_pid", "_mid", "_m0", "_off"))
+        sizes = sizes.withColumn(f"{c}_first", F.min(f"_m_{c}").over(whole))
+    sizes = sizes.select(key, "_chunk", "_off", *[f"{c}_first" for c in group_min])
+    inside = Window.partitionBy(key, "_chunk").orderBy(*order)
+    d = d.withColumn("_local", F.row_number().over(inside))
+    out = d.join(sizes, [key, "_chunk"])
+    out = out.withColumn(name, (F.col("_local") + F.col("_off") + F.lit(start - 1)).cast("bigint")).drop("_local", "_off")
+    return out.withColumnRenamed("_chunk", keep_chunk) if keep_chunk else out.drop("_chunk")
 
 
 def last_before(df: DataFrame, key: str, rn: str, value: Column | str, name: str,
-                chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk: Column | str | None = None) -> DataFrame:
     """``name`` = ``value`` of the nearest row with smaller ``rn`` in the same
-    ``key`` where ``value`` is not null. ``rn`` must be a dense 1-based
-    ordinal (see :func:`ordinal`)."""
+    ``key`` where ``value`` is not null. ``chunk`` (non-decreasing in
+    ``rn``) defaults to blocks of ``chunk_rows`` positions of a dense
+    ``rn``."""
     v = F.col(value) if isinstance(value, str) else value
-    d = df.withColumn("_chunk", F.floor((F.col(rn) - 1) / chunk_rows).cast("bigint")).withColumn("_v", v)
+    if chunk is None:
+        ch = index_chunk(F.col(rn) - 1, chunk_rows)
+    else:
+        ch = F.col(chunk) if isinstance(chunk, str) else chunk
+    d = df.withColumn("_chunk", ch).withColumn("_v", v)
     inside = Window.partitionBy(key, "_chunk").orderBy(rn).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_local", F.last("_v", ignorenulls=True).over(inside))
-    # one summary row per chunk (its last non-null value, maybe null), then
-    # carry the latest earlier tail forward; at most rows / chunk_rows per key
+    # one summary row per chunk (its last non-null value, maybe null); carry
+    # the latest earlier tail forward over the key's chunks
     tails = d.groupBy(key, "_chunk").agg(
         F.max(F.when(F.col("_v").isNotNull(), F.struct(F.col(rn).alias("r"), F.col("_v").alias("v"))))["v"].alias("_tail"))
     earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

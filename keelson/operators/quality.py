@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keelson import constants as K
 from keelson.functions import frames as FR
-from keelson.operators.ordering import DEFAULT_CHUNK_ROWS, last_before, ordinal
+from keelson.operators.ordering import DEFAULT_CHUNK_ROWS, index_chunk, last_before, ordinal
 
 
 def flag_quality(df: DataFrame, min_b: float = K.MIN_BRIGHTNESS, max_b: float = K.MAX_BRIGHTNESS,
@@ -23,23 +23,24 @@ def flag_quality(df: DataFrame, min_b: float = K.MIN_BRIGHTNESS, max_b: float =
 
 def prev_good_hash(df: DataFrame, threshold: int = K.HAMMING_THRESHOLD, key: str = "video_id",
                    order: str = "frame_idx", rn: str | None = None,
-                   chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                   chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk: str | None = None) -> DataFrame:
     """G1: hash of the nearest earlier quality_ok frame (duplicates count),
     its hamming distance and the duplicate flag (distance <= threshold).
     Computed for every frame; the stored ``prev_dhash`` is null for bad ones.
 
-    Skew-safe: the per-video order is a distributed ordinal and the carry is
-    chunked (see :mod:`keelson.operators.ordering`)."""
+    Skew-safe: the per-video order is a chunked ordinal and the carry is
+    chunked (see :mod:`keelson.operators.ordering`). Pass the frames' own
+    ``chunk`` column to reuse their partitioning."""
     d = df if "quality_ok" in df.columns else flag_quality(df)
     if rn is None:
-        d = ordinal(d, key, [order], name="_rn")
-        rn = "_rn"
-    d = last_before(d, key, rn, F.when(F.col("quality_ok"), F.col("hash")), "_prev", chunk_rows=chunk_rows)
+        d = ordinal(d, key, [order], name="_rn", chunk=index_chunk(order, chunk_rows), keep_chunk="_ck")
+        rn, chunk = "_rn", "_ck"
+    d = last_before(d, key, rn, F.when(F.col("quality_ok"), F.col("hash")), "_prev", chunk_rows=chunk_rows, chunk=chunk)
     d = (d.withColumn("hamming_to_prev", FR.hamming("hash", "_prev"))
           .withColumn("is_duplicate", F.coalesce(F.col("_prev").isNotNull() & (F.col("hamming_to_prev") <= threshold),
                                                  F.lit(False)))
           .withColumn("prev_dhash", F.when(F.col("quality_ok") & F.col("_prev").isNotNull(), FR.hash_to_hex("_prev"))))
-    return d.drop("_prev", "_rn") if rn == "_rn" else d.drop("_prev")
+    return d.drop("_prev", "_rn", "_ck") if rn == "_rn" else d.drop("_prev")
 
 
 def keep_frames(df: DataFrame) -> DataFrame:

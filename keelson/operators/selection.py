@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from keelson import constants as K
 from keelson.functions import frames as FR
-from keelson.operators.ordering import ordinal
+from keelson.operators.ordering import index_chunk, ordinal
 from keelson.session import cut_lineage
 
 PICK_TYPE = "array<struct<s:double,f:bigint,h:bigint>>"
@@ -44,7 +44,7 @@ def add_buckets(df: DataFrame, buckets: int, key: str = "video_id", order: str =
                 total_col: str = "_T") -> DataFrame:
     """G2 on a table: adds ``_rn`` (1-based), ``_T`` and ``bucket``."""
     totals = df.groupBy(key).agg(F.count(F.lit(1)).alias(total_col))
-    d = ordinal(df, key, [order], name="_rn")
+    d = ordinal(df, key, [order], name="_rn", chunk=index_chunk(order))
     d = d.join(totals, key)
     return d.withColumn("bucket", coverage_bucket("_rn", total_col, buckets))
 
@@ -113,27 +113,70 @@ def round_robin(picks: DataFrame, target: int = K.TARGET_FRAMES, dist: int = K.G
         key, F.col("x.f").alias("frame_idx"), F.lit("round_robin").alias("picked_by"))
 
 
+def _fold_prefix(ranked: DataFrame, keys: list[str], k: int, gap: int, dist: int) -> DataFrame:
+    """H1 then H2 as SQL folds over a bucket's best-first prefix (an array
+    of at most N candidates). Returns (keys, acc, h1_n)."""
+    empty = F.array().cast(PICK_TYPE)
+
+    def walk(rule_dist):
+        def step(acc, x):
+            ok = (F.size(acc) < k) & _compatible(acc, x["f"], x["h"], gap, rule_dist)
+            return F.when(ok, F.concat(acc, F.array(x))).otherwise(acc)
+        return step
+
+    h1 = F.aggregate("prefix", empty, walk(dist))
+    g = ranked.withColumn("_h1", h1)
+    return g.select(*keys, "_total", F.size("_h1").alias("h1_n"),
+                    F.aggregate("prefix", F.col("_h1"), walk(None)).alias("acc"))
+
+
 def select_representative(cand: DataFrame, target: int = K.TARGET_FRAMES, buckets: int = K.COVERAGE_BUCKETS,
                           per_bucket: int = K.FRAMES_PER_BUCKET, key: str = "video_id",
-                          checkpoint: bool = True) -> DataFrame:
+                          prefix: int | None = None) -> DataFrame:
     """H6 (whole H): the representative subset per video. ``cand`` needs
     (key, frame_idx unique per key, score, hash). Videos with at most
-    ``target`` candidates keep all; others get bucket picks, the round-robin
-    and a fill by (score desc, frame_idx asc). Returns (key, frame_idx,
-    picked_by)."""
+    ``target`` candidates keep all; others get bucket picks (H1-H3), the
+    round-robin (H4) and a fill by (score desc, frame_idx asc) (H5).
+    Returns (key, frame_idx, picked_by).
+
+    Bucket picks: the gap-only walk (H2) never looks past the first
+    ``11 * k + 1`` candidates of a bucket (each pick blocks at most 11
+    frame positions), so both walks are folded over a best-first prefix of
+    ``prefix`` >= 12k candidates per bucket, taken with a top-N per group
+    (partial limits before the shuffle). Only buckets whose H1 walk ran out
+    inside the prefix while more candidates exist are finished exactly by
+    the round-based walk (:func:`pick_diverse`) over their full candidates."""
     target = max(target, 1)
+    k = max(per_bucket, 1)
+    n_prefix = max(prefix or 64, 12 * k)
+    keys = [key, "bucket"]
     base = cand.select(key, "frame_idx", "score", "hash")
     totals = base.groupBy(key).agg(F.count(F.lit(1)).alias("_T"))
     small = base.join(totals.where(F.col("_T") <= target), key, "left_semi") \
         .select(key, "frame_idx", F.lit("all").alias("picked_by"))
     big = base.join(totals.where(F.col("_T") > target), key)
-    big = ordinal(big, key, ["frame_idx"], name="_rn")
+    big = ordinal(big, key, ["frame_idx"], name="_rn", chunk=index_chunk("frame_idx"))
     big = big.withColumn("bucket", coverage_bucket("_rn", "_T", buckets)) \
         .withColumn("_B", F.greatest(F.lit(1), F.least(F.lit(buckets), F.col("_T"))))
-    if checkpoint:
-        big = cut_lineage(big)
-    picks = pick_diverse(big, per_bucket, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE, (key, "bucket"))
-    picks = picks.join(big.select(key, "_B").distinct(), key)
+
+    # best-first prefix per bucket: row_number <= N is planned as a group limit
+    rank = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("frame_idx").desc())
+    top = big.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= n_prefix)
+    sizes = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"), F.first("_B").alias("_B"))
+    ranked = (top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("_r"), F.struct(F.col("score").alias("s"), F.col("frame_idx").alias("f"), F.col("hash").alias("h")).alias("c"))))
+        .alias("_p")).select(*keys, F.transform("_p", lambda e: e["c"]).alias("prefix"))
+        .join(sizes, keys))
+    folded = _fold_prefix(ranked, keys, k, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE)
+    open_ = (F.col("h1_n") < k) & (F.col("_total") > n_prefix)
+    picks = folded.where(~open_).select(*keys, "acc")
+    unresolved = folded.where(open_).select(*keys)
+    if not unresolved.isEmpty():
+        # rare: H1 needs candidates beyond the prefix; finish those buckets
+        # exactly (restarting both walks from their full candidate lists)
+        rest_cand = cut_lineage(big.join(unresolved, keys, "left_semi"))
+        picks = picks.unionByName(pick_diverse(rest_cand, k, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE, tuple(keys)))
+    picks = picks.join(sizes.select(*keys, "_B"), keys)
     chosen = round_robin(picks, target, K.GLOBAL_MIN_DISTANCE, key)
     n = chosen.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     rest = big.join(chosen, [key, "frame_idx"], "left_anti")
@@ -153,7 +196,7 @@ def story_frames(frames: DataFrame, target: int = 4, buckets: int = 4, key: str
     d = frames.join(totals, key)
     small = d.where(F.col("_T") <= target).drop("_T").withColumn("story_pick", F.lit("all"))
     big = d.where(F.col("_T") > target)
-    big = ordinal(big, key, ["frame_idx"], name="_rn").withColumn("bucket", coverage_bucket("_rn", "_T", buckets))
+    big = ordinal(big, key, ["frame_idx"], name="_rn", chunk=index_chunk("frame_idx")).withColumn("bucket", coverage_bucket("_rn", "_T", buckets))
     n_cls = F.size("predicted_class_ids")
     best_key = F.struct(F.col("risk_score"), n_cls, F.col("frame_idx"))
     best = big.groupBy(key, "bucket").agg(F.max(best_key)["frame_idx"].alias("frame_idx"))

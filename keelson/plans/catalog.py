@@ -39,7 +39,7 @@ def query(key: str):
 def flagged_frames(spark, sf) -> DataFrame:
     """frames_v -> D1 -> G1, with the quality score."""
     fr = B.frames_v(spark, sf)
-    d = Q.prev_good_hash(Q.flag_quality(fr), rn="frame_rn")
+    d = Q.prev_good_hash(Q.flag_quality(fr), rn="frame_rn", chunk="frame_chunk")
     return d.withColumn("score", FR.quality_score("brightness", "laplacian_var"))
 
 

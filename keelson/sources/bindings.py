@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions import classes as CL
 from keelson.functions import risk as RK
-from keelson.operators.ordering import ordinal
+from keelson.operators.ordering import ordinal, time_chunk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +61,11 @@ def frames_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("double").alias("laplacian_var"),
         F.substring(F.md5(F.col("event_type")), 1, 16).alias("dhash"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
-    df = ordinal(df, "video_id", ["ts", "event_id"], name="frame_rn", start=1, group_min=["_us"])
+    # hour chunks keep a hot video spread over many tasks (see ordering.py)
+    df = ordinal(df, "video_id", ["ts", "event_id"], name="frame_rn", start=1, group_min=["_us"],
+                 chunk=time_chunk("ts"), keep_chunk="frame_chunk")
     return df.select(
-        "video_id", (F.col("frame_rn") - 1).alias("frame_idx"), "frame_rn", "event_id",
+        "video_id", (F.col("frame_rn") - 1).alias("frame_idx"), "frame_rn", "frame_chunk", "event_id",
         ((F.col("_us") - F.col("_us_first")) / 1e6).alias("timestamp_sec"),
         "brightness", "laplacian_var", "dhash")
 
