@@ -147,3 +147,37 @@ EXTRA_SIGN_MIN_RATIO = 0.01
 
 PREDICTION_MODES = ("multiclass_segmentation", "multiclass_mthinet_segmentation",
                     "binary_segmentation_with_classification")
+
+# ---- FIXED VALUES: hull hotspots (id, label, sensor key, position) --------
+HOTSPOTS = [
+    ("keel", "Киль", "Keel", (-4.8, -1.0, 0.0)),
+    ("propeller", "Гребной винт", "Propeller", (-4.0, -2.0, 17.0)),
+    ("bow-thruster", "Носовое подруливающее устройство", "Bow Thruster", (-1.5, -1.0, -14.5)),
+    ("engine", "Кормовой участок корпуса", "Engine", (-4.5, -1.0, 12.0)),
+]
+HOTSPOT_DESCRIPTIONS = {
+    "Носовое подруливающее устройство": "Зона подвержена коррозии из-за постоянного контакта с водой и электрохимических процессов.",
+    "Кормовой участок корпуса": "Участок кормы в зоне движительного комплекса. Здесь часто фиксируются обрастание, износ покрытия и локальные очаги коррозии.",
+    "Гребной винт": "Эта область уязвима к гальванической коррозии и кавитационным повреждениям.",
+    "Киль": "Коррозия развивается из-за длительного контакта с морской водой и механических нагрузок.",
+}
+HOTSPOT_DEFAULT_DESCRIPTION = "Связанные снимки hotspot."
+SENSOR_MISSING = "Н/Д"
+HOTSPOT_PHOTO_PREFIX = "/generated/hotspot-photos/"
+# photo file name matchers per hotspot (case-insensitive); hotspots without
+# a matcher share the remaining photos in even chunks
+HOTSPOT_MATCHERS = {
+    "bow-thruster": r"(?i)^ruli(?: \(\d+\))?\.jpg$",
+    "propeller": r"(?i)^propeller(?: \(\d+\))?\.jpg$",
+    "engine": r"(?i)^stern_hull_\d+\.jpg$",
+}
+# static lists used when a matcher finds nothing
+HOTSPOT_FALLBACK_FILES = {
+    "bow-thruster": ["ruli (1).jpg", "ruli (2).jpg", "ruli (3).jpg", "ruli (4).jpg", "ruli (5).jpg", "ruli (6).jpg"],
+    "propeller": ["propeller (1).jpg", "propeller (2).jpg", "propeller (3).jpg", "propeller (4).jpg",
+                  "propeller (5).jpg", "propeller (6).jpg", "propeller (7).jpg", "propeller (8).jpg",
+                  "propeller (9).jpg", "propeller (10).jpg", "propeller (11).jpg", "propeller (12).jpg",
+                  "propeller (13).jpg"],
+    "engine": ["stern_hull_01.jpg", "stern_hull_02.jpg", "stern_hull_03.jpg", "stern_hull_04.jpg",
+               "stern_hull_05.jpg", "stern_hull_06.jpg", "stern_hull_07.jpg"],
+}

@@ -82,6 +82,12 @@ def gray(rgb_pixels) -> Column:
     return F.transform(px, lambda p: p[0] * r + p[1] * g + p[2] * b)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element
+    ``transform``): higher-order lambdas do not share repeated sub-expressions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def array_mean(arr) -> Column:
     a = _c(arr)
     total = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
@@ -144,8 +150,10 @@ def laplacian_var(gray_pixels, width, height) -> Column:
         return at(y - 1, x) + at(y + 1, x) + at(y, x - 1) + at(y, x + 1) - 4.0 * at(y, x)
 
     vals = F.transform(F.sequence(F.lit(0), F.size(a) - 1), lap)
-    mean = array_mean(vals)
-    return F.aggregate(vals, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean)) / F.size(vals)
+    # bind the Laplacian once, then its mean once: lambdas are not
+    # de-duplicated, so a repeated sub-expression would be recomputed per element
+    return let(vals, lambda v: let(array_mean(v), lambda m: F.aggregate(
+        v, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / F.size(v)))
 
 
 # ---- C2, C4, C5, C43: frame bookkeeping -------------------------------------

@@ -181,6 +181,17 @@ class Marts:
         """C42 per asset."""
         return parallel_mart(self._runs_raw, KEYS + ["updated_at_epoch"])
 
+    def latest(self, kind: str) -> DataFrame:
+        """G9 on the run keys: the newest (kind, asset_id) of ``kind`` (ties:
+        smallest asset_id). Needs only the per-asset update time."""
+        return latest_run(self.meta.select(*KEYS, "updated_at_epoch"), kind).select(*KEYS)
+
+    def scoped(self, assets: DataFrame) -> "Marts":
+        """The same marts restricted to ``assets`` (kind, asset_id) before any
+        aggregation. ``assets`` here is the latest run of one kind: at most
+        one row per kind, so it is broadcast."""
+        return Marts(self.lines.join(F.broadcast(assets), KEYS, "left_semi"))
+
     def tables(self) -> dict[str, DataFrame]:
         return {n: self[n] for n in ("runs", "class_metrics", "dynamics", "stage_times", "benchmark_curve")}
 
@@ -221,56 +232,62 @@ def _defect_classes() -> Column:
     return ~F.col("class_name").isin(*K.NON_DEFECT_NAMES)
 
 
-def panel_issue_types(marts: dict, kind: str) -> DataFrame:
+def _latest_marts(marts: Marts, kind: str) -> Marts:
+    """Every panel reads only the latest run's asset, so the marts are
+    computed for that asset alone."""
+    return marts.scoped(marts.latest(kind))
+
+
+def panel_issue_types(marts: Marts, kind: str) -> DataFrame:
     """L6."""
-    rows = latest_rows(marts["class_metrics"], marts["runs"], kind)
+    rows = _latest_marts(marts, kind).class_metrics
     return rows.where(_defect_classes() & (F.col("frames_present") > 0)).agg(F.count(F.lit(1)).alias("issue_types"))
 
 
-def _latest_value(marts: dict, kind: str, expr: Column) -> DataFrame:
-    return latest_run(marts["runs"], kind).select(expr.alias("value"))
+def _latest_value(marts: Marts, kind: str, expr: Column) -> DataFrame:
+    return _latest_marts(marts, kind).runs.select(expr.alias("value"))
 
 
-def panel_primary_code(marts: dict, kind: str) -> DataFrame:
+def panel_primary_code(marts: Marts, kind: str) -> DataFrame:
     """L7."""
     return _latest_value(marts, kind, F.coalesce(F.col("primary_issue_code"), F.lit(K.ISSUE_DEFAULT_CODE)))
 
 
-def panel_state_code(marts: dict, kind: str) -> DataFrame:
+def panel_state_code(marts: Marts, kind: str) -> DataFrame:
     """L8."""
     return _latest_value(marts, kind, F.coalesce(F.col("state_code"), F.lit(K.STATE_DEFAULT_CODE)))
 
 
-def panel_risk(marts: dict, kind: str) -> DataFrame:
+def panel_risk(marts: Marts, kind: str) -> DataFrame:
     """L9."""
     return _latest_value(marts, kind, F.col("risk_score"))
 
 
-def panel_class_frames(marts: dict, kind: str, k: int = 8) -> DataFrame:
+def panel_class_frames(marts: Marts, kind: str, k: int = 8) -> DataFrame:
     """L10 (I3): frames per defect class, top k by frames then share."""
-    rows = latest_rows(marts["class_metrics"], marts["runs"], kind).where(_defect_classes())
+    rows = _latest_marts(marts, kind).class_metrics.where(_defect_classes())
     return rows.orderBy(F.col("frames_present").desc(), F.col("pixel_share_pct").desc()).limit(k) \
         .select(F.col("class_name_ru").alias("metric"), F.col("frames_present").alias("value"))
 
 
-def panel_class_table(marts: dict, kind: str, k: int = 8) -> DataFrame:
+def panel_class_table(marts: Marts, kind: str, k: int = 8) -> DataFrame:
     """L11 (I3 + C39): class table with the share as percent text."""
-    rows = latest_rows(marts["class_metrics"], marts["runs"], kind).where(_defect_classes())
+    rows = _latest_marts(marts, kind).class_metrics.where(_defect_classes())
     return rows.orderBy(F.col("frames_present").desc(), F.col("pixel_share_pct").desc()).limit(k).select(
         F.col("class_name_ru").alias("sign"), F.col("frames_present").alias("frames"),
         TX.pct_text("pixel_share_pct").alias("zone_share"))
 
 
-def panel_dynamics(marts: dict, kind: str, k: int = 12) -> DataFrame:
+def panel_dynamics(marts: Marts, kind: str, k: int = 12) -> DataFrame:
     """L12 (I5): risk series, first k points by frame_idx."""
-    rows = latest_rows(marts["dynamics"], marts["runs"], kind)
+    rows = _latest_marts(marts, kind).dynamics
     return rows.orderBy("frame_idx").limit(k).select(F.col("frame_label").alias("metric"),
                                                      F.col("risk_score").alias("value"))
 
 
-def panel_class_share(marts: dict, kind: str, k: int = 8) -> DataFrame:
+def panel_class_share(marts: Marts, kind: str, k: int = 8) -> DataFrame:
     """L13 (I4): share per defect class with share > 0, top k."""
-    rows = latest_rows(marts["class_metrics"], marts["runs"], kind).where(_defect_classes() & (F.col("pixel_share_pct") > 0))
+    rows = _latest_marts(marts, kind).class_metrics.where(_defect_classes() & (F.col("pixel_share_pct") > 0))
     return rows.orderBy(F.col("pixel_share_pct").desc()).limit(k).select(
         F.col("class_name_ru").alias("metric"), F.col("pixel_share_pct").alias("value"))
 

@@ -89,3 +89,17 @@ def last_before(df: DataFrame, key: str, rn: str, value: Column | str, name: str
     carry = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(earlier)).select(key, "_chunk", "_carry")
     d = d.join(carry, [key, "_chunk"], "left")
     return d.withColumn(name, F.coalesce("_local", "_carry")).drop("_chunk", "_v", "_local", "_carry")
+
+
+def running_sum(df: DataFrame, key: str, order: list[str], value: Column | str, name: str,
+                chunk: Column | None = None) -> DataFrame:
+    """``name`` = sum of ``value`` over the key's rows up to and including
+    this one (by ``order``), chunked like :func:`ordinal`."""
+    v = F.col(value) if isinstance(value, str) else value
+    d = df.withColumn("_chunk", F.lit(0).cast("bigint") if chunk is None else chunk).withColumn("_v", v)
+    sums = d.groupBy(key, "_chunk").agg(F.sum("_v").alias("_s"))
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_off", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).select(key, "_chunk", "_off")
+    inside = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_local", F.sum("_v").over(inside)).join(sums, [key, "_chunk"])
+    return d.withColumn(name, F.col("_local") + F.col("_off")).drop("_chunk", "_v", "_local", "_off")

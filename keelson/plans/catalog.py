@@ -393,7 +393,7 @@ for _kind in ("video", "photo"):
 @query("e4_latest_run_rows")
 def e4_latest_run_rows(spark, sf):
     m = marts(spark, sf)
-    return M.latest_rows(m.class_metrics, m.runs, "video").select("kind", "asset_id", "class_name", "frames_present")
+    return m.scoped(m.latest("video")).class_metrics.select("kind", "asset_id", "class_name", "frames_present")
 
 
 @query("i3_top_by_frames")
@@ -532,3 +532,285 @@ def c41_benchmark_curve(spark, sf):
         rows.append(s.select("asset_id", F.lit(kind).alias("kind"), F.explode(curve).alias("p")))
     u = rows[0].unionByName(rows[1])
     return u.select("asset_id", "kind", "p.*")
+
+
+# ---- photo arrivals (events as photo files) and media (pages) --------------
+
+from keelson.operators import hotspots as HS  # noqa: E402
+from keelson.operators import inference as INF  # noqa: E402
+from keelson.operators import media as MD  # noqa: E402
+
+
+@query("f1_max_mtime")
+def f1_max_mtime(spark, sf):
+    return MD.max_mtime(B.arrivals_v(spark, sf))
+
+
+@query("d4_latest_batch")
+def d4_latest_batch(spark, sf):
+    return MD.latest_batch(B.arrivals_v(spark, sf)).select("event_id", "path", "modificationTime")
+
+
+@query("i1_photos_newest")
+def i1_photos_newest(spark, sf):
+    return MD.photos_newest(B.arrivals_v(spark, sf), cols=["event_id", "path", "modificationTime"])
+
+
+@query("g6_risk_series")
+def g6_risk_series(spark, sf):
+    """Arrivals numbered oldest first, with a risk per photo
+    (value / 490 capped at .98, 3 decimals)."""
+    a = B.arrivals_v(spark, sf)
+    s = MD.risk_series(a.select("event_id", "path", "modificationTime", "value"))
+    return s.select("event_id", "photo_index", F.col("path").alias("label"),
+                    rnd(F.least(F.col("value") / 490.0, F.lit(0.98)), 3).alias("risk_score"))
+
+
+@query("m3_burst_sessions_batch")
+def m3_burst_sessions_batch(spark, sf):
+    """M3 batch twin: 20-second bursts over all arrivals."""
+    return MD.burst_sessions(B.arrivals_v(spark, sf).select("path", "modificationTime"))
+
+
+@query("c1_path_names")
+def c1_path_names(spark, sf):
+    m = B.media_v(spark, sf)
+    return m.select("page_id", TX.filename("path").alias("filename"), TX.stem("path").alias("stem"),
+                    TX.source_name("path").alias("source_name"))
+
+
+@query("c28_size_kb")
+def c28_size_kb(spark, sf):
+    m = B.media_v(spark, sf)
+    return m.select("page_id", "length", TX.size_kb("length").alias("size_kb"))
+
+
+@query("c38_safe_name")
+def c38_safe_name(spark, sf):
+    m = B.media_v(spark, sf)
+    return m.select("page_id", TX.safe_name("path", "item").alias("safe_name"))
+
+
+@query("e9_existing_only")
+def e9_existing_only(spark, sf):
+    """Listed items (documents, by id) kept only when their page exists."""
+    docs = B.table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), "source")
+    return MD.existing_only(docs, B.media_v(spark, sf), "page_id")
+
+
+@query("a12_peek")
+def a12_peek(spark, sf):
+    """A few columns of a curated table, first 20 by key."""
+    return B.media_v(spark, sf).select("page_id", "length").orderBy("page_id").limit(20)
+
+
+# binding matchers for the hotspot photo assignment: pages by language
+# segment (the engine matcher finds nothing here, so its static list is used)
+PAGE_MATCHERS = {"bow-thruster": r"(?i)/de/", "propeller": r"(?i)/fr/", "engine": r"(?i)/it/"}
+
+
+def _page_sources(spark, sf):
+    return B.media_v(spark, sf).select(F.col("path").alias("filename"), F.col("page_id").alias("source_order"))
+
+
+@query("l17_assign_hotspot_photos")
+def l17_assign_hotspot_photos(spark, sf):
+    a = HS.assign_hotspot_photos(_page_sources(spark, sf), PAGE_MATCHERS)
+    return a.select("hotspot_id", "pos", "photo_url", "origin")
+
+
+@query("l17_hotspot_counts")
+def l17_hotspot_counts(spark, sf):
+    return HS.hotspot_counts(spark, HS.assign_hotspot_photos(_page_sources(spark, sf), PAGE_MATCHERS))
+
+
+@query("e6_match_photos")
+def e6_match_photos(spark, sf):
+    m = HS.match_photos(_page_sources(spark, sf), PAGE_MATCHERS)
+    return m.select("hotspot_id", "filename")
+
+
+@query("e7_exclude_taken")
+def e7_exclude_taken(spark, sf):
+    """Pages no matcher took."""
+    src = _page_sources(spark, sf)
+    taken = HS.match_photos(src, PAGE_MATCHERS).select("filename")
+    return src.join(taken, "filename", "left_anti").select("source_order", "filename")
+
+
+@query("g8_even_chunks")
+def g8_even_chunks(spark, sf):
+    """The untaken pages split in even chunks over two hotspots."""
+    src = _page_sources(spark, sf)
+    a = HS.assign_hotspot_photos(src, {"propeller": r"(?i)/fr/"}, {"propeller": []})
+    return a.where(F.col("origin") == "chunk").select("hotspot_id", "pos", "photo_url")
+
+
+@query("e10_hotspot_lists")
+def e10_hotspot_lists(spark, sf):
+    a = HS.assign_hotspot_photos(_page_sources(spark, sf), PAGE_MATCHERS)
+    return HS.hotspot_lists(spark, a).select("hotspot_id", "text", "pos", "photo_url")
+
+
+@query("e5_sensor_for")
+def e5_sensor_for(spark, sf):
+    h = B.hotspots_v(spark, sf).select("data_key", F.col("hotspot_id"))
+    s = B.sensors_v(spark, sf)
+    return HS.sensor_for(h, s, "data_key", ["quality1", "toxic1"])
+
+
+@query("k2_sensors_long")
+def k2_sensors_long(spark, sf):
+    return HS.sensors_long(B.sensors_v(spark, sf), "data_key")
+
+
+@query("k2_sensors_arrays")
+def k2_sensors_arrays(spark, sf):
+    a = HS.sensors_arrays(HS.sensors_long(B.sensors_v(spark, sf), "data_key"), "data_key")
+    return a.select("data_key", "metric", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("values"))
+
+
+@query("j1_all_manifests")
+def j1_all_manifests(spark, sf):
+    """Runs and customers as one tagged list (unionByName, missing
+    columns as null)."""
+    r = B.runs_v(spark, sf).select("kind", "asset_id", "run_id")
+    c = B.table(spark, sf, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("asset_id"),
+                                             F.col("c_mktsegment").alias("segment"))
+    return r.unionByName(c, allowMissingColumns=True)
+
+
+# ---- patches (embeddings as 8x8 gray grids / 8 pixels x 8 channels) --------
+
+def _patches(spark, sf):
+    return B.patches_v(spark, sf)
+
+
+@query("c6_brightness")
+def c6_brightness(spark, sf):
+    p = _patches(spark, sf)
+    return p.select("frame_id", rnd(FR.brightness("pixels"), 6).alias("brightness"))
+
+
+@query("c7_laplacian_var")
+def c7_laplacian_var(spark, sf):
+    p = _patches(spark, sf)
+    return p.select("frame_id", rnd(FR.laplacian_var("pixels", F.lit(8), F.lit(8)), 6).alias("laplacian_var"))
+
+
+@query("c8_dhash")
+def c8_dhash(spark, sf):
+    p = _patches(spark, sf)
+    return p.select("frame_id", FR.dhash_hex("pixels", 8).alias("dhash"))
+
+
+@query("c12_norm_stats")
+def c12_norm_stats(spark, sf):
+    s = FR.norm_stats("pixels")
+    return _patches(spark, sf).select("frame_id", rnd(s["norm_min"], 9).alias("norm_min"),
+                                      rnd(s["norm_max"], 9).alias("norm_max"), rnd(s["norm_mean"], 9).alias("norm_mean"))
+
+
+def _scaled(col="pixels"):
+    """patch values as 0..255 intensities."""
+    return F.transform(F.col(col), lambda x: rnd((x + 0.5) * 255.0, 0))
+
+
+@query("c14_normalize_channels")
+def c14_normalize_channels(spark, sf):
+    n = FR.normalize_channels(_scaled(), 3)
+    return _patches(spark, sf).select("frame_id", n.alias("n")).select(
+        "frame_id", rnd(F.aggregate("n", F.lit(0.0), lambda a, x: a + x), 6).alias("norm_sum"),
+        rnd(F.array_min("n"), 6).alias("norm_min"), rnd(F.array_max("n"), 6).alias("norm_max"))
+
+
+def _mask(threshold=None):
+    probs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.slice(B.patch_probs(), p * 8 + 1, 8))
+    return OC.argmax_mask(probs, threshold)
+
+
+@query("f11_argmax_mask")
+def f11_argmax_mask(spark, sf):
+    return _patches(spark, sf).select("frame_id", F.array_join(_mask(), ",").alias("mask"))
+
+
+@query("f10_two_head_mask")
+def f10_two_head_mask(spark, sf):
+    return _patches(spark, sf).select("frame_id", F.array_join(_mask(K.TWO_HEAD_THRESHOLD), ",").alias("mask"))
+
+
+@query("f3_mask_histogram")
+def f3_mask_histogram(spark, sf):
+    m = _patches(spark, sf).select("frame_id", _mask().alias("mask"))
+    h = OC.mask_histogram(m, "frame_id", "mask")
+    return h.select("frame_id", F.explode("class_pixel_counts").alias("class_id", "pixels"))
+
+
+@query("c15_colorize")
+def c15_colorize(spark, sf):
+    m = _patches(spark, sf).select("frame_id", FR.colorize(_mask()).alias("rgb"))
+    return m.select("frame_id", F.array_join(F.transform("rgb", lambda c: TX.rgb_hex(c[0], c[1], c[2])), ",").alias("colors"))
+
+
+@query("c16_blend")
+def c16_blend(spark, sf):
+    """Overlay of the first channel (as 0..255) with the mask colour's
+    red component, alpha .45."""
+    p = _patches(spark, sf)
+    img = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.element_at(_scaled(), i * 8 + 1))
+    red = F.transform(FR.colorize(_mask()), lambda c: c[0].cast("double"))
+    return p.select("frame_id", F.array_join(FR.blend(img, red), ",").alias("overlay"))
+
+
+@query("n1_frame_metrics")
+def n1_frame_metrics(spark, sf):
+    p = _patches(spark, sf)
+    dec = p.select("frame_id", F.col("pixels").alias("gray"), F.lit(8).alias("width"), F.lit(8).alias("height"),
+                   F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
+    m = INF.frame_metrics(dec, hash_cols=8)
+    return m.select("frame_id", "width", "height", "status", rnd("brightness", 6).alias("brightness"),
+                    rnd("laplacian_var", 6).alias("laplacian_var"), "dhash")
+
+
+@query("n4_score_frames")
+def n4_score_frames(spark, sf):
+    """N4 + N5: batched scoring with the NumPy stand-in model (softmax per
+    pixel) and native post-processing (multiclass argmax, class counts,
+    dominant class, risk)."""
+    p = _patches(spark, sf).withColumn("x", B.patch_probs())
+    s = INF.score_frames(p, INF.softmax_stub(8), "x", channels=8, batch_size=64, input_size=64)
+    r = INF.postprocess(s, "multiclass_segmentation")
+    return r.select("frame_id", F.array_join("mask", ",").alias("mask"), "dominant_class_id", "risk_score")
+
+
+# ---- classifier scores (binary-classification mode) on class_counts_v ------
+
+def _scores(spark, sf):
+    s = B.scores_v(spark, sf)
+    a = CL.active_classes("classification_scores", K.ACTIVE_SCORE_THRESHOLD)
+    return s.withColumn("_a", a)
+
+
+@query("f9_active_classes")
+def f9_active_classes(spark, sf):
+    s = _scores(spark, sf)
+    return s.select("asset_id", "frame_idx", F.array_join("_a.active", ",").alias("active"),
+                    F.array_join("_a.defects", ",").alias("defects"))
+
+
+@query("f8_apportion")
+def f8_apportion(spark, sf):
+    """F8: foreground pixels split over the defect classes by score."""
+    s = _scores(spark, sf)
+    scored = F.transform("_a.defects", lambda c: F.struct(c.alias("id"), F.element_at("classification_scores", c).alias("score")))
+    out = s.select("asset_id", "frame_idx", F.when(F.col("fg") > 0, CL.apportion("fg", scored)).alias("m"))
+    return out.select("asset_id", "frame_idx", F.explode("m").alias("class_id", "pixels"))
+
+
+@query("f7_binary_summary")
+def f7_binary_summary(spark, sf):
+    s = _scores(spark, sf)
+    frames = s.select("asset_id", "frame_idx", "prediction_mode", "classification_scores",
+                      F.col("_a.defects").alias("predicted_class_ids"),
+                      F.coalesce(F.get("_a.defects", 0), F.lit(1)).alias("primary_sign_id"))
+    return OC.class_summary_binary(frames)

@@ -784,3 +784,267 @@ FROM (SELECT *, CASE WHEN pipeline_wall_seconds <> 0 THEN round(pipeline_wall_se
 oracle("c41_benchmark_curve", ["stage_v"],
        curve_sql("(SELECT *, 'video' AS kind FROM stage_v)", "asset_id, kind", "items", "kind")
        + " UNION ALL " + curve_sql("(SELECT *, 'photo' AS kind FROM stage_v)", "asset_id, kind", "items", "kind"))
+
+
+# ---- arrivals, media, hotspots ------------------------------------------------
+
+oracle("f1_max_mtime", ["arrivals_v"], "SELECT max(modificationTime) AS latest_modification FROM arrivals_v")
+
+oracle("d4_latest_batch", ["arrivals_v"], f"""
+SELECT event_id, path, modificationTime FROM arrivals_v
+WHERE CAST(floor(epoch(modificationTime)) AS BIGINT) >=
+      (SELECT CAST(floor(epoch(max(modificationTime))) AS BIGINT) FROM arrivals_v) - {K.PHOTO_BATCH_WINDOW_SEC}""")
+
+oracle("i1_photos_newest", ["arrivals_v"], "SELECT event_id, path, modificationTime FROM arrivals_v ORDER BY modificationTime DESC, event_id")
+
+oracle("g6_risk_series", ["arrivals_v"], f"""
+SELECT event_id, row_number() OVER (ORDER BY modificationTime, path) AS photo_index, path AS label,
+       round(least(value / {D(490)}, {D(0.98)}), 3) AS risk_score
+FROM arrivals_v""")
+
+oracle("m3_burst_sessions_batch", ["arrivals_v"], f"""
+SELECT session_no, min(modificationTime) AS session_start, max(modificationTime) AS session_end, count(*) AS photos
+FROM (SELECT *, sum(new) OVER (ORDER BY modificationTime, path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no
+      FROM (SELECT *, CASE WHEN prev IS NULL OR epoch_us(modificationTime) - epoch_us(prev) > {K.PHOTO_BATCH_WINDOW_SEC * 1_000_000}
+                           THEN 1 ELSE 0 END AS new
+            FROM (SELECT modificationTime, path, lag(modificationTime) OVER (ORDER BY modificationTime, path) AS prev
+                  FROM arrivals_v)))
+GROUP BY session_no""")
+
+oracle("c1_path_names", ["media_v"], f"""
+SELECT page_id, regexp_extract(path, '([^/]+)$', 1) AS filename,
+       regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\\.[^.]*$', '') AS stem,
+       CASE WHEN trim(coalesce(path, '')) = '' THEN {_q('Источник не указан')}
+            WHEN strpos(trim(path), '/') > 0 THEN
+              CASE WHEN regexp_extract(regexp_replace(trim(path), '/+$', ''), '([^/]*)$', 1) = '' THEN trim(path)
+                   ELSE regexp_extract(regexp_replace(trim(path), '/+$', ''), '([^/]*)$', 1) END
+            ELSE trim(path) END AS source_name
+FROM media_v""")
+
+oracle("c28_size_kb", ["media_v"], f"SELECT page_id, length, round(length / {D(1024)}, 2) AS size_kb FROM media_v")
+
+oracle("c38_safe_name", ["media_v"], """
+SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(coalesce(path, ''), '[^\\p{L}\\p{N}._-]', '_', 'g'),
+                                                 '^[._]+|[._]+$', '', 'g'), ''), 'item') AS safe_name
+FROM media_v""")
+
+oracle("e9_existing_only", ["media_v"], """
+SELECT doc_id AS page_id, source FROM documents WHERE doc_id IN (SELECT page_id FROM media_v)""")
+
+oracle("a12_peek", ["media_v"], "SELECT page_id, length FROM media_v ORDER BY page_id LIMIT 20")
+
+PAGE_MATCHERS = {"bow-thruster": r"(?i)/de/", "propeller": r"(?i)/fr/", "engine": r"(?i)/it/"}
+HOTSPOT_IDS = [h for h, _, _, _ in K.HOTSPOTS]
+
+
+def matched_sql(matchers: dict) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {_q(h)} AS hotspot_id, path AS name, page_id AS ord FROM media_v WHERE regexp_matches(path, {_q(p)})"
+        for h, p in matchers.items())
+
+
+def assign_sql(matchers: dict, fallbacks: dict) -> str:
+    rest = [h for h in HOTSPOT_IDS if h not in matchers]
+    fb_rows = [f"({_q(h)}, {i + 1}, {_q(n)})" for h in matchers for i, n in enumerate(fallbacks.get(h, []))]
+    fb = (f"SELECT f.hotspot_id, f.pos, f.name, 'fallback' AS origin FROM (VALUES {', '.join(fb_rows)}) AS f(hotspot_id, pos, name) "
+          f"WHERE f.hotspot_id NOT IN (SELECT hotspot_id FROM m)") if fb_rows else None
+    rest_arr = "[" + ", ".join(_q(h) for h in rest) + "]"
+    chunk = f"""
+SELECT {rest_arr}[h + 1] AS hotspot_id, CAST(i - h * size AS BIGINT) AS pos, name, 'chunk' AS origin FROM (
+  SELECT *, CAST(floor((i - 1) / size) AS INTEGER) AS h FROM (
+    SELECT path AS name, row_number() OVER (ORDER BY page_id, path) AS i,
+           CAST(ceil(count(*) OVER () / {len(rest)}) AS BIGINT) AS size
+    FROM media_v WHERE path NOT IN (SELECT name FROM m)))""" if rest else None
+    parts = ["SELECT hotspot_id, CAST(row_number() OVER (PARTITION BY hotspot_id ORDER BY ord, name) AS BIGINT) AS pos, "
+             "name, 'matched' AS origin FROM m"] + [p for p in (fb, chunk) if p]
+    return f"WITH m AS ({matched_sql(matchers)}) SELECT hotspot_id, pos, {_q(K.HOTSPOT_PHOTO_PREFIX)} || name AS photo_url, origin " \
+           f"FROM ({' UNION ALL '.join(parts)})"
+
+
+HOTSPOT_DIM = "(VALUES " + ", ".join(f"({i}, {_q(h)}, {_q(t)})" for i, (h, t, _, _) in enumerate(K.HOTSPOTS)) \
+    + ") AS hd(hotspot_order, hotspot_id, text)"
+
+view("assign_v", ["media_v"], assign_sql(PAGE_MATCHERS, K.HOTSPOT_FALLBACK_FILES))
+oracle("l17_assign_hotspot_photos", ["assign_v"], "SELECT hotspot_id, pos, photo_url, origin FROM assign_v")
+oracle("l17_hotspot_counts", ["assign_v"], f"""
+SELECT hd.hotspot_id, hd.text, CAST(coalesce(c.photos, 0) AS BIGINT) AS photos
+FROM {HOTSPOT_DIM} LEFT JOIN (SELECT hotspot_id, count(*) AS photos FROM assign_v GROUP BY ALL) c USING (hotspot_id)""")
+oracle("e6_match_photos", ["media_v"], f"SELECT hotspot_id, name AS filename FROM ({matched_sql(PAGE_MATCHERS)})")
+oracle("e7_exclude_taken", ["media_v"], f"""
+SELECT page_id AS source_order, path AS filename FROM media_v
+WHERE path NOT IN (SELECT name FROM ({matched_sql(PAGE_MATCHERS)}))""")
+view("assign_g8_v", ["media_v"], assign_sql({"propeller": r"(?i)/fr/"}, {"propeller": []}))
+oracle("g8_even_chunks", ["assign_g8_v"], "SELECT hotspot_id, pos, photo_url FROM assign_g8_v WHERE origin = 'chunk'")
+oracle("e10_hotspot_lists", ["assign_v"], f"""
+SELECT hd.hotspot_id, hd.text, a.pos, a.photo_url FROM {HOTSPOT_DIM} LEFT JOIN assign_v a USING (hotspot_id)""")
+
+oracle("e5_sensor_for", [], f"""
+SELECT d.doc_id AS data_key, d.doc_id AS hotspot_id,
+       coalesce(CAST(s.m.q AS VARCHAR), {_q(K.SENSOR_MISSING)}) AS quality1_text,
+       coalesce(CAST(s.m.t AS VARCHAR), {_q(K.SENSOR_MISSING)}) AS toxic1_text
+FROM documents d LEFT JOIN (
+  SELECT doc_id, min({{'q': CAST(quality AS DOUBLE), 't': CAST(toxic AS DOUBLE)}}) AS m FROM labels GROUP BY doc_id) s
+  USING (doc_id)""")
+
+oracle("k2_sensors_long", [], """
+SELECT doc_id AS data_key, 'quality' AS metric, 1 AS idx, CAST(quality AS DOUBLE) AS value FROM labels
+UNION ALL SELECT doc_id, 'toxic', 1, CAST(toxic AS DOUBLE) FROM labels""")
+
+oracle("k2_sensors_arrays", [], """
+SELECT data_key, metric, string_agg(CAST(value AS VARCHAR), ',' ORDER BY idx) AS values FROM (
+  SELECT doc_id AS data_key, 'quality' AS metric, 1 AS idx, CAST(quality AS DOUBLE) AS value FROM labels
+  UNION ALL SELECT doc_id, 'toxic', 1, CAST(toxic AS DOUBLE) FROM labels) GROUP BY data_key, metric""")
+
+oracle("j1_all_manifests", ["runs_v"], """
+SELECT kind, asset_id, run_id, CAST(NULL AS VARCHAR) AS segment FROM runs_v
+UNION ALL SELECT 'customer', c_custkey, NULL, c_mktsegment FROM customer""")
+
+# ---- patches -------------------------------------------------------------------
+
+view("patches_v", [], "SELECT vec_id AS frame_id, CAST(embedding AS DOUBLE[]) AS pixels, label FROM embeddings")
+
+
+def fold_sum(lst: str) -> str:
+    return f"list_reduce({lst}, lambda a, x: a + x, {D(0)})"
+
+
+def refl(v: str, n: int) -> str:
+    return f"(CASE WHEN ({v}) < 0 THEN -({v}) WHEN ({v}) >= {n} THEN {2 * n - 2} - ({v}) ELSE ({v}) END)"
+
+
+def at(y: str, x: str) -> str:
+    return f"pixels[{refl(y, 8)} * 8 + {refl(x, 8)} + 1]"
+
+
+LAP_V = (f"(((({at('i // 8 - 1', 'i % 8')} + {at('i // 8 + 1', 'i % 8')}) + "
+         f"{at('i // 8', 'i % 8 - 1')}) + {at('i // 8', 'i % 8 + 1')}) - {D(4)} * {at('i // 8', 'i % 8')})")
+view("lap_v", ["patches_v"], f"""
+SELECT frame_id, {fold_sum('list_transform(vals, lambda v: (v - m) * (v - m))')} / 64 AS laplacian_var FROM (
+  SELECT frame_id, vals, {fold_sum('vals')} / 64 AS m FROM (
+    SELECT frame_id, list(v ORDER BY i) AS vals FROM (
+      SELECT frame_id, i, {LAP_V} AS v FROM (SELECT frame_id, pixels, unnest(range(64)) AS i FROM patches_v))
+    GROUP BY frame_id))""")
+
+DHASH8 = ("lpad(lower(hex(('0b' || array_to_string(list_transform(list_filter(range(64), lambda i: i % 8 < 7), "
+          "lambda i: CASE WHEN pixels[i + 2] > pixels[i + 1] THEN '1' ELSE '0' END), ''))::UBIGINT)), 16, '0')")
+
+oracle("c6_brightness", ["patches_v"], f"SELECT frame_id, round({fold_sum('pixels')} / len(pixels), 6) AS brightness FROM patches_v")
+oracle("c7_laplacian_var", ["lap_v"], "SELECT frame_id, round(laplacian_var, 6) AS laplacian_var FROM lap_v")
+oracle("c8_dhash", ["patches_v"], f"SELECT frame_id, {DHASH8} AS dhash FROM patches_v")
+oracle("c12_norm_stats", ["patches_v"], f"""
+SELECT frame_id, round(list_min(n), 9) AS norm_min, round(list_max(n), 9) AS norm_max,
+       round({fold_sum('n')} / len(n), 9) AS norm_mean
+FROM (SELECT frame_id, list_transform(pixels, lambda x: x / {D(255)}) AS n FROM patches_v)""")
+
+SCALED = f"list_transform(pixels, lambda x: round((x + {D(0.5)}) * {D(255)}, 0))"
+MEAN3 = "[" + ", ".join(D(m) for m in K.IMAGENET_MEAN) + "]"
+STD3 = "[" + ", ".join(D(s) for s in K.IMAGENET_STD) + "]"
+oracle("c14_normalize_channels", ["patches_v"], f"""
+SELECT frame_id, round({fold_sum('n')}, 6) AS norm_sum, round(list_min(n), 6) AS norm_min, round(list_max(n), 6) AS norm_max
+FROM (SELECT frame_id, list_transform({SCALED}, lambda v, i: (v / {D(255)} - {MEAN3}[(i - 1) % 3 + 1]) / {STD3}[(i - 1) % 3 + 1]) AS n
+      FROM patches_v)""")
+
+
+def mask_sql(threshold=None) -> str:
+    chan = f"list_transform(list_slice(pixels, p * 8 + 1, p * 8 + 8), lambda v: v + {D(0.5)})"
+    idx = f"CAST(list_position({chan}, list_max({chan})) - 1 AS INTEGER)"
+    if threshold is not None:
+        idx = f"CASE WHEN list_max({chan}) >= {D(threshold)} THEN {idx} ELSE 0 END"
+    return f"list_transform(range(8), lambda p: {idx})"
+
+
+view("mask_v", ["patches_v"], f"SELECT frame_id, pixels, {mask_sql()} AS mask FROM patches_v")
+COLOR_LIST = "CASE c " + " ".join(f"WHEN {c} THEN [{r}, {g}, {b}]" for c, _, (r, g, b) in K.CLASS_INFO) + " ELSE [0, 0, 0] END"
+oracle("f11_argmax_mask", ["mask_v"], "SELECT frame_id, array_to_string(mask, ',') AS mask FROM mask_v")
+oracle("f10_two_head_mask", ["patches_v"],
+       f"SELECT frame_id, array_to_string({mask_sql(K.TWO_HEAD_THRESHOLD)}, ',') AS mask FROM patches_v")
+oracle("f3_mask_histogram", ["mask_v"], """
+SELECT frame_id, class_id, count(*) AS pixels FROM (SELECT frame_id, unnest(mask) AS class_id FROM mask_v) GROUP BY ALL""")
+oracle("c15_colorize", ["mask_v"], f"""
+SELECT frame_id, array_to_string(list_transform(mask, lambda c: printf('#%02x%02x%02x', ({COLOR_LIST})[1], ({COLOR_LIST})[2],
+       ({COLOR_LIST})[3])), ',') AS colors FROM mask_v""")
+oracle("c16_blend", ["mask_v"], f"""
+SELECT frame_id, array_to_string(list_transform(range(8), lambda i:
+         CAST(round(({SCALED})[i * 8 + 1] * {D(1 - K.OVERLAY_ALPHA)} + CAST(({COLOR_LIST.replace('CASE c ', 'CASE mask[i + 1] ')})[1] AS DOUBLE)
+                    * {D(K.OVERLAY_ALPHA)}, 0) AS INTEGER)), ',') AS overlay
+FROM mask_v""")
+oracle("n1_frame_metrics", ["patches_v", "lap_v"], f"""
+SELECT p.frame_id, 8 AS width, 8 AS height, 'ok' AS status, round({fold_sum('p.pixels')} / len(p.pixels), 6) AS brightness,
+       round(l.laplacian_var, 6) AS laplacian_var,
+       {DHASH8.replace('pixels[', 'p.pixels[')} AS dhash
+FROM patches_v p JOIN lap_v l USING (frame_id)""")
+
+view("n4_counts_v", ["mask_v"], """
+SELECT frame_id, class_id, count(*) AS cnt FROM (SELECT frame_id, unnest(mask) AS class_id FROM mask_v) GROUP BY ALL""")
+N4_W = ("CASE class_id " + " ".join(f"WHEN {k} THEN {D(v)}" for k, v in K.RISK_WEIGHTS.items())
+        + f" ELSE {D(K.DEFAULT_RISK_WEIGHT)} END")
+oracle("n4_score_frames", ["mask_v", "n4_counts_v"], f"""
+SELECT m.frame_id, array_to_string(m.mask, ',') AS mask, CAST(r.dominant_class_id AS INTEGER) AS dominant_class_id, r.risk_score
+FROM mask_v m JOIN (
+  SELECT frame_id,
+         coalesce(first(class_id ORDER BY cnt DESC, class_id) FILTER (WHERE class_id <> 0), 0) AS dominant_class_id,
+         round(least({D(K.RISK_CAP)},
+             {fold_sum(f'list(CASE WHEN ratio > 0 THEN ratio * {N4_W} ELSE {D(0)} END ORDER BY class_id) FILTER (WHERE class_id <> 0)')}
+             + least({D(K.COVERAGE_BONUS_CAP)}, count_if(class_id <> 0 AND ratio > 0) * {D(K.COVERAGE_BONUS_STEP)})
+             + least({D(K.CORROSION_BONUS_CAP)}, coalesce(max(ratio) FILTER (WHERE class_id = 9), {D(0)}) * {D(K.CORROSION_BONUS_FACTOR)})
+             + least({D(K.DEFECT8_BONUS_CAP)}, coalesce(max(ratio) FILTER (WHERE class_id = 8), {D(0)}) * {D(K.DEFECT8_BONUS_FACTOR)})), 3)
+           AS risk_score
+  FROM (SELECT *, round(cnt / {D(8)}, 6) AS ratio FROM n4_counts_v) GROUP BY frame_id) r USING (frame_id)""")
+
+# ---- classifier scores ------------------------------------------------------
+
+view("scores_v", ["class_counts_v"], """
+SELECT asset_id, frame_idx, tot, fg, round(p1 / tot, 6) AS s1, round(p2 / tot, 6) AS s2, round(p6 / tot, 6) AS s6,
+       round(p9 / tot, 6) AS s9 FROM (
+  SELECT asset_id, frame_idx, sum(pixels) AS tot, sum(pixels) FILTER (WHERE class_id <> 0) AS fg,
+         coalesce(sum(pixels) FILTER (WHERE class_id = 1), 0) AS p1, coalesce(sum(pixels) FILTER (WHERE class_id = 2), 0) AS p2,
+         coalesce(sum(pixels) FILTER (WHERE class_id = 6), 0) AS p6, coalesce(sum(pixels) FILTER (WHERE class_id = 9), 0) AS p9
+  FROM class_counts_v GROUP BY ALL)""")
+
+view("active_v", ["scores_v"], f"""
+SELECT *, CASE WHEN len(list_filter(ranked, lambda e: -e.neg >= {D(K.ACTIVE_SCORE_THRESHOLD)})) > 0
+               THEN list_transform(list_filter(ranked, lambda e: -e.neg >= {D(K.ACTIVE_SCORE_THRESHOLD)}), lambda e: e.id)
+               ELSE [ranked[1].id] END AS active
+FROM (SELECT *, list_sort([{{'neg': -s1, 'id': 1}}, {{'neg': -s2, 'id': 2}}, {{'neg': -s6, 'id': 6}}, {{'neg': -s9, 'id': 9}}]) AS ranked
+      FROM scores_v)""")
+
+view("defects_v", ["active_v"], """
+SELECT *, list_filter(active, lambda x: x <> 1) AS defects,
+       list_transform(list_filter(active, lambda x: x <> 1),
+                      lambda c: CASE c WHEN 1 THEN s1 WHEN 2 THEN s2 WHEN 6 THEN s6 WHEN 9 THEN s9 END) AS dscores
+FROM active_v""")
+
+oracle("f9_active_classes", ["defects_v"], """
+SELECT asset_id, frame_idx, array_to_string(active, ',') AS active, array_to_string(defects, ',') AS defects FROM defects_v""")
+
+
+def _share(i: int) -> str:
+    return f"CAST(round_even(fg * (dscores[{i}] / ssum), 0) AS BIGINT)"
+
+
+oracle("f8_apportion", ["defects_v"], f"""
+SELECT asset_id, frame_idx, class_id, pixels FROM (
+  SELECT asset_id, frame_idx, defects[1] AS class_id,
+         CASE WHEN n = 1 THEN greatest(fg, 0) ELSE least({_share(1)}, greatest(fg, 0)) END AS pixels
+  FROM d WHERE n >= 1
+  UNION ALL
+  SELECT asset_id, frame_idx, defects[2],
+         CASE WHEN n = 2 THEN greatest(fg - c1, 0) ELSE least({_share(2)}, greatest(fg - c1, 0)) END
+  FROM d WHERE n >= 2
+  UNION ALL
+  SELECT asset_id, frame_idx, defects[3], greatest(fg - c1 - c2, 0) FROM d WHERE n >= 3)
+""".replace("FROM d ", "FROM (SELECT *, "
+            f"CASE WHEN n = 1 THEN greatest(fg, 0) ELSE least({_share(1)}, greatest(fg, 0)) END AS c1, "
+            f"CASE WHEN n >= 2 THEN (CASE WHEN n = 2 THEN greatest(fg - (CASE WHEN n = 1 THEN greatest(fg, 0) ELSE least({_share(1)}, greatest(fg, 0)) END), 0) "
+            f"ELSE least({_share(2)}, greatest(fg - (CASE WHEN n = 1 THEN greatest(fg, 0) ELSE least({_share(1)}, greatest(fg, 0)) END), 0)) END) END AS c2 "
+            f"FROM (SELECT *, len(defects) AS n, {fold_sum('dscores')} AS ssum FROM defects_v WHERE fg > 0)) d "))
+
+oracle("f7_binary_summary", ["defects_v"], "\nUNION ALL\n".join(
+    f"""SELECT asset_id, {c} AS class_id, {_q(CLASS_NAMES[c])} AS class_name, {color_hex_sql(str(c))} AS color_hex,
+       CAST(coalesce(sum(px) FILTER (WHERE class_id = {c}), 0) AS BIGINT) AS pixel_count,
+       count_if(class_id = {c} AND px > 0) AS frames_present,
+       CASE WHEN sum(px) > 0 THEN round(coalesce(sum(px) FILTER (WHERE class_id = {c}), 0) / sum(px), 6) ELSE {D(0)} END AS pixel_share
+FROM (SELECT a.asset_id, u.class_id, u.px FROM (SELECT DISTINCT asset_id FROM defects_v) a LEFT JOIN (
+        SELECT asset_id, unnest(defects) AS class_id,
+               greatest(1, CAST(round_even(unnest(dscores) * {D(1000)}, 0) AS BIGINT)) AS px FROM defects_v) u USING (asset_id))
+GROUP BY asset_id""" for c in VISIBLE_IDS))

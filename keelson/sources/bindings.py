@@ -165,3 +165,28 @@ def sensors_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     lb = table(spark, sf_dir, "labels")
     return lb.select(F.col("doc_id").alias("data_key"), F.col("quality").cast("double").alias("quality1"),
                      F.col("toxic").cast("double").alias("toxic1"))
+
+
+def patch_probs(pixels: str = "pixels") -> F.Column:
+    """patches_v as a model output: 8 pixels x 8 channels, value + 0.5."""
+    return F.transform(F.col(pixels), lambda x: x + 0.5)
+
+
+CLASSIFIER_IDS = (1, 2, 6, 9)
+
+
+def scores_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per frame of class_counts_v: classifier scores = class share of the
+    frame (classifier ids 1, 2, 6, 9, 6 decimals), foreground = non-Void
+    pixels; binary-classification mode."""
+    from keelson.functions.num import rnd
+    c = class_counts_v(spark, sf_dir)
+    g = c.groupBy("asset_id", "frame_idx").agg(
+        F.sum("pixels").alias("tot"), F.sum(F.when(F.col("class_id") != 0, F.col("pixels")).otherwise(0)).alias("fg"),
+        *[F.sum(F.when(F.col("class_id") == k, F.col("pixels")).otherwise(0)).alias(f"_p{k}") for k in CLASSIFIER_IDS])
+    scores = F.create_map(*[x for k in CLASSIFIER_IDS for x in (F.lit(k), rnd(F.col(f"_p{k}") / F.col("tot"), 6))])
+    return g.select("asset_id", "frame_idx", "tot", "fg", scores.alias("classification_scores"),
+                    F.lit(K_BINARY).alias("prediction_mode"))
+
+
+K_BINARY = "binary_segmentation_with_classification"
