@@ -206,3 +206,20 @@ def defect_frames(frames: DataFrame, min_ratio: float = K.DEFECT_MIN_RATIO) -> D
 
 def time_labels(frames: DataFrame) -> DataFrame:
     return frames.withColumn("time_label", TX.time_label("timestamp_sec"))
+
+
+def filter_or_all(df: DataFrame, pred: Column, keys: list[str]) -> DataFrame:
+    """The rows matching ``pred``, or all of a group's rows when none
+    match. The per-group flag is an aggregation joined back (no window over
+    a possibly huge group)."""
+    flagged = df.withColumn("_p", F.coalesce(pred, F.lit(False)))
+    anyp = flagged.groupBy(*keys).agg(F.max(F.col("_p").cast("int")).alias("_any"))
+    return flagged.join(anyp, keys).where(F.col("_p") | (F.col("_any") == 0)).drop("_p", "_any")
+
+
+def first_distinct(df: DataFrame, keys: list[str], label: str, order: str, n: int = 3) -> DataFrame:
+    """per group the first ``n`` distinct labels in ``order``: each
+    label's first position (aggregation), then a top-n by that position."""
+    first = df.groupBy(*keys, label).agg(F.min(order).alias("_first"))
+    w = Window.partitionBy(*keys).orderBy("_first", label)
+    return first.withColumn("label_rank", F.row_number().over(w)).where(F.col("label_rank") <= n).drop("_first")

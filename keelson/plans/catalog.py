@@ -814,3 +814,92 @@ def f7_binary_summary(spark, sf):
                       F.col("_a.defects").alias("predicted_class_ids"),
                       F.coalesce(F.get("_a.defects", 0), F.lit(1)).alias("primary_sign_id"))
     return OC.class_summary_binary(frames)
+
+
+# ---- remaining inventory items --------------------------------------------------
+
+@query("e1_join_metrics")
+def e1_join_metrics(spark, sf):
+    """Image metrics joined to extracted rows by (video, file name)."""
+    fr = B.frames_v(spark, sf)
+    extracted = fr.select("video_id", F.format_string("frames/%d/frame_%06d.jpg", F.col("video_id"), F.col("frame_idx"))
+                          .alias("raw_frame_path"), "timestamp_sec")
+    metrics = fr.select("video_id", F.format_string("frame_%06d.jpg", F.col("frame_idx")).alias("filename"),
+                        "brightness", "laplacian_var")
+    j = extracted.withColumn("filename", TX.filename("raw_frame_path")).join(metrics, ["video_id", "filename"], "inner")
+    return j.select("video_id", "filename", rnd("timestamp_sec", 6).alias("timestamp_sec"), "brightness", "laplacian_var")
+
+
+@query("d9_filter_or_all")
+def d9_filter_or_all(spark, sf):
+    """Per asset the defect classes present, or every class when none."""
+    cm = class_metrics_v(spark, sf)
+    pred = ~F.col("class_name").isin(*K.NON_DEFECT_NAMES) & (F.col("frames_present") > 0)
+    return OC.filter_or_all(cm, pred, ["asset_id"]).select("asset_id", "class_id", "frames_present")
+
+
+@query("f18_distinct_in_order")
+def f18_distinct_in_order(spark, sf):
+    """the first three distinct primary-sign labels of each asset in
+    frame order."""
+    f = frame_preds(spark, sf).withColumn("label", CL.translate("primary_sign_name"))
+    return OC.first_distinct(f, ["asset_id"], "label", "frame_idx", 3).select("asset_id", "label_rank", "label")
+
+
+@query("i7_review_rows")
+def i7_review_rows(spark, sf):
+    """The review rows of each asset: its story frames (at most 6, so
+    within the first 8), frame label, truth label (I8) and time label."""
+    f = frame_preds(spark, sf)
+    story = S.story_frames(f, K.STORY_FRAMES, K.STORY_FRAMES, key="asset_id").drop("story_pick")
+    s = OC.frame_signs(story)
+    return s.select("asset_id", "frame_idx", F.concat(F.lit(K.FRAME_LABEL_PREFIX + " "), F.col("frame_idx").cast("string"))
+                    .alias("frame_label"), "truth_label", F.lit("-").alias("time_text"))
+
+
+@query("l14_photo_record")
+def l14_photo_record(spark, sf):
+    """One record per photo of the photo assets (frames of kind photo)."""
+    f = marts(spark, sf).frames.where(F.col("kind") == "photo")
+    name = F.format_string("%d.jpg", F.col("frame_idx"))
+    return f.select("asset_id", name.alias("filename"),
+                    F.concat(F.lit("images/"), name).alias("processed_image"),
+                    F.concat(F.lit("masks/"), name).alias("mask_image"),
+                    F.concat(F.lit("overlays/"), name).alias("overlay_image"),
+                    "dominant_class_id", CL.class_name("dominant_class_id").alias("dominant_class_name"),
+                    F.array_join(CL.predicted_names("predicted_class_ids", K.VISIBLE_EXCLUDED_IDS), ", ").alias("predicted_class_names"),
+                    "risk_score")
+
+
+@query("l15_frame_record")
+def l15_frame_record(spark, sf):
+    """The manifest's top-frame record, flattened: story frames with the
+    primary sign, predicted ids and the first of the top classes (G5)."""
+    f = OC.frame_top_classes(frame_preds(spark, sf))
+    story = S.story_frames(f, K.STORY_FRAMES, K.STORY_FRAMES, key="asset_id")
+    return story.select("asset_id", "frame_idx", F.col("primary_sign_id").alias("dominant_class_id"),
+                        F.col("primary_sign_name").alias("dominant_class_name"),
+                        F.array_join("predicted_class_ids", ",").alias("predicted_class_ids"),
+                        F.get("top_classes", 0)["class_id"].alias("top_class_id"),
+                        F.format_string("frames/frame_%06d.jpg", F.col("frame_idx")).alias("processed_image"))
+
+
+@query("c35_time_label")
+def c35_time_label(spark, sf):
+    fr = B.frames_v(spark, sf)
+    return fr.select("video_id", "frame_idx", TX.time_label("timestamp_sec").alias("time_label"))
+
+
+@query("c43_trimmed_frames")
+def c43_trimmed_frames(spark, sf):
+    """Frames left after a 3 s trim at 25 fps, per video."""
+    fun = Q.frame_funnel(flagged_frames(spark, sf))
+    return fun.select("video_id", FR.trimmed_frames("extracted_frames", F.lit(3), F.lit(25.0)).alias("trimmed_frames"))
+
+
+@query("c44_json_map")
+def c44_json_map(spark, sf):
+    """Class-count maps through JSON text (string keys) and back."""
+    f = frame_preds(spark, sf).select("asset_id", "frame_idx", F.to_json("class_pixel_counts").alias("j"))
+    m = f.select("asset_id", "frame_idx", CL.json_map("j", "bigint").alias("m"))
+    return m.select("asset_id", "frame_idx", F.explode("m").alias("class_id", "pixels"))

@@ -467,7 +467,7 @@ LEFT JOIN (SELECT asset_id, class_name_ru FROM (
                                  pixel_count DESC, class_id) AS r
     FROM cm_v WHERE class_name <> 'Void') WHERE r = 1) q USING (asset_id)""")
 
-oracle("g4_story_frames", ["frame_pred_v"], f"""
+STORY_SQL = f"""
 WITH f AS (SELECT asset_id, frame_idx, risk_score, len(predicted_class_ids) AS n,
                   row_number() OVER (PARTITION BY asset_id ORDER BY frame_idx) AS rn,
                   count(*) OVER (PARTITION BY asset_id) AS t FROM frame_pred_v),
@@ -481,7 +481,9 @@ UNION ALL SELECT asset_id, frame_idx, 'bucket' FROM best
 UNION ALL SELECT asset_id, frame_idx, 'fill' FROM (
   SELECT b.*, row_number() OVER (PARTITION BY b.asset_id ORDER BY risk_score DESC, n DESC, frame_idx) AS r, np.k
   FROM b JOIN np USING (asset_id) WHERE (b.asset_id, b.frame_idx) NOT IN (SELECT asset_id, frame_idx FROM best))
-WHERE r <= {K.STORY_FRAMES} - k""")
+WHERE r <= {K.STORY_FRAMES} - k"""
+view("story_v", ["frame_pred_v"], STORY_SQL)
+oracle("g4_story_frames", ["story_v"], "SELECT asset_id, frame_idx, story_pick FROM story_v")
 
 
 # ---- marts -----------------------------------------------------------------
@@ -1048,3 +1050,65 @@ FROM (SELECT a.asset_id, u.class_id, u.px FROM (SELECT DISTINCT asset_id FROM de
         SELECT asset_id, unnest(defects) AS class_id,
                greatest(1, CAST(round_even(unnest(dscores) * {D(1000)}, 0) AS BIGINT)) AS px FROM defects_v) u USING (asset_id))
 GROUP BY asset_id""" for c in VISIBLE_IDS))
+
+
+# ---- remaining inventory items ----------------------------------------------
+
+oracle("e1_join_metrics", ["frames_v"], """
+SELECT video_id, printf('frame_%06d.jpg', frame_idx) AS filename, round(timestamp_sec, 6) AS timestamp_sec,
+       brightness, laplacian_var FROM frames_v""")
+
+oracle("d9_filter_or_all", ["cm_v"], """
+SELECT asset_id, class_id, frames_present FROM (
+  SELECT *, coalesce(class_name NOT IN ('Void', 'Normal', 'Ship hull') AND frames_present > 0, false) AS p,
+         max(CASE WHEN coalesce(class_name NOT IN ('Void', 'Normal', 'Ship hull') AND frames_present > 0, false) THEN 1 ELSE 0 END)
+           OVER (PARTITION BY asset_id) AS anyp
+  FROM cm_v) WHERE p OR anyp = 0""")
+
+oracle("f18_distinct_in_order", ["frame_pred_v"], f"""
+SELECT asset_id, CAST(label_rank AS INTEGER) AS label_rank, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY f, label) AS label_rank FROM (
+    SELECT asset_id, {translate_sql('primary_sign_name')} AS label, min(frame_idx) AS f FROM frame_pred_v GROUP BY ALL))
+WHERE label_rank <= 3""")
+
+
+oracle("i7_review_rows", ["story_v", "frame_pred_v", "ratios_v"], f"""
+SELECT s.asset_id, s.frame_idx, {_q(K.FRAME_LABEL_PREFIX + ' ')} || CAST(s.frame_idx AS VARCHAR) AS frame_label,
+       CASE WHEN coalesce(x.extras, '') <> '' THEN x.extras
+            WHEN {translate_sql('f.primary_sign_name')} NOT IN ('', {_q(K.CLASS_TRANSLATIONS['Normal'])}, {_q(K.CLASS_TRANSLATIONS['Void'])})
+              THEN {translate_sql('f.primary_sign_name')}
+            ELSE {_q(K.NO_SIGN_LABEL)} END AS truth_label, '-' AS time_text
+FROM story_v s JOIN frame_pred_v f USING (asset_id, frame_idx) LEFT JOIN (
+  SELECT asset_id, frame_idx,
+         string_agg(label, ', ' ORDER BY rk) FILTER (WHERE rk <= 3 AND ratio >= {D(K.EXTRA_SIGN_MIN_RATIO)}) AS extras
+  FROM (SELECT *, {translate_sql(class_name_sql('class_id'))} AS label,
+               row_number() OVER (PARTITION BY asset_id, frame_idx ORDER BY ratio DESC, class_id) AS rk
+        FROM ratios_v WHERE class_id IN (2, 6, 9)) GROUP BY ALL) x USING (asset_id, frame_idx)""")
+
+oracle("l14_photo_record", ["mframe_v"], f"""
+SELECT asset_id, printf('%d.jpg', frame_idx) AS filename, 'images/' || printf('%d.jpg', frame_idx) AS processed_image,
+       'masks/' || printf('%d.jpg', frame_idx) AS mask_image, 'overlays/' || printf('%d.jpg', frame_idx) AS overlay_image,
+       CAST(dominant_class_id AS INTEGER) AS dominant_class_id, {class_name_sql('dominant_class_id')} AS dominant_class_name,
+       array_to_string(list_transform(predicted_class_ids, lambda x: {class_name_sql('x')}), ', ') AS predicted_class_names,
+       risk_score
+FROM mframe_v WHERE kind = 'photo'""")
+
+oracle("l15_frame_record", ["story_v", "frame_pred_v", "ratios_v"], f"""
+SELECT s.asset_id, s.frame_idx, CAST(f.primary_sign_id AS INTEGER) AS dominant_class_id, f.primary_sign_name AS dominant_class_name,
+       array_to_string(f.predicted_class_ids, ',') AS predicted_class_ids, t.class_id AS top_class_id,
+       printf('frames/frame_%06d.jpg', s.frame_idx) AS processed_image
+FROM story_v s JOIN frame_pred_v f USING (asset_id, frame_idx) LEFT JOIN (
+  SELECT asset_id, frame_idx, class_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY asset_id, frame_idx ORDER BY pixels DESC, class_id) AS r
+    FROM ratios_v WHERE class_id <> 0 AND pixels > 0) WHERE r = 1) t USING (asset_id, frame_idx)""")
+
+oracle("c35_time_label", ["frames_v"], f"""
+SELECT video_id, frame_idx, CASE WHEN timestamp_sec IS NULL THEN {_q(K.TIME_NOT_GIVEN)}
+                                ELSE printf('%.1f', round(timestamp_sec, 1)) || {_q(K.TIME_SUFFIX)} END AS time_label
+FROM frames_v""")
+
+oracle("c43_trimmed_frames", ["frames_v"], """
+SELECT video_id, CAST(greatest(count(*) - CAST(round_even(3 * 25.0::DOUBLE, 0) AS BIGINT), 0) AS BIGINT) AS trimmed_frames
+FROM frames_v GROUP BY video_id""")
+
+oracle("c44_json_map", ["class_counts_v"], "SELECT asset_id, frame_idx, class_id, pixels FROM class_counts_v")
