@@ -158,6 +158,10 @@ def select_representative(cand: DataFrame, target: int = K.TARGET_FRAMES, bucket
     big = ordinal(big, key, ["frame_idx"], name="_rn", chunk=index_chunk("frame_idx"))
     big = big.withColumn("bucket", coverage_bucket("_rn", "_T", buckets)) \
         .withColumn("_B", F.greatest(F.lit(1), F.least(F.lit(buckets), F.col("_T"))))
+    # several branches read the bucketed candidates (prefix, sizes, the
+    # unresolved check, the fill): materialise them once in the shared
+    # checkpoint folder instead of recomputing the frame pipeline per branch
+    big = cut_lineage(big.select(key, "frame_idx", "score", "hash", "bucket", "_B", "_T"))
 
     # best-first prefix per bucket: row_number <= N is planned as a group limit
     rank = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("frame_idx").desc())
@@ -174,7 +178,7 @@ def select_representative(cand: DataFrame, target: int = K.TARGET_FRAMES, bucket
     if not unresolved.isEmpty():
         # rare: H1 needs candidates beyond the prefix; finish those buckets
         # exactly (restarting both walks from their full candidate lists)
-        rest_cand = cut_lineage(big.join(unresolved, keys, "left_semi"))
+        rest_cand = big.join(unresolved, keys, "left_semi")
         picks = picks.unionByName(pick_diverse(rest_cand, k, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE, tuple(keys)))
     picks = picks.join(sizes.select(*keys, "_B"), keys)
     chosen = round_robin(picks, target, K.GLOBAL_MIN_DISTANCE, key)
