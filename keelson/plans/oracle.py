@@ -1112,3 +1112,46 @@ SELECT video_id, CAST(greatest(count(*) - CAST(round_even(3 * 25.0::DOUBLE, 0) A
 FROM frames_v GROUP BY video_id""")
 
 oracle("c44_json_map", ["class_counts_v"], "SELECT asset_id, frame_idx, class_id, pixels FROM class_counts_v")
+
+
+# ---- representative selection (H1-H6) as list folds --------------------------
+
+def selection_sql(target: int, buckets: int, k: int) -> str:
+    gap, dist, gdist = K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE, K.GLOBAL_MIN_DISTANCE
+    pick = "STRUCT(s DOUBLE, f BIGINT, h HUGEINT)"
+    rr = "STRUCT(d BIGINT, b INTEGER, s DOUBLE, f BIGINT, h HUGEINT)"
+    far = "coalesce(bit_count(xor(e.h, x.h)), 64)"
+    h1 = (f"list_reduce(arr, lambda acc, x: CASE WHEN len(acc) < {k} AND len(list_filter(acc, lambda e: "
+          f"abs(e.f - x.f) < {gap} OR {far} < {dist})) = 0 THEN list_append(acc, x) ELSE acc END, []::{pick}[])")
+    h2 = (f"list_reduce(arr, lambda acc, x: CASE WHEN len(acc) < {k} AND len(list_filter(acc, lambda e: "
+          f"abs(e.f - x.f) < {gap})) = 0 THEN list_append(acc, x) ELSE acc END, h1)")
+    h4 = (f"list_reduce(arr2, lambda acc, x: CASE WHEN len(acc) < {target} AND (len(acc) < nb OR "
+          f"len(list_filter(acc, lambda e: {far} < {gdist})) = 0) THEN list_append(acc, x) ELSE acc END, []::{rr}[])")
+    return f"""
+WITH c AS (SELECT video_id, frame_idx, score, hash_u,
+                  count(*) OVER (PARTITION BY video_id) AS t,
+                  row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS rn FROM cand_v),
+     big AS (SELECT *, least({buckets}, t) AS nb, CAST(floor((rn * least({buckets}, t) - 1) / t) AS INTEGER) AS bucket
+             FROM c WHERE t > {target}),
+     bk AS (SELECT video_id, bucket, any_value(nb) AS nb,
+                   list({{'s': score, 'f': frame_idx, 'h': hash_u}} ORDER BY score DESC, frame_idx DESC) AS arr
+            FROM big GROUP BY video_id, bucket),
+     walk AS (SELECT video_id, bucket, nb, {h2} AS picks FROM (SELECT *, {h1} AS h1 FROM bk)),
+     flat AS (SELECT video_id, bucket, nb, unnest(picks) AS x, unnest(range(len(picks))) AS d FROM walk),
+     rr AS (SELECT video_id, {h4} AS sel FROM (
+              SELECT video_id, any_value(nb) AS nb,
+                     list({{'d': d, 'b': bucket, 's': x.s, 'f': x.f, 'h': x.h}} ORDER BY d, bucket) AS arr2
+              FROM flat GROUP BY video_id)),
+     chosen AS (SELECT video_id, unnest(sel).f AS frame_idx FROM rr),
+     nchosen AS (SELECT video_id, count(*) AS n FROM chosen GROUP BY video_id),
+     fill AS (SELECT b.video_id, b.frame_idx,
+                     row_number() OVER (PARTITION BY b.video_id ORDER BY b.score DESC, b.frame_idx) AS r
+              FROM big b ANTI JOIN chosen USING (video_id, frame_idx))
+SELECT video_id, frame_idx, 'all' AS picked_by FROM c WHERE t <= {target}
+UNION ALL SELECT video_id, frame_idx, 'round_robin' FROM chosen
+UNION ALL SELECT f.video_id, f.frame_idx, 'fill' FROM fill f LEFT JOIN nchosen n USING (video_id)
+          WHERE f.r <= {target} - coalesce(n.n, 0)"""
+
+
+oracle("h6_select_representative", ["cand_v"], selection_sql(K.TARGET_FRAMES, K.COVERAGE_BUCKETS, K.FRAMES_PER_BUCKET))
+oracle("h1_select_compact", ["cand_v"], selection_sql(16, 6, 3))
