@@ -93,9 +93,16 @@ class Marts:
         from keelson.sources.bindings import frame_predictions
         return frame_predictions(self.counts, keys=tuple(KEYS))
 
+    @cached_property
+    def asset_lines(self) -> DataFrame:
+        """Per asset, one aggregation over the lines: update time and the
+        stage sums (exact decimals)."""
+        from keelson.sources.bindings import _stage_sums
+        return _stage_sums(self.lines, KEYS, extra=[F.max("updated_at").alias("updated_at")])
+
     @cached_property
     def meta(self) -> DataFrame:
-        return (self.lines.groupBy(*KEYS).agg(F.max("updated_at").alias("updated_at"))
+        return (self.asset_lines.select(*KEYS, "updated_at")
                     .withColumn("updated_at_epoch", F.unix_timestamp("updated_at"))
                     .withColumn("updated_at_iso", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss")))
 
@@ -119,10 +126,10 @@ class Marts:
 
     @cached_property
     def _runs_raw(self) -> DataFrame:
-        from keelson.sources.bindings import _stage_sums
-        stages = _stage_sums(self.lines, KEYS)
         nframes = self.frames.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_frames"))
-        r = self.meta.join(stages, KEYS).join(nframes, KEYS)
+        a = self.asset_lines.withColumn("updated_at_epoch", F.unix_timestamp("updated_at")) \
+            .withColumn("updated_at_iso", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss"))
+        r = a.join(nframes, KEYS)
         video = F.col("kind") == "video"
         return (r.withColumn("extracted_frames", F.when(video, F.col("items")).otherwise(F.lit(0)).cast("bigint"))
                  .withColumn("segmented_frames_raw", F.when(video, F.col("_frames")).otherwise(F.lit(0)).cast("bigint"))

@@ -205,6 +205,12 @@ def story_frames(frames: DataFrame, target: int = 4, buckets: int = 4, key: str
     best_key = F.struct(F.col("risk_score"), n_cls, F.col("frame_idx"))
     best = big.groupBy(key, "bucket").agg(F.max(best_key)["frame_idx"].alias("frame_idx"))
     picked = big.join(best.select(key, "frame_idx"), [key, "frame_idx"], "left_semi")
+    cols = [c for c in frames.columns]
+    picked_rows = picked.select(*cols).withColumn("story_pick", F.lit("bucket"))
+    if buckets >= target:
+        # every asset above the target gets exactly `target` bucket picks
+        # (B = min(buckets, T) = target), so the fill can add nothing
+        return small.select(*cols, "story_pick").unionByName(picked_rows)
     npick = best.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     rest = big.join(best.select(key, "frame_idx"), [key, "frame_idx"], "left_anti")
     w = Window.partitionBy(key).orderBy(F.col("risk_score").desc(), n_cls.desc(), F.col("frame_idx").asc())

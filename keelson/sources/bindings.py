@@ -103,14 +103,15 @@ def runs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.least(F.col("o_totalprice") / 500000.0, F.lit(0.98)).alias("risk_score"))
 
 
-def _stage_sums(df: DataFrame, keys: list[str]) -> DataFrame:
+def _stage_sums(df: DataFrame, keys: list[str], extra: list | None = None) -> DataFrame:
     dec = "decimal(18,2)"
+    extra = extra or []
     g = df.groupBy(*keys).agg(
         F.sum(F.col("l_quantity").cast(dec)).alias("_q"), F.sum(F.col("l_tax").cast(dec)).alias("_t"),
         F.sum(F.col("l_discount").cast(dec)).alias("_d"), F.sum(F.col("l_extendedprice").cast(dec)).alias("_e"),
-        F.count(F.lit(1)).alias("items"))
+        F.count(F.lit(1)).alias("items"), *extra)
     return g.select(
-        *keys, "items",
+        *keys, "items", *[c for c in g.columns if c not in keys and not c.startswith("_") and c != "items"],
         F.col("_q").cast("double").alias("extraction_wall_seconds"),
         F.col("_t").cast("double").alias("preprocessing_wall_seconds"),
         F.col("_d").cast("double").alias("inference_wall_seconds"),

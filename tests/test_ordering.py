@@ -35,3 +35,18 @@ def test_running_sum_matches_window(spark):
     w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     ref = df.withColumn("s2", F.sum("v").over(w))
     assert got.join(ref.select("k", "t", "s2"), ["k", "t"]).where("s != s2").count() == 0
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    """One video with 90% of the rows: the chunked ordinal's window runs
+    over (video, hour) groups, so the hot video lands in several tasks."""
+    from keelson.operators.ordering import time_chunk
+    rows = spark.range(0, 40000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(F.lit(99)).alias("video_id"),
+        (F.lit(1_700_000_000) + F.col("id") * 13).cast("timestamp").alias("ts"), F.col("id").alias("event_id"))
+    out = ordinal(rows, "video_id", ["ts", "event_id"], name="rn", chunk=time_chunk("ts"))
+    parts = out.where("video_id = 99").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts >= 4
+    w = Window.partitionBy("video_id").orderBy("ts", "event_id")
+    ref = rows.withColumn("rn2", F.row_number().over(w))
+    assert out.join(ref, ["video_id", "event_id"]).where("rn != rn2").count() == 0
