@@ -47,7 +47,8 @@ def dhash_hex(gray, cols: int = 9) -> Column:
 
 
 def hamming(a, b) -> Column:
-    """popcount(a xor b); null when either side is null."""
+    """C9 (and N2, the reference's Python UDF, replaced by this native
+    expression): popcount(a xor b); null when either side is null."""
     return F.bit_count(_c(a).bitwiseXOR(_c(b))).cast("int")
 
 

@@ -14,6 +14,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def with_constant(df, name: str, value):
+    """Add a constant column (folded by Catalyst)."""
+    return df.withColumn(name, F.lit(value))
+
+
 def filename(path) -> Column:
     """Last path segment."""
     return F.regexp_extract(_c(path), r"([^/]+)$", 1)

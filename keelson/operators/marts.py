@@ -113,7 +113,8 @@ class Marts:
 
     @cached_property
     def dynamics(self) -> DataFrame:
-        """L3: photos are numbered oldest first (G6), videos keep frame_idx."""
+        """Frame label, position and translated primary sign per
+        frame; photos are numbered oldest first (G6), videos keep frame_idx."""
         frame_time = self.lines.groupBy(*KEYS, "frame_idx").agg(F.max("updated_at").alias("frame_time"))
         dyn = self.frames.join(frame_time, KEYS + ["frame_idx"])
         dyn = ordinal(dyn.withColumn("_ak", F.concat_ws("|", "kind", F.col("asset_id").cast("string"))),
@@ -189,8 +190,9 @@ class Marts:
         return parallel_mart(self._runs_raw, KEYS + ["updated_at_epoch"])
 
     def latest(self, kind: str) -> DataFrame:
-        """G9 on the run keys: the newest (kind, asset_id) of ``kind`` (ties:
-        smallest asset_id). Needs only the per-asset update time."""
+        """G9 + D11 (``kind`` parameter) on the run keys: the newest
+        (kind, asset_id) of ``kind`` (ties: smallest asset_id). Needs only the
+        per-asset update time."""
         return latest_run(self.meta.select(*KEYS, "updated_at_epoch"), kind).select(*KEYS)
 
     def scoped(self, assets: DataFrame) -> "Marts":
@@ -246,7 +248,7 @@ def _latest_marts(marts: Marts, kind: str) -> Marts:
 
 
 def panel_issue_types(marts: Marts, kind: str) -> DataFrame:
-    """L6."""
+    """L6 (D10: frames_present > 0)."""
     rows = _latest_marts(marts, kind).class_metrics
     return rows.where(_defect_classes() & (F.col("frames_present") > 0)).agg(F.count(F.lit(1)).alias("issue_types"))
 
@@ -293,7 +295,7 @@ def panel_dynamics(marts: Marts, kind: str, k: int = 12) -> DataFrame:
 
 
 def panel_class_share(marts: Marts, kind: str, k: int = 8) -> DataFrame:
-    """L13 (I4): share per defect class with share > 0, top k."""
+    """L13 (I4, D10 share > 0): share per defect class, top k."""
     rows = _latest_marts(marts, kind).class_metrics.where(_defect_classes() & (F.col("pixel_share_pct") > 0))
     return rows.orderBy(F.col("pixel_share_pct").desc()).limit(k).select(
         F.col("class_name_ru").alias("metric"), F.col("pixel_share_pct").alias("value"))

@@ -45,7 +45,7 @@ def index_chunk(idx: Column | str, rows: int = DEFAULT_CHUNK_ROWS) -> Column:
 def ordinal(df: DataFrame, key: str, order: list[str], name: str = "rn", start: int = 1,
             chunk: Column | None = None, group_min: list[str] | None = None,
             keep_chunk: str | None = None) -> DataFrame:
-    """Add ``name`` = position of each row within ``key`` by ``order``
+    """Add ``name`` = position of each row within ``key`` by ``order``
     (starting at ``start``). ``chunk`` must be non-decreasing along
     ``order`` within a key; without it the whole key is one chunk (a plain
     window). ``group_min`` columns get a ``<col>_first`` companion: their

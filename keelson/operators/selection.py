@@ -57,6 +57,9 @@ def bucket_rank(df: DataFrame, key: str = "video_id") -> DataFrame:
 
 
 def _compatible(acc: Column, f: Column, h: Column, gap: int, dist: int | None) -> Column:
+    """A candidate against every frame chosen so far (index gap, hash
+    distance). The chosen set holds at most k frames, so this is a bounded
+    check, never an all-pairs self join within a bucket."""
     def ok(e):
         cond = F.abs(e["f"] - f) >= gap
         if dist is not None:

@@ -108,3 +108,21 @@ def test_defect_export_existing_only(spark, tmp):
     got = W.defect_export(frames, files).collect()
     assert [(r.item_no, r.role) for r in got] == [(1, "source")]
     assert got[0].folder == "v/001_frame_000001_Marine_growth"
+
+
+def test_preprocess_frames_crop_resize(spark):
+    img = np.arange(100, dtype=np.uint8).reshape(10, 10)
+    df = spark.createDataFrame([(1, img.tobytes()), (2, b"bad")], "frame_id long, content binary")
+    dec = lambda b: np.frombuffer(b, dtype=np.uint8).reshape(10, 10) if len(b) == 100 else None
+    rows = {r.frame_id: r for r in INF.preprocess_frames(df, dec, (0.0, 0.0, 1.0, 1.0), 5, 5).collect()}
+    r = rows[1]
+    assert r.status == "ok" and len(r.gray) == 25 and (r.crop_x2, r.crop_y2) == (10, 10)
+    assert r.gray[0] == pytest.approx(img[:2, :2].mean())
+    assert rows[2].status == "error" and rows[2].error == "undecodable"
+
+
+def test_newest_manifest_and_constant(spark):
+    from keelson.functions.text import with_constant
+    m = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-02-01")], "video_id string, _updated_at string")
+    assert R.newest_manifest(m).collect()[0].video_id == "b"
+    assert with_constant(m, "k", 3).select("k").distinct().collect()[0].k == 3
