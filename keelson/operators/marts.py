@@ -76,17 +76,24 @@ class Marts:
     bindings.mart_lines). Each table is one DataFrame; the sink writes each
     with ``mode('overwrite')``."""
 
-    def __init__(self, lines: DataFrame):
+    def __init__(self, lines: DataFrame, materialize: bool = False):
         self.lines = lines
+        self.materialize = materialize
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
 
     @cached_property
     def counts(self) -> DataFrame:
+        """Per (asset, frame, class) pixels. Frames, class summaries, risk and
+        the run row all read it; with ``materialize=True`` it is written once
+        to the shared checkpoint folder (worth it when the lines join is
+        expensive; at small scale re-joining is cheaper)."""
+        from keelson.session import cut_lineage
         from keelson.sources.bindings import class_of_line
-        return (self.lines.select(*KEYS, "frame_idx", class_of_line("l_linenumber").alias("class_id"), "l_quantity")
-                    .groupBy(*KEYS, "frame_idx", "class_id").agg(F.sum("l_quantity").cast("bigint").alias("pixels")))
+        c = (self.lines.select(*KEYS, "frame_idx", class_of_line("l_linenumber").alias("class_id"), "l_quantity")
+                 .groupBy(*KEYS, "frame_idx", "class_id").agg(F.sum("l_quantity").cast("bigint").alias("pixels")))
+        return cut_lineage(c) if self.materialize else c
 
     @cached_property
     def frames(self) -> DataFrame:
@@ -199,7 +206,7 @@ class Marts:
         """The same marts restricted to ``assets`` (kind, asset_id) before any
         aggregation. ``assets`` here is the latest run of one kind: at most
         one row per kind, so it is broadcast."""
-        return Marts(self.lines.join(F.broadcast(assets), KEYS, "left_semi"))
+        return Marts(self.lines.join(F.broadcast(assets), KEYS, "left_semi"), self.materialize)
 
     def tables(self) -> dict[str, DataFrame]:
         return {n: self[n] for n in ("runs", "class_metrics", "dynamics", "stage_times", "benchmark_curve")}

@@ -174,7 +174,8 @@ def select_representative(cand: DataFrame, target: int = K.TARGET_FRAMES, bucket
         F.col("_r"), F.struct(F.col("score").alias("s"), F.col("frame_idx").alias("f"), F.col("hash").alias("h")).alias("c"))))
         .alias("_p")).select(*keys, F.transform("_p", lambda e: e["c"]).alias("prefix"))
         .join(sizes, keys))
-    folded = _fold_prefix(ranked, keys, k, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE)
+    # one row per bucket; read by the check below and by the final plan
+    folded = cut_lineage(_fold_prefix(ranked, keys, k, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE))
     open_ = (F.col("h1_n") < k) & (F.col("_total") > n_prefix)
     picks = folded.where(~open_).select(*keys, "acc")
     unresolved = folded.where(open_).select(*keys)

@@ -44,8 +44,11 @@ def flagged_frames(spark, sf) -> DataFrame:
 
 
 def candidates(spark, sf) -> DataFrame:
-    """D2 union D5."""
-    return Q.with_fallback(flagged_frames(spark, sf))
+    """D2 union D5 (J2). The flagged frames feed three branches (kept rows,
+    per-video counts, fallback rows): materialise them once in the shared
+    checkpoint folder rather than re-running the frame chain per branch."""
+    from keelson.session import cut_lineage
+    return Q.with_fallback(cut_lineage(flagged_frames(spark, sf)))
 
 
 # ---- C: per-frame scalars on frames_v ---------------------------------------
