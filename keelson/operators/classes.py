@@ -119,6 +119,23 @@ def fallback_risk(class_metrics: DataFrame, keys: list[str]) -> DataFrame:
                     .otherwise(F.lit(0.0)).alias("fallback_risk"))
 
 
+def asset_class_stats(class_metrics: DataFrame, keys: list[str], order: str = "live") -> DataFrame:
+    """F13 + F16 in one aggregation per asset: the fallback risk and the
+    primary issue (same rules as :func:`fallback_risk`, :func:`primary_issue`)."""
+    share = F.col("pixel_share_pct") / 100.0
+    rank = (F.struct(F.col("frames_present"), F.col("pixel_share_pct"), F.col("pixel_count"), -F.col("class_id"))
+            if order == "live" else
+            F.struct(F.col("pixel_share_pct"), F.col("frames_present"), F.col("pixel_count"), -F.col("class_id")))
+    g = class_metrics.groupBy(*keys).agg(
+        F.sum(share * RK.fallback_weight("class_name")).alias("_w"), F.sum(share).alias("_s"),
+        F.max(F.when(_defect_rows(class_metrics), F.struct(rank.alias("r"), F.col("class_name_ru").alias("n"))))["n"].alias("_d"),
+        F.max(F.when(F.col("class_name") != "Void", F.struct(rank.alias("r"), F.col("class_name_ru").alias("n"))))["n"].alias("_a"))
+    pick = F.col("_d") if order == "live" else F.coalesce(F.col("_d"), F.col("_a"))
+    return g.select(*keys, F.when(F.col("_s") != 0, rnd(F.col("_w") / F.greatest(F.col("_s"), F.lit(1e-6)), 3))
+                    .otherwise(F.lit(0.0)).alias("fallback_risk"),
+                    F.coalesce(pick, F.lit(K.NO_ISSUE_LABEL)).alias("primary_issue"))
+
+
 def _defect_rows(class_metrics: DataFrame) -> Column:
     return (~F.col("class_name").isin(*K.NON_DEFECT_NAMES)) & ((F.col("frames_present") > 0) | (F.col("pixel_share_pct") > 0))
 

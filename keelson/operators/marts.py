@@ -134,7 +134,9 @@ class Marts:
 
     @cached_property
     def _runs_raw(self) -> DataFrame:
-        nframes = self.frames.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_frames"))
+        # frame count and mean risk (F12) in one pass over the frames
+        nframes = self.frames.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_frames"),
+                                                 rnd(F.avg("risk_score"), 3).alias("_avg"))
         a = self.asset_lines.withColumn("updated_at_epoch", F.unix_timestamp("updated_at")) \
             .withColumn("updated_at_iso", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss"))
         r = a.join(nframes, KEYS)
@@ -146,11 +148,8 @@ class Marts:
     @cached_property
     def runs(self) -> DataFrame:
         """L1."""
-        risk = OC.asset_risk(self.frames, key=KEYS)
-        fb = OC.fallback_risk(self.class_metrics, KEYS)
-        issue = OC.primary_issue(self.class_metrics, KEYS, "live")
-        r = (self._runs_raw.join(risk.select(*KEYS, F.col("risk_score").alias("_avg")), KEYS, "left")
-                 .join(fb, KEYS, "left").join(issue, KEYS, "left"))
+        stats = OC.asset_class_stats(self.class_metrics, KEYS, "live")      # F13 + F16
+        r = self._runs_raw.join(stats, KEYS, "left")
         video = F.col("kind") == "video"
         vc = RK.effective_video_counts("extracted_frames", F.lit(0), F.lit(0), F.lit(0), "segmented_frames_raw",
                                        "inference_wall_seconds", "pipeline_wall_seconds")
