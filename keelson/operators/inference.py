@@ -60,18 +60,6 @@ PREPROCESSED = T.StructType([T.StructField("frame_id", T.LongType()), T.StructFi
                              T.StructField("error", T.StringType())])
 
 
-def _area_resize(a: np.ndarray, w: int, h: int) -> np.ndarray:
-    """Area (box) resize: each output pixel is the mean of its source box."""
-    ys = np.linspace(0, a.shape[0], h + 1).astype(int)
-    xs = np.linspace(0, a.shape[1], w + 1).astype(int)
-    out = np.empty((h, w))
-    for i in range(h):
-        for j in range(w):
-            box = a[ys[i]:max(ys[i + 1], ys[i] + 1), xs[j]:max(xs[j + 1], xs[j] + 1)]
-            out[i, j] = box.mean()
-    return out
-
-
 def preprocess_frames(df: DataFrame, decode_fn: Callable[[bytes], np.ndarray | None],
                       crop: tuple[float, float, float, float] = (0.05, 0.10, 0.95, 0.90),
                       width: int = 256, height: int = 256, id_col: str = "frame_id",
@@ -82,6 +70,17 @@ def preprocess_frames(df: DataFrame, decode_fn: Callable[[bytes], np.ndarray | N
     executors; the crop ratios and size travel in the closure."""
     x1r, y1r, x2r, y2r = crop
 
+    def _area_resize(a: np.ndarray, w: int, h: int) -> np.ndarray:
+        """Area (box) resize: each output pixel is the mean of its source box."""
+        ys = np.linspace(0, a.shape[0], h + 1).astype(int)
+        xs = np.linspace(0, a.shape[1], w + 1).astype(int)
+        out = np.empty((h, w))
+        for i in range(h):
+            for j in range(w):
+                box = a[ys[i]:max(ys[i + 1], ys[i] + 1), xs[j]:max(xs[j + 1], xs[j] + 1)]
+                out[i, j] = box.mean()
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []

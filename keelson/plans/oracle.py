@@ -1155,3 +1155,19 @@ UNION ALL SELECT f.video_id, f.frame_idx, 'fill' FROM fill f LEFT JOIN nchosen n
 
 oracle("h6_select_representative", ["cand_v"], selection_sql(K.TARGET_FRAMES, K.COVERAGE_BUCKETS, K.FRAMES_PER_BUCKET))
 oracle("h1_select_compact", ["cand_v"], selection_sql(16, 6, 3))
+
+
+# ---- streaming operators (outputs of completed availableNow runs) -------------
+
+oracle("m2_stream_duplicates", ["dedup_v"], """
+SELECT video_id, frame_idx, quality_ok, hamming_to_prev, is_duplicate FROM dedup_v""")
+
+oracle("m4_stream_daily_counts", [], """
+SELECT day_start, event_type, n FROM (
+  SELECT time_bucket(INTERVAL 1 DAY, CAST(ts AS TIMESTAMP)) AS day_start, event_type, count(*) AS n
+  FROM events GROUP BY ALL)
+WHERE day_start + INTERVAL 1 DAY <= (SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 1 DAY FROM events)""")
+
+oracle("m5_stream_latest_run", ["runs_v"], """
+SELECT kind, asset_id, run_id, updated_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY kind ORDER BY updated_at DESC, run_id DESC) AS r FROM runs_v) WHERE r = 1""")

@@ -53,11 +53,11 @@ DEDUP_OUT = T.StructType([T.StructField("video_id", T.LongType()), T.StructField
 DEDUP_STATE = T.StructType([T.StructField("prev", T.LongType())])
 
 
-def _popcount(a: int, b: int) -> int:
-    return bin((a ^ b) & 0xFFFFFFFFFFFFFFFF).count("1")
-
-
 def _dedup_state(threshold: int):
+    # self-contained closure: the executors unpickle it without importing keelson
+    def _popcount(a: int, b: int) -> int:
+        return bin((a ^ b) & 0xFFFFFFFFFFFFFFFF).count("1")
+
     def fn(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         prev = state.get[0] if state.exists else None
         rows = []
