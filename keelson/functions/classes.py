@@ -88,9 +88,11 @@ def class_ids(names) -> Column:
 
 def ratios(counts) -> Column:
     """Class -> count map to class -> count / total, 6 decimals; keys kept."""
+    from keelson.functions.frames import let
     c = _c(counts)
     total = F.aggregate(F.map_values(c), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return F.transform_values(c, lambda k, v: F.when(total > 0, rnd(v / total, 6)).otherwise(F.lit(0.0)))
+    # the total is bound once, not re-summed for every entry
+    return let(total, lambda t: F.transform_values(c, lambda k, v: F.when(t > 0, rnd(v / t, 6)).otherwise(F.lit(0.0))))
 
 
 def visible_pixels(counts) -> Column:

@@ -26,16 +26,19 @@ def risk_score(ratios) -> Column:
     """Risk of a frame from its class -> ratio map (keys in ascending
     order): sum of ratio * weight over visible classes with ratio > 0, plus a
     coverage bonus, corrosion bonus and class-8 bonus; capped, 3 decimals."""
+    from keelson.functions.frames import let
     r = _c(ratios)
-    visible = F.map_filter(r, lambda k, v: (~k.isin(*K.VISIBLE_EXCLUDED_IDS)) & (v > 0))
-    weighted = F.aggregate(F.map_entries(visible), F.lit(0.0),
-                           lambda acc, e: acc + e["value"] * risk_weight(e["key"]))
-    active = F.size(F.map_keys(visible))
-    coverage = F.least(F.lit(K.COVERAGE_BONUS_CAP), active * K.COVERAGE_BONUS_STEP)
     corrosion = F.least(F.lit(K.CORROSION_BONUS_CAP), F.coalesce(F.element_at(r, F.lit(9)), F.lit(0.0)) * K.CORROSION_BONUS_FACTOR)
     defect8 = F.least(F.lit(K.DEFECT8_BONUS_CAP), F.coalesce(F.element_at(r, F.lit(8)), F.lit(0.0)) * K.DEFECT8_BONUS_FACTOR)
-    total = F.coalesce(weighted, F.lit(0.0)) + coverage + corrosion + defect8
-    return rnd(F.least(F.lit(K.RISK_CAP), total), 3)
+
+    def score(visible):
+        weighted = F.aggregate(visible, F.lit(0.0), lambda acc, e: acc + e["value"] * risk_weight(e["key"]))
+        coverage = F.least(F.lit(K.COVERAGE_BONUS_CAP), F.size(visible) * K.COVERAGE_BONUS_STEP)
+        total = F.coalesce(weighted, F.lit(0.0)) + coverage + corrosion + defect8
+        return rnd(F.least(F.lit(K.RISK_CAP), total), 3)
+
+    # visible classes with a positive ratio, bound once (entries in key order)
+    return let(F.filter(F.map_entries(r), lambda e: (~e["key"].isin(*K.VISIBLE_EXCLUDED_IDS)) & (e["value"] > 0)), score)
 
 
 def _three_way(score, cuts, labels, high_inclusive=True) -> Column:
