@@ -62,7 +62,10 @@ def ordinal(df: DataFrame, key: str, order: list[str], name: str = "rn", start:
     sizes = sizes.select(key, "_chunk", "_off", *[f"{c}_first" for c in group_min])
     inside = Window.partitionBy(key, "_chunk").orderBy(*order)
     d = d.withColumn("_local", F.row_number().over(inside))
-    out = d.join(sizes, [key, "_chunk"])
+    # merge join on (key, chunk): the big side keeps the window's partitioning
+    # and order (no shuffle, no sort), so a hot key stays spread; the summary
+    # side is never assumed small enough to broadcast
+    out = d.join(sizes.hint("shuffle_merge"), [key, "_chunk"])
     out = out.withColumn(name, (F.col("_local") + F.col("_off") + F.lit(start - 1)).cast("bigint")).drop("_local", "_off")
     return out.withColumnRenamed("_chunk", keep_chunk) if keep_chunk else out.drop("_chunk")
 
@@ -87,7 +90,7 @@ def last_before(df: DataFrame, key: str, rn: str, value: Column | str, name: str
         F.max(F.when(F.col("_v").isNotNull(), F.struct(F.col(rn).alias("r"), F.col("_v").alias("v"))))["v"].alias("_tail"))
     earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(earlier)).select(key, "_chunk", "_carry")
-    d = d.join(carry, [key, "_chunk"], "left")
+    d = d.join(carry.hint("shuffle_merge"), [key, "_chunk"], "left")
     return d.withColumn(name, F.coalesce("_local", "_carry")).drop("_chunk", "_v", "_local", "_carry")
 
 
@@ -101,5 +104,5 @@ def running_sum(df: DataFrame, key: str, order: list[str], value: Column | str,
     earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_off", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).select(key, "_chunk", "_off")
     inside = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_local", F.sum("_v").over(inside)).join(sums, [key, "_chunk"])
+    d = d.withColumn("_local", F.sum("_v").over(inside)).join(sums.hint("shuffle_merge"), [key, "_chunk"])
     return d.withColumn(name, F.col("_local") + F.col("_off")).drop("_chunk", "_v", "_local", "_off")
