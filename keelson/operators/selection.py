@@ -51,9 +51,13 @@ def add_buckets(df: DataFrame, buckets: int, key: str = "video_id", order: str =
 
 def bucket_rank(df: DataFrame, key: str = "video_id") -> DataFrame:
     """Rank inside (video, bucket) by (quality score, frame_idx) desc.
-    Reporting helper; the selection itself never needs the full rank."""
-    w = Window.partitionBy(key, "bucket").orderBy(F.col("score").desc(), F.col("frame_idx").desc())
-    return df.withColumn("bucket_rank", F.row_number().over(w))
+    Reporting helper; the selection itself never needs the full rank. A
+    bucket of a hot video can be large, so the rank is a chunked ordinal:
+    chunks are whole score units, -floor(score) grows along the order."""
+    d = (df.withColumn("_vb", F.concat_ws("|", F.col(key).cast("string"), F.col("bucket").cast("string")))
+           .withColumn("_ns", -F.col("score")).withColumn("_nf", -F.col("frame_idx")))
+    d = ordinal(d, "_vb", ["_ns", "_nf"], name="bucket_rank", chunk=(-F.floor(F.col("score"))).cast("bigint"))
+    return d.drop("_vb", "_ns", "_nf")
 
 
 def _compatible(acc: Column, f: Column, h: Column, gap: int, dist: int | None) -> Column:
