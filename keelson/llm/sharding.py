@@ -107,7 +107,7 @@ def shard(rows: DataFrame, key: list[str], n_shards: int, vnodes: int = VNODES)
     first = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(RUN).cast("long"))
     each = numbered.withColumn("_i", F.explode(first))  # by RUN rows, so that no array is long
     last = F.least(F.col("_n"), F.col("_i") + RUN) - 1
-    each = each.withColumn("_nth", F.col("_from") + F.explode(F.sequence("_i", last)))
+    each = each.withColumn("_j", F.explode(F.sequence("_i", last))).withColumn("_nth", F.col("_from") + F.col("_j"))
     hit = (F.col("_cell") == F.col("_c")) & (F.col("_nth") >= F.col("_first")) & (F.col("_nth") < F.col("_end"))
     # the plan has at most a few ranges a cell: its size is bounded by CELLS
     return each.join(F.broadcast(ranges), hit).select(
