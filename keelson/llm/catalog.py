@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from . import chat, lines, pieces
 from .mixing import op8_mixing
 from .sharding import op10_sharding
 
 QUERIES = {
+    "op4_line_dedup": lines.op4_line_dedup,
+    "op5_chat_formatting": chat.op5_chat_formatting,
+    "op6_pieces": pieces.op6_pieces,
     "op8_mixing": op8_mixing,
     "op10_sharding": op10_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_line_dedup": lines.ORACLE_SQL,
+    "op5_chat_formatting": chat.ORACLE_SQL,
+}
