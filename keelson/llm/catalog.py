@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, lines, pieces
+from . import chat, chunks, lines, pieces, repetition
 from .mixing import op8_mixing
 from .sharding import op10_sharding
 
 QUERIES = {
+    "op2_substring_dedup": chunks.op2_substring_dedup,
+    "op3_repetition": repetition.op3_repetition,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_pieces": pieces.op6_pieces,
