@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chunks, lines, pieces, repetition
+from . import chat, chunks, lines, pieces, repetition, warc
 from .mixing import op8_mixing
 from .sharding import op10_sharding
 
@@ -13,10 +13,12 @@ QUERIES = {
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_pieces": pieces.op6_pieces,
     "op8_mixing": op8_mixing,
+    "op9_warc": warc.op9_warc,
     "op10_sharding": op10_sharding,
 }
 
 ORACLE: dict[str, str] = {
     "op4_line_dedup": lines.ORACLE_SQL,
     "op5_chat_formatting": chat.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
 }
