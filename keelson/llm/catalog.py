@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chunks, lines, pieces, repetition, warc
+from . import chat, chunks, jaccard, lines, pieces, repetition, warc
 from .mixing import op8_mixing
 from .sharding import op10_sharding
 
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_pieces": pieces.op6_pieces,
+    "op7_jaccard": jaccard.op7_jaccard,
     "op8_mixing": op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_sharding": op10_sharding,
