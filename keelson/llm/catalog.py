@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, chunks, jaccard, lines, pieces, repetition, warc
+from . import chat, chunks, jaccard, lines, neighbours, pieces, repetition, warc
 from .mixing import op8_mixing
 from .sharding import op10_sharding
 
 QUERIES = {
+    "op1_neighbours": neighbours.op1_neighbours,
     "op2_substring_dedup": chunks.op2_substring_dedup,
     "op3_repetition": repetition.op3_repetition,
     "op4_line_dedup": lines.op4_line_dedup,
