@@ -11,7 +11,11 @@ from keelson.llm import stages
 from keelson.llm.common import cut, read
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", stages.quality_rules),
+    ("line_dedup", stages.line_dedup),
+    ("jaccard_join", stages.jaccard_join),
     ("mixing", stages.mixing),
+    ("pieces", stages.encoding),
 ]
 
 #: Hash thresholds and token ids are not SQL; tests hold run() against brute force.

@@ -102,7 +102,7 @@ def mix(x):
 
 
 def sets(docs: DataFrame, text: str, key: str, size: int, percent: int, front: float) -> DataFrame:
-    """Per row: id, n (shingles), sid (hash of the set), the tokens that may be in
+    """Per row: id, th (text's hash), n (shingles), sid (hash of the set), the tokens that may be in
     its prefix: those of the front zone, then as many more as a prefix needs."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -111,7 +111,8 @@ def sets(docs: DataFrame, text: str, key: str, size: int, percent: int, front: f
         shingles, edge = Shingler(size), np.uint64(int(front * 2 ** 64))
         for b in batches:
             for first in range(0, b.num_rows, 256):
-                ids, texts = b.column(0).slice(first, 256), b.column(1).slice(first, 256).to_pylist()
+                part = b.slice(first, 256)
+                texts = part.column(2).to_pylist()
                 ns, sids, fronts, parts = [], [], [], []
                 for t in texts:
                     s = shingles(t)
@@ -123,12 +124,12 @@ def sets(docs: DataFrame, text: str, key: str, size: int, percent: int, front: f
                     parts.append(s[:max(inside, prefix)].view(np.int64))
                 at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.array(fronts, pa.int64()),
+                    [part.column(0), part.column(1), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.array(fronts, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts)))],
-                    names=["id", "n", "sid", "inside", "tokens"])
+                    names=["id", "th", "n", "sid", "inside", "tokens"])
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(
-        run, "id long, n long, sid long, inside long, tokens array<long>")
+    return docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(
+        run, "id long, th long, n long, sid long, inside long, tokens array<long>")
 
 
 def fronts(rows: DataFrame, percent: int) -> DataFrame:
@@ -347,7 +348,7 @@ def full_sets(docs: DataFrame, text: str, key: str, rows: DataFrame, front: Data
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, percent: int = 90) -> DataFrame:
-    """One row per row of ``docs``: id, n (distinct shingles), sid, component
+    """One row per row of ``docs``: id, th (text's hash), n (distinct shingles), sid, component
     (smallest id linked with it, over any number of links)."""
     spark = docs.sparkSession
     rows = cut(sets(docs, text, key, size, percent, min(1.0, FRONT * (100 - percent) / 100)))
@@ -363,8 +364,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     per = rows.groupBy("sid").agg(F.min("id").alias("least")).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     whole = per.filter("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("all_least"))
     per = per.join(whole, "label", "left").select("sid", F.coalesce("all_least", "least").alias("least"))
-    out = rows.select("id", "n", "sid").join(per, "sid")
-    return out.select("id", "n", "sid", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component"))
+    out = rows.select("id", "th", "n", "sid").join(per, "sid")
+    return out.select("id", "th", "n", "sid", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component"))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

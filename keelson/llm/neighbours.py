@@ -38,6 +38,7 @@ SAMPLE = 16_384  # vectors that the trees are fitted on, at most
 TREES = 16
 LEAF = 32        # sample vectors of a leaf, at most
 EFFORT = 1.0     # of the index that the leaves of a query hold, counted with repeats over all trees
+TAKEN = 1_500    # sample vectors that the leaves of a query hold at least, counted likewise
 BLOCK = 8_192    # rows of a block
 PARTS = 16       # parts by which the meeting leaves are gathered
 SPARE = 16       # candidates of a block whose scores are taken again by one fixed sum
@@ -105,7 +106,7 @@ class Forest:
         margins = [normals @ q - cuts for normals, cuts, _, _ in self.trees]
         queue = [(-np.inf, t, tree[3]) for t, tree in enumerate(self.trees)]
         heapq.heapify(queue)
-        left = effort * sum(self.held[0])
+        left = max(TAKEN, effort * sum(self.held[0]))
         while queue and left > 0:
             worst, t, node = heapq.heappop(queue)
             if node < 0:

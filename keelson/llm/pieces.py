@@ -21,6 +21,8 @@ import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read
 
@@ -97,20 +99,21 @@ class Pieces:
         for i, ns in enumerate(shorter):
             if ns:
                 longest[i] = ns[-1]
-        failed = 0  # bit i: no way leads on from position i
+        failed = bytearray(len(text) // 8 + 1)  # bit i: no way leads on from position i
         out: list[str] = []
         at, size = 0, longest[0]
         while at < len(text):
             while True:
                 piece = text[at:at + size]
-                if not failed >> (at + size) & 1 and (not out or self._fit(out[-1], piece)):
+                to = at + size
+                if not failed[to >> 3] >> (to & 7) & 1 and (not out or self._fit(out[-1], piece)):
                     out.append(piece)
                     at += size
                     size = longest[at] if at < len(text) else 0
                     break
                 size = max((n for n in shorter[at] if n < size), default=0)
                 if not size:  # go back and try the last piece's prefixes
-                    failed |= 1 << at
+                    failed[at >> 3] |= 1 << (at & 7)
                     size = len(out.pop())
                     at -= size
                     break
@@ -214,12 +217,15 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: bo
     digests of the ids and of the decoded text (if asked for)."""
     model = model_bytes(path)
     keep = [c for c in docs.columns if c != text]
-    made = ["n_tokens long"] + ["ids array<int>"] * ids + ["ids_sha256 string", "decoded_sha256 string"] * digests
-    if clash := {m.split()[0] for m in made} & set(keep):
-        docs, keep = docs.drop(*clash), [c for c in keep if c not in clash]
-    schema = docs.select(*keep).schema
-    for m in made:
-        schema = schema.add(m.split()[0], m.split()[1])
+    made = {"n_tokens": T.LongType()}
+    if ids:
+        made["ids"] = T.ArrayType(T.IntegerType())
+    if digests:
+        made |= {"ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    keep = [c for c in keep if c not in made]  # a column of such a name gives way
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
+    for name, kind in made.items():
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -245,7 +251,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: bo
                     names += ["ids_sha256", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return docs.withColumnRenamed(text, "_piece_text").select(*keep, "_piece_text").mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_piece_text")).mapInArrow(run, schema)
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

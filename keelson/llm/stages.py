@@ -1,14 +1,50 @@
 """The pipeline's stages: each takes (spark, docs, sf_dir) and returns rows
-of ``documents``' columns (the last one: the encoded documents)."""
+with the columns of ``docs`` (the last one: the encoded documents)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prepare, words
+from . import jaccard, pieces, repetition
+from .common import cut, prepare, words
+from .lines import remove_boilerplate
 from .mixing import mix
 
+SHINGLE, PERCENT = 5, 80  # near duplicates of the pipeline
+
+
+def _like(made: DataFrame, docs: DataFrame) -> DataFrame:
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the base rule and the repetition limits keep."""
+    return repetition.keep_good(spark, docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand on many sites. One of which all
+    lines with a word went (a copy of text kept elsewhere) goes itself."""
+    prepare(spark)
+    made = remove_boilerplate(docs)
+    return _like(made.filter((F.col("_line_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays, the one with the smallest id; one
+    that links with nothing stays. Of rows equal in id and text one stays."""
+    prepare(spark)
+    found = jaccard.classes(docs, size=SHINGLE, percent=PERCENT)
+    # a null id in a component without ids is its own smallest
+    keep = cut(found.filter(F.col("id").eqNullSafe(F.col("component")))
+               .select(F.col("id").alias("_jac_id"), F.col("th").alias("_jac_th")).distinct())
+    hashed = docs.withColumn("_jac_text", F.xxhash64("text"))
+    stay = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col("_jac_id")) & (F.col("_jac_text") == F.col("_jac_th")), "left_semi")
+    once = stay.withColumn("_jac_nth", F.row_number().over(W.partitionBy("doc_id", "_jac_text").orderBy("doc_id")))
+    return _like(once.filter("_jac_nth = 1"), docs)
+
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the mix takes, each as often as it takes it."""
@@ -16,4 +52,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sized = docs.withColumn("_mix_size", words(F.col("text")))
     mixed = mix(sized, "source", "_mix_size", ["doc_id", "text"], "doc_id", prefix="_mix_")
     again = F.explode(F.array_repeat(F.lit(0), F.col("_mix_times").cast("int")))
-    return mixed.withColumn("_mix_copy", again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _like(mixed.withColumn("_mix_copy", again), docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's columns but the text, with n_tokens and its token ids."""
+    prepare(spark)
+    return pieces.encode(docs)
