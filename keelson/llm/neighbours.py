@@ -19,8 +19,8 @@ blocks; a block holds ``BLOCK`` rows and answers ``BLOCK`` queries at a time.
 
 Defined results: vectors that are null, zero, hold null or non-finite
 components, have a null id or another length than most take no part; equal
-scores go by smaller id; rows of one id are one candidate and a query never
-finds its own id; fewer candidates give fewer rows; no vectors give no rows.
+scores go by smaller id; rows of one id are one candidate, equal rows one
+query, and a query never finds its own id; fewer candidates give fewer rows; no vectors give no rows.
 """
 
 from __future__ import annotations
@@ -257,7 +257,7 @@ def nearest(table: DataFrame, queries, key: str = "vec_id", vector: str = "embed
     order = W.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
     top = best.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1)
     lists = top.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("found"))
-    members = rows.filter(queries).join(asking.select(F.col("v").alias("_v"), "rep"), F.col("v") == F.col("_v")).select("id", "rep")
+    members = rows.filter(queries).distinct().join(asking.select(F.col("v").alias("_v"), "rep"), F.col("v") == F.col("_v")).select("id", "rep")
     others = members.join(lists, "rep").select(F.col("id").alias("query_id"), F.slice(
         F.filter("found", lambda f: f["vec_id"] != F.col("id")), 1, k).alias("found"))
     return others.select("query_id", F.posexplode("found").alias("pos", "f")).select(

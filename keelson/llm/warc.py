@@ -151,9 +151,11 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: WarcFile) -> Iterator:
+    def read(self, partition: WarcFile | None) -> Iterator:
         import pyarrow as pa
 
+        if partition is None:  # no files, so no partitions
+            return
         types = pa.schema([(c, pa.binary() if c == "payload" else pa.string()) for c in self.columns])
         rows: dict[str, list] = {c: [] for c in self.columns}
         held = 0
