@@ -255,11 +255,16 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options, schema)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, where=None, payload: bool = True) -> DataFrame:
+    """The records under ``path`` that meet ``where`` (a condition on header
+    columns is pushed down). Spark 4.1 keeps the predicates that a query pushes
+    into a loaded source for the queries after it, so call this anew for
+    another condition and don't filter one result in two ways."""
     prepare(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("payload", json.dumps(payload)).load(path)
+    found = spark.read.format("warc").option("payload", json.dumps(payload)).load(path)
+    return found if where is None else found.filter(where)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,10 +277,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def number(c: str):
         return F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
-    found = read_warc(spark, path).filter(F.col("record_type") == "response").select(
+    found = read_warc(spark, path, F.col("record_type") == "response").select(
         number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    again = read_warc(spark, path, payload=False).filter(F.col("record_type") == "revisit").select(
+    again = read_warc(spark, path, F.col("record_type") == "revisit", payload=False).select(
         number("record_id").alias("page_id"), F.col("payload_length").cast("long").alias("payload_bytes"),
         F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
     return found.union(again)
