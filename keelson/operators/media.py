@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson import constants as K
-from keelson.operators.ordering import last_before, ordinal, running_sum, time_chunk
+from keelson.operators.ordering import MINUTE_MICROS, last_before, ordinal, running_sum, time_chunk
 
 
 def max_mtime(df: DataFrame, ts: str = "modificationTime") -> DataFrame:
@@ -33,9 +33,9 @@ def photos_newest(df: DataFrame, ts: str = "modificationTime", cols: list[str] |
 
 def risk_series(df: DataFrame, ts: str = "modificationTime", tie: str = "path") -> DataFrame:
     """Photos numbered oldest first (1..n) over the whole batch. The
-    position is a chunked global ordinal (hour chunks), not one task."""
+    position is a chunked global ordinal (chunks of a minute), not one task."""
     d = df.withColumn("_one", F.lit(1))
-    return ordinal(d, "_one", [ts, tie], name="photo_index", chunk=time_chunk(ts)).drop("_one")
+    return ordinal(d, "_one", [ts, tie], name="photo_index", chunk=time_chunk(ts, MINUTE_MICROS)).drop("_one")
 
 
 def existing_only(df: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
@@ -50,10 +50,10 @@ def burst_sessions(df: DataFrame, gap_sec: int = K.PHOTO_BATCH_WINDOW_SEC, ts: s
     photos). Previous time and the running burst number are chunked over the
     global order, so no single task sees every row."""
     d = df.select(ts, tie).withColumn("_one", F.lit(1))
-    d = ordinal(d, "_one", [ts, tie], name="_rn", chunk=time_chunk(ts), keep_chunk="_ck")
+    d = ordinal(d, "_one", [ts, tie], name="_rn", chunk=time_chunk(ts, MINUTE_MICROS), keep_chunk="_ck")
     d = last_before(d, "_one", "_rn", F.col(ts), "_prev", chunk="_ck")
     new = (F.col("_prev").isNull() | (F.unix_micros(F.col(ts).cast("timestamp"))
                                       - F.unix_micros(F.col("_prev").cast("timestamp")) > gap_sec * 1_000_000)).cast("int")
-    d = running_sum(d.withColumn("_new", new), "_one", [ts, tie], "_new", "session_no", chunk=F.col("_ck"))
+    d = running_sum(d.withColumn("_new", new), "_one", [ts, tie], "_new", "session_no", chunk="_ck")
     return d.groupBy("session_no").agg(F.min(ts).alias("session_start"), F.max(ts).alias("session_end"),
                                        F.count(F.lit(1)).alias("photos"))

@@ -18,7 +18,8 @@ Both are deterministic (no sampling, no partition ids), need no
 materialisation, and when two steps use the same chunk column the second
 window reuses the first one's partitioning (no extra shuffle).
 
-The order columns must make rows unique within a key.
+The order columns must make rows unique within a key. A null key is a key of
+its own; rows with a null order value come first within their key.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 DEFAULT_CHUNK_ROWS = 1 << 16
 HOUR_MICROS = 3_600_000_000
+MINUTE_MICROS = 60_000_000
+FIRST_CHUNK = -(1 << 62)  # of rows whose order value is null
 
 
 def time_chunk(ts: Column | str, micros: int = HOUR_MICROS) -> Column:
@@ -42,67 +45,81 @@ def index_chunk(idx: Column | str, rows: int = DEFAULT_CHUNK_ROWS) -> Column:
     return F.floor(i / rows).cast("bigint")
 
 
+def chunk_of(key: str, chunk: Column | None) -> Column:
+    """The (key, chunk) a row belongs to, as one struct. A struct is never
+    null and compares its null fields as equal, so rows with a null key or a
+    null order value (sorted first, like in a window) join like all others."""
+    c = F.lit(0) if chunk is None else F.coalesce(chunk, F.lit(FIRST_CHUNK))
+    return F.struct(F.col(key).alias("k"), c.cast("bigint").alias("c"))
+
+
+def _earlier(partition: str = "_chunk.k"):
+    return Window.partitionBy(partition).orderBy("_chunk.c").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def ordinal(df: DataFrame, key: str, order: list[str], name: str = "rn", start: int = 1,
             chunk: Column | None = None, group_min: list[str] | None = None,
-            keep_chunk: str | None = None) -> DataFrame:
+            keep_chunk: str | None = None, total: str | None = None) -> DataFrame:
     """Add ``name`` = position of each row within ``key`` by ``order``
-    (starting at ``start``). ``chunk`` must be non-decreasing along
-    ``order`` within a key; without it the whole key is one chunk (a plain
-    window). ``group_min`` columns get a ``<col>_first`` companion: their
-    minimum over the key. ``keep_chunk`` keeps the chunk column under that
-    name so a following step can reuse the partitioning."""
+    (starting at ``start``; nulls first). ``chunk`` must be non-decreasing
+    along ``order`` within a key; without it the whole key is one chunk (a
+    plain window). ``group_min`` columns get a ``<col>_first`` companion:
+    their minimum over the key; ``total`` names a column for the key's row
+    count (both come from the chunk summaries, so the big side keeps its
+    partitioning). ``keep_chunk`` keeps the chunk column under that name so a
+    following step can reuse the partitioning."""
     group_min = group_min or []
-    d = df.withColumn("_chunk", F.lit(0).cast("bigint") if chunk is None else chunk)
-    sizes = d.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(f"_m_{c}") for c in group_min])
-    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(key)
-    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("bigint"))
+    d = df.withColumn("_chunk", chunk_of(key, chunk))
+    sizes = d.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(f"_m_{c}") for c in group_min])
+    whole = Window.partitionBy("_chunk.k")
+    extra = [f"{c}_first" for c in group_min]
+    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)).cast("bigint"))
     for c in group_min:
         sizes = sizes.withColumn(f"{c}_first", F.min(f"_m_{c}").over(whole))
-    sizes = sizes.select(key, "_chunk", "_off", *[f"{c}_first" for c in group_min])
-    inside = Window.partitionBy(key, "_chunk").orderBy(*order)
+    if total:
+        sizes = sizes.withColumn(total, F.sum("_n").over(whole).cast("bigint"))
+        extra.append(total)
+    sizes = sizes.select("_chunk", "_off", *extra)
+    inside = Window.partitionBy("_chunk").orderBy(*order)
     d = d.withColumn("_local", F.row_number().over(inside))
-    # merge join on (key, chunk): the big side keeps the window's partitioning
+    # merge join on the chunk: the big side keeps the window's partitioning
     # and order (no shuffle, no sort), so a hot key stays spread; the summary
     # side is never assumed small enough to broadcast
-    out = d.join(sizes.hint("shuffle_merge"), [key, "_chunk"])
+    out = d.join(sizes.hint("shuffle_merge"), "_chunk")
     out = out.withColumn(name, (F.col("_local") + F.col("_off") + F.lit(start - 1)).cast("bigint")).drop("_local", "_off")
     return out.withColumnRenamed("_chunk", keep_chunk) if keep_chunk else out.drop("_chunk")
 
 
 def last_before(df: DataFrame, key: str, rn: str, value: Column | str, name: str,
-                chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk: Column | str | None = None) -> DataFrame:
+                chunk_rows: int = DEFAULT_CHUNK_ROWS, chunk: str | None = None) -> DataFrame:
     """``name`` = ``value`` of the nearest row with smaller ``rn`` in the same
-    ``key`` where ``value`` is not null. ``chunk`` (non-decreasing in
-    ``rn``) defaults to blocks of ``chunk_rows`` positions of a dense
-    ``rn``."""
+    ``key`` where ``value`` is not null. ``chunk`` names a column that
+    :func:`ordinal` kept; without it chunks are blocks of ``chunk_rows``
+    positions of a dense ``rn``."""
     v = F.col(value) if isinstance(value, str) else value
-    if chunk is None:
-        ch = index_chunk(F.col(rn) - 1, chunk_rows)
-    else:
-        ch = F.col(chunk) if isinstance(chunk, str) else chunk
+    ch = F.col(chunk) if chunk else chunk_of(key, index_chunk(F.col(rn) - 1, chunk_rows))
     d = df.withColumn("_chunk", ch).withColumn("_v", v)
-    inside = Window.partitionBy(key, "_chunk").orderBy(rn).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_chunk").orderBy(rn).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_local", F.last("_v", ignorenulls=True).over(inside))
     # one summary row per chunk (its last non-null value, maybe null); carry
     # the latest earlier tail forward over the key's chunks
-    tails = d.groupBy(key, "_chunk").agg(
+    tails = d.groupBy("_chunk").agg(
         F.max(F.when(F.col("_v").isNotNull(), F.struct(F.col(rn).alias("r"), F.col("_v").alias("v"))))["v"].alias("_tail"))
-    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(earlier)).select(key, "_chunk", "_carry")
-    d = d.join(carry.hint("shuffle_merge"), [key, "_chunk"], "left")
+    carry = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(_earlier())).select("_chunk", "_carry")
+    d = d.join(carry.hint("shuffle_merge"), "_chunk", "left")
     return d.withColumn(name, F.coalesce("_local", "_carry")).drop("_chunk", "_v", "_local", "_carry")
 
 
 def running_sum(df: DataFrame, key: str, order: list[str], value: Column | str, name: str,
-                chunk: Column | None = None) -> DataFrame:
+                chunk: Column | str | None = None) -> DataFrame:
     """``name`` = sum of ``value`` over the key's rows up to and including
-    this one (by ``order``), chunked like :func:`ordinal`."""
+    this one (by ``order``), chunked like :func:`ordinal`; a ``chunk`` given
+    by name is a column that :func:`ordinal` kept."""
     v = F.col(value) if isinstance(value, str) else value
-    d = df.withColumn("_chunk", F.lit(0).cast("bigint") if chunk is None else chunk).withColumn("_v", v)
-    sums = d.groupBy(key, "_chunk").agg(F.sum("_v").alias("_s"))
-    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_off", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).select(key, "_chunk", "_off")
-    inside = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_local", F.sum("_v").over(inside)).join(sums.hint("shuffle_merge"), [key, "_chunk"])
-    return d.withColumn(name, F.col("_local") + F.col("_off")).drop("_chunk", "_v", "_local", "_off")
+    ch = F.col(chunk) if isinstance(chunk, str) else chunk_of(key, chunk)
+    d = df.withColumn("_chunk", ch).withColumn("_v", v)
+    sums = d.groupBy("_chunk").agg(F.sum("_v").alias("_s"))
+    sums = sums.withColumn("_off", F.coalesce(F.sum("_s").over(_earlier()), F.lit(0))).select("_chunk", "_off")
+    inside = Window.partitionBy("_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_local", F.sum("_v").over(inside)).join(sums.hint("shuffle_merge"), "_chunk")
+    return d.withColumn(name, F.coalesce("_local", F.lit(0)) + F.col("_off")).drop("_chunk", "_v", "_local", "_off")

@@ -55,11 +55,11 @@ def with_fallback(df: DataFrame, n: int = K.FALLBACK_FRAMES, key: str = "video_i
     passing = F.col("quality_ok") & ~F.col("is_duplicate")
     normal = df.where(passing).withColumn("fallback_mode", F.lit("normal"))
     per_video = df.groupBy(key).agg(F.count_if(passing).alias("_kept"))
-    empty = per_video.where(F.col("_kept") == 0).select(key)
+    empty = per_video.where(F.col("_kept") == 0).select(F.col(key).alias("_empty"))
     # top-n per video by frame_idx: the row_number <= n filter lets Spark
     # insert a partial group limit before the shuffle
     first = Window.partitionBy(key).orderBy("frame_idx")
-    fallback = (df.join(empty, key, "left_semi").where(F.col("hash").isNotNull())
+    fallback = (df.join(empty, F.col(key).eqNullSafe(F.col("_empty")), "left_semi").where(F.col("hash").isNotNull())
                   .withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n).drop("_r")
                   .withColumn("quality_ok", F.lit(True)).withColumn("is_duplicate", F.lit(False))
                   .withColumn("prev_dhash", F.lit(None).cast("string"))

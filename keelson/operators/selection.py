@@ -43,9 +43,7 @@ def coverage_bucket(rn, total, buckets: int) -> Column:
 def add_buckets(df: DataFrame, buckets: int, key: str = "video_id", order: str = "frame_idx",
                 total_col: str = "_T") -> DataFrame:
     """G2 on a table: adds ``_rn`` (1-based), ``_T`` and ``bucket``."""
-    totals = df.groupBy(key).agg(F.count(F.lit(1)).alias(total_col))
-    d = ordinal(df, key, [order], name="_rn", chunk=index_chunk(order))
-    d = d.join(totals, key)
+    d = ordinal(df, key, [order], name="_rn", chunk=index_chunk(order), total=total_col)
     return d.withColumn("bucket", coverage_bucket("_rn", total_col, buckets))
 
 
@@ -158,17 +156,15 @@ def select_representative(cand: DataFrame, target: int = K.TARGET_FRAMES, bucket
     n_prefix = max(prefix or 64, 12 * k)
     keys = [key, "bucket"]
     base = cand.select(key, "frame_idx", "score", "hash")
-    totals = base.groupBy(key).agg(F.count(F.lit(1)).alias("_T"))
-    small = base.join(totals.where(F.col("_T") <= target), key, "left_semi") \
-        .select(key, "frame_idx", F.lit("all").alias("picked_by"))
-    big = base.join(totals.where(F.col("_T") > target), key)
-    big = ordinal(big, key, ["frame_idx"], name="_rn", chunk=index_chunk("frame_idx"))
-    big = big.withColumn("bucket", coverage_bucket("_rn", "_T", buckets)) \
+    base = ordinal(base, key, ["frame_idx"], name="_rn", chunk=index_chunk("frame_idx"), total="_T")
+    base = base.withColumn("bucket", coverage_bucket("_rn", "_T", buckets)) \
         .withColumn("_B", F.greatest(F.lit(1), F.least(F.lit(buckets), F.col("_T"))))
     # several branches read the bucketed candidates (prefix, sizes, the
     # unresolved check, the fill): materialise them once in the shared
     # checkpoint folder instead of recomputing the frame pipeline per branch
-    big = cut_lineage(big.select(key, "frame_idx", "score", "hash", "bucket", "_B", "_T"))
+    base = cut_lineage(base.select(key, "frame_idx", "score", "hash", "bucket", "_B", "_T"))
+    small = base.where(F.col("_T") <= target).select(key, "frame_idx", F.lit("all").alias("picked_by"))
+    big = base.where(F.col("_T") > target)
 
     # best-first prefix per bucket: row_number <= N is planned as a group limit
     rank = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("frame_idx").desc())
@@ -178,16 +174,15 @@ def select_representative(cand: DataFrame, target: int = K.TARGET_FRAMES, bucket
         F.col("_r"), F.struct(F.col("score").alias("s"), F.col("frame_idx").alias("f"), F.col("hash").alias("h")).alias("c"))))
         .alias("_p")).select(*keys, F.transform("_p", lambda e: e["c"]).alias("prefix"))
         .join(sizes, keys))
-    # one row per bucket; read by the check below and by the final plan
-    folded = cut_lineage(_fold_prefix(ranked, keys, k, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE))
+    folded = _fold_prefix(ranked, keys, k, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE)
     open_ = (F.col("h1_n") < k) & (F.col("_total") > n_prefix)
     picks = folded.where(~open_).select(*keys, "acc")
     unresolved = folded.where(open_).select(*keys)
-    if not unresolved.isEmpty():
-        # rare: H1 needs candidates beyond the prefix; finish those buckets
-        # exactly (restarting both walks from their full candidate lists)
-        rest_cand = big.join(unresolved, keys, "left_semi")
-        picks = picks.unionByName(pick_diverse(rest_cand, k, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE, tuple(keys)))
+    # H1 may need candidates beyond the prefix: such buckets are walked by
+    # rounds over all their candidates; where there are none, that side of the
+    # union is empty and AQE drops it
+    rest_cand = big.join(unresolved, keys, "left_semi")
+    picks = picks.unionByName(pick_diverse(rest_cand, k, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE, tuple(keys)))
     picks = picks.join(sizes.select(*keys, "_B"), keys)
     chosen = round_robin(picks, target, K.GLOBAL_MIN_DISTANCE, key)
     n = chosen.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
@@ -204,11 +199,9 @@ def story_frames(frames: DataFrame, target: int = 4, buckets: int = 4, key: str
     then fill to ``target`` by (risk, #classes) desc, frame_idx asc; at most
     ``target`` per asset. ``frames`` needs frame_idx, risk_score,
     predicted_class_ids. Returns frames rows with ``story_rank``."""
-    totals = frames.groupBy(key).agg(F.count(F.lit(1)).alias("_T"))
-    d = frames.join(totals, key)
-    small = d.where(F.col("_T") <= target).drop("_T").withColumn("story_pick", F.lit("all"))
-    big = d.where(F.col("_T") > target)
-    big = ordinal(big, key, ["frame_idx"], name="_rn", chunk=index_chunk("frame_idx")).withColumn("bucket", coverage_bucket("_rn", "_T", buckets))
+    d = ordinal(frames, key, ["frame_idx"], name="_rn", chunk=index_chunk("frame_idx"), total="_T")
+    small = d.where(F.col("_T") <= target).withColumn("story_pick", F.lit("all"))
+    big = d.where(F.col("_T") > target).withColumn("bucket", coverage_bucket("_rn", "_T", buckets))
     n_cls = F.size("predicted_class_ids")
     best_key = F.struct(F.col("risk_score"), n_cls, F.col("frame_idx"))
     best = big.groupBy(key, "bucket").agg(F.max(best_key)["frame_idx"].alias("frame_idx"))

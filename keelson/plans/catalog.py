@@ -945,7 +945,8 @@ def m2_stream_duplicates(spark, sf):
     path = frames.inputFiles()[0].rsplit("/", 1)[0]
     sdf = spark.readStream.schema(frames.schema).parquet(path)
     out = _run_to_table(ST.stream_duplicates(sdf), spark, "dups")
-    return out.select("video_id", "frame_idx", "quality_ok", "hamming_to_prev", "is_duplicate")
+    prev = F.when(F.col("quality_ok"), FR.hash_to_hex("prev_hash"))
+    return out.select("video_id", "frame_idx", "quality_ok", prev.alias("prev_dhash"), "hamming_to_prev", "is_duplicate")
 
 
 @query("m3_stream_bursts")

@@ -47,19 +47,28 @@ def get_spark(master: str | None = None, app: str = "keelson",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``. Only a local
+    session (one machine, one process) may leave it unset: it gets a fresh
+    scratch folder. On a cluster executors would write to disks of their own
+    and later reads would miss those files, so there an unset folder is an
+    error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="keelson-ckpt-", dir=os.environ.get("KEELSON_SCRATCH", "/tmp"))
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="keelson-ckpt-", dir=os.environ.get("KEELSON_SCRATCH"))
     sc.setCheckpointDir(configured)
     return configured
 
 
+#: Tables that cut_lineage wrote in this process, by application.
+_CUTS: dict[str, list[str]] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder
     (``spark.checkpoint.dir``) and read it back, so a lost executor
@@ -70,7 +79,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/keelson-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_cuts(spark: SparkSession) -> int:
+    """Delete the tables that :func:`cut_lineage` wrote in this application;
+    call it when no DataFrame that reads them is in use. Returns their number."""
+    paths = _CUTS.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
 
 
 _SHIPPED: set[int] = set()

@@ -29,8 +29,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from keelson import constants as K
+from keelson.functions import frames as FR
 from keelson.functions import text as TX
-from keelson.session import cut_lineage
 
 LISTING = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
                         T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
@@ -48,38 +48,46 @@ def ingest_files(spark: SparkSession, src: str, out: str, checkpoint: str, glob:
 
 
 DEDUP_OUT = T.StructType([T.StructField("video_id", T.LongType()), T.StructField("frame_idx", T.LongType()),
-                          T.StructField("quality_ok", T.BooleanType()), T.StructField("prev_hash", T.LongType()),
+                          T.StructField("quality_ok", T.BooleanType()), T.StructField("prev_hex", T.StringType()),
                           T.StructField("hamming_to_prev", T.IntegerType()), T.StructField("is_duplicate", T.BooleanType())])
-DEDUP_STATE = T.StructType([T.StructField("prev", T.LongType())])
+DEDUP_STATE = T.StructType([T.StructField("prev", T.StringType())])
 
 
 def _dedup_state(threshold: int):
     # self-contained closure: the executors unpickle it without importing keelson
-    def _popcount(a: int, b: int) -> int:
-        return bin((a ^ b) & 0xFFFFFFFFFFFFFFFF).count("1")
-
     def fn(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        # hashes travel as hex strings: a pandas column of longs with a null
+        # would turn into floats, which lose the low bits
         prev = state.get[0] if state.exists else None
-        rows = []
-        pdf = pd.concat(list(batches)).sort_values("frame_idx")
-        for fi, ok, h in zip(pdf["frame_idx"], pdf["quality_ok"], pdf["hash"]):
-            h = None if pd.isna(h) else int(h)
-            ham = _popcount(h, prev) if (prev is not None and h is not None) else None
-            rows.append((int(key[0]), int(fi), bool(ok), prev, ham, bool(prev is not None and ham is not None and ham <= threshold)))
-            if ok:
+        frames = pd.concat(list(batches)).sort_values("frame_idx")
+        prevs, distances, duplicates = [], [], []
+        for ok, h in zip(frames["quality_ok"], frames["hex"], strict=True):
+            ham = (int(h, 16) ^ int(prev, 16)).bit_count() if prev is not None and h is not None else None
+            prevs.append(prev)
+            distances.append(ham)
+            duplicates.append(ham is not None and ham <= threshold)
+            if ok and h is not None:
                 prev = h
         if prev is not None:
             state.update((prev,))
-        yield pd.DataFrame(rows, columns=[f.name for f in DEDUP_OUT.fields])
+        yield pd.DataFrame({
+            "video_id": [None if pd.isna(key[0]) else int(key[0])] * len(frames), "frame_idx": frames["frame_idx"].tolist(),
+            "quality_ok": frames["quality_ok"].tolist(), "prev_hex": prevs,
+            "hamming_to_prev": pd.array(distances, dtype="Int32"), "is_duplicate": duplicates}).astype({"video_id": "Int64"})
     return fn
 
 
 def stream_duplicates(sdf: DataFrame, threshold: int = K.HAMMING_THRESHOLD) -> DataFrame:
-    """M2: ``sdf`` has video_id, frame_idx, quality_ok, hash (long). State
-    per video = the last quality_ok hash; a micro-batch's rows of one video
-    are bounded by the trigger size (maxFilesPerTrigger)."""
-    return (sdf.select("video_id", "frame_idx", "quality_ok", "hash").groupBy("video_id")
-            .applyInPandasWithState(_dedup_state(threshold), DEDUP_OUT, DEDUP_STATE, "append", GroupStateTimeout.NoTimeout))
+    """M2: ``sdf`` has video_id, frame_idx (not null), quality_ok, hash (long,
+    may be null). State per video = the last hash of a quality_ok frame; a
+    micro-batch's rows of one video are bounded by the trigger size, so set
+    ``maxFilesPerTrigger`` on the source when a video can be large."""
+    rows = sdf.select("video_id", "frame_idx", F.coalesce("quality_ok", F.lit(False)).alias("quality_ok"),
+                      FR.hash_to_hex("hash").alias("hex"))
+    out = rows.groupBy("video_id").applyInPandasWithState(_dedup_state(threshold), DEDUP_OUT, DEDUP_STATE, "append",
+                                                          GroupStateTimeout.NoTimeout)
+    return out.select("video_id", "frame_idx", "quality_ok", FR.hex_to_hash("prev_hex").alias("prev_hash"),
+                      "hamming_to_prev", "is_duplicate")
 
 
 def stream_bursts(sdf: DataFrame, ts: str = "modificationTime", gap_sec: int = K.PHOTO_BATCH_WINDOW_SEC,
@@ -109,22 +117,40 @@ def latest_per_kind(df: DataFrame, time_col: str = "updated_at") -> DataFrame:
                                   .alias("m")).select("kind", "m.row.*")
 
 
+def _folders(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path`` and a maker of its paths."""
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    return to(path).getFileSystem(spark._jsc.hadoopConfiguration()), to
+
+
+def replace_table(df: DataFrame, table: str) -> None:
+    """Write ``df`` beside ``table`` and swap the two by renames, so a reader
+    finds the old or the new table and a broken write leaves the old one."""
+    fs, to = _folders(df.sparkSession, table)
+    df.write.mode("overwrite").parquet(f"{table}.next")
+    fs.delete(to(f"{table}.old"), True)
+    if fs.exists(to(table)):
+        fs.rename(to(table), to(f"{table}.old"))
+    fs.rename(to(f"{table}.next"), to(table))
+    fs.delete(to(f"{table}.old"), True)
+
+
+def current_table(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame | None:
+    """The table as last swapped in; None before the first swap. A swap that
+    stopped between its renames is taken back. Read errors are raised."""
+    fs, to = _folders(spark, table)
+    if not fs.exists(to(table)) and fs.exists(to(f"{table}.old")):
+        fs.rename(to(f"{table}.old"), to(table))
+    return spark.read.schema(schema).parquet(table) if fs.exists(to(table)) else None
+
+
 def stream_latest_run(sdf: DataFrame, table: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """M5: keep ``table`` = latest run per kind. Each micro-batch is merged
-    with the current table; the result (at most one row per kind) is
-    materialised before the table is replaced, so the write never reads
-    the path it overwrites."""
-    spark = sdf.sparkSession
-
+    with the current table; the result (at most one row per kind) is written
+    beside the table and swapped in."""
     def merge(batch: DataFrame, epoch: int) -> None:
-        cur = None
-        try:
-            cur = spark.read.schema(batch.schema).parquet(table)
-        except Exception:  # first batch: no table yet
-            cur = None
-        both = batch if cur is None else batch.unionByName(cur)
-        result = cut_lineage(latest_per_kind(both))
-        result.write.mode("overwrite").parquet(table)
+        cur = current_table(batch.sparkSession, table, batch.schema)
+        replace_table(latest_per_kind(batch if cur is None else batch.unionByName(cur)), table)
 
     w = sdf.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -56,3 +56,35 @@ def test_hot_key_is_spread_over_tasks(spark):
     w = Window.partitionBy("video_id").orderBy("ts", "event_id")
     ref = rows.withColumn("rn2", F.row_number().over(w))
     assert out.join(ref, ["video_id", "event_id"]).where("rn != rn2").count() == 0
+
+
+def test_null_keys_and_order_values_stay(spark):
+    rows = [(k, t, (t or 0) * 3 + (k or 0), t) for k in (1, 2, None) for t in (None, *range(40))]
+    df = spark.createDataFrame(rows, "k long, t long, v long, x long")
+    got = ordinal(df, "k", ["t"], name="rn", chunk=index_chunk("t", 7), keep_chunk="ck", total="n")
+    got = last_before(got, "k", "rn", "x", "prev", chunk="ck")
+    got = running_sum(got, "k", ["t"], "v", "s", chunk="ck")
+    w = Window.partitionBy("k").orderBy("t")
+    ref = df.select("k", "t", F.row_number().over(w).alias("rn"), F.count("*").over(Window.partitionBy("k")).alias("n"),
+                    F.last("x", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("prev"),
+                    F.sum("v").over(w).alias("s"))
+    assert sorted(map(str, got.select("k", "t", "rn", "n", "prev", "s").collect())) == sorted(map(str, ref.collect()))
+    assert got.count() == 123
+
+
+def test_hot_video_stays_spread_through_buckets(spark):
+    """Totals come from the chunk summaries: also without broadcasts nothing
+    gathers a video that holds most rows (H6 and G4 share this step)."""
+    from keelson.operators.selection import add_buckets
+    rows = spark.range(0, 200000).select(F.when(F.col("id") % 10 < 8, F.lit(9)).otherwise(F.col("id") % 5).alias("video_id"),
+                                         (F.col("id") * 7).alias("frame_idx"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = add_buckets(rows, 8)
+        most = out.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count"), F.count("*")).first()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert most[1] >= 6 and most[0] < 0.5 * 200000

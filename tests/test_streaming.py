@@ -3,9 +3,12 @@
 import os
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
+from keelson.functions import frames as FR
 from keelson.operators import media as MD
+from keelson.operators import quality as Q
 from keelson.plans import catalog as C
 from keelson.streaming import streams as ST
 from conftest import SMOKE
@@ -29,16 +32,36 @@ def test_ingest_files_available_now(spark, tmp):
 
 
 def test_stream_duplicates_equals_batch(spark, tmp):
-    batch = C.flagged_frames(spark, SMOKE).select("video_id", "frame_idx", "quality_ok", "hash", "is_duplicate")
+    """All columns, with null hashes and hashes that differ in the last bit."""
+    odd = spark.createDataFrame([(900, i, i % 4 != 1, None if i % 5 == 2 else (1 << 62) + i // 2) for i in range(40)]
+                                + [(901, 0, True, None), (901, 1, True, -1), (901, 2, True, -2)],
+                                "video_id long, frame_idx long, quality_ok boolean, hash long")
+    frames = C.flagged_frames(spark, SMOKE).select("video_id", "frame_idx", "quality_ok", "hash").unionByName(odd)
     path = f"{tmp}/frames"
-    batch.drop("is_duplicate").write.parquet(path)
+    frames.write.parquet(path)
+    batch = Q.prev_good_hash(spark.read.parquet(path)).select(
+        "video_id", "frame_idx", "quality_ok", "hamming_to_prev", "is_duplicate", "prev_dhash")
     sdf = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     q = ST.stream_duplicates(sdf).writeStream.format("memory").queryName("dups").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
-    got = spark.table("dups").select("video_id", "frame_idx", F.col("is_duplicate").alias("d2"))
-    assert got.count() == batch.count()
-    assert batch.join(got, ["video_id", "frame_idx"]).where("is_duplicate != d2").count() == 0
+    got = spark.table("dups").select("video_id", "frame_idx", "quality_ok", "hamming_to_prev", "is_duplicate",
+                                     F.when(F.col("quality_ok"), FR.hash_to_hex("prev_hash")).alias("prev_dhash"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
+
+
+def test_latest_run_table_survives_a_broken_swap(spark, tmp):
+    schema = "kind string, run_id long, updated_at timestamp"
+    table = f"{tmp}/latest"
+    assert ST.current_table(spark, table, spark.createDataFrame([], schema).schema) is None
+    one = spark.sql("select 'photo' kind, 1L run_id, timestamp'2024-01-01' updated_at")
+    ST.replace_table(one, table)
+    os.rename(table, f"{table}.old")  # a swap that stopped between its renames
+    assert ST.current_table(spark, table, one.schema).count() == 1
+    with open(f"{table}/part-bad.parquet", "w") as fh:
+        fh.write("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        ST.current_table(spark, table, one.schema).collect()
 
 
 def test_stream_bursts_closed_windows_match_batch(spark, tmp):
