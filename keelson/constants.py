@@ -17,6 +17,8 @@ CLASS_INFO = [
 ]
 VISIBLE_EXCLUDED_IDS = (0,)          # not drawn / not counted as visible
 SIGN_EXCLUDED_IDS = (0, 1)           # not a defect sign
+NORMAL_CLASS_ID = 1                  # dominant class of a two-head result without defects
+FOREGROUND_THRESHOLD = 0.5           # of the one-channel foreground head
 RISK_WEIGHTS = {2: 0.48, 6: 0.72, 9: 1.0}
 DEFAULT_RISK_WEIGHT = 0.25
 RISK_CAP = 0.98

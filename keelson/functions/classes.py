@@ -113,6 +113,17 @@ def dominant_class(counts, default: int = 0) -> Column:
     return F.coalesce((-best["neg"]).cast("int"), F.lit(default))
 
 
+def count_values(mask) -> Column:
+    """map of each value of an int array to how often it stands there, in
+    order of the values: one sort of the array, then the runs' lengths."""
+    m = F.array_sort(_c(mask).cast("array<int>"))
+    kinds = F.array_distinct(m)
+    # the place of a value's first element in the sorted array, and the end
+    first = F.concat(F.transform(kinds, lambda v: F.array_position(m, v) - 1), F.array(F.size(m).cast("bigint")))
+    counts = F.transform(kinds, lambda v, i: F.get(first, i + 1) - F.get(first, i))
+    return F.map_from_arrays(kinds, counts)
+
+
 def primary_sign(ids, dominant) -> Column:
     """First predicted id not in {0, 1}, else the dominant id."""
     signs = F.filter(_c(ids), lambda x: ~x.isin(*K.SIGN_EXCLUDED_IDS))

@@ -32,21 +32,23 @@ def _hex(rgb) -> str:
 
 
 def mask_histogram(masks: DataFrame, key: str = "frame_id", mask: str = "mask") -> DataFrame:
-    """class -> pixel count per mask (explode + group; bounded by #classes
-    per frame). Returns (key, class_pixel_counts map, sorted by class)."""
-    px = masks.select(key, F.explode(mask).alias("class_id"))
-    c = px.groupBy(key, "class_id").agg(F.count(F.lit(1)).alias("pixels"))
-    return c.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct(F.col("class_id").cast("int"), "pixels")))).alias("class_pixel_counts"))
+    """class -> pixel count per mask, counted inside the row (no pixel is
+    shuffled). Returns (key, class_pixel_counts map, sorted by class)."""
+    return masks.select(key, CL.count_values(mask).alias("class_pixel_counts"))
 
 
-def argmax_mask(probs: Column, threshold: float | None = None) -> Column:
+def argmax_mask(probs: Column, threshold: float | None = None, class_ids: list[int] | None = None) -> Column:
     """Per pixel, the channel with the highest probability (first
-    max wins); with ``threshold``, 0 unless that maximum reaches it.
-    ``probs``: array<array<double>> (pixels x channels)."""
+    max wins). With ``class_ids`` the pixel gets that channel's class id (a
+    channel beyond the list: 0); with ``threshold``, 0 unless the maximum
+    reaches it. ``probs``: array<array<double>> (pixels x channels)."""
     def pick(p):
-        idx = (F.array_position(p, F.array_max(p)) - 1).cast("int")
-        return idx if threshold is None else F.when(F.array_max(p) >= threshold, idx).otherwise(F.lit(0))
+        at = F.array_position(p, F.array_max(p)).cast("int")  # from 1
+        if class_ids is None:
+            value = at - 1
+        else:
+            value = F.coalesce(F.get(F.array(*[F.lit(int(c)) for c in class_ids]), at - 1), F.lit(0))
+        return value if threshold is None else F.when(F.array_max(p) >= threshold, value).otherwise(F.lit(0))
     return F.transform(probs, pick)
 
 

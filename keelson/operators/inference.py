@@ -40,7 +40,7 @@ def decode_frames(df: DataFrame, decode_fn: Callable[[bytes], np.ndarray | None]
                 try:
                     img = decode_fn(bytes(blob)) if blob is not None else None
                 except Exception as exc:  # keep the row, report the error
-                    out.append((fid, None, None, None, "error", str(exc)[:200]))
+                    out.append((fid, None, None, None, "error", str(exc)))
                     continue
                 if img is None:
                     out.append((fid, None, None, None, "error", "undecodable"))
@@ -70,16 +70,19 @@ def preprocess_frames(df: DataFrame, decode_fn: Callable[[bytes], np.ndarray | N
     executors; the crop ratios and size travel in the closure."""
     x1r, y1r, x2r, y2r = crop
 
+    def weights(n: int, m: int) -> np.ndarray:
+        """m x n: how much of each of n cells lies in each of m equal boxes."""
+        edge = np.linspace(0, n, m + 1)
+        low, high = edge[:-1, None], edge[1:, None]
+        cell = np.arange(n)[None, :]
+        inside = np.clip(np.minimum(high, cell + 1) - np.maximum(low, cell), 0, None)
+        return inside / inside.sum(axis=1, keepdims=True)
+
     def _area_resize(a: np.ndarray, w: int, h: int) -> np.ndarray:
-        """Area (box) resize: each output pixel is the mean of its source box."""
-        ys = np.linspace(0, a.shape[0], h + 1).astype(int)
-        xs = np.linspace(0, a.shape[1], w + 1).astype(int)
-        out = np.empty((h, w))
-        for i in range(h):
-            for j in range(w):
-                box = a[ys[i]:max(ys[i + 1], ys[i] + 1), xs[j]:max(xs[j + 1], xs[j] + 1)]
-                out[i, j] = box.mean()
-        return out
+        """Area-weighted resize, a cell on a box's edge counts by its part; with
+        or without a last axis of colour channels."""
+        rows, cols = weights(a.shape[0], h), weights(a.shape[1], w)
+        return np.einsum("yi,ij...,xj->yx...", rows, a, cols, optimize=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -100,7 +103,7 @@ def preprocess_frames(df: DataFrame, decode_fn: Callable[[bytes], np.ndarray | N
                     out.append((fid, r.ravel().tolist(), width, height, x1, y1, x2, y2,
                                 float(n.min()), float(n.max()), float(n.mean()), "ok", None))
                 except Exception as exc:
-                    out.append((fid, None, None, None, None, None, None, None, None, None, None, "error", str(exc)[:200]))
+                    out.append((fid, None, None, None, None, None, None, None, None, None, None, "error", str(exc)))
             yield pd.DataFrame(out, columns=[f.name for f in PREPROCESSED.fields])
     return df.select(F.col(id_col).cast("long").alias(id_col), bytes_col).mapInPandas(run, PREPROCESSED)
 
@@ -145,19 +148,42 @@ def score_frames(df: DataFrame, make_predict_fn: Callable, input_col: str, chann
     return d.withColumn("probs", F.transform(probs, lambda a: F.transform(a, lambda v: v.cast("double")))).drop("_flat")
 
 
-def postprocess(df: DataFrame, mode: Column | str = "multiclass_segmentation",
-                threshold: float = K.TWO_HEAD_THRESHOLD) -> DataFrame:
-    """N5 + F10/F11: the class mask from ``probs`` by mode (two-head modes
-    threshold the best channel), then class counts per frame natively."""
-    m = F.lit(mode) if isinstance(mode, str) else mode
-    mask = F.when(m == K.PREDICTION_MODES[0], argmax_mask(F.col("probs"))) \
-        .otherwise(argmax_mask(F.col("probs"), threshold))
-    d = df.withColumn("prediction_mode", m).withColumn("mask", mask)
-    counts = F.aggregate(F.col("mask"), F.create_map().cast("map<int,bigint>"),
-                         lambda acc, c: F.map_concat(F.map_filter(acc, lambda k, v: k != c),
-                                                     F.create_map(c, F.coalesce(F.element_at(acc, c), F.lit(0).cast("bigint")) + 1)))
-    d = d.withColumn("class_pixel_counts", F.map_from_entries(F.array_sort(F.map_entries(counts))))
+def postprocess(df: DataFrame, mode: str = K.PREDICTION_MODES[0], threshold: float = K.TWO_HEAD_THRESHOLD,
+                segmentation_ids: list[int] | None = None, scores: str = "classification_scores",
+                score_threshold: float = K.ACTIVE_SCORE_THRESHOLD) -> DataFrame:
+    """Mask, class counts, ratios, predicted and dominant class and risk
+    from ``probs`` (pixels x channels), by the model's output:
+
+    * multiclass: channel = class, argmax; dominant class 0 without classes.
+    * two heads, several channels (F10): the best channel's class id
+      (``segmentation_ids``) where it reaches ``threshold``, else 0; dominant
+      class 1 without classes.
+    * two heads, one channel: foreground where it is >= .5 takes the best
+      active defect of the classifier's ``scores`` (F9); the foreground's
+      pixels are shared among the defects by score (F8); without a defect all
+      pixels are class 1.
+    """
+    d = df.withColumn("prediction_mode", F.lit(mode))
+    if mode == K.PREDICTION_MODES[2]:
+        total = F.size("probs").cast("bigint")
+        d = d.withColumn("_active", CL.active_classes(scores, score_threshold))
+        defects = F.col("_active.defects")
+        fore = F.transform("probs", lambda p: F.get(p, 0) >= F.lit(K.FOREGROUND_THRESHOLD))
+        best = F.when(F.size(defects) > 0, F.get(defects, 0)).otherwise(F.lit(K.NORMAL_CLASS_ID))
+        d = d.withColumn("dominant_class_id", best.cast("int")).withColumn("_fore", fore)
+        d = d.withColumn("mask", F.transform("_fore", lambda f: F.when(f & (F.size(defects) > 0), F.col("dominant_class_id")).otherwise(F.lit(0))))
+        n = F.size(F.filter("_fore", lambda f: f)).cast("bigint")
+        scored = F.transform(defects, lambda c: F.struct(c.cast("int").alias("id"), F.element_at(F.col(scores), c).alias("score")))
+        some = (F.size(defects) > 0) & (n > 0)
+        void = F.create_map(F.lit(0), total - n)
+        d = d.withColumn("class_pixel_counts", F.when(some, F.map_concat(void, CL.apportion(n, scored)))
+                         .otherwise(F.create_map(F.lit(K.NORMAL_CLASS_ID), total)))
+        d = d.withColumn("predicted_class_ids", defects).drop("_active", "_fore")
+    else:
+        two_heads = mode == K.PREDICTION_MODES[1]
+        d = d.withColumn("mask", argmax_mask(F.col("probs"), threshold, segmentation_ids) if two_heads else argmax_mask(F.col("probs")))
+        d = d.withColumn("class_pixel_counts", CL.count_values("mask"))
+        d = (d.withColumn("predicted_class_ids", CL.predicted_ids("class_pixel_counts"))
+              .withColumn("dominant_class_id", CL.dominant_class("class_pixel_counts", K.NORMAL_CLASS_ID if two_heads else 0)))
     return (d.withColumn("class_pixel_ratios", CL.ratios("class_pixel_counts"))
-             .withColumn("predicted_class_ids", CL.predicted_ids("class_pixel_counts"))
-             .withColumn("dominant_class_id", CL.dominant_class("class_pixel_counts", 0))
              .withColumn("risk_score", RK.risk_score("class_pixel_ratios")))

@@ -727,9 +727,15 @@ def c14_normalize_channels(spark, sf):
         rnd(F.array_min("n"), 6).alias("norm_min"), rnd(F.array_max("n"), 6).alias("norm_max"))
 
 
-def _mask(threshold=None):
-    probs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.slice(B.patch_probs(), p * 8 + 1, 8))
-    return OC.argmax_mask(probs, threshold)
+TWO_HEAD_IDS = [1, 2, 6, 9]  # class of a two-head model's channel; further channels have none
+
+
+def _pixel_probs():
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.slice(B.patch_probs(), p * 8 + 1, 8))
+
+
+def _mask(threshold=None, class_ids=None):
+    return OC.argmax_mask(_pixel_probs(), threshold, class_ids)
 
 
 @query("f11_argmax_mask")
@@ -739,7 +745,7 @@ def f11_argmax_mask(spark, sf):
 
 @query("f10_two_head_mask")
 def f10_two_head_mask(spark, sf):
-    return _patches(spark, sf).select("frame_id", F.array_join(_mask(K.TWO_HEAD_THRESHOLD), ",").alias("mask"))
+    return _patches(spark, sf).select("frame_id", F.array_join(_mask(K.TWO_HEAD_THRESHOLD, TWO_HEAD_IDS), ",").alias("mask"))
 
 
 @query("f3_mask_histogram")
@@ -786,6 +792,29 @@ def n4_score_frames(spark, sf):
     return r.select("frame_id", F.array_join("mask", ",").alias("mask"), "dominant_class_id", "risk_score")
 
 
+def _result(r):
+    counts = F.transform(F.array_sort(F.map_entries("class_pixel_counts")), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    return r.select("frame_id", F.array_join("mask", ",").alias("mask"), F.array_join(counts, ",").alias("counts"),
+                    F.array_join("predicted_class_ids", ",").alias("predicted"), "dominant_class_id")
+
+
+@query("n5_two_head_channels")
+def n5_two_head_channels(spark, sf):
+    """N5 with several segmentation channels: channel -> class id, dominant
+    class 1 where no channel reaches the threshold."""
+    p = _patches(spark, sf).withColumn("probs", _pixel_probs())
+    return _result(INF.postprocess(p, K.PREDICTION_MODES[1], K.TWO_HEAD_THRESHOLD, TWO_HEAD_IDS))
+
+
+@query("n5_two_head_binary")
+def n5_two_head_binary(spark, sf):
+    """N5 with one foreground channel (the first of each pixel) and classifier
+    scores (the frame's first four values, for classes 1, 2, 6, 9)."""
+    p = _patches(spark, sf).withColumn("probs", F.transform(_pixel_probs(), lambda x: F.slice(x, 1, 1)))
+    score = F.map_from_arrays(F.array(*[F.lit(c) for c in TWO_HEAD_IDS]), F.slice(B.patch_probs(), 1, 4))
+    return _result(INF.postprocess(p.withColumn("classification_scores", score), K.PREDICTION_MODES[2]))
+
+
 # ---- classifier scores (binary-classification mode) on class_counts_v ------
 
 def _scores(spark, sf):

@@ -958,8 +958,39 @@ def mask_sql(threshold=None) -> str:
 view("mask_v", ["patches_v"], f"SELECT frame_id, pixels, {mask_sql()} AS mask FROM patches_v")
 COLOR_LIST = "CASE c " + " ".join(f"WHEN {c} THEN [{r}, {g}, {b}]" for c, _, (r, g, b) in K.CLASS_INFO) + " ELSE [0, 0, 0] END"
 oracle("f11_argmax_mask", ["mask_v"], "SELECT frame_id, array_to_string(mask, ',') AS mask FROM mask_v")
-oracle("f10_two_head_mask", ["patches_v"],
-       f"SELECT frame_id, array_to_string({mask_sql(K.TWO_HEAD_THRESHOLD)}, ',') AS mask FROM patches_v")
+# two-head output: the best channel's class id ([1, 2, 6, 9], further channels 0)
+# where it reaches the threshold
+TWO_HEAD = f"list_transform({mask_sql()}, lambda c: coalesce([1, 2, 6, 9][c + 1], 0))"
+REACHED = f"list_transform(range(8), lambda p: list_max(list_slice(pixels, p * 8 + 1, p * 8 + 8)) + {D(0.5)} >= {D(K.TWO_HEAD_THRESHOLD)})"
+view("two_head_v", ["patches_v"], f"""
+SELECT frame_id, [CASE WHEN r[i] THEN c[i] ELSE 0 END FOR i IN range(1, 9)] AS mask
+FROM (SELECT frame_id, {TWO_HEAD} AS c, {REACHED} AS r FROM patches_v)""")
+oracle("f10_two_head_mask", ["two_head_v"], "SELECT frame_id, array_to_string(mask, ',') AS mask FROM two_head_v")
+oracle("n5_two_head_channels", ["two_head_v"], """
+WITH c AS (SELECT frame_id, class_id, count(*) AS n FROM (SELECT frame_id, unnest(mask) AS class_id FROM two_head_v) GROUP BY ALL)
+SELECT t.frame_id, array_to_string(any_value(t.mask), ',') AS mask, string_agg(class_id || ':' || n, ',' ORDER BY class_id) AS counts,
+       coalesce(string_agg(CAST(class_id AS VARCHAR), ',' ORDER BY class_id) FILTER (class_id <> 0), '') AS predicted,
+       coalesce(arg_min(class_id, -n * 100 + class_id) FILTER (class_id <> 0), 1) AS dominant_class_id
+FROM two_head_v t JOIN c ON t.frame_id = c.frame_id GROUP BY t.frame_id""")
+oracle("n5_two_head_binary", ["patches_v"], f"""
+WITH s AS (SELECT frame_id, [pixels[p * 8 + 1] + 0.5 >= 0.5 FOR p IN range(8)] AS fore,
+                  [{{'id': [1, 2, 6, 9][i], 'score': pixels[i] + 0.5}} FOR i IN range(1, 5)] AS scores FROM patches_v),
+r AS (SELECT frame_id, fore, len([f FOR f IN fore IF f]) AS n, [{{'id': x.id, 'score': -x.neg}} FOR x IN list_sort([{{'neg': -x.score, 'id': x.id}} FOR x IN scores])] AS ranked FROM s),
+a AS (SELECT *, CASE WHEN ranked[1].score >= {K.ACTIVE_SCORE_THRESHOLD} THEN [x FOR x IN ranked IF x.score >= {K.ACTIVE_SCORE_THRESHOLD}]
+                     ELSE ranked[1:1] END AS active FROM r),
+d AS (SELECT *, [x FOR x IN active IF x.id <> 1] AS defects FROM a),
+e AS (SELECT *, list_sum([x.score FOR x IN defects]) AS whole, n > 0 AND len(defects) > 0 AS has_some FROM d),
+-- at most four defects: each takes its rounded part of what is left, the last one the rest
+k1 AS (SELECT *, CASE WHEN len(defects) = 1 THEN n ELSE least(CAST(round_even(n * (defects[1].score / whole), 0) AS BIGINT), n) END AS t1 FROM e),
+k2 AS (SELECT *, CASE WHEN len(defects) < 2 THEN 0 WHEN len(defects) = 2 THEN n - t1
+                      ELSE least(CAST(round_even(n * (defects[2].score / whole), 0) AS BIGINT), n - t1) END AS t2 FROM k1),
+k3 AS (SELECT *, CASE WHEN len(defects) < 3 THEN 0 ELSE n - t1 - t2 END AS t3 FROM k2),
+c AS (SELECT *, list_sort([{{'id': defects[i].id, 't': [t1, t2, t3][i]}} FOR i IN range(1, len(defects) + 1)]) AS parts FROM k3)
+SELECT frame_id, array_to_string([CASE WHEN f AND len(defects) > 0 THEN defects[1].id ELSE 0 END FOR f IN fore], ',') AS mask,
+       CASE WHEN has_some THEN '0:' || (8 - n) || ',' || array_to_string([x.id || ':' || x.t FOR x IN parts], ',') ELSE '1:8' END AS counts,
+       array_to_string([x.id FOR x IN defects], ',') AS predicted,
+       CASE WHEN len(defects) > 0 THEN defects[1].id ELSE 1 END AS dominant_class_id
+FROM c""")
 oracle("f3_mask_histogram", ["mask_v"], """
 SELECT frame_id, class_id, count(*) AS pixels FROM (SELECT frame_id, unnest(mask) AS class_id FROM mask_v) GROUP BY ALL""")
 oracle("c15_colorize", ["mask_v"], f"""
