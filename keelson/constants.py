@@ -81,6 +81,8 @@ FALLBACK_RISK_WEIGHTS = {"Corrosion": 1.0, "Marine growth": 0.54, "Paint peel":
                          "Normal": 0.02, "Ship hull": 0.02}
 FALLBACK_RISK_DEFAULT = 0.2
 
+PHOTO_BATCH_NAME = "photo-batch"     # source name of a photo run without one
+
 # stage names: extraction, preprocessing, inference, export, other
 STAGE_NAMES = ("Извлечение кадров", "Предобработка", "Инференс", "Запись результатов", "Прочие этапы")
 OTHER_STAGE_MIN = 0.05

@@ -20,6 +20,7 @@ from keelson.functions import frames as FR
 from keelson.functions import risk as RK
 from keelson.functions import text as TX
 from keelson.operators import classes as OC
+from keelson.operators import manifest_marts as MM
 from keelson.operators import quality as Q
 from keelson.operators import selection as S
 from keelson.sources import bindings as B
@@ -848,6 +849,22 @@ def f7_binary_summary(spark, sf):
     return OC.class_summary_binary(frames)
 
 
+# ---- marts and report rows from manifests ----------------------------------
+
+def _manifest_query(key: str, table):
+    def run(spark, sf):
+        return table(B.manifests_v(spark, sf))
+    run.__doc__ = table.__doc__
+    query(key)(run)
+
+
+for _key, _table in (("b7_manifest_runs", MM.runs), ("b7_manifest_class_metrics", MM.class_metrics),
+                     ("b7_manifest_dynamics", MM.dynamics), ("b7_manifest_stage_times", MM.stage_times),
+                     ("b7_manifest_benchmark_curve", MM.benchmark_curve), ("f19_manifest_reviewed_items", MM.reviewed_items),
+                     ("i7_manifest_review_rows", MM.review_rows)):
+    _manifest_query(_key, _table)
+
+
 # ---- remaining inventory items --------------------------------------------------
 
 @query("e1_join_metrics")

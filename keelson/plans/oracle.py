@@ -1202,3 +1202,99 @@ WHERE day_start + INTERVAL 1 DAY <= (SELECT max(CAST(ts AS TIMESTAMP)) - INTERVA
 oracle("m5_stream_latest_run", ["runs_v"], """
 SELECT kind, asset_id, run_id, updated_at FROM (
   SELECT *, row_number() OVER (PARTITION BY kind ORDER BY updated_at DESC, run_id DESC) AS r FROM runs_v) WHERE r = 1""")
+
+
+# ---- marts from manifests: an order is a run, its lines are its frames -----------
+
+KINDC = "CASE WHEN o_orderstatus = 'P' THEN 'photo' ELSE 'video' END"
+view("man_v", [], f"""
+SELECT *, {KINDC} AS kind, CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) AS updated_at_epoch,
+       strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S') AS updated_at_iso,
+       CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderkey AS VARCHAR)
+            WHEN o_custkey % 5 <> 0 THEN 'batch-' || o_orderkey ELSE 'g' || o_orderkey END AS asset_id,
+       CAST(CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice / 1000) ELSE 0 END AS BIGINT) AS ex
+FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+view("manline_v", ["man_v"], f"""
+SELECT m.kind, m.asset_id, m.updated_at_epoch, m.o_custkey, m.o_orderkey, l_linenumber, sum(CAST(l_quantity AS BIGINT)) AS q,
+       max(l_discount) AS l_discount, max(l_tax) AS l_tax, {CLASS_OF_LINE} AS c
+FROM man_v m JOIN lineitem l ON l.l_orderkey = m.o_orderkey GROUP BY ALL""")
+view("mancls_v", ["manline_v"], f"""
+SELECT kind, asset_id, updated_at_epoch, o_orderkey, c, {class_name_sql('c')} AS class_name, {translate_sql(class_name_sql('c'))} AS class_name_ru,
+       n AS frames_present, s AS pixel_count, round(round(s / sum(s) OVER (PARTITION BY o_orderkey), 6) * {D(100)}, 2) AS pixel_share_pct
+FROM (SELECT kind, asset_id, updated_at_epoch, o_orderkey, c, count(*) AS n, CAST(sum(q) AS BIGINT) AS s
+      FROM manline_v WHERE o_custkey % 7 <> 0 GROUP BY kind, asset_id, updated_at_epoch, o_orderkey, c)""")
+oracle("b7_manifest_class_metrics", ["mancls_v"], """
+SELECT kind, asset_id, updated_at_epoch, class_name, class_name_ru, frames_present, pixel_count, pixel_share_pct FROM mancls_v""")
+oracle("b7_manifest_dynamics", ["manline_v"], f"""
+SELECT kind, asset_id, updated_at_epoch, CAST(l_linenumber AS BIGINT) AS frame_idx, CAST(l_linenumber AS VARCHAR) AS frame_label,
+       l_discount AS risk_score,
+       {translate_sql("CASE WHEN c = 1 AND o_orderkey % 2 = 0 THEN 'Ship hull' ELSE " + class_name_sql('c') + " END")} AS dominant_class_name_ru
+FROM manline_v""")
+view("mansec_v", ["man_v"], f"""
+SELECT kind, asset_id, updated_at_epoch, round(o_totalprice / {D(50000)}, 3) AS extraction_wall_seconds,
+       CASE WHEN o_custkey % 2 = 0 THEN round(o_totalprice / {D(45000)}, 3) ELSE round(o_totalprice / {D(40000)}, 3) END AS preprocessing_wall_seconds,
+       CASE WHEN o_custkey % 3 = 1 THEN {D(0)} ELSE round(o_totalprice / {D(30000)}, 3) END AS inference_wall_seconds,
+       CASE WHEN o_custkey % 2 = 0 THEN round(o_totalprice / {D(60000)}, 3) ELSE {D(0)} END AS export_stage_wall_seconds,
+       round(o_totalprice / {D(9000)}, 3) AS pipeline_wall_seconds
+FROM man_v""")
+oracle("b7_manifest_stage_times", ["mansec_v"], stage_rows_sql("mansec_v", "kind, asset_id, updated_at_epoch"))
+oracle("b7_manifest_benchmark_curve", ["man_v"], f"""
+SELECT kind, asset_id, updated_at_epoch, 1 AS scale, CAST(o_custkey AS BIGINT) AS items,
+       round(o_totalprice / {D(9000)}, 3) AS pipeline_seconds, {D(0)} AS inference_seconds FROM man_v""")
+view("mancnt_v", ["man_v"], f"""
+SELECT *, {impute_sql('s0', 'p', *K.VIDEO_IMPUTE[3])} AS s FROM (
+ SELECT *, {impute_sql('0', 'd', *K.VIDEO_IMPUTE[2])} AS p FROM (
+  SELECT *, {impute_sql('d0', 'q', *K.VIDEO_IMPUTE[1])} AS d FROM (
+   SELECT *, {impute_sql('q0', 'ex', *K.VIDEO_IMPUTE[0])} AS q FROM (
+    SELECT *, CAST(CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE floor(ex * {D(0.8)}) END AS BIGINT) AS q0,
+           CAST(CASE WHEN o_custkey % 4 = 0 THEN 0 ELSE floor(ex * {D(0.6)}) END AS BIGINT) AS d0,
+           CAST(CASE WHEN o_custkey % 5 = 0 THEN floor(ex * {D(0.3)}) ELSE 0 END AS BIGINT) AS s0,
+           (SELECT count(DISTINCT l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey) AS lines FROM man_v))))""")
+oracle("f19_manifest_reviewed_items", ["mancnt_v"], """
+SELECT kind, asset_id, updated_at_epoch,
+       CAST(CASE WHEN kind = 'photo' THEN lines ELSE coalesce(nullif(s0, 0), nullif(d0, 0), nullif(q0, 0), ex) END AS BIGINT) AS reviewed_items
+FROM mancnt_v""")
+WEIGHT_OF_NAME = "CASE " + " ".join(f"WHEN class_name = {_q(n)} THEN {D(v)}" for n, v in K.FALLBACK_RISK_WEIGHTS.items()) + f" ELSE {D(K.FALLBACK_RISK_DEFAULT)} END"
+oracle("b7_manifest_runs", ["mancnt_v", "mansec_v", "mancls_v"], f"""
+WITH shares AS (
+  SELECT kind, asset_id, round(list_reduce(list_prepend({D(0)}, list(pixel_share_pct / {D(100)} * {WEIGHT_OF_NAME} ORDER BY pos)), lambda a, b: a + b)
+           / greatest(list_reduce(list_prepend({D(0)}, list(pixel_share_pct / {D(100)} ORDER BY pos)), lambda a, b: a + b), {D(1e-6)}), 3) AS fb
+  FROM (SELECT x.*, f.pos FROM mancls_v x JOIN (SELECT o_orderkey, {CLASS_OF_LINE} AS c, min(l_linenumber) AS pos
+        FROM man_v JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) f ON f.o_orderkey = x.o_orderkey AND f.c = x.c) GROUP BY ALL),
+issue AS (
+  SELECT kind, asset_id, class_name_ru FROM (
+    SELECT *, row_number() OVER (PARTITION BY kind, asset_id ORDER BY frames_present DESC, pixel_share_pct DESC, pixel_count DESC, c) AS rk
+    FROM mancls_v WHERE class_name NOT IN ('Normal', 'Ship hull', 'Void') AND (frames_present > 0 OR pixel_share_pct > 0)) WHERE rk = 1),
+r AS (
+  SELECT m.*, t.extraction_wall_seconds AS e, t.preprocessing_wall_seconds AS pre, t.export_stage_wall_seconds AS xp, t.pipeline_wall_seconds AS pw,
+         round(CASE WHEN t.inference_wall_seconds <= 0 AND t.pipeline_wall_seconds <> 0
+              THEN round(t.pipeline_wall_seconds * CASE WHEN m.kind = 'video' THEN {D(K.VIDEO_INFERENCE_SHARE)} ELSE {D(K.PHOTO_INFERENCE_SHARE)} END, 4)
+              ELSE t.inference_wall_seconds END, 4) AS inf,
+         coalesce(i.class_name_ru, {_q(K.NO_ISSUE_LABEL)}) AS primary_issue,
+         CASE WHEN o_custkey % 4 <> 0 AND round(least(o_totalprice / {D(500000)}, {D(.98)}), 3) > 0
+              THEN round(least(o_totalprice / {D(500000)}, {D(.98)}), 3) ELSE coalesce(h.fb, {D(0)}) END AS risk_score,
+         CASE WHEN m.kind = 'video' THEN s ELSE lines END AS shown
+  FROM mancnt_v m JOIN mansec_v t USING (kind, asset_id) LEFT JOIN issue i USING (kind, asset_id) LEFT JOIN shares h USING (kind, asset_id))
+SELECT kind, asset_id, updated_at_iso, updated_at_epoch,
+       CASE WHEN kind = 'photo' THEN CASE WHEN o_custkey % 5 <> 0 THEN asset_id ELSE 'photo-batch' END
+            WHEN o_custkey % 3 <> 0 THEN 'cam/' || o_orderkey || '.mp4' ELSE asset_id END AS source_name,
+       ex AS extracted_frames, CASE WHEN kind = 'video' THEN q ELSE 0 END AS quality_ok_frames,
+       CASE WHEN kind = 'video' THEN d ELSE 0 END AS deduplicated_frames, CASE WHEN kind = 'video' THEN p ELSE 0 END AS processed_frames,
+       CAST(shown AS BIGINT) AS segmented_frames, CAST(CASE WHEN kind = 'photo' THEN lines ELSE 0 END AS BIGINT) AS total_images,
+       e AS extraction_wall_seconds, pre AS preprocessing_wall_seconds, inf AS inference_wall_seconds, xp AS export_stage_wall_seconds,
+       pw AS pipeline_wall_seconds, CASE WHEN shown > 0 THEN round(inf / shown * {D(1000)}, 3) ELSE {D(0)} END AS avg_inference_ms,
+       risk_score, {band_sql('risk_score', 'dashboard')} AS risk_band, primary_issue,
+       {code_sql('primary_issue', K.ISSUE_CODES, K.ISSUE_DEFAULT_CODE)} AS primary_issue_code,
+       {three_sql('risk_score', K.STATE_LABELS)} AS state_label,
+       {code_sql(three_sql('risk_score', K.STATE_LABELS), K.STATE_CODES, K.STATE_DEFAULT_CODE)} AS state_code
+FROM r""")
+LINE_SIGN = translate_sql("CASE WHEN c = 1 AND o_orderkey % 2 = 0 THEN 'Ship hull' ELSE " + class_name_sql('c') + " END")
+oracle("i7_manifest_review_rows", ["manline_v"], f"""
+SELECT kind, asset_id, updated_at_epoch, CAST(rn AS INTEGER) AS row_no,
+       CASE WHEN kind = 'video' THEN {_q(K.FRAME_LABEL_PREFIX + ' ')} || l_linenumber ELSE 'p' || l_linenumber END AS item,
+       CASE WHEN kind = 'photo' THEN {LINE_SIGN}
+            WHEN c IN (2, 6, 9) THEN {LINE_SIGN} ELSE {_q(K.NO_SIGN_LABEL)} END AS sign,
+       CASE WHEN kind = 'video' THEN CASE WHEN l_tax > 0 THEN format('{{:.1f}}', round(l_tax * 10, 1)) ELSE '-' END
+            WHEN l_discount > 0 THEN format('{{:.3f}}', round(l_discount, 3)) ELSE '-' END AS value,
+       'f' || l_linenumber || '.jpg' AS image
+FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) AS rn FROM manline_v) WHERE rn <= 8""")

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions import classes as CL
 from keelson.functions import risk as RK
+from keelson.functions.num import rnd
 from keelson.operators.ordering import ordinal, time_chunk
 
 
@@ -191,3 +192,69 @@ def scores_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 K_BINARY = "binary_segmentation_with_classification"
+
+
+def manifests_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest rows (as ``readers.read_manifests`` returns them) bound to
+    orders and their lines: an order is a run, its lines are its frames, and
+    remainders of the customer key decide which counts are missing."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.sum(F.col("l_quantity").cast("bigint")).alias("q"), F.max(F.col("l_discount").cast("double")).alias("r"),
+        F.max(F.col("l_tax").cast("double")).alias("x")).withColumn("c", class_of_line("l_linenumber"))
+    name = F.when((F.col("c") == 1) & (F.col("l_orderkey") % 2 == 0), F.lit("Ship hull")).otherwise(CL.class_name("c"))
+    li = li.withColumn("name", name).withColumn("file", F.concat(F.lit("img/f"), F.col("l_linenumber").cast("string"), F.lit(".jpg")))
+    frame = F.struct(
+        F.col("l_linenumber").cast("bigint").alias("frame_idx"), F.when(F.col("x") > 0, F.col("x") * 10).alias("timestamp_sec"),
+        F.col("name").alias("dominant_class_name"), F.lit(None).cast("string").alias("primary_sign_name"),
+        F.create_map(F.col("c").cast("string"), F.col("r")).alias("class_pixel_ratios"),
+        F.col("file").alias("processed_image"), F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("filename"),
+        F.when(F.col("r") > 0, F.col("r")).alias("risk_score"))
+    one = F.struct("l_linenumber", "c", "name", "q", frame.alias("f"))
+    per = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one), lambda a, b: a["l_linenumber"] - b["l_linenumber"])
+                                      .alias("lines"))  # an order has few lines
+    o = table(spark, sf_dir, "orders").join(per, F.col("o_orderkey") == F.col("l_orderkey"))
+    video, tp = F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("double")
+
+    def cust(n: int, r: int) -> F.Column:
+        return F.col("o_custkey") % n == r
+    total = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, l: a + l["q"])
+    kinds = F.array_distinct(F.transform("lines", lambda l: F.struct(l["c"].alias("c"), l["name"].alias("name"))))
+
+    def of(k):
+        return F.filter("lines", lambda l: l["c"] == k["c"])
+
+    def pixels(k):
+        return F.aggregate(of(k), F.lit(0).cast("bigint"), lambda a, l: a + l["q"])
+    summaries = F.transform(kinds, lambda k: F.struct(
+        k["c"].alias("class_id"), k["name"].alias("class_name"), pixels(k).alias("pixel_count"),
+        F.size(of(k)).cast("bigint").alias("frames_present"), rnd(pixels(k) / total, 6).alias("pixel_share")))
+    frames = F.transform("lines", lambda l: l["f"])
+    points = F.transform("lines", lambda l: F.struct(
+        l["f"]["frame_idx"].alias("frame_idx"), l["f"]["risk_score"].alias("risk_score"), l["name"].alias("dominant_class_name"),
+        F.lit(None).cast("bigint").alias("index")))
+    extracted = F.when(video, F.floor(tp / 1000))
+    counts = F.struct(
+        extracted.cast("bigint").alias("extracted_frames"),
+        F.when(~cust(3, 0), F.floor(extracted * 0.8)).cast("bigint").alias("quality_ok_frames"),
+        F.when(cust(4, 0), F.lit(0)).otherwise(F.floor(extracted * 0.6)).cast("bigint").alias("deduplicated_frames"),
+        F.lit(None).cast("bigint").alias("processed_frames"),
+        F.when(cust(5, 0), F.floor(extracted * 0.3)).cast("bigint").alias("segmented_frames"),
+        rnd(tp / 50000, 3).alias("extraction_wall_seconds"),
+        F.when(cust(2, 0), F.lit(0.0)).otherwise(rnd(tp / 40000, 3)).alias("preprocessing_wall_seconds"),
+        rnd(tp / 45000, 3).alias("decode_prepare_wall_seconds"),
+        F.when(~cust(3, 1), rnd(tp / 30000, 3)).alias("inference_wall_seconds"),
+        F.lit(None).cast("double").alias("export_stage_wall_seconds"),
+        F.when(cust(2, 0), rnd(tp / 60000, 3)).alias("postprocess_write_wall_seconds"),
+        rnd(tp / 9000, 3).alias("pipeline_wall_seconds"),
+        F.lit(None).cast("double").alias("avg_inference_ms_per_frame"), F.lit(None).cast("double").alias("avg_inference_ms_per_image"))
+    curve = F.array(F.struct(F.lit(1).alias("scale"), F.col("o_custkey").cast("bigint").alias("items"),
+                             rnd(tp / 9000, 3).alias("pipeline_seconds"), F.lit(None).cast("double").alias("inference_seconds")))
+    key = F.col("o_orderkey").cast("string")
+    return o.select(
+        F.when(video, F.lit("video")).otherwise(F.lit("photo")).alias("kind"), F.when(video, key).alias("video_id"),
+        F.when(~video & ~cust(5, 0), F.concat(F.lit("batch-"), key)).alias("source_batch"), F.concat(F.lit("g"), key).alias("generated_at_utc"),
+        F.when(video & ~cust(3, 0), F.concat(F.lit("cam/"), key, F.lit(".mp4"))).alias("source_video"),
+        F.col("o_orderdate").cast("timestamp").alias("_updated_at"), F.when(~video, F.size("lines")).cast("bigint").alias("total_images"),
+        counts.alias("run_counts"), F.struct(F.when(~cust(4, 0), rnd(F.least(tp / 500000, F.lit(.98)), 3)).alias("score")).alias("risk_summary"),
+        F.when(~cust(7, 0), summaries).alias("class_summaries"), points.alias("dynamics_series"), curve.alias("benchmark_curve"),
+        F.when(video & cust(2, 0), frames).alias("top_frames"), F.when(video, frames).alias("frames"), F.when(~video, frames).alias("images"))
