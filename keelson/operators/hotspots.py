@@ -115,6 +115,12 @@ def hotspot_counts(spark: SparkSession, assignments: DataFrame) -> DataFrame:
 
 def hotspot_lists(spark: SparkSession, assignments: DataFrame) -> DataFrame:
     """Every hotspot keeps its (possibly empty) list, as rows; a hotspot
-    without photos appears once with a null photo."""
-    dim = F.broadcast(hotspot_dimension(spark).select("hotspot_id", "text"))
-    return dim.join(assignments.select("hotspot_id", "pos", "photo_url"), "hotspot_id", "left")
+    without photos appears once with a null photo. The four-row dimension is
+    broadcast to the photos (they aren't shuffled by hotspot, so a hotspot
+    with most photos is no single task); the hotspots found empty are added."""
+    dim = hotspot_dimension(spark).select("hotspot_id", "text")
+    photos = assignments.select("hotspot_id", "pos", "photo_url")
+    found = photos.join(F.broadcast(dim), "hotspot_id").select("hotspot_id", "text", "pos", "photo_url")
+    seen = photos.select("hotspot_id").distinct()  # four rows at most
+    empty = dim.join(seen, "hotspot_id", "left_anti")
+    return found.unionByName(empty.withColumn("pos", F.lit(None).cast("bigint")).withColumn("photo_url", F.lit(None).cast("string")))
