@@ -10,10 +10,10 @@ limit; the result is every row's component of links. It is exact:
    shingles first and, in it, those that only one class has, then the rarer
    ones. A class whose first shingles are all its own has no partner, which
    ends most classes here. Only counts of the zone's shingles are shuffled.
-3. Groups: what is left is partitioned into groups of similar classes by
-   min-hash, large groups into blocks of bounded size. Within a block all pairs
-   are compared (a matrix product). Two partitions with other hashes make two
-   rounds; their links give first components.
+3. Groups: what is left is partitioned into groups of similar classes, by the
+   commonest shingle of the prefix, and large groups into blocks of bounded
+   size. Within a block all pairs are compared (a matrix product). Two
+   partitions into blocks make two rounds; their links give first components.
 4. Matrix: its rows are shingles, its columns the blocks of the first
    partition, and an entry says that a member has the shingle among its first
    ones. A class asks for blocks with members of another, larger component. The
@@ -108,7 +108,7 @@ def sets(docs: DataFrame, text: str, key: str, size: int, percent: int, front: f
         import numpy as np
         import pyarrow as pa
 
-        shingles, edge = Shingler(size), np.uint64(int(front * 2 ** 64))
+        shingles, edge = Shingler(size), np.uint64(min(int(front * 2 ** 64), 2 ** 64 - 1))
         for b in batches:
             for first in range(0, b.num_rows, 256):
                 part = b.slice(first, 256)
@@ -134,7 +134,7 @@ def sets(docs: DataFrame, text: str, key: str, size: int, percent: int, front: f
 
 def fronts(rows: DataFrame, percent: int) -> DataFrame:
     """Per class that may have a partner: sid, n, prefix (the shingles of its
-    prefix that other classes have too)."""
+    prefix that other classes have too), hub (the one in most prefixes)."""
     each = rows.select("sid", "n", "inside", F.explode("tokens").alias("token"))
     shared = cut(each.groupBy("token").agg(F.min("sid").alias("a"), F.max("sid").alias("b"), F.count("*").alias("rows"))
                  .filter("a <> b").select("token", "rows"))
@@ -143,8 +143,12 @@ def fronts(rows: DataFrame, percent: int) -> DataFrame:
              .agg(F.array_sort(F.collect_set(F.struct("rows", "token"))).alias("shared")))
     length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1  # of the prefix
     own = F.greatest("inside", length) - F.size("shared")                 # shingles that no other class has come first
-    return (found.withColumn("rest", (length - own).cast("int")).filter("rest > 0")
-            .select("sid", "n", F.transform(F.slice("shared", F.lit(1), F.col("rest")), lambda x: x["token"]).alias("prefix")))
+    front = cut(found.withColumn("rest", (length - own).cast("int")).filter("rest > 0")
+                .select("sid", "n", F.transform(F.slice("shared", F.lit(1), F.col("rest")), lambda x: x["token"]).alias("prefix")))
+    entry = front.select("sid", F.explode("prefix").alias("token"))
+    common = entry.groupBy("token").agg(F.count("*").alias("classes"))
+    hub = entry.join(common, "token").groupBy("sid").agg(F.max(F.struct("classes", "token")).alias("hub"))
+    return front.join(hub.select("sid", F.col("hub.token").alias("hub")), "sid")
 
 
 def linked(n_a, n_b, both, percent: int):
@@ -196,12 +200,12 @@ def _by(values) -> dict:
     return {int(ordered[s]): order[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)} if len(values) else {}
 
 
-def blocks_of(full: DataFrame, which: str) -> DataFrame:
-    """``full`` (sid, n, tokens, g0, g1) with block: the class's part of its group."""
-    sizes = full.groupBy(which).agg(F.count("*").alias("k"), F.sum("n").alias("t"))
+def blocks_of(full: DataFrame, turn: int) -> DataFrame:
+    """``full`` (sid, n, hub, tokens) with block: the class's part of its group."""
+    sizes = full.groupBy("hub").agg(F.count("*").alias("k"), F.sum("n").alias("t"))
     parts = F.greatest(F.ceil(F.col("k") / BLOCK_ROWS), F.ceil(F.col("t") / BLOCK_TOKENS))
-    return (full.join(sizes.select(which, parts.alias("parts")), which)
-            .withColumn("block", F.xxhash64(which, F.pmod(F.xxhash64(F.lit(which), "sid"), F.col("parts")))).drop("parts"))
+    return (full.join(sizes.select("hub", parts.alias("parts")), "hub")
+            .withColumn("block", F.xxhash64("hub", F.pmod(F.xxhash64(F.lit(turn), "sid"), F.col("parts")))).drop("parts"))
 
 
 def _tasks(total_tokens: int, spark: SparkSession) -> int:
@@ -316,9 +320,9 @@ def across(blocks: DataFrame, front: DataFrame, labels: DataFrame, percent: int,
 
 
 def full_sets(docs: DataFrame, text: str, key: str, rows: DataFrame, front: DataFrame, size: int) -> DataFrame:
-    """sid, n, tokens (all), g0, g1 (groups) of the classes of ``front``, each
-    from the text of one of its rows (smallest id, which isn't null if one isn't)."""
-    one = rows.join(front.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("_jac_id"))
+    """sid, n, hub, tokens (all) of the classes of ``front``, each from the text
+    of one of its rows (smallest id, which isn't null if one isn't)."""
+    one = rows.join(front.select("sid", "hub"), "sid").groupBy("sid", "hub").agg(F.min("id").alias("_jac_id"))
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(one, F.col("id").eqNullSafe(F.col("_jac_id")))
 
     def run(batches: Iterator) -> Iterator:
@@ -330,20 +334,18 @@ def full_sets(docs: DataFrame, text: str, key: str, rows: DataFrame, front: Data
             for first in range(0, b.num_rows, 256):
                 part = b.slice(first, 256)
                 sid = part.column(0).to_pylist()
-                made = [shingles(t) for t in part.column(1).to_pylist()]
+                made = [shingles(t) for t in part.column(2).to_pylist()]
                 right = [i for i, s in enumerate(made) if set_id(s) == sid[i]]  # rows of one id may differ in text
                 if not right:
                     continue
-                own = [made[i] for i in right]
-                groups = [[int(mix(s ^ np.uint64(MIX[j])).min().astype(np.int64)) for s in own] for j in (0, 1)]
+                own = [np.sort(made[i].view(np.int64)) for i in right]
                 at = np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int32)
+                taken = part.take(pa.array(right))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([sid[i] for i in right], pa.int64()), pa.array([len(s) for s in own], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(at), pa.array(np.sort(np.concatenate(own).view(np.int64)) if len(own) == 1 else
-                                                                     np.concatenate([np.sort(s.view(np.int64)) for s in own]))),
-                     pa.array(groups[0], pa.int64()), pa.array(groups[1], pa.int64())], names=["sid", "n", "tokens", "g0", "g1"])
+                    [taken.column(0), pa.array([len(s) for s in own], pa.int64()), taken.column(1),
+                     pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own)))], names=["sid", "n", "hub", "tokens"])
 
-    made = texts.select("sid", "text").mapInArrow(run, "sid long, n long, tokens array<long>, g0 long, g1 long")
+    made = texts.select("sid", "hub", "text").mapInArrow(run, "sid long, n long, hub long, tokens array<long>")
     return made.dropDuplicates(["sid"])
 
 
@@ -355,7 +357,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     front = cut(fronts(rows, percent))
     full = cut(full_sets(docs, text, key, rows, front, size))
     tasks = _tasks(full.agg(F.sum("n")).first()[0] or 0, spark)
-    first, second = cut(blocks_of(full, "g0")), blocks_of(full, "g1")
+    first, second = cut(blocks_of(full, 1)), blocks_of(full, 2)
     links = cut(within(first, percent, tasks).union(within(second, percent, tasks)))
     labels = components(links)
     more = cut(across(first, front, labels, percent, tasks))
