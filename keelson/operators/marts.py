@@ -73,10 +73,11 @@ class Marts:
     """B7 / L1-L5, built lazily per table. ``lines``: (kind, asset_id,
     frame_idx, updated_at, l_linenumber, l_quantity, l_tax, l_discount,
     l_extendedprice) — one row per detected region of a frame (see
-    bindings.mart_lines). Each table is one DataFrame; the sink writes each
-    with ``mode('overwrite')``."""
+    bindings.mart_lines). All tables read :attr:`per_frame`, one aggregation
+    over the lines; with ``materialize`` it is written once to the shared
+    folder, so the tables of one mart scan and join the lines once."""
 
-    def __init__(self, lines: DataFrame, materialize: bool = False):
+    def __init__(self, lines: DataFrame, materialize: bool = True):
         self.lines = lines
         self.materialize = materialize
 
@@ -84,28 +85,47 @@ class Marts:
         return getattr(self, name)
 
     @cached_property
-    def counts(self) -> DataFrame:
-        """Per (asset, frame, class) pixels. Frames, class summaries, risk and
-        the run row all read it; with ``materialize=True`` it is written once
-        to the shared checkpoint folder (worth it when the lines join is
-        expensive; at small scale re-joining is cheaper)."""
-        from keelson.session import cut_lineage
+    def per_frame(self) -> DataFrame:
+        """Per (asset, frame): its pixels of each class (null where it has
+        none), exact stage sums, number of lines, time. The class list is
+        fixed, so conditional sums do in one aggregation what a group per
+        class would do in two."""
         from keelson.sources.bindings import class_of_line
-        c = (self.lines.select(*KEYS, "frame_idx", class_of_line("l_linenumber").alias("class_id"), "l_quantity")
-                 .groupBy(*KEYS, "frame_idx", "class_id").agg(F.sum("l_quantity").cast("bigint").alias("pixels")))
-        return cut_lineage(c) if self.materialize else c
+        dec, cls = "decimal(18,2)", class_of_line("l_linenumber")
+        pixels = [F.sum(F.when(cls == cid, F.col("l_quantity"))).cast("bigint").alias(f"_p{cid}") for cid, _, _ in K.CLASS_INFO]
+        sums = [F.sum(F.col(c).cast(dec)).alias(n) for n, c in (
+            ("_q", "l_quantity"), ("_t", "l_tax"), ("_d", "l_discount"), ("_e", "l_extendedprice"))]
+        g = self.lines.groupBy(*KEYS, "frame_idx").agg(*pixels, *sums, F.count(F.lit(1)).alias("_lines"),
+                                                      F.max("updated_at").alias("frame_time"))
+        if self.materialize:
+            from keelson.session import cut_lineage
+            return cut_lineage(g)
+        return g
+
+    def _pixels(self) -> Column:
+        """The frame's classes in order, as entries (class_id, pixels)."""
+        return F.filter(F.array(*[F.struct(F.lit(cid).alias("class_id"), F.col(f"_p{cid}").alias("pixels")) for cid, _, _ in K.CLASS_INFO]),
+                        lambda e: e["pixels"].isNotNull())
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """Per (asset, frame, class) pixels, long form."""
+        return self.per_frame.select(*KEYS, "frame_idx", F.explode(self._pixels()).alias("e")).select(*KEYS, "frame_idx", "e.*")
 
     @cached_property
     def frames(self) -> DataFrame:
-        from keelson.sources.bindings import frame_predictions
-        return frame_predictions(self.counts, keys=tuple(KEYS))
+        from keelson.sources.bindings import with_predictions
+        return with_predictions(self.per_frame.select(
+            *KEYS, "frame_idx", "frame_time", F.map_from_entries(self._pixels()).alias("class_pixel_counts")))
 
     @cached_property
     def asset_lines(self) -> DataFrame:
-        """Per asset, one aggregation over the lines: update time and the
-        stage sums (exact decimals)."""
-        from keelson.sources.bindings import _stage_sums
-        return _stage_sums(self.lines, KEYS, extra=[F.max("updated_at").alias("updated_at")])
+        """Per asset: update time and the stage sums (exact decimals)."""
+        from keelson.sources.bindings import stage_seconds
+        g = self.per_frame.groupBy(*KEYS).agg(
+            *[F.sum(c).cast("decimal(28,2)").alias(c) for c in ("_q", "_t", "_d", "_e")], F.sum("_lines").alias("items"),
+            F.max("frame_time").alias("updated_at"))
+        return stage_seconds(g, [*KEYS, "items", "updated_at"])
 
     @cached_property
     def meta(self) -> DataFrame:
@@ -122,9 +142,7 @@ class Marts:
     def dynamics(self) -> DataFrame:
         """Frame label, position and translated primary sign per
         frame; photos are numbered oldest first (G6), videos keep frame_idx."""
-        frame_time = self.lines.groupBy(*KEYS, "frame_idx").agg(F.max("updated_at").alias("frame_time"))
-        dyn = self.frames.join(frame_time, KEYS + ["frame_idx"])
-        dyn = ordinal(dyn.withColumn("_ak", F.concat_ws("|", "kind", F.col("asset_id").cast("string"))),
+        dyn = ordinal(self.frames.withColumn("_ak", F.concat_ws("|", "kind", F.col("asset_id").cast("string"))),
                       "_ak", ["frame_time", "frame_idx"], name="photo_index",
                       chunk=time_chunk("frame_time", 86_400_000_000)).drop("_ak")
         dyn_idx = F.when(F.col("kind") == "photo", F.col("photo_index")).otherwise(F.col("frame_idx")).cast("bigint")

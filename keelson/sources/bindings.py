@@ -86,7 +86,12 @@ def frame_predictions(counts: DataFrame, keys: tuple[str, ...] = ("asset_id",))
     frame, so the collected lists are bounded by the class count."""
     g = counts.groupBy(*keys, "frame_idx").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_id", "pixels")))).alias("class_pixel_counts"))
-    return (g.withColumn("class_pixel_ratios", CL.ratios("class_pixel_counts"))
+    return with_predictions(g)
+
+
+def with_predictions(frames: DataFrame) -> DataFrame:
+    """The predictions that follow from a frame's class_pixel_counts."""
+    return (frames.withColumn("class_pixel_ratios", CL.ratios("class_pixel_counts"))
              .withColumn("predicted_class_ids", CL.predicted_ids("class_pixel_counts"))
              .withColumn("dominant_class_id", CL.dominant_class("class_pixel_counts", 0))
              .withColumn("primary_sign_id", CL.primary_sign("predicted_class_ids", "dominant_class_id"))
@@ -111,9 +116,13 @@ def _stage_sums(df: DataFrame, keys: list[str], extra: list | None = None) -> Da
         F.sum(F.col("l_quantity").cast(dec)).alias("_q"), F.sum(F.col("l_tax").cast(dec)).alias("_t"),
         F.sum(F.col("l_discount").cast(dec)).alias("_d"), F.sum(F.col("l_extendedprice").cast(dec)).alias("_e"),
         F.count(F.lit(1)).alias("items"), *extra)
-    return g.select(
-        *keys, "items", *[c for c in g.columns if c not in keys and not c.startswith("_") and c != "items"],
-        F.col("_q").cast("double").alias("extraction_wall_seconds"),
+    return stage_seconds(g, [*keys, "items", *[c for c in g.columns if c not in keys and not c.startswith("_") and c != "items"]])
+
+
+def stage_seconds(sums: DataFrame, keep: list[str]) -> DataFrame:
+    """Stage seconds from the sums _q, _t, _d, _e (decimals) and items."""
+    return sums.select(
+        *keep, F.col("_q").cast("double").alias("extraction_wall_seconds"),
         F.col("_t").cast("double").alias("preprocessing_wall_seconds"),
         F.col("_d").cast("double").alias("inference_wall_seconds"),
         (F.col("_e") / 1000000).cast("double").alias("export_stage_wall_seconds"),
