@@ -185,3 +185,19 @@ HOTSPOT_FALLBACK_FILES = {
     "engine": ["stern_hull_01.jpg", "stern_hull_02.jpg", "stern_hull_03.jpg", "stern_hull_04.jpg",
                "stern_hull_05.jpg", "stern_hull_06.jpg", "stern_hull_07.jpg"],
 }
+
+# ---- FIXED VALUES: report conclusion; kind, issue, band in lower case, score ----
+CONCLUSION_TEXT = (
+    "По итогам %s на осмотренном участке чаще других фиксировался признак - %s. "
+    "Совокупная оценка состояния участка соответствует уровню %s риска (%.3f). "
+    "Признаков аварийного состояния по результатам текущего анализа не выявлено, однако участок требует планового наблюдения и повторной проверки в рамках следующего цикла осмотра. "
+    "При следующем обследовании рекомендуется уделить внимание зонам, где дополнительные признаки повторяются на нескольких кадрах подряд, чтобы подтвердить их устойчивость и уточнить необходимость профилактических работ."
+)
+# the report's sentence on a run: kind, issue, band, score, urgency
+SUMMARY_TEXT = (
+    "%s показала, что среди выявленных не-фоновых признаков чаще всего отмечался признак \"%s\". "
+    "Интегральный риск оценивается как %s (%.3f), приоритет действий - %s."
+)
+SOURCE_PLACEHOLDER = "Источник не указан"
+KIND_LABELS = {"photo": "Фотоинспекция", "video": "Видеоинспекция"}
+UNKNOWN_COLOR = "#94a3b8"

@@ -59,7 +59,7 @@ def class_color(name, default=None) -> Column:
     kv = []
     for k, v in K.CLASS_COLOR_MAP.items():
         kv += [F.lit(k), F.lit(v)]
-    d = F.lit("#94a3b8") if default is None else _c(default)
+    d = F.lit(K.UNKNOWN_COLOR) if default is None else _c(default)
     return F.coalesce(F.element_at(F.create_map(*kv), _c(name)), d)
 
 

@@ -29,7 +29,7 @@ def stem(path) -> Column:
     return F.regexp_replace(filename(path), r"\.[^.]*$", "")
 
 
-def source_name(path, placeholder: str = "Источник не указан") -> Column:
+def source_name(path, placeholder: str = K.SOURCE_PLACEHOLDER) -> Column:
     """Last part of a path-like source, trailing '/' ignored; placeholder when blank."""
     t = F.trim(F.coalesce(_c(path), F.lit("")))
     last = F.substring_index(F.regexp_replace(t, r"/+$", ""), "/", -1)
@@ -97,9 +97,12 @@ def asset_path(root, rel) -> Column:
 def summary_text(kind_label, dominant, band, score, urgency_col) -> Column:
     """The report's summary sentence."""
     return F.format_string(
-        "%s показала, что среди выявленных не-фоновых признаков чаще всего отмечался признак \"%s\". "
-        "Интегральный риск оценивается как %s (%.3f), приоритет действий - %s.",
-        _c(kind_label), _c(dominant), F.lower(_c(band)), rnd(_c(score).cast("double"), 3), F.lower(_c(urgency_col)))
+        K.SUMMARY_TEXT, _c(kind_label), _c(dominant), F.lower(_c(band)), rnd(_c(score).cast("double"), 3), F.lower(_c(urgency_col)))
+
+
+def conclusion_text(kind_label, dominant, band, score) -> Column:
+    """The report's conclusion."""
+    return F.format_string(K.CONCLUSION_TEXT, _c(kind_label), _c(dominant), F.lower(_c(band)), rnd(_c(score).cast("double"), 3))
 
 
 def recommendations(score, corrosion_pct, peel_pct, growth_pct, extracted=None, segmented=None,

@@ -111,6 +111,17 @@ def d5_fallback(spark, sf):
     return c.select("video_id", "frame_idx", "fallback_mode")
 
 
+@query("d5_fallback_dark")
+def d5_fallback_dark(spark, sf):
+    """D5 + J2 where it falls back: every seventh video is too dark, so none of
+    its frames passes and its first frames with a hash are taken."""
+    fr = B.frames_v(spark, sf)
+    dark = fr.withColumn("brightness", F.when(F.col("video_id") % 7 == 0, F.lit(0.0)).otherwise(F.col("brightness")))
+    d = Q.prev_good_hash(Q.flag_quality(dark), rn="frame_rn", chunk="frame_chunk")
+    from keelson.session import cut_lineage
+    return Q.with_fallback(cut_lineage(d)).select("video_id", "frame_idx", "fallback_mode")
+
+
 @query("g2_coverage_bucket")
 def g2_coverage_bucket(spark, sf):
     c = candidates(spark, sf)
@@ -319,6 +330,13 @@ def g4_story_frames(spark, sf):
     return s.select("asset_id", "frame_idx", "story_pick")
 
 
+@query("g4_story_frames_fill")
+def g4_story_frames_fill(spark, sf):
+    """G4 with more frames wanted than buckets, so the fill adds some."""
+    s = S.story_frames(frame_preds(spark, sf), 8, 3, key="asset_id")
+    return s.select("asset_id", "frame_idx", "story_pick")
+
+
 # ---- marts and dashboard panels (asset = (kind, customer), frame = order) ----
 
 from keelson.operators import marts as M  # noqa: E402
@@ -468,11 +486,11 @@ def l16_report_tables(spark, sf):
     risk, urgency, summary sentence (C40)."""
     m = marts(spark, sf)
     r = m.runs.join(M.reviewed_items(m.runs), M.KEYS).join(OC.issue_type_count(m.class_metrics, M.KEYS), M.KEYS)
-    kind_label = F.when(F.col("kind") == "photo", F.lit("Фотоинспекция")).otherwise(F.lit("Видеоинспекция"))
+    kind_label = F.when(F.col("kind") == "photo", F.lit(K.KIND_LABELS["photo"])).otherwise(F.lit(K.KIND_LABELS["video"]))
     return r.select("kind", "asset_id", "reviewed_items", "issue_types", "primary_issue", "risk_score",
                     RK.urgency("risk_score").alias("urgency"),
                     TX.summary_text(kind_label, "primary_issue", "risk_band", "risk_score", RK.urgency("risk_score"))
-                    .alias("summary"))
+                    .alias("summary"), TX.conclusion_text(kind_label, "primary_issue", "risk_band", "risk_score").alias("conclusion"))
 
 
 # ---- runs_v (kind, customer, order) and stage_v (supplier) -----------------
@@ -906,31 +924,76 @@ def i7_review_rows(spark, sf):
                     .alias("frame_label"), "truth_label", F.lit("-").alias("time_text"))
 
 
+def _entries(m, fmt: str):
+    return F.array_join(F.transform(F.map_entries(m), lambda e: F.format_string(fmt, e["key"], e["value"])), ",")
+
+
 @query("l14_photo_record")
 def l14_photo_record(spark, sf):
-    """One record per photo of the photo assets (frames of kind photo)."""
+    """One record per photo of the photo assets (frames of kind photo;
+    the frame number stands for the file's length)."""
     f = marts(spark, sf).frames.where(F.col("kind") == "photo")
     name = F.format_string("%d.jpg", F.col("frame_idx"))
-    return f.select("asset_id", name.alias("filename"),
+    return f.select("asset_id", name.alias("filename"), F.concat(F.lit("raw/photos/"), name).alias("source_path"),
+                    F.col("frame_idx").alias("size_bytes"), TX.size_kb("frame_idx").alias("size_kb"),
                     F.concat(F.lit("images/"), name).alias("processed_image"),
                     F.concat(F.lit("masks/"), name).alias("mask_image"),
                     F.concat(F.lit("overlays/"), name).alias("overlay_image"),
                     "dominant_class_id", CL.class_name("dominant_class_id").alias("dominant_class_name"),
                     F.array_join(CL.predicted_names("predicted_class_ids", K.VISIBLE_EXCLUDED_IDS), ", ").alias("predicted_class_names"),
-                    "risk_score")
+                    _entries("class_pixel_counts", "%d:%d").alias("class_pixel_counts"),
+                    _entries("class_pixel_ratios", "%d:%.6f").alias("class_pixel_ratios"), "prediction_mode", "risk_score")
 
 
 @query("l15_frame_record")
 def l15_frame_record(spark, sf):
-    """The manifest's top-frame record, flattened: story frames with the
-    primary sign, predicted ids and the first of the top classes (G5)."""
+    """The manifest's top-frame record: story frames with time (at 25
+    frames a second), primary sign, predicted ids, ratios, the three top
+    classes (G5) and the image paths."""
     f = OC.frame_top_classes(frame_preds(spark, sf))
     story = S.story_frames(f, K.STORY_FRAMES, K.STORY_FRAMES, key="asset_id")
-    return story.select("asset_id", "frame_idx", F.col("primary_sign_id").alias("dominant_class_id"),
+    name = F.format_string("frame_%06d.jpg", F.col("frame_idx"))
+    return story.select("asset_id", "frame_idx", rnd(FR.frame_timestamp(F.col("frame_idx"), F.lit(25.0)), 6).alias("timestamp_sec"),
+                        F.col("primary_sign_id").alias("dominant_class_id"),
                         F.col("primary_sign_name").alias("dominant_class_name"),
                         F.array_join("predicted_class_ids", ",").alias("predicted_class_ids"),
-                        F.get("top_classes", 0)["class_id"].alias("top_class_id"),
-                        F.format_string("frames/frame_%06d.jpg", F.col("frame_idx")).alias("processed_image"))
+                        _entries("class_pixel_ratios", "%d:%.6f").alias("class_pixel_ratios"),
+                        F.array_join(F.transform("top_classes", lambda c: c["class_id"]), ",").alias("top_classes"),
+                        F.concat(F.lit("frames/"), name).alias("processed_image"), F.concat(F.lit("masks/"), name).alias("mask_image"),
+                        F.concat(F.lit("overlays/"), name).alias("overlay_image"))
+
+
+@query("c5_crop_box")
+def c5_crop_box(spark, sf):
+    """C4 + C5: a crop text as pixel boxes of small images, plain and clamped."""
+    p = B.table(spark, sf, "pages").select("page_id", (F.col("page_id") % 23).cast("int").alias("w"), (F.col("page_id") % 31).cast("int").alias("h"))
+    p = p.withColumn("c", FR.parse_crop(F.lit("0.05, 0.10, 0.95, 0.90"))).withColumn("w", F.col("w") + 1).withColumn("h", F.col("h") + 1)
+    return p.select("page_id", FR.crop_box("w", "h", "c").alias("a"), FR.crop_box("w", "h", "c", clamp=True).alias("b")).select(
+        "page_id", *[F.col(f"{s}.crop_{k}").alias(f"{n}_{k}") for s, n in (("a", "plain"), ("b", "clamped")) for k in ("x1", "y1", "x2", "y2")])
+
+
+@query("c24_class_ids")
+def c24_class_ids(spark, sf):
+    """Class names of a configuration, written in several ways, to ids."""
+    name = F.coalesce(CL.class_name(F.col("p_partkey") % 10), F.lit(""))
+    names = F.array(F.concat(F.lit(" "), F.upper(name)), F.translate(name, " ", "-"), F.col("p_name"))
+    return B.table(spark, sf, "part").select("p_partkey", F.array_join(CL.class_ids(names), ",").alias("ids"))
+
+
+@query("c45_asset_path")
+def c45_asset_path(spark, sf):
+    """A relative path joined to its root, whatever slashes they end or
+    begin with."""
+    p = B.table(spark, sf, "pages")
+    return p.select("page_id", TX.asset_path(F.concat("url", F.lit("//")), F.concat(F.lit("/img/"), F.col("page_id").cast("string"))).alias("path"))
+
+
+@query("c48_describe")
+def c48_describe(spark, sf):
+    """A hotspot's description by its text; a default for unknown ones."""
+    texts = F.array(*[F.lit(t) for _, t, _, _ in K.HOTSPOTS])
+    d = B.table(spark, sf, "documents").select("doc_id", F.coalesce(F.get(texts, (F.col("doc_id") % 5).cast("int")), F.col("source")).alias("text"))
+    return HS.describe(d).select("doc_id", "text", "description")
 
 
 @query("c35_time_label")

@@ -295,6 +295,12 @@ FROM (SELECT video_id, count(*) AS extracted_frames, count_if(quality_ok) AS qua
              CASE WHEN count_if(quality_ok AND NOT is_duplicate) > 0 THEN 'normal' ELSE 'raw_extracted' END AS fallback_mode
       FROM dedup_v GROUP BY video_id)""")
 
+oracle("d5_fallback_dark", ["cand_v", "dedup_v"], f"""
+SELECT video_id, frame_idx, fallback_mode FROM cand_v WHERE video_id % 7 <> 0
+UNION ALL
+SELECT video_id, frame_idx, 'raw_extracted' FROM (
+  SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS r FROM dedup_v WHERE video_id % 7 = 0 AND hash_u IS NOT NULL)
+WHERE r <= {K.FALLBACK_FRAMES}""")
 oracle("d5_fallback", ["cand_v"], "SELECT video_id, frame_idx, fallback_mode FROM cand_v")
 
 view("buckets_v", ["cand_v"], f"""
@@ -467,22 +473,26 @@ LEFT JOIN (SELECT asset_id, class_name_ru FROM (
                                  pixel_count DESC, class_id) AS r
     FROM cm_v WHERE class_name <> 'Void') WHERE r = 1) q USING (asset_id)""")
 
-STORY_SQL = f"""
+def story_sql(target: int, buckets: int) -> str:
+    return f"""
 WITH f AS (SELECT asset_id, frame_idx, risk_score, len(predicted_class_ids) AS n,
                   row_number() OVER (PARTITION BY asset_id ORDER BY frame_idx) AS rn,
                   count(*) OVER (PARTITION BY asset_id) AS t FROM frame_pred_v),
-     b AS (SELECT *, floor((rn * least({K.STORY_FRAMES}, t) - 1) / t) AS bk FROM f WHERE t > {K.STORY_FRAMES}),
+     b AS (SELECT *, floor((rn * least({buckets}, t) - 1) / t) AS bk FROM f WHERE t > {target}),
      best AS (SELECT asset_id, frame_idx FROM (
               SELECT *, row_number() OVER (PARTITION BY asset_id, bk ORDER BY risk_score DESC, n DESC, frame_idx DESC) AS r
               FROM b) WHERE r = 1),
      np AS (SELECT asset_id, count(*) AS k FROM best GROUP BY asset_id)
-SELECT asset_id, frame_idx, 'all' AS story_pick FROM f WHERE t <= {K.STORY_FRAMES}
+SELECT asset_id, frame_idx, 'all' AS story_pick FROM f WHERE t <= {target}
 UNION ALL SELECT asset_id, frame_idx, 'bucket' FROM best
 UNION ALL SELECT asset_id, frame_idx, 'fill' FROM (
   SELECT b.*, row_number() OVER (PARTITION BY b.asset_id ORDER BY risk_score DESC, n DESC, frame_idx) AS r, np.k
   FROM b JOIN np USING (asset_id) WHERE (b.asset_id, b.frame_idx) NOT IN (SELECT asset_id, frame_idx FROM best))
-WHERE r <= {K.STORY_FRAMES} - k"""
-view("story_v", ["frame_pred_v"], STORY_SQL)
+WHERE r <= {target} - k"""
+
+
+view("story_v", ["frame_pred_v"], story_sql(K.STORY_FRAMES, K.STORY_FRAMES))
+oracle("g4_story_frames_fill", ["frame_pred_v"], story_sql(8, 3))
 oracle("g4_story_frames", ["story_v"], "SELECT asset_id, frame_idx, story_pick FROM story_v")
 
 
@@ -743,7 +753,9 @@ SELECT r.kind, r.asset_id,
        printf('%s показала, что среди выявленных не-фоновых признаков чаще всего отмечался признак "%s". '
               || 'Интегральный риск оценивается как %s (%.3f), приоритет действий - %s.',
               CASE WHEN r.kind = 'photo' THEN 'Фотоинспекция' ELSE 'Видеоинспекция' END, r.primary_issue,
-              lower(r.risk_band), r.risk_score, lower({three_sql('r.risk_score', K.URGENCY_LABELS)})) AS summary
+              lower(r.risk_band), r.risk_score, lower({three_sql('r.risk_score', K.URGENCY_LABELS)})) AS summary,
+       printf({_q(K.CONCLUSION_TEXT)}, CASE WHEN r.kind = 'photo' THEN 'Фотоинспекция' ELSE 'Видеоинспекция' END, r.primary_issue,
+              lower(r.risk_band), r.risk_score) AS conclusion
 FROM mruns_v r JOIN (SELECT kind, asset_id, count_if(class_name NOT IN ('Void', 'Normal', 'Ship hull')
                             AND (frames_present > 0 OR pixel_share_pct > 0)) AS issue_types FROM mcm_v GROUP BY ALL) c
   USING (kind, asset_id)""")
@@ -1116,22 +1128,52 @@ FROM story_v s JOIN frame_pred_v f USING (asset_id, frame_idx) LEFT JOIN (
                row_number() OVER (PARTITION BY asset_id, frame_idx ORDER BY ratio DESC, class_id) AS rk
         FROM ratios_v WHERE class_id IN (2, 6, 9)) GROUP BY ALL) x USING (asset_id, frame_idx)""")
 
-oracle("l14_photo_record", ["mframe_v"], f"""
-SELECT asset_id, printf('%d.jpg', frame_idx) AS filename, 'images/' || printf('%d.jpg', frame_idx) AS processed_image,
-       'masks/' || printf('%d.jpg', frame_idx) AS mask_image, 'overlays/' || printf('%d.jpg', frame_idx) AS overlay_image,
+PIV = [0, *VISIBLE_IDS]
+COUNTS_TEXT = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN n{c} > 0 THEN '{c}:' || p{c} END" for c in PIV) + "], lambda x: x IS NOT NULL), ',')"
+RATIOS_TEXT = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN n{c} > 0 THEN '{c}:' || printf('%.6f', round(p{c} / tot, 6)) END" for c in PIV) + "], lambda x: x IS NOT NULL), ',')"
+
+
+def frame_texts(counts: str, keys: str) -> str:
+    cols = ", ".join(f"count(*) FILTER (WHERE class_id = {c}) AS n{c}, coalesce(sum(pixels) FILTER (WHERE class_id = {c}), 0) AS p{c}" for c in PIV)
+    return f"SELECT {keys}, frame_idx, {COUNTS_TEXT} AS counts_text, {RATIOS_TEXT} AS ratios_text FROM (SELECT {keys}, frame_idx, sum(pixels) AS tot, {cols} FROM {counts} GROUP BY {keys}, frame_idx)"
+
+
+oracle("l14_photo_record", ["mframe_v", "mcounts_v"], f"""
+SELECT m.asset_id, printf('%d.jpg', m.frame_idx) AS filename, 'raw/photos/' || printf('%d.jpg', m.frame_idx) AS source_path,
+       m.frame_idx AS size_bytes, round(m.frame_idx / {D(1024)}, 2) AS size_kb, 'images/' || printf('%d.jpg', m.frame_idx) AS processed_image,
+       'masks/' || printf('%d.jpg', m.frame_idx) AS mask_image, 'overlays/' || printf('%d.jpg', m.frame_idx) AS overlay_image,
        CAST(dominant_class_id AS INTEGER) AS dominant_class_id, {class_name_sql('dominant_class_id')} AS dominant_class_name,
        array_to_string(list_transform(predicted_class_ids, lambda x: {class_name_sql('x')}), ', ') AS predicted_class_names,
-       risk_score
-FROM mframe_v WHERE kind = 'photo'""")
-
-oracle("l15_frame_record", ["story_v", "frame_pred_v", "ratios_v"], f"""
-SELECT s.asset_id, s.frame_idx, CAST(f.primary_sign_id AS INTEGER) AS dominant_class_id, f.primary_sign_name AS dominant_class_name,
-       array_to_string(f.predicted_class_ids, ',') AS predicted_class_ids, t.class_id AS top_class_id,
-       printf('frames/frame_%06d.jpg', s.frame_idx) AS processed_image
-FROM story_v s JOIN frame_pred_v f USING (asset_id, frame_idx) LEFT JOIN (
-  SELECT asset_id, frame_idx, class_id FROM (
+       t.counts_text AS class_pixel_counts, t.ratios_text AS class_pixel_ratios, 'multiclass_segmentation' AS prediction_mode, risk_score
+FROM mframe_v m JOIN ({frame_texts('mcounts_v', 'kind, asset_id')}) t USING (kind, asset_id, frame_idx) WHERE kind = 'photo'""")
+
+oracle("l15_frame_record", ["story_v", "frame_pred_v", "ratios_v", "class_counts_v"], f"""
+SELECT s.asset_id, s.frame_idx, round(s.frame_idx / {D(25)}, 6) AS timestamp_sec, CAST(f.primary_sign_id AS INTEGER) AS dominant_class_id,
+       f.primary_sign_name AS dominant_class_name, array_to_string(f.predicted_class_ids, ',') AS predicted_class_ids,
+       x.ratios_text AS class_pixel_ratios, coalesce(t.top, '') AS top_classes,
+       printf('frames/frame_%06d.jpg', s.frame_idx) AS processed_image, printf('masks/frame_%06d.jpg', s.frame_idx) AS mask_image,
+       printf('overlays/frame_%06d.jpg', s.frame_idx) AS overlay_image
+FROM story_v s JOIN frame_pred_v f USING (asset_id, frame_idx) JOIN ({frame_texts('class_counts_v', 'asset_id')}) x USING (asset_id, frame_idx)
+LEFT JOIN (
+  SELECT asset_id, frame_idx, string_agg(CAST(class_id AS VARCHAR), ',' ORDER BY r) AS top FROM (
     SELECT *, row_number() OVER (PARTITION BY asset_id, frame_idx ORDER BY pixels DESC, class_id) AS r
-    FROM ratios_v WHERE class_id <> 0 AND pixels > 0) WHERE r = 1) t USING (asset_id, frame_idx)""")
+    FROM ratios_v WHERE class_id <> 0 AND pixels > 0) WHERE r <= 3 GROUP BY ALL) t USING (asset_id, frame_idx)""")
+
+CROP = ("0.05", "0.10", "0.95", "0.90")
+oracle("c5_crop_box", [], f"""
+SELECT page_id, x1 AS plain_x1, y1 AS plain_y1, x2 AS plain_x2, y2 AS plain_y2,
+       least(greatest(x1, 0), w - 1) AS clamped_x1, least(greatest(y1, 0), h - 1) AS clamped_y1,
+       least(greatest(x2, least(greatest(x1, 0), w - 1) + 1), w) AS clamped_x2, least(greatest(y2, least(greatest(y1, 0), h - 1) + 1), h) AS clamped_y2
+FROM (SELECT *, CAST(floor(w * {D(CROP[0])}) AS INTEGER) AS x1, CAST(floor(h * {D(CROP[1])}) AS INTEGER) AS y1,
+             CAST(floor(w * {D(CROP[2])}) AS INTEGER) AS x2, CAST(floor(h * {D(CROP[3])}) AS INTEGER) AS y2
+      FROM (SELECT page_id, CAST(page_id % 23 AS INTEGER) + 1 AS w, CAST(page_id % 31 AS INTEGER) + 1 AS h FROM pages))""")
+oracle("c24_class_ids", [], """
+SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN '0,0' WHEN 1 THEN '1,1' WHEN 2 THEN '2,2' WHEN 6 THEN '6,6' WHEN 9 THEN '9,9' ELSE '' END AS ids
+FROM part""")
+oracle("c45_asset_path", [], "SELECT page_id, regexp_replace(url, '/+$', '') || '/img/' || page_id AS path FROM pages")
+oracle("c48_describe", [], f"""
+SELECT doc_id, text, CASE {' '.join(f"WHEN text = {_q(k)} THEN {_q(v)}" for k, v in K.HOTSPOT_DESCRIPTIONS.items())} ELSE {_q(K.HOTSPOT_DEFAULT_DESCRIPTION)} END AS description
+FROM (SELECT doc_id, CASE doc_id % 5 {' '.join(f"WHEN {i} THEN {_q(t)}" for i, (_, t, _, _) in enumerate(K.HOTSPOTS))} ELSE source END AS text FROM documents)""")
 
 oracle("c35_time_label", ["frames_v"], f"""
 SELECT video_id, frame_idx, CASE WHEN timestamp_sec IS NULL THEN {_q(K.TIME_NOT_GIVEN)}
