@@ -138,7 +138,7 @@ def blend(img, mask, alpha: float = K.OVERLAY_ALPHA) -> Column:
 def laplacian_var(gray_pixels, width, height) -> Column:
     """Population variance of the 3x3 Laplacian (0 1 0 / 1 -4 1 / 0 1 0),
     reflect-101 borders, on a row-major gray array. Small images only; large
-    frames go through the decode plug-in (NumPy in ``mapInPandas``)."""
+    frames go through ``inference.measure_frames`` (NumPy in ``mapInPandas``)."""
     a, w, h = _c(gray_pixels), _c(width), _c(height)
 
     def at(y, x):

@@ -126,3 +126,32 @@ def test_newest_manifest_and_constant(spark):
     m = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-02-01")], "video_id string, _updated_at string")
     assert R.newest_manifest(m).collect()[0].video_id == "b"
     assert with_constant(m, "k", 3).select("k").distinct().collect()[0].k == 3
+
+
+def test_measured_frames_equal_native_metrics(spark):
+    """One NumPy pass gives what the native expressions give; the native hash
+    reads a 9 x 8 image as it is."""
+    import numpy as np
+    from keelson.operators import inference as INF
+    rng = np.random.default_rng(4)
+    images = {i: rng.integers(0, 256, (8, 9)).astype(np.uint8) for i in range(6)}
+    df = spark.createDataFrame([(i, bytearray(a.tobytes())) for i, a in images.items()] + [(6, None), (7, bytearray(b"bad"))],
+                               "frame_id long, content binary")
+
+    def decode(b):
+        return np.frombuffer(b, np.uint8).reshape(8, 9)
+    got = {r.frame_id: r for r in INF.measure_frames(df, decode).collect()}
+    want = {r.frame_id: r for r in INF.frame_metrics(INF.decode_frames(df, decode), hash_cols=9).collect()}
+    for i in images:
+        assert got[i].dhash == want[i].dhash and len(got[i].dhash) == 16
+        assert abs(got[i].brightness - want[i].brightness) < 1e-9 and abs(got[i].laplacian_var - want[i].laplacian_var) < 1e-6
+    assert got[6].status == got[7].status == "error" and got[7].error and got[6].brightness is None
+
+
+def test_area_resize_weighs_cells():
+    import numpy as np
+    from keelson.operators.inference import _area_resize
+    a = np.array([[0.0, 3.0, 6.0]])
+    assert np.allclose(_area_resize(a, 2, 1), [[1.0, 5.0]])  # the middle cell counts half in each
+    colour = np.arange(24, dtype=float).reshape(2, 4, 3)
+    assert np.allclose(_area_resize(colour, 2, 1)[0, 0], colour[:, :2].mean((0, 1)))
