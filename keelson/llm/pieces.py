@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import read
 
 SPACE = "▁"
-REMEMBERED = 300_000  # parts held by a worker's table, then it starts anew
+REMEMBERED = 300_000  # parts held by each of a worker's two tables
 LONGEST = 64          # longer parts aren't held
 
 
@@ -57,21 +57,42 @@ class Pieces:
             raise ValueError("only models whose pieces don't cross words")
         self.alphabet = {c for n in self.ids for c in n}
         self.pairs = {n[i:i + 2] for n in self.ids for i in range(len(n) - 1)}
-        # pieces that merging can reach; others never stand in a result
+        order = sorted(self.ids, key=lambda n: -self.scores[n])
+        # twice the turn at which a piece is merged, equal for equal scores; single characters aren't merged
+        self.turn, turn = {}, 0
+        for before, n in zip([None, *order], order):
+            turn += before is not None and self.scores[before] != self.scores[n]
+            if len(n) > 1:
+                self.turn[n] = 2 * turn
+        # the two parts that a piece's last merge joins; pieces that merging
+        # doesn't reach never stand in a result
+        self.parts = {n: (n, n) for n in self.alphabet}
         self.machine = ahocorasick.Automaton()
-        for n in self.ids:
-            if len(n) == 1 or self._merge(n) == [n]:
-                self.machine.add_word(n, len(n))
+        for n in sorted(self.ids, key=len):
+            if len(n) > 1:
+                two = self._merge(n, 2)
+                if len(two) != 2 or self._merge(n) != [n]:
+                    continue
+                self.parts[n] = two[0], two[1]
+            self.machine.add_word(n, len(n))
         self.machine.make_automaton()
+        self.shorter = {n: next((i for i in range(len(n) - 1, 0, -1) if n[:i] in self.parts), 0) for n in self.parts}
         self.fits: dict[tuple[str, str], bool] = {}
         self.memory: dict[str, bytes] = {}
-        newline = "" if "\n" in self.alphabet else "\n"  # no piece crosses it
-        self.cuts = re.compile(f"{SPACE}*[^{SPACE}{newline}]+|{SPACE}+" + "|\n+" * bool(newline)).findall
-
-    def _merge(self, text: str) -> list[str]:
-        """Merge adjacent symbols, the best score first, leftmost among equals."""
+        self.old: dict[str, bytes] = {}
+        # a text's parts: cut before spaces, at line ends, and before a stop or
+        # comma if no piece has it after the character before it
+        newline = "" if "\n" in self.alphabet else "\n"
+        rest = f"[^{SPACE}{newline}.,]"
+        after = {c: "".join(re.escape(x) for x, y in self.pairs if y == c) or "\0" for c in ".,"}
+        on = f"(?:(?:(?<=[{after['.']}])\\.|(?<=[{after[',']}]),){rest}*)*"
+        self.cuts = re.compile(f"{SPACE}*{rest}+{on}|{SPACE}*[.,]+[^{SPACE}{newline}]*|{SPACE}+" + "|\n+" * bool(newline)).findall
+
+    def _merge(self, text: str, until: int = 1) -> list[str]:
+        """Merge adjacent symbols, the best score first, leftmost among equals,
+        while there are more than ``until``."""
         parts, score = list(text), self.scores.get
-        while len(parts) > 1:
+        while len(parts) > until:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = score(parts[i] + parts[i + 1])
@@ -83,22 +104,31 @@ class Pieces:
         return parts
 
     def _fit(self, a: str, b: str) -> bool:
-        got = self.fits.get((a, b))
-        if got is None:
-            if len(self.fits) >= REMEMBERED:
-                self.fits.clear()
-            got = self.fits[a, b] = self._merge(a + b) == [a, b]
-        return got
+        """Whether merging the characters of a and b again yields a and b. The
+        merges are undone from the last one: at no time may the parts that
+        meet at the border merge sooner than the merge undone before."""
+        turn, parts = self.turn.get, self.parts
+        soonest = 1 << 60
+        while True:
+            both = turn(a + b)
+            if both is not None and both < soonest:
+                return False
+            at_a, at_b = turn(a, -1), turn(b, -1)
+            if at_a > at_b:
+                soonest, a = at_a, parts[a][1]
+            elif at_b >= 0:  # of equal turns the left one comes first
+                soonest, b = at_b + 1, parts[b][0]
+            else:
+                return True
 
     def _backtrack(self, text: str) -> list[str]:
         """text: characters of the alphabet only."""
+        if text in self.parts:
+            return [text]
         longest = [1] * len(text)
-        shorter: list[list[int]] = [[] for _ in text]
         for end, n in self.machine.iter(text):
-            shorter[end + 1 - n].append(n)  # ends grow, so lengths do
-        for i, ns in enumerate(shorter):
-            if ns:
-                longest[i] = ns[-1]
+            longest[end + 1 - n] = n  # ends grow, so lengths do
+        fits, shorter = self.fits, self.shorter
         failed = bytearray(len(text) // 8 + 1)  # bit i: no way leads on from position i
         out: list[str] = []
         at, size = 0, longest[0]
@@ -106,12 +136,18 @@ class Pieces:
             while True:
                 piece = text[at:at + size]
                 to = at + size
-                if not failed[to >> 3] >> (to & 7) & 1 and (not out or self._fit(out[-1], piece)):
-                    out.append(piece)
-                    at += size
-                    size = longest[at] if at < len(text) else 0
-                    break
-                size = max((n for n in shorter[at] if n < size), default=0)
+                if not failed[to >> 3] >> (to & 7) & 1:
+                    fit = not out or fits.get((out[-1], piece))
+                    if fit is None:
+                        if len(fits) >= REMEMBERED:
+                            fits.clear()
+                        fit = fits[out[-1], piece] = self._fit(out[-1], piece)
+                    if fit:
+                        out.append(piece)
+                        at = to
+                        size = longest[at] if at < len(text) else 0
+                        break
+                size = shorter[piece]
                 if not size:  # go back and try the last piece's prefixes
                     failed[at >> 3] |= 1 << (at & 7)
                     size = len(out.pop())
@@ -133,6 +169,10 @@ class Pieces:
         got = self.memory.get(part)
         if got is not None:
             return got
+        got = self.old.get(part)
+        if got is not None:
+            self._remember(part, got)
+            return got
         pairs, start, inner = self.pairs, 0, []
         for i in range(1, len(part)):  # no piece crosses a pair of characters that none has
             if part[i - 1:i + 1] not in pairs:
@@ -143,17 +183,22 @@ class Pieces:
         else:
             got = b"".join([i.to_bytes(4, "little") for i in self._ids(part)])
         if len(part) <= LONGEST:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            self.memory[part] = got
+            self._remember(part, got)
         return got
 
+    def _remember(self, part: str, got: bytes) -> None:
+        """Two generations: when the young table is full it becomes the old
+        one, and parts that are met again move to the young one."""
+        if len(self.memory) >= REMEMBERED:
+            self.old, self.memory = self.memory, {}
+        self.memory[part] = got
+
     def encode_bytes(self, text: str | None, ends: bool = True) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         text = (text or "").replace(" ", SPACE)
         if text and self.dummy:
             text = SPACE + text
-        memory, known = self.memory.get, self._known
+        memory, known = self.memory.get, self._known  # of the table as it is when the text begins
         inner = b"".join([memory(x) or known(x) for x in self.cuts(text)])
         return self.bos.to_bytes(4, "little") + inner + self.eos.to_bytes(4, "little") if ends else inner
 
