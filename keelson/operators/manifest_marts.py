@@ -21,9 +21,10 @@ from keelson.functions import risk as RK
 from keelson.functions import text as TX
 from keelson.functions.num import rnd
 from keelson.operators.classes import frame_signs
+from keelson.operators.marts import MART_CLASSES, primary_of, shares_risk
+from keelson.operators.marts import stage_times as stage_rows
 
 KEYS = ["kind", "asset_id", "updated_at_epoch"]
-MART_CLASSES = tuple(n for n in K.ALLOWED_CLASS_NAMES if n != "Ship hull")
 
 
 def _some(*cols: Column) -> Column:
@@ -53,22 +54,6 @@ def _class_rows(summaries: Column) -> Column:
     return F.when(seen, rows).otherwise(F.slice(rows, 1, 0))
 
 
-def _shares_risk(rows: Column) -> Column:
-    """F13 of class rows."""
-    total = F.aggregate(rows, F.lit(0.0), lambda a, c: a + c["pixel_share_pct"] / 100.0)
-    weighted = F.aggregate(rows, F.lit(0.0), lambda a, c: a + c["pixel_share_pct"] / 100.0 * RK.fallback_weight(c["class_name"]))
-    return F.when(total != 0, rnd(weighted / F.greatest(total, F.lit(1e-6)), 3)).otherwise(F.lit(0.0))
-
-
-def _primary(rows: Column) -> Column:
-    """F16: the defect class in most frames (then by share, pixels, smaller id)."""
-    defects = F.filter(rows, lambda c: ~c["class_name"].isin(*K.NON_DEFECT_NAMES) & ((c["frames_present"] > 0) | (c["pixel_share_pct"] > 0)))
-    best = F.array_max(F.transform(defects, lambda c: F.struct(
-        c["frames_present"].alias("f"), c["pixel_share_pct"].alias("s"), c["pixel_count"].alias("p"), (-c["class_id"]).alias("i"),
-        c["class_name_ru"].alias("n"))))
-    return F.coalesce(best["n"], F.lit(K.NO_ISSUE_LABEL))
-
-
 def prepare(manifests: DataFrame) -> DataFrame:
     """C29, C30 and the class rows of every manifest."""
     asset = F.coalesce(_blank("video_id"), _blank("source_batch"), _blank("generated_at_utc"),
@@ -98,8 +83,8 @@ def runs(manifests: DataFrame) -> DataFrame:
     p = RK.effective_photo_counts(images, s["inference_wall_seconds"], s["pipeline_wall_seconds"],
                                   F.col("run_counts.avg_inference_ms_per_image"))
     stored = F.coalesce(F.col("risk_summary.score"), F.lit(0.0))
-    m = (m.withColumn("_v", v).withColumn("_p", p).withColumn("primary_issue", _primary(F.col("_rows")))
-         .withColumn("risk_score", F.when(stored > 0, stored).otherwise(_shares_risk(F.col("_rows")))))
+    m = (m.withColumn("_v", v).withColumn("_p", p).withColumn("primary_issue", primary_of(F.col("_rows")))
+         .withColumn("risk_score", F.when(stored > 0, stored).otherwise(shares_risk(F.col("_rows")))))
 
     def funnel(name: str) -> Column:
         return F.when(video, F.col(f"_v.{name}")).otherwise(_count(name))
@@ -140,8 +125,7 @@ def dynamics(manifests: DataFrame) -> DataFrame:
 
 def stage_times(manifests: DataFrame) -> DataFrame:
     """L4 / K1 on the manifest's own times (nothing imputed)."""
-    from keelson.operators.marts import stage_times as rows
-    return rows(prepare(manifests).select(*KEYS, *[c.alias(n) for n, c in _seconds().items()]), KEYS)
+    return stage_rows(prepare(manifests).select(*KEYS, *[c.alias(n) for n, c in _seconds().items()]), KEYS)
 
 
 def benchmark_curve(manifests: DataFrame) -> DataFrame:

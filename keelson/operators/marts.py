@@ -26,11 +26,30 @@ from keelson.operators.ordering import ordinal, time_chunk
 KEYS = ["kind", "asset_id"]
 
 
+MART_CLASSES = tuple(n for n in K.ALLOWED_CLASS_NAMES if n != "Ship hull")
+
+
+def shares_risk(rows: Column) -> Column:
+    """F13 of an asset's class rows (array): mean weight by share, 0 without."""
+    total = F.aggregate(rows, F.lit(0.0), lambda a, c: a + c["pixel_share_pct"] / 100.0)
+    weighted = F.aggregate(rows, F.lit(0.0), lambda a, c: a + c["pixel_share_pct"] / 100.0 * RK.fallback_weight(c["class_name"]))
+    return F.when(total != 0, rnd(weighted / F.greatest(total, F.lit(1e-6)), 3)).otherwise(F.lit(0.0))
+
+
+def primary_of(rows: Column) -> Column:
+    """F16 of an asset's class rows (array): the defect class in most frames
+    (then by share, pixels, smaller id)."""
+    defects = F.filter(rows, lambda c: ~c["class_name"].isin(*K.NON_DEFECT_NAMES) & ((c["frames_present"] > 0) | (c["pixel_share_pct"] > 0)))
+    best = F.array_max(F.transform(defects, lambda c: F.struct(
+        c["frames_present"].alias("f"), c["pixel_share_pct"].alias("s"), c["pixel_count"].alias("p"), (-c["class_id"]).alias("i"),
+        c["class_name_ru"].alias("n"))))
+    return F.coalesce(best["n"], F.lit(K.NO_ISSUE_LABEL))
+
+
 def class_metrics_mart(summary: DataFrame, meta: DataFrame) -> DataFrame:
     """L2 from a class summary (F6) keyed by KEYS: canonical names in the
     allowed set (D12), translation, share percent (C33)."""
-    cm = summary.withColumn("class_name", CL.canonical_class("class_name")) \
-        .where(F.col("class_name").isin("Normal", "Marine growth", "Paint peel", "Corrosion", "Void"))
+    cm = summary.withColumn("class_name", CL.canonical_class("class_name")).where(F.col("class_name").isin(*MART_CLASSES))
     cm = cm.join(meta.select(*KEYS, "updated_at_epoch"), KEYS)
     return cm.select(*KEYS, "updated_at_epoch", "class_id", "class_name",
                      CL.translate("class_name").alias("class_name_ru"),
@@ -119,24 +138,41 @@ class Marts:
             *KEYS, "frame_idx", "frame_time", F.map_from_entries(self._pixels()).alias("class_pixel_counts")))
 
     @cached_property
-    def asset_lines(self) -> DataFrame:
-        """Per asset: update time and the stage sums (exact decimals)."""
-        from keelson.sources.bindings import stage_seconds
-        g = self.per_frame.groupBy(*KEYS).agg(
+    def per_asset(self) -> DataFrame:
+        """Per asset, one aggregation over the frames: update time, exact stage
+        sums, frames, mean risk (F12), and its class rows (F6: pixels, frames
+        and share of each visible class)."""
+        from keelson.sources.bindings import stage_seconds, with_predictions
+        f = with_predictions(self.per_frame.withColumn("class_pixel_counts", F.map_from_entries(self._pixels())))
+        classes = [(cid, name) for cid, name, _ in OC.VISIBLE]
+        g = f.groupBy(*KEYS).agg(
             *[F.sum(c).cast("decimal(28,2)").alias(c) for c in ("_q", "_t", "_d", "_e")], F.sum("_lines").alias("items"),
-            F.max("frame_time").alias("updated_at"))
-        return stage_seconds(g, [*KEYS, "items", "updated_at"])
+            F.max("frame_time").alias("updated_at"), F.count(F.lit(1)).alias("_frames"), F.avg("risk_score").alias("_avg"),
+            *[F.coalesce(F.sum(f"_p{c}"), F.lit(0)).cast("bigint").alias(f"_p{c}") for c, _ in classes],
+            *[F.count_if(F.col(f"_p{c}") > 0).alias(f"_f{c}") for c, _ in classes])
+        total = sum((F.col(f"_p{c}") for c, _ in classes[1:]), F.col(f"_p{classes[0][0]}"))
+        rows = F.array(*[F.struct(
+            F.lit(c).alias("class_id"), CL.canonical_class(F.lit(name)).alias("class_name"),
+            CL.translate(CL.canonical_class(F.lit(name))).alias("class_name_ru"), F.col(f"_f{c}").cast("bigint").alias("frames_present"),
+            F.col(f"_p{c}").alias("pixel_count"),
+            TX.share_pct(F.when(total > 0, rnd(F.col(f"_p{c}") / total, 6)).otherwise(F.lit(0.0))).alias("pixel_share_pct"))
+            for c, name in classes])
+        rows = F.filter(rows, lambda c: c["class_name"].isin(*MART_CLASSES))
+        g = g.withColumn("_rows", rows).withColumn("_avg", rnd("_avg", 3))
+        return stage_seconds(g, [*KEYS, "items", "updated_at", "_frames", "_avg", "_rows"])
 
     @cached_property
     def meta(self) -> DataFrame:
-        return (self.asset_lines.select(*KEYS, "updated_at")
+        return (self.per_asset.select(*KEYS, "updated_at")
                     .withColumn("updated_at_epoch", F.unix_timestamp("updated_at"))
                     .withColumn("updated_at_iso", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss")))
 
     @cached_property
     def class_metrics(self) -> DataFrame:
         """L2."""
-        return class_metrics_mart(OC.class_summary(self.counts, key=KEYS), self.meta)
+        rows = self.per_asset.select(*KEYS, F.unix_timestamp("updated_at").alias("updated_at_epoch"), F.explode("_rows").alias("c"))
+        return rows.select(*KEYS, "updated_at_epoch", "c.class_id", "c.class_name", "c.class_name_ru", "c.frames_present",
+                           "c.pixel_count", "c.pixel_share_pct")
 
     @cached_property
     def dynamics(self) -> DataFrame:
@@ -152,22 +188,17 @@ class Marts:
 
     @cached_property
     def _runs_raw(self) -> DataFrame:
-        # frame count and mean risk (F12) in one pass over the frames
-        nframes = self.frames.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_frames"),
-                                                 rnd(F.avg("risk_score"), 3).alias("_avg"))
-        a = self.asset_lines.withColumn("updated_at_epoch", F.unix_timestamp("updated_at")) \
-            .withColumn("updated_at_iso", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss"))
-        r = a.join(nframes, KEYS)
         video = F.col("kind") == "video"
-        return (r.withColumn("extracted_frames", F.when(video, F.col("items")).otherwise(F.lit(0)).cast("bigint"))
+        return (self.per_asset.withColumn("updated_at_epoch", F.unix_timestamp("updated_at"))
+                 .withColumn("updated_at_iso", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss"))
+                 .withColumn("extracted_frames", F.when(video, F.col("items")).otherwise(F.lit(0)).cast("bigint"))
                  .withColumn("segmented_frames_raw", F.when(video, F.col("_frames")).otherwise(F.lit(0)).cast("bigint"))
                  .withColumn("total_images", F.when(video, F.lit(0)).otherwise(F.col("_frames")).cast("bigint")))
 
     @cached_property
     def runs(self) -> DataFrame:
-        """L1."""
-        stats = OC.asset_class_stats(self.class_metrics, KEYS, "live")      # F13 + F16
-        r = self._runs_raw.join(stats, KEYS, "left")
+        """L1: a projection of the asset row (F13 and F16 on its class rows)."""
+        r = self._runs_raw.withColumn("fallback_risk", shares_risk(F.col("_rows"))).withColumn("primary_issue", primary_of(F.col("_rows")))
         video = F.col("kind") == "video"
         vc = RK.effective_video_counts("extracted_frames", F.lit(0), F.lit(0), F.lit(0), "segmented_frames_raw",
                                        "inference_wall_seconds", "pipeline_wall_seconds")
