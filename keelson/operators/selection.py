@@ -174,14 +174,15 @@ def select_representative(cand: DataFrame, target: int = K.TARGET_FRAMES, bucket
         F.col("_r"), F.struct(F.col("score").alias("s"), F.col("frame_idx").alias("f"), F.col("hash").alias("h")).alias("c"))))
         .alias("_p")).select(*keys, F.transform("_p", lambda e: e["c"]).alias("prefix"))
         .join(sizes, keys))
-    folded = _fold_prefix(ranked, keys, k, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE)
+    # one row per bucket, read by both sides of the union below
+    folded = cut_lineage(_fold_prefix(ranked, keys, k, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE))
     open_ = (F.col("h1_n") < k) & (F.col("_total") > n_prefix)
     picks = folded.where(~open_).select(*keys, "acc")
     unresolved = folded.where(open_).select(*keys)
     # H1 may need candidates beyond the prefix: such buckets are walked by
     # rounds over all their candidates; where there are none, that side of the
     # union is empty and AQE drops it
-    rest_cand = big.join(unresolved, keys, "left_semi")
+    rest_cand = cut_lineage(big.join(unresolved, keys, "left_semi"))
     picks = picks.unionByName(pick_diverse(rest_cand, k, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE, tuple(keys)))
     picks = picks.join(sizes.select(*keys, "_B"), keys)
     chosen = round_robin(picks, target, K.GLOBAL_MIN_DISTANCE, key)
