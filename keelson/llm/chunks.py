@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut, read
 
 LEAST, MOST = 16, 128  # bytes of a chunk
-BITS = 5               # top bits of the hash that are zero at a chunk's end: 2^5 bytes apart on average
+BITS = 4               # top bits of the hash that are zero at a chunk's end: 2^4 bytes after the least size on average
 LEAST_RUN = 64         # bytes of duplicate chunks in a row that make a passage
 SEED = b"gear"
 _LAST = (1 << 63) - 1
