@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition,
                                     IsNotNull, IsNull, Not, StringStartsWith)
 
-from .common import ensure_checkpoint_dir, prepare, read, settings
+from .common import cut, ensure_checkpoint_dir, prepare, read, settings
 
 LEAST_BYTES = 100         # smaller payloads are never revisits
 FILE_RECORDS = 20_000     # records of an archive file at most
@@ -52,10 +52,12 @@ def records(pages: DataFrame, key: str, url: str, payload: str, date: str) -> Da
     """One column, value: the record of every row, without its two last line breaks."""
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.coalesce(payload, F.lit("")).alias("body"))
     rows = rows.withColumn("digest", F.sha2("body", 256)).withColumn("size", F.octet_length("body"))
-    same = (rows.select("id", "digest", "size").filter(F.col("size") >= LEAST_BYTES)
-            .groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-            .select(F.col("digest").alias("d"), "first"))
-    rows = rows.join(same, F.col("digest") == F.col("d"), "left")
+    # the digests that repeat are written first: Spark then knows their size,
+    # and where it is small, payloads needn't be shuffled to meet them
+    same = cut(rows.select("id", "digest", "size").filter(F.col("size") >= LEAST_BYTES)
+               .groupBy(F.unhex("digest").alias("d")).agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+               .select("d", "first"))
+    rows = rows.join(same, F.unhex("digest") == F.col("d"), "left")
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
 
     def line(name: str, value) -> F.Column:
