@@ -9,7 +9,7 @@ limit; the result is every row's component of links. It is exact:
    shingle among their first n - need + 1. The order puts a hashed zone of
    shingles first and, in it, those that only one class has, then the rarer
    ones. A class whose first shingles are all its own has no partner, which
-   ends most classes here. Only counts of the zone's shingles are shuffled.
+   ends most classes here. Only the zone's shingles are shuffled.
 3. Groups: what is left is partitioned into groups of similar classes, by the
    commonest shingle of the prefix, and large groups into blocks of bounded
    size. Within a block all pairs are compared (a matrix product). Two
@@ -39,7 +39,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, read
+from .common import cut, discard, read
 
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 REMEMBERED = 500_000   # words whose hashes a worker holds, then it starts anew
@@ -135,16 +135,20 @@ def sets(docs: DataFrame, text: str, key: str, size: int, percent: int, front: f
 def fronts(rows: DataFrame, percent: int) -> DataFrame:
     """Per class that may have a partner: sid, n, prefix (the shingles of its
     prefix that other classes have too), hub (the one in most prefixes)."""
-    each = rows.select("sid", "n", "inside", F.explode("tokens").alias("token"))
-    shared = cut(each.groupBy("token").agg(F.min("sid").alias("a"), F.max("sid").alias("b"), F.count("*").alias("rows"))
-                 .filter("a <> b").select("token", "rows"))
+    each = rows.select("sid", F.explode("tokens").alias("token"))
+    # most shingles stand in one row: only counts are shuffled to tell them
+    again = cut(each.groupBy("token").count().filter("count > 1").select("token"))
+    met = cut(each.join(again, "token"))
+    shared = (met.groupBy("token").agg(F.min("sid").alias("a"), F.max("sid").alias("b"), F.count("*").alias("rows"))
+              .filter("a <> b").select("token", "rows"))
     # collect_set: repeated rows of a class are one; a class is at most a text long
-    found = (each.join(shared, "token").groupBy("sid", "n", "inside")
-             .agg(F.array_sort(F.collect_set(F.struct("rows", "token"))).alias("shared")))
+    found = met.join(shared, "token").groupBy("sid").agg(F.array_sort(F.collect_set(F.struct("rows", "token"))).alias("shared"))
+    found = found.join(rows.select("sid", "n", "inside").distinct(), "sid")
     length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1  # of the prefix
     own = F.greatest("inside", length) - F.size("shared")                 # shingles that no other class has come first
     front = cut(found.withColumn("rest", (length - own).cast("int")).filter("rest > 0")
                 .select("sid", "n", F.transform(F.slice("shared", F.lit(1), F.col("rest")), lambda x: x["token"]).alias("prefix")))
+    discard(again, met)
     entry = front.select("sid", F.explode("prefix").alias("token"))
     common = entry.groupBy("token").agg(F.count("*").alias("classes"))
     hub = entry.join(common, "token").groupBy("sid").agg(F.max(F.struct("classes", "token")).alias("hub"))
@@ -353,19 +357,22 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     """One row per row of ``docs``: id, th (text's hash), n (distinct shingles), sid, component
     (smallest id linked with it, over any number of links)."""
     spark = docs.sparkSession
-    rows = cut(sets(docs, text, key, size, percent, min(1.0, FRONT * (100 - percent) / 100)))
-    front = cut(fronts(rows, percent))
+    whole = cut(sets(docs, text, key, size, percent, min(1.0, FRONT * (100 - percent) / 100)))
+    rows = cut(whole.drop("tokens"))
+    front = cut(fronts(whole, percent))
+    discard(whole)
     full = cut(full_sets(docs, text, key, rows, front, size))
     tasks = _tasks(full.agg(F.sum("n")).first()[0] or 0, spark)
     first, second = cut(blocks_of(full, 1)), blocks_of(full, 2)
     links = cut(within(first, percent, tasks).union(within(second, percent, tasks)))
+    discard(full)
     labels = components(links)
     more = cut(across(first, front, labels, percent, tasks))
     if not more.isEmpty():
         labels = components(links.union(more))
     per = rows.groupBy("sid").agg(F.min("id").alias("least")).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-    whole = per.filter("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("all_least"))
-    per = per.join(whole, "label", "left").select("sid", F.coalesce("all_least", "least").alias("least"))
+    least = per.filter("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("all_least"))
+    per = per.join(least, "label", "left").select("sid", F.coalesce("all_least", "least").alias("least"))
     out = rows.select("id", "th", "n", "sid").join(per, "sid")
     return out.select("id", "th", "n", "sid", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component"))
 
