@@ -31,6 +31,15 @@ def test_repetition_matches_brute_force(spark):
     assert {r[0]: tuple(r)[1:] for r in got} == {i: brute_repetition(t) for i, t in enumerate(texts)}
 
 
+def test_repetition_covered_fraction_decides():
+    """Texts that pass the base rule and the longest repeat: 15 % and 10 % of the words in repeats of ten or more."""
+    over = " ".join(map(str, [*range(15), *range(100, 270), *range(15)]))
+    edge = " ".join(map(str, [*range(10), *range(100, 280), *range(10)]))
+    got = repetition.measure([over, edge])
+    assert got["base_failed"] == [False] * 2 and got["longest_repeat"] == [15, 10] and got["n_words"] == [200] * 2
+    assert got["covered_words"] == [30, 20] and got["kept"] == [False, True]
+
+
 def test_quality_stage_keeps_columns_and_clean_rows(spark):
     clean = " ".join(f"w{i}" for i in range(40))
     df = docs(spark, [(1, clean), (1, clean), (2, "too short"), (None, None), (3, "a b c d e " * 9), (None, clean)], extra=True)
