@@ -354,7 +354,8 @@ def full_sets(docs: DataFrame, text: str, key: str, rows: DataFrame, front: Data
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, percent: int = 90) -> DataFrame:
-    """One row per row of ``docs``: id, th (text's hash), n (distinct shingles), sid, component
+    """One row per row of ``docs``: id, th (text's hash), n (distinct shingles), sid, label (the
+    same for all rows of a component, also without ids; null for an empty set), component
     (smallest id linked with it, over any number of links)."""
     spark = docs.sparkSession
     whole = cut(sets(docs, text, key, size, percent, min(1.0, FRONT * (100 - percent) / 100)))
@@ -372,9 +373,10 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
         labels = components(links.union(more))
     per = rows.groupBy("sid").agg(F.min("id").alias("least")).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     least = per.filter("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("all_least"))
-    per = per.join(least, "label", "left").select("sid", F.coalesce("all_least", "least").alias("least"))
+    per = per.join(least, "label", "left").select("sid", F.coalesce("label", "sid").alias("label"), F.coalesce("all_least", "least").alias("least"))
     out = rows.select("id", "th", "n", "sid").join(per, "sid")
-    return out.select("id", "th", "n", "sid", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component"))
+    return out.select("id", "th", "n", "sid", F.when(F.col("n") > 0, F.col("label")).alias("label"),
+                      F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component"))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

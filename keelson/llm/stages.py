@@ -33,13 +33,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest id; one
-    that links with nothing stays. Of rows equal in id and text one stays."""
+    """One document of each component stays, the one with the smallest id (of
+    several such, or without ids, the one with the smallest text hash); one that
+    links with nothing stays. Of rows equal in id and text one stays."""
     prepare(spark)
     found = jaccard.classes(docs, size=SHINGLE, percent=PERCENT)
     # a null id in a component without ids is its own smallest
-    keep = cut(found.filter(F.col("id").eqNullSafe(F.col("component")))
-               .select(F.col("id").alias("_jac_id"), F.col("th").alias("_jac_th")).distinct())
+    least = found.filter(F.col("id").eqNullSafe(F.col("component")))
+    keep = (least.filter("n > 0").groupBy("label").agg(F.first("component").alias("_jac_id"), F.min("th").alias("_jac_th")).drop("label")
+            .union(least.filter("n = 0").select("id", "th").distinct()))
+    keep = cut(keep)
     hashed = docs.withColumn("_jac_text", F.xxhash64("text"))
     stay = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col("_jac_id")) & (F.col("_jac_text") == F.col("_jac_th")), "left_semi")
     once = stay.withColumn("_jac_nth", F.row_number().over(W.partitionBy("doc_id", "_jac_text").orderBy("doc_id")))

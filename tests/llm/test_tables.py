@@ -119,6 +119,19 @@ def test_jaccard_stage_keeps_one_of_each(spark):
     assert got == Counter({(2, near): 1, rows[2]: 1, (7, None): 1, (8, ""): 1, rows[-1]: 1})
 
 
+def test_jaccard_stage_null_and_repeated_ids(spark):
+    """Near copies without ids and near copies of one id: one of each component stays."""
+    def near(name):
+        base = [f"{name}{i}" for i in range(60)]
+        return [" ".join(base), " ".join([*base[:59], "x"]), " ".join([*base[:59], "y"])]
+    none, same, mixed = near("a"), near("b"), near("c")
+    rows = [*((None, t) for t in none), *((5, t) for t in same), *((None, t) for t in mixed[:2]), (7, mixed[2]), (7, mixed[2]),
+            (5, "another text of the same id stays"), (None, None), (None, ""), (5, "")]
+    got = [(r.doc_id, r.text) for r in stages.jaccard_join(spark, docs(spark, rows, extra=True), "").collect()]
+    assert [i for i, t in got if t in none] == [None] and [i for i, t in got if t in same] == [5]
+    assert Counter((i, t) for i, t in got if t not in none + same) == Counter([(7, mixed[2]), *rows[-4:]])
+
+
 # --- mixing -----------------------------------------------------------------------------
 
 def brute_targets(size):
