@@ -3,18 +3,19 @@
 A gear hash rolls over the text's UTF-8 bytes and a chunk ends where its top
 bits are zero, so chunk ends follow the content: an insertion moves only the
 chunks around it. Chunks are deduplicated by digest: the first document that
-has a chunk (smallest doc_id, first place in it) keeps it, all other places
+has a chunk (smallest doc_id, then text hash, first place in it) keeps it, all other places
 are duplicates, and adjacent duplicates are joined to passages. A passage of
 at least ``LEAST_RUN`` bytes is removed; shorter ones are chance.
 
-Digests are aggregated before the shuffle (the smallest id and a count), so a
+Digests are aggregated before the shuffle (the smallest document and a count), so a
 chunk in a third of all documents is one row per task; the places of repeated
 chunks then meet their digest in a join whose large side Spark can split.
 
 Defined results: null and empty texts have no chunks; a null doc_id comes
-after all others; rows with equal doc_id are one document, so a chunk that the
-document has first stays in each of its rows; long texts are cut whole; other
-columns stay.
+after all others; a document is a doc_id and a text hash, so rows with equal
+doc_id and other texts (or without one) are deduplicated against each other, and
+a chunk that equal rows have first stays in each; long texts are cut whole;
+other columns stay.
 """
 
 from __future__ import annotations
@@ -94,17 +95,17 @@ def chunks(docs: DataFrame, text: str, key: str) -> DataFrame:
                     names=["hi", "lo", "id", "th", "at"])
 
     rows = docs.filter(F.length(text) > 0).select(F.coalesce(F.col(key), F.lit(_LAST)).cast("long").alias("id"),
-                                                  F.hash(text).alias("th"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "hi long, lo long, id long, th int, at long")
+                                                  F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "hi long, lo long, id long, th long, at long")
 
 
 def passages(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = LEAST_RUN) -> DataFrame:
     """Repeated passages to remove: id, th, start, end (bytes), first: the smallest
     id of a document that keeps a part of it."""
     all_chunks = chunks(docs, text, key)
-    known = cut(all_chunks.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-                .filter("n > 1").drop("n"))
-    again = all_chunks.join(known, ["hi", "lo"]).filter((F.col("id") != F.col("first")) | (F.col("at") % 2 == 1))
+    known = cut(all_chunks.groupBy("hi", "lo").agg(F.min(F.struct("id", "th")).alias("doc"), F.count("*").alias("n"))
+                .filter("n > 1").select("hi", "lo", F.col("doc.id").alias("first"), F.col("doc.th").alias("first_th")))
+    again = all_chunks.join(known, ["hi", "lo"]).filter((F.col("id") != F.col("first")) | (F.col("th") != F.col("first_th")) | (F.col("at") % 2 == 1))
     again = again.select("id", "th", "first", F.shiftright("at", 9).alias("start"),
                          (F.shiftright("at", 9) + F.shiftright("at", 1) % 256).alias("end"))
     again = again.distinct()  # of equal rows
@@ -131,7 +132,7 @@ def remove_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", le
             out.append(b"".join([*parts, data[at:]]).decode(errors="ignore"))  # a character cut by a chunk's end goes
         return pd.Series(out)
 
-    same = (F.coalesce(docs[key], F.lit(_LAST)) == F.col("_chunk_id")) & (F.hash(docs[text]) == F.col("_chunk_th"))
+    same = (F.coalesce(docs[key], F.lit(_LAST)) == F.col("_chunk_id")) & (F.xxhash64(docs[text]) == F.col("_chunk_th"))
     out = docs.join(spans, same, "left")
     return (out.withColumn(text, F.when(F.col("_chunk_spans").isNull(), F.col(text))
                            .otherwise(without(F.coalesce(text, F.lit("")), F.coalesce("_chunk_spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))))

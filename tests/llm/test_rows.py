@@ -124,6 +124,19 @@ def test_passages_found_and_clean_rows_left(spark):
     assert chunks.passages(df.limit(0)).count() == 0
 
 
+def test_passages_of_null_and_repeated_ids(spark):
+    """A passage that only documents without ids, or of one id, share stays in one of them."""
+    none, same = text_of("n", 55), text_of("s", 55)
+    rows = [(None, f"{text_of(i, 30 + i)} {none} {text_of(50 + i, 30)}") for i in range(4)]
+    rows += [(5, f"{text_of(100 + i, 30 + i)} {same} {text_of(150 + i, 30)}") for i in range(4)] + [(5, text_of(200, 80))]
+    rows += [rows[0], rows[4]]  # equal rows are one document
+    left = {(r.doc_id, r.text) for r in chunks.remove_passages(docs(spark, rows)).collect()}
+    for key in (None, 5):
+        whole = [t for i, t in left if i == key and (i, t) in rows[:8]]
+        assert len(whole) == 1 and len([t for i, t in left if i == key and len(t) < 560]) >= 3
+    assert rows[8] in left and len(left) == 9
+
+
 def test_chunks_match_a_plain_scan(spark):
     """Spans against a dictionary of all chunks."""
     rnd = random.Random(3)
