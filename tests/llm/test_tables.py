@@ -42,6 +42,22 @@ def test_neighbours_recall(spark):
     assert hits >= 0.9 * 5 * len(want)
 
 
+def test_neighbours_recall_at_production_effort():
+    """The leaves of a query, where ``EFFORT`` and not ``TAKEN`` decides: 6000 random directions, as the test vectors are."""
+    x = np.random.default_rng(3).normal(size=(6000, 64))
+    x = (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
+    forest = neighbours.Forest(x)
+    assert neighbours.EFFORT * sum(forest.held[0]) > neighbours.TAKEN
+    leaf, hits, queries = forest.leaf_of(x), 0, range(0, 6000, 60)
+    for q in queries:
+        taken = forest.search(x[q])
+        found = taken[np.arange(len(forest.trees))[None, :], leaf].any(1)
+        assert found.mean() < 0.9  # a search, not a scan
+        best = [i for i in np.argsort(-(x @ x[q]), kind="stable")[:6] if i != q][:5]
+        hits += int(found[best].sum())
+    assert hits >= 0.9 * 5 * len(queries)
+
+
 def test_neighbours_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0, 0.0]) for i in range(100, 160)]  # a very common vector, two queries among its rows
