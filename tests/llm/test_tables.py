@@ -344,6 +344,23 @@ def test_pipeline_matches_brute_force(spark):
         (r.doc_id, tuple(r.ids)) for r in steps[5].collect())
 
 
+def test_pipeline_mix_meets_every_source(spark):
+    """The mixing stage after the others: every source's words to within its longest document."""
+    docs_in = spark.read.parquet(f"{SMOKE}/documents.parquet")
+    for _, f in corpus_pipeline.STAGES[:3]:
+        docs_in = mixing.cut(f(spark, docs_in, SMOKE))
+    size, longest, taken = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in docs_in.collect():
+        n = len(words(r.text))
+        size[r.source] += n
+        longest[r.source] = max(longest[r.source], n)
+    for r in stages.mixing(spark, docs_in, SMOKE).collect():
+        taken[r.source] += len(words(r.text))
+    target = brute_targets(size)
+    assert all(abs(taken[s] - target[s]) <= longest[s] for s in size)
+    assert sum(abs(0 - target[s]) > longest[s] for s in size) > len(size) / 2  # taking nothing would be seen
+
+
 def test_pipeline_of_nothing(spark, tmp):
     docs(spark, [(1, "x")]).limit(0).write.parquet(f"{tmp}/documents.parquet")
     assert corpus_pipeline.run(spark, tmp).count() == 0
