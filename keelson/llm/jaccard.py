@@ -323,12 +323,18 @@ def across(blocks: DataFrame, front: DataFrame, labels: DataFrame, percent: int,
     return tasked(asked).cogroup(tasked(members)).applyInArrow(run, "a long, b long")
 
 
-def full_sets(docs: DataFrame, text: str, key: str, rows: DataFrame, front: DataFrame, size: int) -> DataFrame:
-    """sid, n, hub, tokens (all) of the classes of ``front``, each from the text
-    of one of its rows (smallest id, which isn't null if one isn't)."""
-    one = rows.join(front.select("sid", "hub"), "sid").groupBy("sid", "hub").agg(F.min("id").alias("_jac_id"))
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(one, F.col("id").eqNullSafe(F.col("_jac_id")))
+def own_texts(docs: DataFrame, text: str, key: str, rows: DataFrame, front: DataFrame) -> DataFrame:
+    """sid, hub, text of the classes of ``front``: the text of one of a class's rows (smallest id, which
+    isn't null if one isn't, and text hash). Rows of that id with other texts aren't met."""
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    one = (rows.join(front.select("sid", "hub"), "sid").groupBy("sid", "hub").agg(F.min(row).alias("row"))
+           .select("sid", "hub", F.col("row.id").alias("_jac_id"), F.col("row.th").alias("_jac_th")))
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    return texts.join(one, F.col("id").eqNullSafe(F.col("_jac_id")) & (F.col("th") == F.col("_jac_th"))).select("sid", "hub", "text")
+
 
+def full_sets(docs: DataFrame, text: str, key: str, rows: DataFrame, front: DataFrame, size: int) -> DataFrame:
+    """sid, n, hub, tokens (all) of the classes of ``front``."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -339,7 +345,7 @@ def full_sets(docs: DataFrame, text: str, key: str, rows: DataFrame, front: Data
                 part = b.slice(first, 256)
                 sid = part.column(0).to_pylist()
                 made = [shingles(t) for t in part.column(2).to_pylist()]
-                right = [i for i, s in enumerate(made) if set_id(s) == sid[i]]  # rows of one id may differ in text
+                right = [i for i, s in enumerate(made) if set_id(s) == sid[i]]  # texts of one hash may differ
                 if not right:
                     continue
                 own = [np.sort(made[i].view(np.int64)) for i in right]
@@ -349,7 +355,7 @@ def full_sets(docs: DataFrame, text: str, key: str, rows: DataFrame, front: Data
                     [taken.column(0), pa.array([len(s) for s in own], pa.int64()), taken.column(1),
                      pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own)))], names=["sid", "n", "hub", "tokens"])
 
-    made = texts.select("sid", "hub", "text").mapInArrow(run, "sid long, n long, hub long, tokens array<long>")
+    made = own_texts(docs, text, key, rows, front).mapInArrow(run, "sid long, n long, hub long, tokens array<long>")
     return made.dropDuplicates(["sid"])
 
 

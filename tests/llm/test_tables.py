@@ -123,6 +123,19 @@ def test_jaccard_cases(spark):
     assert jaccard.classes(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_jaccard_classes_meet_only_their_own_text(spark):
+    """Many different texts without ids, and of one id: a text is shingled once, not once a class."""
+    def text(name, i):
+        return " ".join([*(f"{name}{j}" for j in range(60)), str(i)])
+    rows = [(None, text("a", i)) for i in range(20)] + [(5, text("b", i)) for i in range(20)] + [(7, text("b", 20))]
+    df = docs(spark, rows)
+    made = mixing.cut(jaccard.sets(df, "text", "doc_id", 3, 90, 0.2))
+    front = mixing.cut(jaccard.fronts(made, 90))
+    n = front.count()
+    assert n > 20 and jaccard.own_texts(df, "text", "doc_id", made, front).count() == n
+    assert jaccard.full_sets(df, "text", "doc_id", made, front, 3).count() == n
+
+
 def test_jaccard_stage_keeps_one_of_each(spark):
     base = [f"w{i}" for i in range(60)]
     near = " ".join([*base[:59], "x"])
