@@ -16,7 +16,7 @@ from keelson.operators.marts import build_marts
 from keelson.sources import bindings as B
 from keelson.sources import readers as R
 from keelson.sources import sinks as W
-from conftest import SMOKE
+from paths import SMOKE
 
 
 def one(spark, col):

@@ -6,7 +6,7 @@ import pytest
 from keelson.plans.catalog import QUERIES
 from keelson.plans.compare import compare, duck
 from keelson.plans.oracle import ORACLE
-from conftest import SMOKE
+from paths import SMOKE
 
 _con = None
 

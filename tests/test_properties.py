@@ -10,7 +10,7 @@ from keelson.operators import quality as Q
 from keelson.operators import selection as S
 from keelson.plans import catalog as C
 from keelson.sources import bindings as B
-from conftest import SMOKE
+from paths import SMOKE
 
 EMPTY_FRAMES = "video_id long, frame_idx long, brightness double, laplacian_var double, dhash string"
 

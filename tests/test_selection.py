@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import brute
 from keelson.operators import selection as S
 from keelson.plans import catalog as C
-from conftest import SMOKE
+from paths import SMOKE
 
 
 def _walk_all(df, t, b, k):

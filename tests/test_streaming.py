@@ -11,7 +11,7 @@ from keelson.operators import media as MD
 from keelson.operators import quality as Q
 from keelson.plans import catalog as C
 from keelson.streaming import streams as ST
-from conftest import SMOKE
+from paths import SMOKE
 
 
 def _events_dir(tmp):
