@@ -5,7 +5,7 @@ import random
 from collections import Counter
 
 import pytest
-from helpers import docs, repetition as brute_repetition
+from llm_helpers import docs, repetition as brute_repetition
 from pyspark.sql import functions as F
 
 from keelson.llm import chat, chunks, lines, pieces, repetition, stages

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from helpers import components, docs, words
+from llm_helpers import components, docs, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
