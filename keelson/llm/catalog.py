@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chunks, jaccard, lines, neighbours, pieces, repetition, warc
+from . import chat, chunks, jaccard, lines, neighbours, pieces, repetition, secret_scan, warc
 from .mixing import op8_mixing
 from .sharding import op10_sharding
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_sharding": op10_sharding,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
 }
 
 ORACLE: dict[str, str] = {
