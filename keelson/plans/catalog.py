@@ -23,6 +23,7 @@ from keelson.operators import classes as OC
 from keelson.operators import manifest_marts as MM
 from keelson.operators import quality as Q
 from keelson.operators import selection as S
+from keelson.operators.near import near_frames
 from keelson.sources import bindings as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +123,27 @@ def d5_fallback_dark(spark, sf):
     return Q.with_fallback(cut_lineage(d)).select("video_id", "frame_idx", "fallback_mode")
 
 
+def varied_frames(spark, sf) -> DataFrame:
+    """frames_v in blocks of 50 frames, with hashes that vary: a frame's
+    brightness flips up to 19 bits of its hash, at one of three places."""
+    fr = B.frames_v(spark, sf).withColumn("bits", FR.hex_to_hash("dhash"))
+    flips = F.expr("shiftleft(shiftleft(1L, cast(floor(brightness) AS int) % 20) - 1, cast(frame_idx % 3 AS int) * 20)")
+    return fr.select("video_id", F.floor(F.col("frame_idx") / 50).cast("int").alias("bucket"), "frame_idx",
+                     F.col("bits").bitwiseXOR(flips).alias("hash"))
+
+
+@query("e8_near_frames_1")
+def e8_near_frames_1(spark, sf):
+    """The first frame of a block that differs in one bit at most."""
+    return near_frames(varied_frames(spark, sf), 1).select("video_id", "bucket", "frame_idx", "near_idx")
+
+
+@query("e8_near_frames_6")
+def e8_near_frames_6(spark, sf):
+    """E8 at a distance of up to six bits."""
+    return near_frames(varied_frames(spark, sf), 6).select("video_id", "bucket", "frame_idx", "near_idx")
+
+
 @query("g2_coverage_bucket")
 def g2_coverage_bucket(spark, sf):
     c = candidates(spark, sf)

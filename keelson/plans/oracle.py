@@ -1230,6 +1230,26 @@ oracle("h6_select_representative", ["cand_v"], selection_sql(K.TARGET_FRAMES, K.
 oracle("h1_select_compact", ["cand_v"], selection_sql(16, 6, 3))
 
 
+# ---- E8: near frames by hash distance ------------------------------------------
+
+view("varied_v", ["frames_v"], f"""
+SELECT video_id, CAST(floor(frame_idx / 50.0) AS INTEGER) AS bucket, frame_idx,
+       xor({HX("dhash")}, (((1::HUGEINT << (CAST(floor(brightness) AS INTEGER) % 20)) - 1) << CAST(frame_idx % 3 * 20 AS INTEGER))) AS hash
+FROM frames_v""")
+
+
+def near_sql(distance: int) -> str:
+    return f"""
+SELECT a.video_id, a.bucket, a.frame_idx, min(b.frame_idx) AS near_idx
+FROM varied_v a LEFT JOIN varied_v b ON a.video_id = b.video_id AND a.bucket = b.bucket AND b.frame_idx < a.frame_idx
+  AND bit_count(xor(a.hash, b.hash)) <= {distance}
+GROUP BY a.video_id, a.bucket, a.frame_idx"""
+
+
+oracle("e8_near_frames_1", ["varied_v"], near_sql(1))
+oracle("e8_near_frames_6", ["varied_v"], near_sql(6))
+
+
 # ---- streaming operators (outputs of completed availableNow runs) -------------
 
 oracle("m2_stream_duplicates", ["dedup_v"], """
