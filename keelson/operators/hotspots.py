@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson import constants as K
-from keelson.operators.ordering import index_chunk, ordinal
+from keelson.operators.ordering import depth_chunks, ordinal
 
 
 def hotspot_dimension(spark: SparkSession) -> DataFrame:
@@ -80,7 +80,8 @@ def assign_hotspot_photos(sources: DataFrame, matchers: dict[str, str] | None =
     fallbacks = K.HOTSPOT_FALLBACK_FILES if fallbacks is None else fallbacks
     src = sources.select(F.col(name_col).alias("name"), F.col(order_col).alias("ord"))
     matched = match_photos(src, matchers, "name")
-    matched = ordinal(matched, "hotspot_id", ["ord", "name"], name="pos", chunk=index_chunk("ord"))
+    matched = depth_chunks(matched, "hotspot_id", ["ord", "name"])
+    matched = ordinal(matched, "hotspot_id", ["ord", "name"], name="pos", chunk=F.col("_depth"))
     matched = matched.select("hotspot_id", "pos", "name", F.lit("matched").alias("origin"))
     # Names taken by a matcher are removed before the even split
     remaining = src.join(matched.select("name").distinct(), "name", "left_anti")
@@ -92,8 +93,9 @@ def assign_hotspot_photos(sources: DataFrame, matchers: dict[str, str] | None =
     parts = [matched, fb.select("hotspot_id", "pos", "name", "origin")]
     if rest_ids:
         n = remaining.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-        # Global position in source order (chunked, so no single task)
-        r = ordinal(remaining.withColumn("_one", F.lit(1)), "_one", ["ord", "name"], name="_i", chunk=index_chunk("ord"))
+        # Global position in source order (chunks of equal depth, so no single task)
+        r = depth_chunks(remaining.withColumn("_one", F.lit(1)), "_one", ["ord", "name"])
+        r = ordinal(r, "_one", ["ord", "name"], name="_i", chunk=F.col("_depth"))
         size = F.ceil(F.col("_n") / len(rest_ids))
         r = r.join(F.broadcast(n), "_one").withColumn("_h", F.floor((F.col("_i") - 1) / size).cast("int"))
         r = r.withColumn("hotspot_id", F.element_at(F.array(*[F.lit(h) for h in rest_ids]), F.col("_h") + 1))

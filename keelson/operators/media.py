@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson import constants as K
-from keelson.operators.ordering import MINUTE_MICROS, last_before, ordinal, running_sum, time_chunk
+from keelson.operators.ordering import DEFAULT_CHUNK_ROWS, depth_chunks, last_before, ordinal, running_sum
 
 
 def max_mtime(df: DataFrame, ts: str = "modificationTime") -> DataFrame:
@@ -31,11 +31,12 @@ def photos_newest(df: DataFrame, ts: str = "modificationTime", cols: list[str] |
     return df.select(*keep).orderBy(F.col(ts).desc(), F.col(keep[0]).asc())
 
 
-def risk_series(df: DataFrame, ts: str = "modificationTime", tie: str = "path") -> DataFrame:
+def risk_series(df: DataFrame, ts: str = "modificationTime", tie: str = "path", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Photos numbered oldest first (1..n) over the whole batch. The
-    position is a chunked global ordinal (chunks of a minute), not one task."""
-    d = df.withColumn("_one", F.lit(1))
-    return ordinal(d, "_one", [ts, tie], name="photo_index", chunk=time_chunk(ts, MINUTE_MICROS)).drop("_one")
+    position is a chunked global ordinal (chunks of equal depth, also when all
+    photos come in one second), not one task."""
+    d = depth_chunks(df.withColumn("_one", F.lit(1)), "_one", [ts, tie], "_depth", chunk_rows)
+    return ordinal(d, "_one", [ts, tie], name="photo_index", chunk=F.col("_depth")).drop("_one", "_depth")
 
 
 def existing_only(df: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
@@ -44,13 +45,13 @@ def existing_only(df: DataFrame, files: DataFrame, key: str = "path") -> DataFra
 
 
 def burst_sessions(df: DataFrame, gap_sec: int = K.PHOTO_BATCH_WINDOW_SEC, ts: str = "modificationTime",
-                   tie: str = "path") -> DataFrame:
+                   tie: str = "path", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """M3 batch twin: arrivals cut into bursts where the gap to the previous
     arrival exceeds ``gap_sec``; one row per burst (session_no, start, end,
     photos). Previous time and the running burst number are chunked over the
     global order, so no single task sees every row."""
-    d = df.select(ts, tie).withColumn("_one", F.lit(1))
-    d = ordinal(d, "_one", [ts, tie], name="_rn", chunk=time_chunk(ts, MINUTE_MICROS), keep_chunk="_ck")
+    d = depth_chunks(df.select(ts, tie).withColumn("_one", F.lit(1)), "_one", [ts, tie], "_depth", chunk_rows)
+    d = ordinal(d, "_one", [ts, tie], name="_rn", chunk=F.col("_depth"), keep_chunk="_ck").drop("_depth")
     d = last_before(d, "_one", "_rn", F.col(ts), "_prev", chunk="_ck")
     new = (F.col("_prev").isNull() | (F.unix_micros(F.col(ts).cast("timestamp"))
                                       - F.unix_micros(F.col("_prev").cast("timestamp")) > gap_sec * 1_000_000)).cast("int")

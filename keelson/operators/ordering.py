@@ -14,10 +14,17 @@ over a key's chunks is small):
   preceding .. 1 preceding)`` per key = the value inside the chunk, else the
   last non-null tail of an earlier chunk.
 
-Both are deterministic (no sampling, no partition ids), need no
+Both are deterministic (no partition ids), need no
 materialisation, and when two steps use the same chunk column the second
 window reuses the first one's partitioning (no extra shuffle).
 
+A column that is even enough (hours of a stream, positions of a dense index)
+is the cheapest chunk. Where nothing is known of how a key's rows lie, e.g.
+most of them in one minute, or an index with wide gaps, :func:`depth_chunks`
+cuts keys at splitters taken from the data, so that chunks hold about equally
+many rows and a key has at most ``MAX_CHUNKS`` of them; the window over a
+key's summaries is then bounded too.
+
 The order columns must make rows unique within a key. A null key is a key of
 its own; rows with a null order value come first within their key.
 """
@@ -31,6 +38,8 @@ DEFAULT_CHUNK_ROWS = 1 << 16
 HOUR_MICROS = 3_600_000_000
 MINUTE_MICROS = 60_000_000
 FIRST_CHUNK = -(1 << 62)  # of rows whose order value is null
+MAX_CHUNKS = 8192         # of all keys that are cut by splitters
+OVERSAMPLE = 32           # rows drawn per chunk: chunk sizes then vary by a sixth
 
 
 def time_chunk(ts: Column | str, micros: int = HOUR_MICROS) -> Column:
@@ -45,6 +54,29 @@ def index_chunk(idx: Column | str, rows: int = DEFAULT_CHUNK_ROWS) -> Column:
     return F.floor(i / rows).cast("bigint")
 
 
+def depth_chunks(df: DataFrame, key: str, order: list[str], name: str = "_depth", rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Add ``name``: the chunk of each row, non-decreasing along ``order``
+    within ``key``. Keys of more than ``rows`` rows (or than a ``MAX_CHUNKS``-th
+    of the table, if that is more) are cut at splitters, whole ``order`` tuples,
+    so rows that tie in the first order column are cut as well. Splitters come
+    from a sample by hash, the same on every run: they decide how even the
+    chunks are, never the result. At most ``MAX_CHUNKS`` splitters exist for any
+    table, so they are broadcast; a row finds its chunk by binary search."""
+    k, place = F.struct(F.col(key).alias("k")), F.struct(*[F.col(c) for c in order])
+    counted = df.groupBy(k.alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    total = counted.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    target = max(rows, -(-total // MAX_CHUNKS))
+    big = counted.where(F.col("_n") > target).select("_k")  # fewer than MAX_CHUNKS keys
+    drawn = (df.where(F.pmod(F.xxhash64(*order), F.lit(target)) < OVERSAMPLE).select(k.alias("_k"), place.alias("_p"))
+             .join(F.broadcast(big), "_k"))
+    splits = drawn.groupBy("_k").agg(F.array_sort(F.collect_list("_p")).alias("_all"))
+    splits = splits.select("_k", F.filter("_all", lambda _, i: i % OVERSAMPLE == OVERSAMPLE - 1).alias("_splits"))
+    steps = F.array(*[F.lit(1 << b) for b in range(MAX_CHUNKS.bit_length(), -1, -1)])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("_splits", at + step - 1) <= place, step).otherwise(0))
+    out = df.withColumn("_k", k).join(F.broadcast(splits), "_k", "left")
+    return out.withColumn(name, below.cast("bigint")).drop("_k", "_splits")
+
+
 def chunk_of(key: str, chunk: Column | None) -> Column:
     """The (key, chunk) a row belongs to, as one struct. A struct is never
     null and compares its null fields as equal, so rows with a null key or a

@@ -4,7 +4,7 @@ one key holds most rows and chunks are tiny."""
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keelson.operators.ordering import index_chunk, last_before, ordinal, running_sum
+from keelson.operators.ordering import depth_chunks, index_chunk, last_before, ordinal, running_sum
 
 
 def _data(spark):
@@ -88,3 +88,55 @@ def test_hot_video_stays_spread_through_buckets(spark):
         for k, v in keep.items():
             spark.conf.set(k, v)
     assert most[1] >= 6 and most[0] < 0.5 * 200000
+
+
+def _uneven(spark, n=24_000):
+    """80 % of the rows in one second of one minute, in every source; the rest hours apart; ties in time; one key holds most rows."""
+    i = F.col("id")
+    when = F.when(i % 5 < 4, F.lit(1_700_000_000)).otherwise(F.lit(1_600_000_000) + i * 7200)
+    return spark.range(0, n).select(F.when(i % 10 == 9, i % 3).otherwise(F.lit(7)).alias("k"), when.cast("timestamp").alias("ts"),
+                                    F.format_string("f%05d", (i * 7919) % n).alias("path"), (i % 5).alias("v"))
+
+
+def test_depth_chunks_are_even_and_ordered(spark):
+    """One second with 80 % of the rows, and rows hours apart (one per minute
+    chunk): the largest chunk stays below twice the mean, and chunks follow the order."""
+    df = _uneven(spark)
+    out = depth_chunks(df, "k", ["ts", "path"], rows=200)
+    sizes = [r["count"] for r in out.where("k = 7").groupBy("_depth").count().collect()]
+    assert len(sizes) > 60 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    w = Window.partitionBy("k").orderBy("ts", "path")
+    falls = out.withColumn("before", F.lag("_depth").over(w)).where("before > _depth").count()
+    assert falls == 0 and out.count() == df.count()
+
+
+def test_chunks_of_a_table_are_bounded(spark, monkeypatch):
+    from keelson.operators import ordering
+    monkeypatch.setattr(ordering, "MAX_CHUNKS", 16)
+    out = depth_chunks(_uneven(spark), "k", ["ts", "path"], rows=10)
+    assert out.select("k", "_depth").distinct().count() <= 16 + 4
+
+
+def test_ordinal_over_depth_chunks_matches_windows(spark):
+    df = _uneven(spark, 6000).unionByName(spark.createDataFrame([(None, None, "a", 1), (None, None, "b", 2), (7, None, "z", 3)],
+                                                                "k long, ts timestamp, path string, v long"))
+    d = depth_chunks(df, "k", ["ts", "path"], rows=50)
+    d = ordinal(d, "k", ["ts", "path"], name="rn", chunk=F.col("_depth"), keep_chunk="ck", total="n")
+    d = running_sum(last_before(d, "k", "rn", "v", "prev", chunk="ck"), "k", ["ts", "path"], "v", "s", chunk="ck")
+    w = Window.partitionBy("k").orderBy("ts", "path")
+    ref = df.select("k", "path", F.row_number().over(w).alias("rn"), F.count("*").over(Window.partitionBy("k")).alias("n"),
+                    F.lag("v").over(w).alias("prev"), F.sum("v").over(w).alias("s"))
+    assert sorted(map(str, d.select("k", "path", "rn", "n", "prev", "s").collect())) == sorted(map(str, ref.collect()))
+
+
+def test_bursts_and_series_of_uneven_arrivals(spark):
+    """G6 and M3 over many chunks equal plain windows over the whole batch."""
+    from keelson.operators.media import burst_sessions, risk_series
+    df = _uneven(spark, 5000).select(F.col("ts").alias("modificationTime"), "path")
+    w = Window.orderBy("modificationTime", "path")
+    got = risk_series(df, chunk_rows=100)
+    assert got.join(df.withColumn("n", F.row_number().over(w)), "path").where("n <> photo_index").count() == 0
+    new = F.coalesce((F.unix_micros("modificationTime") - F.unix_micros(F.lag("modificationTime").over(w)) > 20_000_000).cast("int"), F.lit(1))
+    ref = (df.withColumn("new", new).withColumn("session_no", F.sum("new").over(w)).groupBy("session_no")
+           .agg(F.min("modificationTime"), F.max("modificationTime"), F.count("*")))
+    assert sorted(map(tuple, burst_sessions(df, chunk_rows=100).collect())) == sorted(map(tuple, ref.collect()))
