@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 
 DEFAULT_CHUNK_ROWS = 1 << 16
 HOUR_MICROS = 3_600_000_000
-MINUTE_MICROS = 60_000_000
 FIRST_CHUNK = -(1 << 62)  # of rows whose order value is null
 MAX_CHUNKS = 8192         # of all keys that are cut by splitters
 OVERSAMPLE = 32           # rows drawn per chunk: chunk sizes then vary by a sixth
