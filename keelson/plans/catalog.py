@@ -1080,6 +1080,32 @@ def m2_stream_duplicates(spark, sf):
     return out.select("video_id", "frame_idx", "quality_ok", prev.alias("prev_dhash"), "hamming_to_prev", "is_duplicate")
 
 
+@query("m2_stream_duplicates_any_order")
+def m2_stream_duplicates_any_order(spark, sf):
+    """M2 with frames that come up to a sixteenth of the recording late, over
+    several micro-batches: the flags are those of the whole video (G1)."""
+    from keelson.streaming import streams as ST
+    from keelson.session import cut_lineage
+    at = F.timestamp_micros((F.col("timestamp_sec") * 1e6).cast("bigint") + 1_700_000_000_000_000)
+    frames = cut_lineage(flagged_frames(spark, sf).select("video_id", "frame_idx", "quality_ok", "hash", at.alias("at")))
+    first, last = (v or 0 for v in frames.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first())
+    late = (last - first) // 16
+    arrival = F.unix_micros("at") - first + F.pmod(F.xxhash64("video_id", "frame_idx"), F.lit(1000)) * (late / 1000)
+    width = (last - first + late) / 6 + 1
+    root = _scratch(spark, "arrivals")
+    for part in range(6):  # one after the other, so that the stream reads them in this order
+        frames.where(F.floor(arrival / width) == part).write.mode("append").parquet(root)
+    # a row of no video moves the watermark past all frames
+    end = frames.limit(1).select(F.lit(-1).cast("bigint").alias("video_id"), F.lit(0).cast("bigint").alias("frame_idx"),
+                                 F.lit(False).alias("quality_ok"), F.lit(None).cast("bigint").alias("hash"),
+                                 F.timestamp_micros(F.lit(last + 10 * int(width + late))).alias("at"))
+    end.write.mode("append").parquet(root)
+    sdf = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 8).parquet(root)
+    out = _run_to_table(ST.stream_duplicates_in_order(sdf, delay=f"{int(width + late) // 1_000_000 + 1} seconds", keep="3650 days"), spark, "ordered")
+    prev = F.when(F.col("quality_ok"), FR.hash_to_hex("prev_hash"))
+    return out.select("video_id", "frame_idx", "quality_ok", prev.alias("prev_dhash"), "hamming_to_prev", "is_duplicate")
+
+
 @query("m3_stream_bursts")
 def m3_stream_bursts(spark, sf):
     """M3: 20-second bursts of arrivals as streaming session windows."""

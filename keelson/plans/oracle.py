@@ -1254,6 +1254,8 @@ oracle("e8_near_frames_6", ["varied_v"], near_sql(6))
 
 oracle("m2_stream_duplicates", ["dedup_v"], """
 SELECT video_id, frame_idx, quality_ok, prev_dhash, hamming_to_prev, is_duplicate FROM dedup_v""")
+oracle("m2_stream_duplicates_any_order", ["dedup_v"], """
+SELECT video_id, frame_idx, quality_ok, prev_dhash, hamming_to_prev, is_duplicate FROM dedup_v""")
 
 oracle("m4_stream_daily_counts", [], """
 SELECT day_start, event_type, n FROM (

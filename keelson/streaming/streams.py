@@ -5,6 +5,8 @@
 * M2 ``stream_duplicates`` — previous-good-hash dedup carried across
   micro-batches in per-video state (``applyInPandasWithState``). Batch twin:
   G1 (same rows when each video's frames arrive in order).
+  ``stream_duplicates_in_order`` needs no order of arrival: frames wait in
+  state by index (``transformWithState``) until the watermark has passed them.
 * M3 ``stream_bursts`` — photo bursts as 20-second session windows with a
   watermark. Batch twin: ``media.burst_sessions``.
 * M4 ``stream_daily_counts`` — per-day counts with a watermark; late rows
@@ -22,10 +24,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from keelson import constants as K
@@ -90,6 +92,83 @@ def stream_duplicates(sdf: DataFrame, threshold: int = K.HAMMING_THRESHOLD) -> D
                       "hamming_to_prev", "is_duplicate")
 
 
+#: Frames wait in RocksDB state; the default store has no maps and timers.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _ordered_dedup(threshold: int, keep_ms: int) -> StatefulProcessor:
+    # the class is made here so that it is pickled whole: executors needn't import keelson
+    class OrderedDedup(StatefulProcessor):
+        """State of a video: frames that wait, by index; the last good hash
+        with the latest time seen. A timer at a batch's latest time releases
+        what the watermark has passed, one ``keep_ms`` later ends the video."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "hex string, seen long")
+            self.waiting = handle.getMapState("waiting", "frame_idx long", "ok boolean, hex string, at long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            # what is due goes out first: new rows are later than the watermark
+            yield from self.release(key, timerValues.getCurrentWatermarkInMs())
+            hex_, seen = self.last.get() or (None, -1)
+            for r in rows:
+                self.waiting.updateValue((r["frame_idx"],), (r["quality_ok"], r["hex"], r["at"]))
+                seen = max(seen, r["at"])
+            self.last.update((hex_, seen))
+            self.handle.registerTimer(seen)
+            self.handle.registerTimer(seen + keep_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            return self.release(key, timerValues.getCurrentWatermarkInMs())
+
+        def release(self, key, now: int) -> Iterator[Row]:
+            state = self.last.get()
+            if state is None:
+                return
+            hex_, seen = state
+            due = sorted((k[0], *v) for k, v in self.waiting.iterator() if v[2] <= now)
+            for idx, ok, h, _ in due:
+                far = (int(h, 16) ^ int(hex_, 16)).bit_count() if hex_ is not None and h is not None else None
+                yield Row(video_id=key[0], frame_idx=idx, quality_ok=ok, prev_hex=hex_, hamming_to_prev=far,
+                          is_duplicate=far is not None and far <= threshold)
+                self.waiting.removeKey((idx,))
+                if ok and h is not None:
+                    hex_ = h
+            if seen + keep_ms <= now:
+                self.last.clear()  # nothing has come for so long: the video is over
+            elif due:
+                self.last.update((hex_, seen))
+
+        def close(self) -> None:
+            pass
+
+    return OrderedDedup()
+
+
+def stream_duplicates_in_order(sdf: DataFrame, at: str = "at", delay: str = "10 minutes", threshold: int = K.HAMMING_THRESHOLD,
+                               keep: str = "1 day") -> DataFrame:
+    """M2 for frames that arrive in any order: ``sdf`` as for
+    :func:`stream_duplicates` and with ``at``, the time of a frame, which
+    doesn't fall along a video's frame indices. A frame comes out once the watermark
+    (``delay`` behind the latest frame of all videos) has passed it, with the
+    answer it has in the whole video; one that comes later than that is
+    dropped, as late rows are (times must be after 1970, where watermarks begin). A repeated index replaces the one that waits.
+    ``keep`` after its latest frame, a video's state goes: should it go on,
+    its next frame is a first one. A task holds a video's frames of ``delay``."""
+    spark = sdf.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    keep_ms = spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {keep})").first()[0]
+    rows = sdf.withWatermark(at, delay).select(
+        F.col(at), "video_id", "frame_idx", F.coalesce("quality_ok", F.lit(False)).alias("quality_ok"), FR.hash_to_hex("hash").alias("hex"))
+    # whole milliseconds, upwards: a frame is due exactly when the watermark, which has whole ones, has reached it
+    rows = rows.select(at, "video_id", "frame_idx", "quality_ok", "hex", F.ceil(F.unix_micros(at) / 1000).cast("bigint").alias("_ms"))
+    rows = rows.withColumnRenamed(at, "_event").withColumnRenamed("_ms", "at")
+    out = rows.groupBy("video_id").transformWithState(_ordered_dedup(threshold, keep_ms), DEDUP_OUT, "append", "eventTime")
+    return out.select("video_id", "frame_idx", "quality_ok", FR.hex_to_hash("prev_hex").alias("prev_hash"),
+                      "hamming_to_prev", "is_duplicate")
+
+
 def stream_bursts(sdf: DataFrame, ts: str = "modificationTime", gap_sec: int = K.PHOTO_BATCH_WINDOW_SEC,
                   watermark: str | None = None, by: str = "source_root") -> DataFrame:
     """M3: one row per burst of a source folder (``by``) once its session

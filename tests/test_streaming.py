@@ -50,6 +50,57 @@ def test_stream_duplicates_equals_batch(spark, tmp):
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
 
 
+def _arrivals(spark, rows, root, batches, seed):
+    """Write ``rows`` (video, idx, ok, hash, second) in ``batches`` files; a frame comes up to 40 seconds late."""
+    import random
+    r = random.Random(seed)
+    order = sorted(rows, key=lambda x: x[4] + r.uniform(0, 40))
+    size = -(-len(order) // batches)
+    parts = [order[i:i + size] for i in range(0, len(order), size)]
+    parts.append([(-1, 0, False, None, 10_000.0)])  # moves the watermark past all frames
+    for part in parts:
+        df = spark.createDataFrame(part, "video_id long, frame_idx long, quality_ok boolean, hash long, s double")
+        df.withColumn("at", F.timestamp_micros((F.col("s") * 1e6).cast("long") + 1_700_000_000_000_000)).drop("s").coalesce(1).write.mode("append").parquet(root)
+
+
+def test_stream_duplicates_in_any_order_equals_batch(spark, tmp):
+    """Frames shuffled over several micro-batches: all columns as G1 has them,
+    also for a null video, null hashes and frames of one instant."""
+    import random
+    r = random.Random(1)
+    rows = [(v, i, r.choice([True, True, False, None]), None if i % 11 == 5 else (1 << 40) + r.getrandbits(6), i // 2 * 0.5003)
+            for v in (1, 2, None) for i in range(120)]
+    _arrivals(spark, rows, f"{tmp}/frames", 6, 2)
+    sdf = spark.readStream.schema(spark.read.parquet(f"{tmp}/frames").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp}/frames")
+    out = ST.stream_duplicates_in_order(sdf, delay="1 minute")
+    q = (out.writeStream.format("parquet").option("path", f"{tmp}/out").option("checkpointLocation", f"{tmp}/ck")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    frames = spark.createDataFrame([x[:2] + (bool(x[2]),) + x[3:4] for x in rows], "video_id long, frame_idx long, quality_ok boolean, hash long")
+    batch = Q.prev_good_hash(frames).select("video_id", "frame_idx", "quality_ok", "hamming_to_prev", "is_duplicate", "prev_dhash")
+    got = spark.read.parquet(f"{tmp}/out").select("video_id", "frame_idx", "quality_ok", "hamming_to_prev", "is_duplicate",
+                                                  F.when(F.col("quality_ok"), FR.hash_to_hex("prev_hash")).alias("prev_dhash"))
+    assert len(q.recentProgress) >= 6
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
+
+
+def test_state_of_a_finished_video_goes(spark, tmp):
+    """``keep`` after its latest frame a video starts anew."""
+    def one(i, s):
+        return (5, i, True, 77, float(s))
+    for part in ([one(0, 0), one(1, 1)], [(-1, 0, False, None, 100.0)], [one(2, 110)], [(-1, 1, False, None, 5000.0)], [one(3, 5010)],
+                 [(-1, 2, False, None, 9000.0)]):
+        df = spark.createDataFrame(part, "video_id long, frame_idx long, quality_ok boolean, hash long, s double")
+        df.withColumn("at", F.timestamp_micros((F.col("s") * 1e6).cast("long") + 1_700_000_000_000_000)).drop("s").coalesce(1).write.mode("append").parquet(f"{tmp}/f")
+    sdf = spark.readStream.schema(spark.read.parquet(f"{tmp}/f").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp}/f")
+    out = ST.stream_duplicates_in_order(sdf, delay="10 seconds", keep="10 minutes").where("video_id = 5")
+    q = (out.writeStream.format("parquet").option("path", f"{tmp}/out").option("checkpointLocation", f"{tmp}/ck")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r.frame_idx: (r.prev_hash, r.is_duplicate) for r in spark.read.parquet(f"{tmp}/out").collect()}
+    assert got == {0: (None, False), 1: (77, True), 2: (77, True), 3: (None, False)}
+
+
 def test_latest_run_table_survives_a_broken_swap(spark, tmp):
     schema = "kind string, run_id long, updated_at timestamp"
     table = f"{tmp}/latest"
