@@ -4,11 +4,14 @@ ever collected whole into one row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson import constants as K
 from keelson.functions import classes as CL
+from keelson.functions import risk as RK
+from keelson.functions import text as TX
+from keelson.functions.num import rnd
 from keelson.operators import selection as S
 from keelson.operators.marts import KEYS, Marts
 
@@ -29,28 +32,57 @@ def visible_classes(manifests: DataFrame) -> DataFrame:
     return best.select(CL.normalize_classes(chosen).alias("visible_classes"))
 
 
-def build_manifests(marts: Marts, story_frames: int = K.STORY_FRAMES) -> DataFrame:
-    """One manifest row per (kind, asset): run counts, risk summary,
-    class summaries, benchmark curve and the story frames."""
+def _by_frame(a, b):
+    return F.when(a["frame_idx"] < b["frame_idx"], -1).when(a["frame_idx"] > b["frame_idx"], 1).otherwise(0)
+
+
+def _frame_entry() -> Column:
+    """A frame of a manifest's lists; map keys are text, as JSON has them."""
+    def text_keys(c: str) -> Column:
+        return F.transform_keys(c, lambda k, v: k.cast("string")).alias(c)
+    return F.struct("frame_idx", F.col("primary_sign_id").alias("dominant_class_id"), F.col("primary_sign_name").alias("dominant_class_name"),
+                    "primary_sign_name", "predicted_class_ids", text_keys("class_pixel_counts"), text_keys("class_pixel_ratios"), "risk_score")
+
+
+def class_list() -> Column:
+    """The visible classes with their colours, the same in every manifest."""
+    return F.array(*[F.struct(F.lit(c).alias("class_id"), F.lit(name).alias("class_name"), F.array(*[F.lit(x) for x in rgb]).alias("color_rgb"),
+                              TX.rgb_hex(*[F.lit(x) for x in rgb]).alias("color_hex"))
+                     for c, name, rgb in K.CLASS_INFO if c not in K.VISIBLE_EXCLUDED_IDS])
+
+
+def build_manifests(marts: Marts, story_frames: int = K.STORY_FRAMES, roots: dict[str, str] | None = None) -> DataFrame:
+    """One manifest row per (kind, asset): run counts, risk summary, class
+    list and summaries, benchmark curve, parallel estimate, all frames with
+    the dynamics series, the story frames and the folders (``roots``). The
+    frames of an asset are the ones analysed, which the selection (H) bounds.
+    ``manifest_marts.build_marts`` makes every mart table from these rows, also
+    after a way through files."""
     runs = marts.runs
     cm = marts.class_metrics.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(
         (-F.col("pixel_count")).alias("_o"), "class_id", "class_name", "pixel_count", "frames_present",
         (F.col("pixel_share_pct") / 100.0).alias("pixel_share")))).alias("_cs"))
-    curve = marts.benchmark_curve.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(
-        "scale", "items", "pipeline_seconds", "inference_seconds"))).alias("benchmark_curve"))
     frames = marts.frames.withColumn("asset_key", F.concat_ws("|", "kind", F.col("asset_id").cast("string")))
+    seen = frames.groupBy(*KEYS).agg(F.array_sort(F.collect_list(_frame_entry()), _by_frame).alias("_frames"),
+                                     F.max("risk_score").alias("_max_risk"))
     story = S.story_frames(frames, story_frames, story_frames, key="asset_key")
-    by_frame = lambda a, b: F.when(a["frame_idx"] < b["frame_idx"], -1).when(a["frame_idx"] > b["frame_idx"], 1).otherwise(0)
-    top = story.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(
-        "frame_idx", "primary_sign_id", "primary_sign_name", "risk_score",
-        F.transform_keys("class_pixel_ratios", lambda k, v: k.cast("string")).alias("class_pixel_ratios"))),
-        by_frame).alias("top_frames"))
-    m = runs.join(cm, KEYS, "left").join(curve, KEYS, "left").join(top, KEYS, "left")
+    top = story.groupBy(*KEYS).agg(F.array_sort(F.collect_list(_frame_entry()), _by_frame).alias("top_frames"))
+    m = runs.join(cm, KEYS, "left").join(seen, KEYS, "left").join(top, KEYS, "left")
+    video = F.col("kind") == "video"
+    shown = F.when(video, F.col("segmented_frames")).otherwise(F.col("total_images"))
+    series = F.transform("_frames", lambda f: F.struct(f["frame_idx"].alias("frame_idx"), f["risk_score"].alias("risk_score"),
+                                                       f["primary_sign_name"].alias("dominant_class_name")))
+    folders = F.create_map(*[F.lit(x) for kv in (roots or {}).items() for x in kv]).cast("map<string,string>")
     return m.select(
         F.col("asset_id").cast("string").alias("video_id"), "kind", F.col("source_name").alias("source_video"),
-        F.col("updated_at_iso").alias("generated_at_utc"),
-        F.struct("extracted_frames", "quality_ok_frames", "deduplicated_frames", "processed_frames", "segmented_frames",
-                 "extraction_wall_seconds", "preprocessing_wall_seconds", "inference_wall_seconds",
-                 "export_stage_wall_seconds", "pipeline_wall_seconds").alias("run_counts"),
-        F.struct(F.col("risk_score").alias("score"), F.col("risk_band").alias("band")).alias("risk_summary"),
-        F.transform("_cs", lambda c: c.dropFields("_o")).alias("class_summaries"), "benchmark_curve", "top_frames")
+        F.when(~video, F.col("source_name")).alias("source_batch"), F.col("updated_at_iso").alias("generated_at_utc"), "total_images",
+        class_list().alias("visible_classes"),
+        F.struct("extracted_frames", "quality_ok_frames", "deduplicated_frames", F.col("deduplicated_frames").alias("candidate_processed_frames"),
+                 "processed_frames", "segmented_frames", "extraction_wall_seconds", "preprocessing_wall_seconds", "inference_wall_seconds",
+                 "export_stage_wall_seconds", "pipeline_wall_seconds", F.when(video, F.col("avg_inference_ms")).alias("avg_inference_ms_per_frame"),
+                 F.when(~video, F.col("avg_inference_ms")).alias("avg_inference_ms_per_image")).alias("run_counts"),
+        F.struct(F.col("risk_score").alias("score"), rnd("_max_risk", 3).alias("max_score"), F.col("risk_band").alias("band")).alias("risk_summary"),
+        RK.benchmark_curve(shown, "pipeline_wall_seconds", "inference_wall_seconds", F.col("kind")).alias("benchmark_curve"),
+        RK.parallel_estimate("pipeline_wall_seconds").alias("parallel_estimate"), series.alias("dynamics_series"), folders.alias("hdfs_roots"),
+        F.transform("_cs", lambda c: c.dropFields("_o")).alias("class_summaries"),
+        F.when(video, F.col("_frames")).alias("frames"), F.when(~video, F.col("_frames")).alias("images"), "top_frames")

@@ -95,6 +95,29 @@ def test_manifest_write_read_and_visible_classes(spark, tmp):
     assert len(MF.visible_classes(man).collect()[0][0]) == 4
 
 
+def test_marts_survive_the_way_through_manifest_files(spark, tmp):
+    """build_marts(read(write(build_manifests))) gives every table of the videos again, L3 too."""
+    from keelson.operators import manifest_marts as MM
+    marts = build_marts(B.mart_lines(spark, SMOKE))
+    m = MF.build_manifests(marts, roots={"masks": "/m"})
+    W.write_manifest_documents(m, f"{tmp}/r")
+    back = R.all_manifests(spark, f"{tmp}/r")
+    assert back.where("kind = 'photo'").count() == 1
+    first = back.where("kind = 'video'").first()
+    assert first.hdfs_roots == {"masks": "/m"} and len(first.parallel_estimate) == 2 and first.visible_classes[0].color_hex.startswith("#")
+    assert first.run_counts.candidate_processed_frames == first.run_counts.deduplicated_frames and first.risk_summary.max_score is not None
+    tables = MM.build_marts(back.where("kind = 'video'"))
+    for name, cols in (("dynamics", ["asset_id", "frame_idx", "frame_label", "risk_score", "dominant_class_name_ru"]),
+                       ("class_metrics", ["asset_id", "class_name", "frames_present", "pixel_count"]),
+                       ("stage_times", ["asset_id", "stage_name", "stage_order"]),
+                       ("benchmark_curve", ["asset_id", "scale", "items"]),
+                       ("runs", ["asset_id", "extracted_frames", "quality_ok_frames", "deduplicated_frames", "processed_frames",
+                                 "segmented_frames", "risk_score", "primary_issue_code", "state_code"])):
+        want = marts[name].where("kind = 'video'").withColumn("asset_id", F.col("asset_id").cast("string")).select(*cols).collect()
+        got = tables[name].select(*cols).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and want, name
+
+
 def test_defect_export_existing_only(spark, tmp):
     os.makedirs(f"{tmp}/r/frames")
     open(f"{tmp}/r/frames/a.jpg", "wb").write(b"1")
