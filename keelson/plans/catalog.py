@@ -905,6 +905,17 @@ for _key, _table in (("b7_manifest_runs", MM.runs), ("b7_manifest_class_metrics"
     _manifest_query(_key, _table)
 
 
+@query("a6_manifest_files")
+def a6_manifest_files(spark, sf):
+    """A6 + A7 + B6 + J1: every manifest written as a document of its own
+    (videos) or as the newest photo batch, scanned again, and the runs table made of them."""
+    from keelson.sources import readers as R
+    from keelson.sources import sinks as SK
+    root = _scratch(spark, "manifests")
+    SK.write_manifest_documents(B.manifests_v(spark, sf), root)
+    return MM.runs(R.all_manifests(spark, root)).drop("updated_at_iso", "updated_at_epoch")
+
+
 # ---- remaining inventory items --------------------------------------------------
 
 @query("e1_join_metrics")

@@ -1319,7 +1319,7 @@ SELECT kind, asset_id, updated_at_epoch,
        CAST(CASE WHEN kind = 'photo' THEN lines ELSE coalesce(nullif(s0, 0), nullif(d0, 0), nullif(q0, 0), ex) END AS BIGINT) AS reviewed_items
 FROM mancnt_v""")
 WEIGHT_OF_NAME = "CASE " + " ".join(f"WHEN class_name = {_q(n)} THEN {D(v)}" for n, v in K.FALLBACK_RISK_WEIGHTS.items()) + f" ELSE {D(K.FALLBACK_RISK_DEFAULT)} END"
-oracle("b7_manifest_runs", ["mancnt_v", "mansec_v", "mancls_v"], f"""
+MANIFEST_RUNS = f"""
 WITH shares AS (
   SELECT kind, asset_id, round(list_reduce(list_prepend({D(0)}, list(pixel_share_pct / {D(100)} * {WEIGHT_OF_NAME} ORDER BY pos)), lambda a, b: a + b)
            / greatest(list_reduce(list_prepend({D(0)}, list(pixel_share_pct / {D(100)} ORDER BY pos)), lambda a, b: a + b), {D(1e-6)}), 3) AS fb
@@ -1351,7 +1351,12 @@ SELECT kind, asset_id, updated_at_iso, updated_at_epoch,
        {code_sql('primary_issue', K.ISSUE_CODES, K.ISSUE_DEFAULT_CODE)} AS primary_issue_code,
        {three_sql('risk_score', K.STATE_LABELS)} AS state_label,
        {code_sql(three_sql('risk_score', K.STATE_LABELS), K.STATE_CODES, K.STATE_DEFAULT_CODE)} AS state_code
-FROM r""")
+FROM r"""
+oracle("b7_manifest_runs", ["mancnt_v", "mansec_v", "mancls_v"], MANIFEST_RUNS)
+oracle("a6_manifest_files", ["mancnt_v", "mansec_v", "mancls_v"], f"""
+SELECT * EXCLUDE (updated_at_iso, updated_at_epoch) FROM ({MANIFEST_RUNS})
+WHERE kind = 'video' OR regexp_replace(asset_id, '^(batch-|g)', '') = (
+  SELECT max(CAST(o_orderkey AS VARCHAR)) FROM mancnt_v WHERE kind = 'photo')""")
 LINE_SIGN = translate_sql("CASE WHEN c = 1 AND o_orderkey % 2 = 0 THEN 'Ship hull' ELSE " + class_name_sql('c') + " END")
 oracle("i7_manifest_review_rows", ["manline_v"], f"""
 SELECT kind, asset_id, updated_at_epoch, CAST(rn AS INTEGER) AS row_no,
