@@ -58,6 +58,7 @@ def build_manifests(marts: Marts, story_frames: int = K.STORY_FRAMES, roots: dic
     frames of an asset are the ones analysed, which the selection (H) bounds.
     ``manifest_marts.build_marts`` makes every mart table from these rows, also
     after a way through files."""
+    marts = marts.shared()
     runs = marts.runs
     cm = marts.class_metrics.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(
         (-F.col("pixel_count")).alias("_o"), "class_id", "class_name", "pixel_count", "frames_present",

@@ -93,13 +93,18 @@ class Marts:
     frame_idx, updated_at, l_linenumber, l_quantity, l_tax, l_discount,
     l_extendedprice) — one row per detected region of a frame (see
     bindings.mart_lines). All tables read :attr:`per_frame`, one aggregation
-    over the lines; with ``materialize`` it is written once to the shared
-    folder, so the tables of one mart scan and join the lines once."""
+    over the lines. A single table is one plan from the lines; for several,
+    :meth:`shared` writes ``per_frame`` once to the shared folder, so that
+    they scan and join the lines once."""
 
-    def __init__(self, lines: DataFrame, materialize: bool = True):
+    def __init__(self, lines: DataFrame, materialize: bool = False):
         self.lines = lines
         self.materialize = materialize
 
+    def shared(self) -> "Marts":
+        """These marts for the use of several tables."""
+        return self if self.materialize else Marts(self.lines, True)
+
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
 
@@ -162,10 +167,10 @@ class Marts:
         return stage_seconds(g, [*KEYS, "items", "updated_at", "_frames", "_avg", "_rows"])
 
     @cached_property
-    def meta(self) -> DataFrame:
-        return (self.per_asset.select(*KEYS, "updated_at")
-                    .withColumn("updated_at_epoch", F.unix_timestamp("updated_at"))
-                    .withColumn("updated_at_iso", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss")))
+    def run_times(self) -> DataFrame:
+        """The run keys: each asset's update time, from the lines' keys alone."""
+        times = self.lines.groupBy(*KEYS).agg(F.max("updated_at").alias("updated_at"))
+        return times.select(*KEYS, F.unix_timestamp("updated_at").alias("updated_at_epoch"))
 
     @cached_property
     def class_metrics(self) -> DataFrame:
@@ -180,10 +185,10 @@ class Marts:
         frame; photos are numbered oldest first (G6), videos keep frame_idx."""
         dyn = ordinal(self.frames.withColumn("_ak", F.concat_ws("|", "kind", F.col("asset_id").cast("string"))),
                       "_ak", ["frame_time", "frame_idx"], name="photo_index",
-                      chunk=time_chunk("frame_time", 86_400_000_000)).drop("_ak")
+                      chunk=time_chunk("frame_time", 86_400_000_000), group_max=["frame_time"]).drop("_ak")
         dyn_idx = F.when(F.col("kind") == "photo", F.col("photo_index")).otherwise(F.col("frame_idx")).cast("bigint")
-        return dyn.join(self.meta.select(*KEYS, "updated_at_epoch"), KEYS).select(
-            *KEYS, "updated_at_epoch", dyn_idx.alias("frame_idx"), dyn_idx.cast("string").alias("frame_label"),
+        return dyn.select(
+            *KEYS, F.unix_timestamp("frame_time_last").alias("updated_at_epoch"), dyn_idx.alias("frame_idx"), dyn_idx.cast("string").alias("frame_label"),
             "risk_score", CL.translate("primary_sign_name").alias("dominant_class_name_ru"))
 
     @cached_property
@@ -246,9 +251,8 @@ class Marts:
 
     def latest(self, kind: str) -> DataFrame:
         """G9 + D11 (``kind`` parameter) on the run keys: the newest
-        (kind, asset_id) of ``kind`` (ties: smallest asset_id). Needs only the
-        per-asset update time."""
-        return latest_run(self.meta.select(*KEYS, "updated_at_epoch"), kind).select(*KEYS)
+        (kind, asset_id) of ``kind`` (ties: smallest asset_id)."""
+        return latest_run(self.run_times, kind).select(*KEYS)
 
     def scoped(self, assets: DataFrame) -> "Marts":
         """The same marts restricted to ``assets`` (kind, asset_id) before any
@@ -257,7 +261,8 @@ class Marts:
         return Marts(self.lines.join(F.broadcast(assets), KEYS, "left_semi"), self.materialize)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {n: self[n] for n in ("runs", "class_metrics", "dynamics", "stage_times", "benchmark_curve")}
+        own = self.shared()
+        return {n: own[n] for n in ("runs", "class_metrics", "dynamics", "stage_times", "benchmark_curve")}
 
 
 def build_marts(lines: DataFrame) -> Marts:

@@ -90,23 +90,27 @@ def _earlier(partition: str = "_chunk.k"):
 
 def ordinal(df: DataFrame, key: str, order: list[str], name: str = "rn", start: int = 1,
             chunk: Column | None = None, group_min: list[str] | None = None,
-            keep_chunk: str | None = None, total: str | None = None) -> DataFrame:
+            keep_chunk: str | None = None, total: str | None = None, group_max: list[str] | None = None) -> DataFrame:
     """Add ``name`` = position of each row within ``key`` by ``order``
     (starting at ``start``; nulls first). ``chunk`` must be non-decreasing
     along ``order`` within a key; without it the whole key is one chunk (a
     plain window). ``group_min`` columns get a ``<col>_first`` companion:
-    their minimum over the key; ``total`` names a column for the key's row
+    their minimum over the key, ``group_max`` columns a ``<col>_last``, their
+    maximum; ``total`` names a column for the key's row
     count (both come from the chunk summaries, so the big side keeps its
     partitioning). ``keep_chunk`` keeps the chunk column under that name so a
     following step can reuse the partitioning."""
-    group_min = group_min or []
+    group_min, group_max = group_min or [], group_max or []
     d = df.withColumn("_chunk", chunk_of(key, chunk))
-    sizes = d.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(f"_m_{c}") for c in group_min])
+    sizes = d.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(f"_m_{c}") for c in group_min],
+                                    *[F.max(c).alias(f"_x_{c}") for c in group_max])
     whole = Window.partitionBy("_chunk.k")
-    extra = [f"{c}_first" for c in group_min]
+    extra = [f"{c}_first" for c in group_min] + [f"{c}_last" for c in group_max]
     sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)).cast("bigint"))
     for c in group_min:
         sizes = sizes.withColumn(f"{c}_first", F.min(f"_m_{c}").over(whole))
+    for c in group_max:
+        sizes = sizes.withColumn(f"{c}_last", F.max(f"_x_{c}").over(whole))
     if total:
         sizes = sizes.withColumn(total, F.sum("_n").over(whole).cast("bigint"))
         extra.append(total)
