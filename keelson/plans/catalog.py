@@ -1152,4 +1152,4 @@ def m5_stream_latest_run(spark, sf):
                    F.col("o_orderdate").cast("timestamp").alias("updated_at")))
     root = _scratch(spark, "latest")
     ST.stream_latest_run(sdf, f"{root}/table", f"{root}/ck").awaitTermination()
-    return spark.read.parquet(f"{root}/table").select("kind", "asset_id", "run_id", "updated_at")
+    return ST.current_table(spark, f"{root}/table").select("kind", "asset_id", "run_id", "updated_at")

@@ -202,31 +202,40 @@ def _folders(spark: SparkSession, path: str):
     return to(path).getFileSystem(spark._jsc.hadoopConfiguration()), to
 
 
+def _versions(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the table's complete versions: folders that Spark's commit has marked."""
+    fs, to = _folders(spark, table)
+    if not fs.exists(to(table)):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(to(table)) if f.isDirectory()]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(to(f"{table}/{n}/_SUCCESS")))
+
+
 def replace_table(df: DataFrame, table: str) -> None:
-    """Write ``df`` beside ``table`` and swap the two by renames, so a reader
-    finds the old or the new table and a broken write leaves the old one."""
+    """Write ``df`` as the next version of ``table``, a folder beside the
+    others. Nothing is renamed: a version counts from the moment that the
+    write's commit marks it, so a reader finds the old or the new table and a
+    broken write leaves the old one. The version before stays for its readers."""
     fs, to = _folders(df.sparkSession, table)
-    df.write.mode("overwrite").parquet(f"{table}.next")
-    fs.delete(to(f"{table}.old"), True)
-    if fs.exists(to(table)):
-        fs.rename(to(table), to(f"{table}.old"))
-    fs.rename(to(f"{table}.next"), to(table))
-    fs.delete(to(f"{table}.old"), True)
+    held = _versions(df.sparkSession, table)
+    df.write.mode("overwrite").parquet(f"{table}/v{(held or [0])[-1] + 1}")
+    for old in held[:-1]:
+        fs.delete(to(f"{table}/v{old}"), True)
 
 
-def current_table(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame | None:
-    """The table as last swapped in; None before the first swap. A swap that
-    stopped between its renames is taken back. Read errors are raised."""
-    fs, to = _folders(spark, table)
-    if not fs.exists(to(table)) and fs.exists(to(f"{table}.old")):
-        fs.rename(to(f"{table}.old"), to(table))
-    return spark.read.schema(schema).parquet(table) if fs.exists(to(table)) else None
+def current_table(spark: SparkSession, table: str, schema: T.StructType | None = None) -> DataFrame | None:
+    """The newest complete version; None before the first. Read errors are raised."""
+    held = _versions(spark, table)
+    if not held:
+        return None
+    read = spark.read if schema is None else spark.read.schema(schema)
+    return read.parquet(f"{table}/v{held[-1]}")
 
 
 def stream_latest_run(sdf: DataFrame, table: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """M5: keep ``table`` = latest run per kind. Each micro-batch is merged
-    with the current table; the result (at most one row per kind) is written
-    beside the table and swapped in."""
+    with the current table; the result (at most one row per kind) is the next
+    version. Read it with :func:`current_table`."""
     def merge(batch: DataFrame, epoch: int) -> None:
         cur = current_table(batch.sparkSession, table, batch.schema)
         replace_table(latest_per_kind(batch if cur is None else batch.unionByName(cur)), table)

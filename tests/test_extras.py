@@ -130,7 +130,81 @@ def test_defect_export_existing_only(spark, tmp):
     files = files.withColumn("path", F.regexp_replace("path", "^file:", ""))
     got = W.defect_export(frames, files).collect()
     assert [(r.item_no, r.role) for r in got] == [(1, "source")]
-    assert got[0].folder == "v/001_frame_000001_Marine_growth"
+    assert got[0].folder == "v/001_frame_000001_Обрастание" and got[0].file == got[0].folder + "/source_a.jpg"
+
+
+def test_defect_export_names_the_issues_and_photos(spark, tmp):
+    """Extra signs from a ratio of 1e-4, best first, else the primary sign; photos go by file name."""
+    schema = ("source_batch string, photo_index long, filename string, class_pixel_ratios map<int,double>, primary_sign_name string, "
+              "_root string, processed_image string, overlay_image string, frame_idx long")
+    rows = [("b/7", 1, "bow left.jpg", {9: 0.0002, 2: 0.3, 1: 0.6}, "Marine growth", "/r", "p/1.jpg", "o/1.jpg", None),
+            ("b/7", 2, None, {9: 0.00001}, "Corrosion", "/r/", "p/2.jpg", "", None),
+            ("b/7", 3, "clean.jpg", {1: 1.0}, "Normal", "/r", "p/3.jpg", "o/3.jpg", None)]
+    files = spark.createDataFrame([("/r/p/1.jpg",), ("/r/o/1.jpg",), ("/r/p/2.jpg",), ("/r/p/3.jpg",)], "path string")
+    got = W.defect_export(spark.createDataFrame(rows, schema), files, key="source_batch", kind="photo", order="photo_index").collect()
+    assert sorted(r.file for r in got) == ["b_7/001_bow_left.jpg_Обрастание__Коррозия/overlay_1.jpg",
+                                           "b_7/001_bow_left.jpg_Обрастание__Коррозия/source_1.jpg", "b_7/002_photo_002_Коррозия/source_2.jpg"]
+
+
+def _manifest_rows(spark, rows):
+    """rows: (id, seconds, frames) as read_manifests has them."""
+    from keelson import schemas as SC
+    base = spark.createDataFrame([(f"v{i}", t, n) for i, t, n in rows], "video_id string, t long, n long")
+    have = {"video_id": F.col("video_id"), "run_counts": F.struct(F.col("n").alias("extracted_frames")),
+            "dynamics_series": F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.struct(k.cast("long").alias("frame_idx")))}
+    empty = spark.createDataFrame([], SC.MANIFEST).drop("_corrupt_record", *have)
+    out = base.select(*[c.alias(k) for k, c in have.items()], F.lit("video").alias("kind"), F.timestamp_seconds("t").alias("_updated_at"))
+    for f in empty.schema.fields:
+        out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
+    for name, fields in (("run_counts", "struct<extracted_frames:bigint,quality_ok_frames:bigint,deduplicated_frames:bigint,processed_frames:bigint,"
+                          "segmented_frames:bigint,extraction_wall_seconds:double,preprocessing_wall_seconds:double,inference_wall_seconds:double,"
+                          "export_stage_wall_seconds:double,pipeline_wall_seconds:double,avg_inference_ms_per_frame:double,"
+                          "decode_prepare_wall_seconds:double,postprocess_write_wall_seconds:double,avg_inference_ms_per_image:double>"),
+                         ("dynamics_series", "array<struct<frame_idx:bigint,risk_score:double,dominant_class_name:string,index:bigint>>")):
+        out = out.withColumn(name, F.from_json(F.to_json(name), fields))
+    return out
+
+
+def test_refresh_by_changed_assets_equals_a_full_rebuild(spark, tmp):
+    """Added, changed and vanished assets; the folders of others aren't touched."""
+    from keelson.operators import manifest_marts as MM
+
+    def files():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(f"{tmp}/m/runs") for f in fs if f.endswith(".parquet")}
+
+    def check(rows):
+        m = _manifest_rows(spark, rows)
+        n = W.refresh_marts(m, f"{tmp}/m")
+        for name, want in MM.build_marts(m).items():
+            if name in ("runs", "dynamics"):
+                got = spark.read.parquet(f"{tmp}/m/{name}").drop("part").select(*want.columns)
+                assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+        return n
+    rows = [(i, 1000 + i, 1 + i % 4) for i in range(40)]
+    assert check(rows) == 40
+    before = files()
+    assert check(rows) == 0 and files() == before
+    rows = [r for r in rows if r[0] not in (3, 17)] + [(100, 5000, 2)]  # two gone, one new
+    rows = [(i, t + 9000, n + 3) if i == 20 else (i, t, n) for i, t, n in rows]  # one changed
+    assert check(rows) == 4
+    assert len(set(files().items()) & set(before.items())) >= len(before) - 4
+
+
+def test_partitioned_write_spreads_a_hot_asset(spark, tmp):
+    """One asset with most rows is written by several tasks, small ones share them; nothing is lost or doubled."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",)}
+    df = spark.range(60_000).select(F.when(F.col("id") % 10 < 8, F.lit("hot")).otherwise(F.concat(F.lit("v"), F.col("id") % 5)).alias("video_id"),
+                                    "id", F.md5(F.col("id").cast("string")).alias("x"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        W.write_partitioned(df, f"{tmp}/t")
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    back = spark.read.parquet(f"{tmp}/t")
+    assert back.count() == 60_000 and back.select("id").distinct().count() == 60_000
+    made = {d: len([f for f in os.listdir(f"{tmp}/t/{d}") if f.endswith(".parquet")]) for d in os.listdir(f"{tmp}/t") if d.startswith("video_id=")}
+    assert made["video_id=hot"] >= 3 and len(made) == 3 and all(n <= 2 for d, n in made.items() if d != "video_id=hot")
 
 
 def test_preprocess_frames_crop_resize(spark):

@@ -107,9 +107,15 @@ def test_latest_run_table_survives_a_broken_swap(spark, tmp):
     assert ST.current_table(spark, table, spark.createDataFrame([], schema).schema) is None
     one = spark.sql("select 'photo' kind, 1L run_id, timestamp'2024-01-01' updated_at")
     ST.replace_table(one, table)
-    os.rename(table, f"{table}.old")  # a swap that stopped between its renames
+    os.makedirs(f"{table}/v2")  # a write that broke off
+    with open(f"{table}/v2/part-bad.parquet", "w") as fh:
+        fh.write("no parquet")
     assert ST.current_table(spark, table, one.schema).count() == 1
-    with open(f"{table}/part-bad.parquet", "w") as fh:
+    for i in range(2, 5):
+        ST.replace_table(one.unionByName(one).limit(i % 2 + 1), table)
+        assert ST.current_table(spark, table).count() == i % 2 + 1
+    assert sorted(os.listdir(table)) == ["v3", "v4"]  # the current one and the one before
+    with open(f"{table}/v4/part-bad.parquet", "w") as fh:
         fh.write("no parquet")
     with pytest.raises(Exception, match="(?i)parquet|footer"):
         ST.current_table(spark, table, one.schema).collect()
@@ -155,6 +161,6 @@ def test_stream_latest_run(spark, tmp):
     runs.repartition(3).write.parquet(src)
     sdf = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(src)
     ST.stream_latest_run(sdf, f"{tmp}/latest", f"{tmp}/ck").awaitTermination()
-    got = {r.kind: r.run_id for r in spark.read.parquet(f"{tmp}/latest").collect()}
+    got = {r.kind: r.run_id for r in ST.current_table(spark, f"{tmp}/latest").collect()}
     ref = {r.kind: r.run_id for r in ST.latest_per_kind(runs).collect()}
     assert got == ref
