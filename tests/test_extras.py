@@ -218,6 +218,55 @@ def test_preprocess_frames_crop_resize(spark):
     assert rows[2].status == "error" and rows[2].error == "undecodable"
 
 
+def test_catalog_tables_see_folders_after_repair(spark, tmp):
+    """A folder added later is seen after repair, one that is gone goes, and a filter on video_id reads one partition."""
+    from keelson import schemas as SC
+
+    def add(video):
+        row = [(video, "s.mp4", f"/f/{i}", i, i / 25.0) for i in range(3)]
+        W.write_partitioned(spark.createDataFrame(row, SC.FRAMES_EXTRACTED), f"{tmp}/cur/video_frames_extracted")
+    for video in ("a", "b"):
+        add(video)
+    names = R.create_tables(spark, f"{tmp}/cur", "curated_test")
+    table = "curated_test.video_frames_extracted"
+    try:
+        assert table in names and R.repair_tables(spark, "curated_test")["video_frames_extracted"] == 2
+        assert spark.table(table).count() == 6
+        add("c")
+        assert spark.table(table).where("video_id = 'c'").count() == 0  # not yet known
+        assert R.repair_tables(spark, "curated_test")["video_frames_extracted"] == 3
+        one = spark.table(table).where("video_id = 'c'")
+        assert one.count() == 3 and one.columns[-1] == "video_id"
+        plan = one._jdf.queryExecution().executedPlan()
+        assert "video_id" in plan.toString() and "PartitionFilters" in plan.toString() and len(one.inputFiles()) == 1
+        import shutil
+        shutil.rmtree(f"{tmp}/cur/video_frames_extracted/video_id=a")
+        assert R.repair_tables(spark, "curated_test")["video_frames_extracted"] == 2
+        assert spark.table(table).count() == 6
+    finally:
+        spark.sql("DROP DATABASE curated_test CASCADE")
+
+
+def test_run_rows(spark):
+    """B2: the run row of every video, from its pieces."""
+    from keelson import schemas as SC
+    from keelson.operators.runs import run_rows
+    probed = spark.createDataFrame([("a", "/v/a.mp4", 25.0, 1000, 40.0), ("b", "/v/b.mp4", 0.0, 9, 0.0)],
+                                   "video_id string, source_video string, fps double, source_total_frames long, duration_sec double")
+    funnel = spark.createDataFrame([("a", 80, 60, 50, 50, 48, "normal")], "video_id string, extracted_frames long, quality_ok_frames long, "
+                                   "deduplicated_frames long, candidate_processed_frames long, processed_frames long, fallback_mode string")
+    seg = spark.createDataFrame([("a", "ok")] * 47 + [("a", "error")], "video_id string, status string")
+    times = spark.createDataFrame([("a", 1.23456, 2.0, 3.0, 4.0, 10.5)], "video_id string, extraction_wall_seconds double, "
+                                  "preprocessing_wall_seconds double, inference_wall_seconds double, export_stage_wall_seconds double, pipeline_wall_seconds double")
+    got = run_rows(probed, funnel, seg, times, {"masks_root": "/m", "curated_processed_root": "/c"}, 3, 12)
+    assert got.schema.names == SC.PIPELINE_RUNS.names and [f.dataType for f in got.schema] == [f.dataType for f in SC.PIPELINE_RUNS]
+    rows = {r.video_id: r for r in got.collect()}
+    a, b = rows["a"], rows["b"]
+    assert (a.trim_start_sec, a.trimmed_frames, a.extracted_frames, a.processed_frames, a.segmented_frames) == (3, 925, 80, 48, 47)
+    assert (a.extraction_wall_seconds, a.masks_root, a.curated_processed_root, a.overlays_root, a.fallback_mode) == (1.2346, "/m/a", "/c", None, "normal")
+    assert (b.trimmed_frames, b.extracted_frames, b.segmented_frames, b.pipeline_wall_seconds) == (0, 0, 0, None)
+
+
 def test_newest_manifest_and_constant(spark):
     from keelson.functions.text import with_constant
     m = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-02-01")], "video_id string, _updated_at string")
