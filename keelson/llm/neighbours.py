@@ -11,11 +11,16 @@ cosine in double precision.
 Vectors aren't copied for every tree: one row per vector, with its leaf in
 every tree, goes to a block of rows that the first tree's leaves make. A query
 goes to the blocks that hold a candidate (a bit matrix of which leaves meet
-which leaves of the first tree tells) and each block returns its best ones.
+which leaves of the first tree tells) and each block returns its best ones. A
+block lies once in one task, sorted before its queries, which stream past it:
+only queries are copied, to their blocks, and no task holds more than a block
+and a batch of queries. Of a block, the candidates of a query are scored; if
+those are most of its rows, as with vectors without any structure, one product
+of the batch with the block is cheaper and the others' scores are dropped.
 
 Equal vectors are one class with its smallest ids, as many as an answer can
 need, so a very common vector is one row; a leaf with many rows is split over
-blocks; a block holds ``BLOCK`` rows and answers ``BLOCK`` queries at a time.
+blocks of ``BLOCK`` rows.
 
 Defined results: vectors that are null, zero, hold null or non-finite
 components, have a null id or another length than most take no part; equal
@@ -38,8 +43,9 @@ SAMPLE = 16_384  # vectors that the trees are fitted on, at most
 TREES = 16
 LEAF = 32        # sample vectors of a leaf, at most
 EFFORT = 1.0     # of the index that the leaves of a query hold, counted with repeats over all trees
-TAKEN = 1_500    # sample vectors that the leaves of a query hold at least, counted likewise
-BLOCK = 8_192    # rows of a block
+BLOCK = 4_096    # rows of a block
+WALKING = 128    # queries whose walks are a task
+DENSE = 0.25     # share of a block's rows above which a product with the whole block is the cheaper way to their scores
 PARTS = 16       # parts by which the meeting leaves are gathered
 SPARE = 16       # candidates of a block whose scores are taken again by one fixed sum
 
@@ -106,7 +112,7 @@ class Forest:
         margins = [normals @ q - cuts for normals, cuts, _, _ in self.trees]
         queue = [(-np.inf, t, tree[3]) for t, tree in enumerate(self.trees)]
         heapq.heapify(queue)
-        left = max(TAKEN, effort * sum(self.held[0]))
+        left = effort * sum(self.held[0])
         while queue and left > 0:
             worst, t, node = heapq.heappop(queue)
             if node < 0:
@@ -217,41 +223,65 @@ def nearest(table: DataFrame, queries, key: str = "vec_id", vector: str = "embed
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(where).astype(np.int64)), part.column(1).take(pa.array(row)), part.column(0).take(pa.array(row)), bits.take(pa.array(row))], names=["block", "rep", "v", "bits"])
 
-    asked = asking.select("v", "rep").mapInArrow(walk, f"block long, rep long, v {kind}, bits binary")
-
-    def rank(asked, held):
+    walks = -(-asking.count() // WALKING) or 1
+    asked = asking.select("v", "rep").repartition(walks, "rep").mapInArrow(walk, f"block long, rep long, v {kind}, bits binary")
+
+    def scored(q, x, size, mine):
+        """Cosines (times the query's length) of the candidates, -inf elsewhere."""
+        if mine.mean() > DENSE:
+            return np.where(mine, (q @ x.T) / size, -np.inf)
+        rough = np.full(mine.shape, -np.inf)
+        for i, own in enumerate(mine):
+            at = np.flatnonzero(own)
+            rough[i, at] = (x[at] @ q[i]) / size[at]
+        return rough
+
+    def best_of(held, q, reps, bits):
+        """(rep, vec_id, score) of the best of a block for a batch of queries."""
+        x, size, ids, leaves = held
+        took = np.stack([np.unpackbits(np.frombuffer(b, np.uint8), count=trees * n_leaves).reshape(trees, n_leaves) for b in bits]).astype(bool)
+        mine = np.zeros((len(q), len(x)), bool)
+        for t in range(trees):
+            mine |= took[:, t][:, leaves[:, t]]
+        rough = scored(q, x, size, mine)
+        for i in range(len(q)):
+            best = np.argpartition(-rough[i], SPARE)[:SPARE] if len(x) > SPARE else np.arange(len(x))
+            edge = np.sort(rough[i][best])[max(0, len(best) - k - 1)] - 1e-9 * np.sqrt((q[i] * q[i]).sum())
+            best = np.flatnonzero(rough[i] >= edge) if np.isfinite(edge) else best[np.isfinite(rough[i][best])]
+            score = (x[best] * q[i]).sum(1) / (np.sqrt((q[i] * q[i]).sum()) * size[best])
+            yield from ((reps[i], v, -s) for s, v in sorted((-s, v) for s, j in zip(score.tolist(), best, strict=True) for v in ids[j])[:k + 1])
+
+    def rank(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        out: tuple[list, list, list] = ([], [], [])
-        if asked.num_rows and held.num_rows:
-            x = _vectors(held.column("v").combine_chunks())
-            size = np.sqrt((x * x).sum(1))
-            ids = held.column("ids").to_pylist()
-            leaves = np.stack([np.frombuffer(b, np.int16) for b in held.column("leaves").to_pylist()])
-            all_q, reps, bits = asked.column("v").combine_chunks(), asked.column("rep").to_pylist(), asked.column("bits").to_pylist()
-            for start in range(0, len(reps), 256):
-                q = _vectors(all_q.slice(start, 256))
-                took = np.stack([np.unpackbits(np.frombuffer(b, np.uint8), count=trees * n_leaves).reshape(trees, n_leaves)
-                                 for b in bits[start:start + 256]]).astype(bool)
-                mine = np.zeros((len(q), len(x)), bool)
-                for t in range(trees):
-                    mine |= took[:, t][:, leaves[:, t]]
-                rough = np.where(mine, (q @ x.T) / size, -np.inf)
-                for i in range(len(q)):
-                    best = np.argpartition(-rough[i], SPARE)[:SPARE] if len(x) > SPARE else np.arange(len(x))
-                    edge = np.sort(rough[i][best])[max(0, len(best) - k - 1)] - 1e-9 * np.sqrt((q[i] * q[i]).sum())
-                    best = np.flatnonzero(rough[i] >= edge) if np.isfinite(edge) else best[np.isfinite(rough[i][best])]
-                    score = (x[best] * q[i]).sum(1) / (np.sqrt((q[i] * q[i]).sum()) * size[best])
-                    for s, v in sorted((-s, v) for s, j in zip(score.tolist(), best, strict=True) for v in ids[j])[:k + 1]:
-                        out[0].append(reps[start + i])
-                        out[1].append(v)
-                        out[2].append(-s)
-        return pa.table({"rep": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    turns = -(-asking.count() // BLOCK) or 1  # a block answers BLOCK queries at a time
-    asked = asked.withColumn("turn", F.pmod(F.xxhash64("rep"), F.lit(turns)))
-    held_rows = held_rows.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))))
-    best = asked.groupBy("block", "turn").cogroup(held_rows.groupBy("block", "turn")).applyInArrow(rank, "rep long, vec_id long, score double")
+        now, parts, held = None, [], None  # the block at hand: its pieces, then its arrays
+        for b in batches:
+            block, asks = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), b.num_rows]
+            for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if first == end:
+                    continue
+                if block[first] != now:
+                    now, parts, held = block[first], [], None
+                if not asks[first]:
+                    parts.append(b.slice(first, end - first))
+                    continue
+                if not parts and held is None:
+                    continue  # nobody in this block
+                if held is None:
+                    x = np.concatenate([_vectors(p.column(2)) for p in parts])
+                    leaves = np.stack([np.frombuffer(c, np.int16) for p in parts for c in p.column(4).to_pylist()])
+                    held, parts = (x, np.sqrt((x * x).sum(1)), [i for p in parts for i in p.column(3).to_pylist()], leaves), []
+                for start in range(first, end, 256):
+                    piece = b.slice(start, min(256, end - start))
+                    rows = list(best_of(held, _vectors(piece.column(2)), [r[0] for r in piece.column(3).to_pylist()], piece.column(4).to_pylist()))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                                                      pa.array([r[2] for r in rows], pa.float64())], names=["rep", "vec_id", "score"])
+
+    both = (held_rows.select("block", F.lit(False).alias("asks"), "v", "ids", F.col("leaves").alias("bits"))
+            .unionByName(asked.select("block", F.lit(True).alias("asks"), "v", F.array("rep").alias("ids"), "bits")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), block + 1)
+    best = both.repartition(tasks, "block").sortWithinPartitions("block", "asks").mapInArrow(rank, "rep long, vec_id long, score double")
     # rows of one id with different vectors: the id's best score
     best = best.groupBy("rep", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("rep").orderBy(F.desc("score"), "vec_id")

@@ -43,11 +43,10 @@ def test_neighbours_recall(spark):
 
 
 def test_neighbours_recall_at_production_effort():
-    """The leaves of a query, where ``EFFORT`` and not ``TAKEN`` decides: 6000 random directions, as the test vectors are."""
+    """The leaves of a query: 6000 random directions, as the test vectors are."""
     x = np.random.default_rng(3).normal(size=(6000, 64))
     x = (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
     forest = neighbours.Forest(x)
-    assert neighbours.EFFORT * sum(forest.held[0]) > neighbours.TAKEN
     leaf, hits, queries = forest.leaf_of(x), 0, range(0, 6000, 60)
     for q in queries:
         taken = forest.search(x[q])
@@ -76,6 +75,25 @@ def test_neighbours_cases(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(0, 1, 1)]
 
 
+@pytest.mark.parametrize("dense", [0.0, 1.0])
+def test_neighbours_over_many_blocks(spark, monkeypatch, dense):
+    """Small blocks and batches, both ways of scoring: with all leaves taken the answers are the exact ones."""
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    monkeypatch.setattr(neighbours, "WALKING", 3)
+    monkeypatch.setattr(neighbours, "DENSE", dense)
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(300)] + [(400 + i, [1.0] * 8) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(x.vec_id, x.embedding) for x in df.collect()]
+    got = defaultdict(list)
+    for x in neighbours.nearest(df, F.col("id") % 50 == 0, effort=1e9).collect():
+        got[x.query_id].append((x.rank, x.vec_id, round(x.score, 9)))
+    want = brute_nearest(rows, [*range(0, 300, 50), 400], 5)
+    assert set(got) == set(want)
+    for q in want:
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, pytest.approx(s, abs=1e-8)) for i, s in want[q]], q
+
+
 # --- Jaccard join -----------------------------------------------------------------------
 
 def near_rows(seed):
