@@ -10,6 +10,11 @@ limit; the result is every row's component of links. It is exact:
    shingles first and, in it, those that only one class has, then the rarer
    ones. A class whose first shingles are all its own has no partner, which
    ends most classes here. Only the zone's shingles are shuffled.
+   The classes that are left go through it again with all their shingles: now
+   all of a class's own shingles come first, so texts of one template, which
+   share common shingles but link with none, end here. Of a pair, the shorter
+   set must have the shared shingle in a still shorter prefix (the ``early``
+   entries), so two classes meet only if one of them has it there.
 3. Groups: what is left is partitioned into groups of similar classes, by the
    commonest shingle of the prefix, and large groups into blocks of bounded
    size. Within a block all pairs are compared (a matrix product). Two
@@ -17,13 +22,14 @@ limit; the result is every row's component of links. It is exact:
 4. Matrix: its rows are shingles, its columns the blocks of the first
    partition, and an entry says that a member has the shingle among its first
    ones. A class asks for blocks with members of another, larger component. The
-   block's token union bounds how many of the class's shingles any member can
-   share; only blocks whose bound reaches the class's need are opened, and
-   their members compared exactly. The links join the components for good.
+   token union of every block that is asked is stored; it
+   bounds how many of the class's shingles any member can
+   share. Only blocks whose bound reaches the class's need are opened: members
+   are shuffled to them alone and compared exactly. The links join the components for good.
 
 Large groups: copies are one class; near copies that have become one component
 don't ask for each other's blocks; blocks and their questions are split by
-count and by shingles, and no task holds more than a bounded number of blocks.
+count and by shingles, and tasks are made for the shingles asked with.
 No pairs of rows are made but (class, block) and links.
 
 Defined results: null and empty texts and texts of white space have an empty
@@ -134,7 +140,8 @@ def sets(docs: DataFrame, text: str, key: str, size: int, percent: int, front: f
 
 def fronts(rows: DataFrame, percent: int) -> DataFrame:
     """Per class that may have a partner: sid, n, prefix (the shingles of its
-    prefix that other classes have too), hub (the one in most prefixes)."""
+    prefix that other classes have too, rare ones first), early (how many of
+    them are in the prefix that the shorter of two sets must share), hub (the one in most prefixes)."""
     each = rows.select("sid", F.explode("tokens").alias("token"))
     # most shingles stand in one row: only counts are shuffled to tell them
     again = cut(each.groupBy("token").count().filter("count > 1").select("token"))
@@ -146,12 +153,17 @@ def fronts(rows: DataFrame, percent: int) -> DataFrame:
     found = found.join(rows.select("sid", "n", "inside").distinct(), "sid")
     length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1  # of the prefix
     own = F.greatest("inside", length) - F.size("shared")                 # shingles that no other class has come first
+    # sets of n and m >= n shingles that link have p / (100 + p) * (n + m) in common, so 2 p / (100 + p) * n at least
+    shorter = F.col("n") - F.floor((2 * percent * F.col("n") + 99 + percent) / (100 + percent)) + 1
+    early = F.greatest(F.lit(0), F.least(length, shorter) - own).cast("int")
     front = cut(found.withColumn("rest", (length - own).cast("int")).filter("rest > 0")
-                .select("sid", "n", F.transform(F.slice("shared", F.lit(1), F.col("rest")), lambda x: x["token"]).alias("prefix")))
+                .select("sid", "n", F.transform(F.slice("shared", F.lit(1), F.col("rest")), lambda x: x["token"]).alias("prefix"), early.alias("early")))
     discard(again, met)
-    entry = front.select("sid", F.explode("prefix").alias("token"))
-    common = entry.groupBy("token").agg(F.count("*").alias("classes"))
-    hub = entry.join(common, "token").groupBy("sid").agg(F.max(F.struct("classes", "token")).alias("hub"))
+    entry = front.select("sid", "early", F.posexplode("prefix").alias("pos", "token")).withColumn("soon", (F.col("pos") < F.col("early")).cast("long"))
+    common = entry.groupBy("token").agg(F.count("*").alias("classes"), F.sum("soon").alias("soons"))
+    # a shingle counts if one of two classes has it early
+    met = entry.join(common, "token").filter((F.col("classes") > 1) & (F.col("soons") > 0) & ((F.col("soon") == 1) | (F.col("soons") > F.col("soon"))))
+    hub = met.groupBy("sid").agg(F.max(F.struct("classes", "token")).alias("hub"))
     return front.join(hub.select("sid", F.col("hub.token").alias("hub")), "sid")
 
 
@@ -261,27 +273,33 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def across(blocks: DataFrame, front: DataFrame, labels: DataFrame, percent: int, tasks: int) -> DataFrame:
+def across(blocks: DataFrame, front: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes of different components, by the matrix."""
+    spark = blocks.sparkSession
     named = blocks.select("sid", "n", "block").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "label", F.coalesce("label", "sid"))
     size = named.groupBy("label").agg(F.count("*").alias("size"))
     named = cut(named.join(size, "label"))
-    entry = cut(front.select("sid", F.explode("prefix").alias("token")).join(named, "sid"))
-    top = (entry.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                      F.max(F.struct("size", "label")).alias("top")).filter("lo <> hi").select("token", "top"))
+    soon = F.col("pos") < F.col("early")
+    entry = cut(front.select("sid", "early", F.posexplode("prefix").alias("pos", "token")).select("sid", "token", soon.alias("soon")).join(named, "sid"))
+    top = (entry.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("soon").alias("any"),
+                                      F.max(F.struct("size", "label")).alias("top")).filter("lo <> hi AND any").select("token", "top"))
     live = cut(entry.join(top, "token"))  # rows of the matrix with more than one component
-    asks = live.filter(F.struct("size", "label") != F.col("top")).select("sid", "n", "label", "size", "token")
+    asks = live.filter(F.struct("size", "label") != F.col("top")).select("sid", "n", "label", "size", "token", "soon")
     # an entry holds the range of its members' sizes and its largest components (two, so that one differs)
-    columns = live.groupBy("token", "block").agg(F.max(F.struct("size", "label")).alias("most"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    columns = live.groupBy("token", "block").agg(F.max(F.struct("size", "label")).alias("most"), F.min("n").alias("least_n"), F.max("n").alias("most_n"),
+                                                 F.max("soon").alias("any"))
     hit = asks.join(columns, "token").filter(
-        (F.struct("size", "label") < F.col("most"))
+        (F.struct("size", "label") < F.col("most")) & (F.col("soon") | F.col("any"))
         & (F.col("least_n") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("most_n") * 100))
-    pairs = cut(hit.select("sid", "block").distinct())
-    copies = pairs.groupBy("block").agg(F.ceil(F.count("*") / ASKING).alias("copies"))
-    asked = pairs.join(copies, "block").withColumn("copy", F.pmod(F.xxhash64("sid"), F.col("copies")))
+    pairs = cut(hit.select("sid", "n", "block").distinct())
     full = blocks.select("sid", "tokens").join(named.select("sid", "label"), "sid")
-    asked = asked.join(full, "sid").select("block", "copy", "sid", "label", "tokens")
+    asked = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = _tasks(asked, spark)
+    opened = cut(bounded(pairs, full.select("sid", "tokens"), unions(blocks, pairs), percent, tasks))
+    copies = opened.groupBy("block").agg(F.ceil(F.count("*") / ASKING).alias("copies"))
+    asking = (opened.join(copies, "block").withColumn("copy", F.pmod(F.xxhash64("sid"), F.col("copies")))
+              .join(full, "sid").select("block", "copy", "sid", "label", "tokens"))
     members = (blocks.select("sid", "tokens", "block").join(copies, "block").join(named.select("sid", "label"), "sid")
                .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
                .select("block", "copy", "sid", "label", "tokens"))
@@ -295,14 +313,9 @@ def across(blocks: DataFrame, front: DataFrame, labels: DataFrame, percent: int,
         (sid_a, label_a, tok_a, by_a), (sid_b, label_b, tok_b, by_b) = sides
         out_a, out_b = [], []
         for place, rows_b in by_b.items():
-            union = np.unique(np.concatenate([tok_b[i] for i in rows_b]))
-            opened = []
-            for i in by_a.get(place, []):  # bound: what of the class is in the union
-                at = np.minimum(np.searchsorted(union, tok_a[i]), len(union) - 1)
-                if (union[at] == tok_a[i]).sum() >= need(len(tok_a[i]), percent):
-                    opened.append(i)
-            for first in range(0, len(opened), BLOCK_ROWS):
-                part = np.array(opened[first:first + BLOCK_ROWS])
+            rows_a = by_a.get(place, np.empty(0, np.int64))
+            for first in range(0, len(rows_a), BLOCK_ROWS):
+                part = rows_a[first:first + BLOCK_ROWS]
                 a, b = [tok_a[i] for i in part], [tok_b[i] for i in rows_b]
                 n_a, n_b = np.array([len(t) for t in a]), np.array([len(t) for t in b])
                 near = linked(n_a[:, None], n_b[None, :], common(a, b), percent)
@@ -320,7 +333,50 @@ def across(blocks: DataFrame, front: DataFrame, labels: DataFrame, percent: int,
     def tasked(df: DataFrame):
         rows = df.withColumn("place", place).withColumn("task", F.pmod(F.xxhash64("place"), F.lit(tasks)))
         return rows.select("sid", "label", "tokens", "place", "task").toDF("sid", "label", "tokens", "place", "task").groupBy("task")
-    return tasked(asked).cogroup(tasked(members)).applyInArrow(run, "a long, b long")
+    return tasked(asking).cogroup(tasked(members)).applyInArrow(run, "a long, b long")
+
+
+def unions(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """block, tokens: the stored union of the shingles of every block that is asked."""
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        own = np.unique(np.concatenate(_arrays(table, "tokens")))
+        return pa.table({"block": table.column("block").slice(0, 1), "tokens": pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own))})
+
+    asked = blocks.select("block", "tokens").join(pairs.select("block").distinct(), "block", "left_semi")
+    return cut(asked.groupBy("block").applyInArrow(run, "block long, tokens array<long>"))
+
+
+def bounded(pairs: DataFrame, sets: DataFrame, stored: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """The (sid, block) of ``pairs`` whose bound, the class's shingles in the
+    block's union, reaches the class's need. Blocks that many ask are asked by parts."""
+    copies = pairs.groupBy("block").agg(F.ceil(F.count("*") / ASKING).alias("copies"))
+    place = F.xxhash64("block", "copy")
+
+    def tasked(df: DataFrame):
+        return df.withColumn("place", place).withColumn("task", F.pmod(F.xxhash64("place"), F.lit(tasks))).groupBy("task")
+    asking = (pairs.select("sid", "block").join(copies, "block").withColumn("copy", F.pmod(F.xxhash64("sid"), F.col("copies"))).join(sets, "sid")
+              .select("block", "copy", "sid", "tokens"))
+    held = (stored.join(copies, "block").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+            .select("block", "copy", "tokens"))
+
+    def run(asking, held):
+        import numpy as np
+        import pyarrow as pa
+
+        sid, block, own, by = (asking.column("sid").to_numpy(), asking.column("block").to_numpy(), _arrays(asking, "tokens"),
+                               _by(asking.column("place").to_numpy()))
+        found = []
+        for place, union in zip(held.column("place").to_pylist(), _arrays(held, "tokens"), strict=True):
+            for i in by.get(place, []):
+                at = np.minimum(np.searchsorted(union, own[i]), len(union) - 1)
+                if (union[at] == own[i]).sum() >= need(len(own[i]), percent):
+                    found.append(i)
+        return pa.table({"sid": sid[found], "block": block[found]})
+
+    return tasked(asking).cogroup(tasked(held)).applyInArrow(run, "sid long, block long")
 
 
 def own_texts(docs: DataFrame, text: str, key: str, rows: DataFrame, front: DataFrame) -> DataFrame:
@@ -368,13 +424,17 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     rows = cut(whole.drop("tokens"))
     front = cut(fronts(whole, percent))
     discard(whole)
-    full = cut(full_sets(docs, text, key, rows, front, size))
+    some = cut(full_sets(docs, text, key, rows, front, size))
+    # again over whole sets; classes whose partners have gone drop out here
+    front = cut(fronts(some.select("sid", "n", F.col("n").alias("inside"), "tokens"), percent))
+    full = cut(some.drop("hub").join(front.select("sid", "hub"), "sid").select("sid", "n", "hub", "tokens"))
+    discard(some)
     tasks = _tasks(full.agg(F.sum("n")).first()[0] or 0, spark)
     first, second = cut(blocks_of(full, 1)), blocks_of(full, 2)
     links = cut(within(first, percent, tasks).union(within(second, percent, tasks)))
     discard(full)
     labels = components(links)
-    more = cut(across(first, front, labels, percent, tasks))
+    more = cut(across(first, front, labels, percent))
     if not more.isEmpty():
         labels = components(links.union(more))
     per = rows.groupBy("sid").agg(F.min("id").alias("least")).join(labels.withColumnRenamed("node", "sid"), "sid", "left")

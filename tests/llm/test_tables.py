@@ -141,6 +141,32 @@ def test_jaccard_cases(spark):
     assert jaccard.classes(docs(spark, rows).limit(0)).count() == 0
 
 
+def template_rows(n, share, seed):
+    """Texts of one template of 300 words, in each of which a share of the words is random; no two link."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(10 ** 6)}" for _ in range(300)]
+    return [(i, " ".join(f"r{rnd.randrange(10 ** 9)}" if rnd.random() < share else w for w in base)) for i in range(n)]
+
+
+def test_jaccard_templates_end_at_their_prefixes(spark):
+    """Nearly all texts of one template end at the second prefix, whole sets first: only those with hardly a random word go on."""
+    for n in (300, 600):
+        df = docs(spark, template_rows(n, 0.05, 1) + [(5000, "x y z " * 9), (5001, "x y z " * 9 + "v")])
+        made = mixing.cut(jaccard.sets(df, "text", "doc_id", 3, 90, 0.2))
+        front = mixing.cut(jaccard.fronts(made, 90))
+        assert front.count() > n / 2  # a hashed zone alone can't tell them apart
+        some = mixing.cut(jaccard.full_sets(df, "text", "doc_id", made, front, 3))
+        assert jaccard.fronts(some.select("sid", "n", F.col("n").alias("inside"), "tokens"), 90).count() < 0.15 * n
+
+
+@pytest.mark.parametrize("share", [0.01, 0.02, 0.035])
+def test_jaccard_templates_match_all_pairs(spark, share):
+    """Templates about the limit, where some texts link."""
+    rows = template_rows(60, share, 2)
+    got = Counter((r.id, r.n, r.component) for r in jaccard.classes(docs(spark, rows)).collect())
+    assert got == components(rows, 3, 90)
+
+
 def test_jaccard_classes_meet_only_their_own_text(spark):
     """Many different texts without ids, and of one id: a text is shingled once, not once a class."""
     def text(name, i):
