@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from .common import cut, discard, read
 
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-REMEMBERED = 500_000   # words whose hashes a worker holds, then it starts anew
+REMEMBERED = 200_000   # words whose hashes a worker holds, then it starts anew
 FRONT = 2              # the zone has so many times the shingles that a prefix needs
 BLOCK_ROWS = 256       # classes of a block, about
 BLOCK_TOKENS = 1 << 18  # shingles of a block, about (one class may have more)

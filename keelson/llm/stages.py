@@ -13,21 +13,30 @@ from .lines import remove_boilerplate
 from .mixing import mix
 
 SHINGLE, PERCENT = 5, 80  # near duplicates of the pipeline
+BATCH = "4m"              # of rows that go to a Python worker at a time
 
 
 def _like(made: DataFrame, docs: DataFrame) -> DataFrame:
     return made.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _ready(spark: SparkSession) -> None:
+    """Session needs of a stage. All stages share their executors, whose Python
+    workers stay, so batches are bounded by bytes: long texts would fill them."""
+    prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the base rule and the repetition limits keep."""
+    _ready(spark)
     return repetition.keep_good(spark, docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand on many sites. One of which all
     lines with a word went (a copy of text kept elsewhere) goes itself."""
-    prepare(spark)
+    _ready(spark)
     made = remove_boilerplate(docs)
     return _like(made.filter((F.col("_line_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs)
 
@@ -36,7 +45,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """One document of each component stays, the one with the smallest id (of
     several such, or without ids, the one with the smallest text hash); one that
     links with nothing stays. Of rows equal in id and text one stays."""
-    prepare(spark)
+    _ready(spark)
     found = jaccard.classes(docs, size=SHINGLE, percent=PERCENT)
     # a null id in a component without ids is its own smallest
     least = found.filter(F.col("id").eqNullSafe(F.col("component")))
@@ -51,7 +60,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the mix takes, each as often as it takes it."""
-    prepare(spark)
+    _ready(spark)
     sized = docs.withColumn("_mix_size", words(F.col("text")))
     mixed = mix(sized, "source", "_mix_size", ["doc_id", "text"], "doc_id", prefix="_mix_")
     again = F.explode(F.array_repeat(F.lit(0), F.col("_mix_times").cast("int")))
@@ -60,5 +69,5 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's columns but the text, with n_tokens and its token ids."""
-    prepare(spark)
+    _ready(spark)
     return pieces.encode(docs)
