@@ -64,4 +64,4 @@ def repetition(text):
     lines = [x for x in (text or "").split("\n") if words(x)]
     failed = n < 10 or 100 * len(repeat) > 20 * n
     return (n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(repeat),
-            failed, cover(10), max(length, default=0), not failed and 100 * cover(10) <= 20 * n and max(length, default=0) <= 50)
+            failed, cover(10), max(length, default=0), not failed and 100 * cover(10) <= 10 * n and max(length, default=0) <= 50)

@@ -26,6 +26,10 @@ def test_repetition_matches_brute_force(spark):
     texts = ODD + [" ".join(rnd.choice("abcdefgh#é"[:rnd.choice([3, 10])]) for _ in range(rnd.randint(0, 60))) + rnd.choice(["", "\nx y", "\n \nx y\nx y"])
                    for _ in range(120)]
     texts += [" ".join(map(str, [*range(60), *range(60), *range(100, 600)]))]  # one repeat of 60 words
+    # a phrase twice among other words: 15, 10 and 9 percent covered, at most 20 by windows of five
+    texts += [" ".join([*(f"p{i}" for i in range(k)), *(f"x{i}" for i in range(200 - 2 * k)), *(f"p{i}" for i in range(k))]) for k in (15, 10, 9)]
+    kept = [brute_repetition(t)[-1] for t in texts[-3:]]
+    assert kept == [False, True, True]
     df = docs(spark, list(enumerate(texts)), extra=True)
     got = df.select("doc_id", repetition.rules(F.col("text")).alias("r")).select("doc_id", "r.*").collect()
     assert {r[0]: tuple(r)[1:] for r in got} == {i: brute_repetition(t) for i, t in enumerate(texts)}
