@@ -10,8 +10,8 @@ be, so the law is ``rows``: the counts of two shards are at most one apart.
 
 Defined results: a null text has no bytes (size 1, CRC 0); a null doc_id is a
 key like another; equal rows are counted together and told apart by their
-number, so a run of them splits; no rows give no rows; other columns are left
-out (join on doc_id to get them).
+number, so a run of them splits, and tasks make them by ``RUN`` rows; no rows
+give no rows; other columns are left out (join on doc_id to get them).
 """
 
 from __future__ import annotations
@@ -106,6 +106,8 @@ def shard(rows: DataFrame, key: list[str], n_shards: int, vnodes: int = VNODES)
     numbered = runs.withColumn("_from", F.sum("_n").over(w) - F.col("_n"))
     first = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(RUN).cast("long"))
     each = numbered.withColumn("_i", F.explode(first))  # by RUN rows, so that no array is long
+    # a cell is one task up to here; the runs of its keys go to many
+    each = each.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_place", "_i")
     last = F.least(F.col("_n"), F.col("_i") + RUN) - 1
     each = each.withColumn("_j", F.explode(F.sequence("_i", last))).withColumn("_nth", F.col("_from") + F.col("_j"))
     hit = (F.col("_cell") == F.col("_c")) & (F.col("_nth") >= F.col("_first")) & (F.col("_nth") < F.col("_end"))
