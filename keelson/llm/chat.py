@@ -11,9 +11,10 @@ assistant's text and its end mark are trained (1), the rest is not (0).
 
 Defined results: a null role is ``unknown``, a null text is empty (a null and
 an empty text are still different turns); turns are ordered by (turn, role,
-text), so ties and repeated rows have one order; a pair whose completions are
-both empty, or equal, is returned with usable = false; a missing conversation
-has no turns; no rows give no rows. Completions are as long as the
+text), nulls first, so ties and repeated rows have one order; a pair of which
+a completion is empty (equal conversations leave two such) is returned with
+usable = false; a missing conversation has no turns; rows of a null id are one
+conversation, which is never next to another; no rows give no rows. Completions are as long as the
 conversation is; nothing is cut.
 """
 

@@ -258,4 +258,20 @@ def test_turns_order_ties_and_nulls(spark):
     rows = [(1, 1, "b", "x"), (1, 0, None, None), (1, 1, "a", "y"), (1, 1, "a", "y"), (None, 0, "a", "z"), (1, None, "c", "w")]
     got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.turns(
         spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert got[None] == [("a", "z")] and got[1][-1] in [("b", "x"), ("c", "w")] and len(got[1]) == 5
+    assert got[None] == [("a", "z")]
+    assert got[1] == [("c", "w"), (None, None), ("a", "y"), ("a", "y"), ("b", "x")]  # a null turn comes first
+
+
+def test_chat_query_cases(spark, tmp):
+    """The query on nulls, clashing columns and nothing: as the SQL says."""
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "q"), (2, 1, "assistant", "b" * 50_000), (None, 0, "user", "n"),
+            (None, 1, "assistant", "m"), (3, None, "assistant", None), (3, None, None, "x"), (4, 0, "user", "only"), (6, 0, "assistant", "")]
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame([(*r, "x", "y") for r in rows], schema + ", turns string, chosen string").write.parquet(f"{tmp}/conversations.parquet")
+    out = chat.op5_chat_formatting(spark, tmp)
+    import duckdb
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp}/conversations.parquet/*.parquet'")
+    assert out.count() == 6 and compare(out, con, chat.ORACLE_SQL)["hash_match"]
+    spark.createDataFrame([], schema).write.parquet(f"{tmp}/none/conversations.parquet")
+    assert chat.op5_chat_formatting(spark, f"{tmp}/none").count() == 0
