@@ -6,11 +6,19 @@ after a row; so archives are written by the JVM to any store that Spark
 writes. Payloads that repeat become ``revisit`` records that name the first
 one's record; their block has no payload.
 
-Reading: ``spark.read.format("warc").load(path)``. Every file is a partition
+Reading: ``read_warc``, or ``spark.read.format("warc").load(path)`` with a path
+that names its scheme. Every file is a partition
 (files are bounded by the writer); predicates on the headers are pushed down
 and tested on the parsed headers; the block of a record that fails them, or
 whose payload isn't wanted (option ``payload`` = ``false``), is skipped by its
 length without being decoded. Files ending in .gz are read as gzip members.
+The path is qualified by the driver, as Spark's readers do it, and the tasks
+open the files through pyarrow; a store that pyarrow lacks is refused.
+
+Broken archives stop the read and name the file: a line that begins no record
+where one should, headers without an end, a Content-Length that is missing or
+no number, a record that ends before its length (skipped or not). A block of
+HTTP type without an empty line has no HTTP header, so all of it is payload.
 
 Defined results: a null payload is empty; a null url has no target header, and
 line breaks in it are percent-encoded; a null page id counts as the largest
@@ -22,7 +30,6 @@ from __future__ import annotations
 
 import gzip
 import json
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -31,6 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition,
                                     IsNotNull, IsNull, Not, StringStartsWith)
 
+from keelson.sources.stores import open_store, qualify
+
 from .common import cut, ensure_checkpoint_dir, prepare, read, settings
 
 LEAST_BYTES = 100         # smaller payloads are never revisits
@@ -98,14 +107,6 @@ class WarcFile(InputPartition):
         self.path = path
 
 
-def _fs(path: str):
-    from pyarrow import fs
-
-    if re.match(r"\w[\w+.-]+:", path):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
-
-
 class WarcReader(DataSourceReader):
     """Parses headers first; looks at a block only if the headers pass."""
 
@@ -135,11 +136,12 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
-        store, root = _fs(self.options["path"])
+        uri = self.options["path"]
+        store, root = open_store(uri)
         info = store.get_file_info(root)
         files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
         files = [f for f in files if f.type == fs.FileType.File and f.size and not f.base_name.startswith(("_", "."))]
-        prefix = self.options["path"][: -len(root)] if self.options["path"].endswith(root) else ""
+        prefix = uri[: uri.rindex(root)]  # scheme, and what of the authority isn't part of pyarrow's paths
         return [WarcFile(prefix + f.path) for f in sorted(files, key=lambda f: -f.size)]  # the largest first
 
     def passes(self, head: dict[str, str]) -> bool:
@@ -173,13 +175,13 @@ class WarcReader(DataSourceReader):
 
     def scan(self, path: str) -> Iterator[tuple[dict[str, str], bytes | None]]:
         """Headers and payload of the records that pass."""
-        store, inner = _fs(path)
+        store, inner = open_store(path)
         with store.open_input_file(inner) as raw:
             if path.endswith(".gz"):
                 with gzip.open(raw) as f:
-                    yield from self.parse(f, path)
+                    yield from self.parse(_Buffered(f), path)
             else:
-                yield from self.parse(_Buffered(raw), path)
+                yield from self.parse(_Buffered(raw, raw.size()), path)
 
     def parse(self, f, path: str) -> Iterator[tuple[dict[str, str], bytes | None]]:
         while True:
@@ -194,26 +196,29 @@ class WarcReader(DataSourceReader):
             while (line := f.readline()).strip():
                 name, _, value = line.decode("utf-8", "replace").partition(":")
                 head[name.strip().lower()] = value.strip()
-            size = int(head["content-length"])
-            if not self.passes(head):
-                f.seek(size, 1)
-            elif not self.payload:
-                f.seek(size, 1)
-                yield head, None
-            else:
-                block = f.read(size)
-                if len(block) < size:
-                    raise ValueError(f"{path}: cut off in {head.get('warc-record-id')}")
-                if "http" in head.get("content-type", ""):
-                    block = block[block.find(b"\r\n\r\n") + 4:]
+            name = head.get("warc-record-id")
+            if not line:
+                raise ValueError(f"{path}: cut off in the headers of {name}")
+            length = head.get("content-length", "")
+            if not (length.isascii() and length.isdigit()):
+                raise ValueError(f"{path}: {name} has no Content-Length: {length!r}")
+            size, wanted = int(length), self.passes(head)
+            block = f.read(size) if wanted and self.payload else None
+            if (f.skip(size) if block is None else len(block)) < size:
+                raise ValueError(f"{path}: cut off in {name}")
+            if block is not None and "http" in head.get("content-type", ""):
+                http, end, body = block.partition(b"\r\n\r\n")
+                block = body if end else http
+            if wanted:
                 yield head, block
 
 
 class _Buffered:
-    """Lines, blocks and skips of a file, read in large pieces."""
+    """Lines, blocks and skips of a file, read in large pieces. With the file's
+    size known, a skip moves on without reading; else (gzip) it reads."""
 
-    def __init__(self, raw, piece: int = 1 << 20):
-        self.raw, self.piece, self.data, self.at = raw, piece, b"", 0
+    def __init__(self, raw, size: int | None = None, piece: int = 1 << 20):
+        self.raw, self.size, self.piece, self.data, self.at = raw, size, piece, b"", 0
 
     def _more(self) -> bool:
         got = self.raw.read(self.piece)
@@ -234,13 +239,21 @@ class _Buffered:
         self.at += len(have)
         return have if len(have) == size else have + self.raw.read(size - len(have))
 
-    def seek(self, size: int, _whence: int = 1) -> None:
-        have = len(self.data) - self.at
-        if size <= have:
-            self.at += size
-        else:
-            self.data, self.at = b"", 0
-            self.raw.seek(self.raw.tell() + size - have)
+    def skip(self, size: int) -> int:
+        """Leaves out ``size`` bytes; how many of them there were."""
+        have = min(size, len(self.data) - self.at)
+        self.at += have
+        if have == size:
+            return size
+        self.data, self.at = b"", 0
+        if self.size is not None:
+            at = self.raw.tell()
+            end = min(self.size, at + size - have)
+            self.raw.seek(end)
+            return have + end - at
+        while have < size and (got := len(self.raw.read(min(self.piece, size - have)))):
+            have += got
+        return have
 
 
 class WarcDataSource(DataSource):
@@ -265,7 +278,7 @@ def read_warc(spark: SparkSession, path: str, where=None, payload: bool = True)
     prepare(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    found = spark.read.format("warc").option("payload", json.dumps(payload)).load(path)
+    found = spark.read.format("warc").option("payload", json.dumps(payload)).load(qualify(spark, path))
     return found if where is None else found.filter(where)
 
 
