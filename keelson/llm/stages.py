@@ -59,10 +59,11 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that the mix takes, each as often as it takes it."""
+    """The rows that the mix takes, each as often as it takes it. Rows are
+    numbered and written first, so that equal ones are told apart for good."""
     _ready(spark)
-    sized = docs.withColumn("_mix_size", words(F.col("text")))
-    mixed = mix(sized, "source", "_mix_size", ["doc_id", "text"], "doc_id", prefix="_mix_")
+    sized = cut(docs.withColumn("_mix_size", words(F.col("text"))).withColumn("_mix_row", F.monotonically_increasing_id()))
+    mixed = mix(sized, "source", "_mix_size", ["doc_id", "text"], "_mix_row", prefix="_mix_")
     again = F.explode(F.array_repeat(F.lit(0), F.col("_mix_times").cast("int")))
     return _like(mixed.withColumn("_mix_copy", again), docs)
 
