@@ -46,6 +46,8 @@ def argmax_mask(probs: Column, threshold: float | None = None, class_ids: list[i
         at = F.array_position(p, F.array_max(p)).cast("int")  # from 1
         if class_ids is None:
             value = at - 1
+        elif not class_ids:
+            value = F.lit(0)
         else:
             value = F.coalesce(F.get(F.array(*[F.lit(int(c)) for c in class_ids]), at - 1), F.lit(0))
         return value if threshold is None else F.when(F.array_max(p) >= threshold, value).otherwise(F.lit(0))

@@ -189,42 +189,53 @@ def score_frames(df: DataFrame, make_predict_fn: Callable, input_col: str, chann
     return d.withColumn("probs", F.transform(probs, lambda a: F.transform(a, lambda v: v.cast("double")))).drop("_flat")
 
 
+def binary_classes(df: DataFrame, total: Column, fore: Column, scores: str, score_threshold: float) -> DataFrame:
+    """N5 with one foreground channel of ``fore`` pixels of ``total``: adds
+    dominant_class_id, class_pixel_counts, predicted_class_ids (F8, F9)."""
+    d = df.withColumn("_active", CL.active_classes(scores, score_threshold)).withColumn("_n", fore).withColumn("_total", total)
+    defects, n = F.col("_active.defects"), F.col("_n")
+    best = F.when(F.size(defects) > 0, F.get(defects, 0)).otherwise(F.lit(K.NORMAL_CLASS_ID))
+    scored = F.transform(defects, lambda c: F.struct(c.cast("int").alias("id"), F.element_at(F.col(scores), c).alias("score")))
+    some = (F.size(defects) > 0) & (n > 0)
+    void = F.create_map(F.lit(0), F.col("_total") - n)
+    counts = F.when(some, F.map_concat(void, CL.apportion(n, scored))).otherwise(F.create_map(F.lit(K.NORMAL_CLASS_ID), F.col("_total")))
+    return (d.withColumn("dominant_class_id", best.cast("int")).withColumn("class_pixel_counts", counts)
+             .withColumn("predicted_class_ids", defects).drop("_active", "_n", "_total"))
+
+
+def counted_classes(df: DataFrame, mode: str) -> DataFrame:
+    """Predicted and dominant class from class_pixel_counts; without classes the
+    dominant one is 1 of two heads, else 0."""
+    none = K.NORMAL_CLASS_ID if mode == K.PREDICTION_MODES[1] else 0
+    return (df.withColumn("predicted_class_ids", CL.predicted_ids("class_pixel_counts"))
+              .withColumn("dominant_class_id", CL.dominant_class("class_pixel_counts", none)))
+
+
 def postprocess(df: DataFrame, mode: str = K.PREDICTION_MODES[0], threshold: float = K.TWO_HEAD_THRESHOLD,
                 segmentation_ids: list[int] | None = None, scores: str = "classification_scores",
-                score_threshold: float = K.ACTIVE_SCORE_THRESHOLD) -> DataFrame:
+                score_threshold: float = K.ACTIVE_SCORE_THRESHOLD, classifier_ids: list[int] | None = None) -> DataFrame:
     """Mask, class counts, ratios, predicted and dominant class and risk
     from ``probs`` (pixels x channels), by the model's output:
 
     * multiclass: channel = class, argmax; dominant class 0 without classes.
     * two heads, several channels (F10): the best channel's class id
-      (``segmentation_ids``) where it reaches ``threshold``, else 0; dominant
-      class 1 without classes.
+      (``segmentation_ids``, without them ``classifier_ids``) where it reaches
+      ``threshold``, else 0; dominant class 1 without classes.
     * two heads, one channel: foreground where it is >= .5 takes the best
       active defect of the classifier's ``scores`` (F9); the foreground's
       pixels are shared among the defects by score (F8); without a defect all
       pixels are class 1.
+
+    Masks as runs, for images of any size: ``pixels.postprocess_runs``.
     """
     d = df.withColumn("prediction_mode", F.lit(mode))
     if mode == K.PREDICTION_MODES[2]:
-        total = F.size("probs").cast("bigint")
-        d = d.withColumn("_active", CL.active_classes(scores, score_threshold))
-        defects = F.col("_active.defects")
-        fore = F.transform("probs", lambda p: F.get(p, 0) >= F.lit(K.FOREGROUND_THRESHOLD))
-        best = F.when(F.size(defects) > 0, F.get(defects, 0)).otherwise(F.lit(K.NORMAL_CLASS_ID))
-        d = d.withColumn("dominant_class_id", best.cast("int")).withColumn("_fore", fore)
-        d = d.withColumn("mask", F.transform("_fore", lambda f: F.when(f & (F.size(defects) > 0), F.col("dominant_class_id")).otherwise(F.lit(0))))
-        n = F.size(F.filter("_fore", lambda f: f)).cast("bigint")
-        scored = F.transform(defects, lambda c: F.struct(c.cast("int").alias("id"), F.element_at(F.col(scores), c).alias("score")))
-        some = (F.size(defects) > 0) & (n > 0)
-        void = F.create_map(F.lit(0), total - n)
-        d = d.withColumn("class_pixel_counts", F.when(some, F.map_concat(void, CL.apportion(n, scored)))
-                         .otherwise(F.create_map(F.lit(K.NORMAL_CLASS_ID), total)))
-        d = d.withColumn("predicted_class_ids", defects).drop("_active", "_fore")
+        d = d.withColumn("_fore", F.transform("probs", lambda p: F.get(p, 0) >= F.lit(K.FOREGROUND_THRESHOLD)))
+        d = binary_classes(d, F.size("probs").cast("bigint"), F.size(F.filter("_fore", lambda f: f)).cast("bigint"), scores, score_threshold)
+        d = d.withColumn("mask", F.transform("_fore", lambda f: F.when(f & (F.size("predicted_class_ids") > 0), F.col("dominant_class_id")).otherwise(F.lit(0)))).drop("_fore")
     else:
-        two_heads = mode == K.PREDICTION_MODES[1]
-        d = d.withColumn("mask", argmax_mask(F.col("probs"), threshold, segmentation_ids) if two_heads else argmax_mask(F.col("probs")))
-        d = d.withColumn("class_pixel_counts", CL.count_values("mask"))
-        d = (d.withColumn("predicted_class_ids", CL.predicted_ids("class_pixel_counts"))
-              .withColumn("dominant_class_id", CL.dominant_class("class_pixel_counts", K.NORMAL_CLASS_ID if two_heads else 0)))
+        ids = list(segmentation_ids or classifier_ids or [])
+        d = d.withColumn("mask", argmax_mask(F.col("probs"), threshold, ids) if mode == K.PREDICTION_MODES[1] else argmax_mask(F.col("probs")))
+        d = counted_classes(d.withColumn("class_pixel_counts", CL.count_values("mask")), mode)
     return (d.withColumn("class_pixel_ratios", CL.ratios("class_pixel_counts"))
              .withColumn("risk_score", RK.risk_score("class_pixel_ratios")))

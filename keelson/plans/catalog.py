@@ -856,6 +856,94 @@ def n5_two_head_binary(spark, sf):
     return _result(INF.postprocess(p.withColumn("classification_scores", score), K.PREDICTION_MODES[2]))
 
 
+# ---- images as bytes, masks as runs ------------------------------------------
+
+from keelson.functions import runs as RN  # noqa: E402
+from keelson.operators import pixels as PX  # noqa: E402
+
+
+def _decode_patch(content: bytes):
+    """The codec of the patches: 64 raw bytes, anything else is broken."""
+    import numpy as np
+    return np.frombuffer(content, np.uint8).reshape(8, 8) if len(content) == 64 else None
+
+
+def _stored_probs():
+    return lambda x: x
+
+
+@query("c13_preprocess")
+def c13_preprocess(spark, sf):
+    """Patches as 8 x 8 images (of label 3: cut off, of label 5:
+    missing), their middle half resized to 2 x 2 and encoded again."""
+    p = _patches(spark, sf).select("frame_id", "label", B.bytes_of(_scaled()).alias("content"))
+    broken = F.when(F.col("label") == 3, F.substring("content", 1, 10)).when(F.col("label") == 5, F.lit(None)).otherwise(F.col("content"))
+    r = PX.preprocess_pixels(p.withColumn("content", broken), _decode_patch, lambda a: a.tobytes(), (0.25, 0.25, 0.75, 0.75), 2, 2)
+    return r.select("frame_id", F.lower(F.hex("processed_content")).alias("processed"),
+                    F.concat_ws(",", "crop_x1", "crop_y1", "crop_x2", "crop_y2").alias("crop"), "processed_width", "processed_height",
+                    *[rnd(c, 9).alias(c) for c in ("norm_min", "norm_max", "norm_mean")], "status", "error")
+
+
+def _scored_runs(spark, sf, make, **more):
+    p = _patches(spark, sf).withColumn("x", B.patch_probs())
+    return PX.score_runs(p, make, "x", **more)
+
+
+@query("f11_mask_runs")
+def f11_mask_runs(spark, sf):
+    """F11 as runs: value and length of every run of the argmax mask."""
+    r = _scored_runs(spark, sf, _stored_probs, channels=8)
+    return r.select("frame_id", F.array_join(F.transform("runs", lambda x: F.concat_ws("x", x["value"], x["length"])), ",").alias("runs"))
+
+
+@query("f3_run_histogram")
+def f3_run_histogram(spark, sf):
+    r = _scored_runs(spark, sf, _stored_probs, channels=8)
+    return r.select("frame_id", F.explode(RN.count_runs("runs")).alias("class_id", "pixels"))
+
+
+@query("c15_run_colors")
+def c15_run_colors(spark, sf):
+    """C15 on runs, written out by pixel for the report."""
+    r = _scored_runs(spark, sf, _stored_probs, channels=8).select("frame_id", RN.colorize_runs("runs").alias("c"))
+    return r.select("frame_id", F.array_join(F.flatten(F.transform("c", lambda x: F.array_repeat(
+        TX.rgb_hex(x["rgb"][0], x["rgb"][1], x["rgb"][2]), x["length"]))), ",").alias("colors"))
+
+
+@query("c16_run_overlay")
+def c16_run_overlay(spark, sf):
+    """The first three channels of a pixel are its RGB image, overlaid
+    with the colours of the mask's runs."""
+    rgb = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.element_at(_scaled(), (F.floor(i / 3) * 8 + i % 3 + 1).cast("int")))
+    p = _patches(spark, sf).select("frame_id", B.patch_probs().alias("x"), B.bytes_of(rgb).alias("pixels"), F.lit(4).alias("width"))
+    r = PX.score_runs(p, _stored_probs, "x", channels=8, keep=("frame_id", "pixels", "width"))
+    return PX.overlay_runs(r).select("frame_id", F.lower(F.hex("overlay_content")).alias("overlay"), "status")
+
+
+@query("n4_score_runs")
+def n4_score_runs(spark, sf):
+    """N4 and N5 as :func:`n4_score_frames`, the mask as runs."""
+    s = _scored_runs(spark, sf, INF.softmax_stub(8), channels=8)
+    return PX.postprocess_runs(s).select("frame_id", F.array_join(RN.from_runs("runs"), ",").alias("mask"), "dominant_class_id", "risk_score")
+
+
+@query("n5_run_two_head_channels")
+def n5_run_two_head_channels(spark, sf):
+    """N5 on runs, several channels; the classifier's ids stand in for missing segmentation ids."""
+    s = _scored_runs(spark, sf, _stored_probs, channels=8, mode=K.PREDICTION_MODES[1], classifier_ids=TWO_HEAD_IDS)
+    return _result(PX.postprocess_runs(s, K.PREDICTION_MODES[1]).withColumn("mask", RN.from_runs("runs")))
+
+
+@query("n5_run_two_head_binary")
+def n5_run_two_head_binary(spark, sf):
+    """N5 on runs, one foreground channel and classifier scores."""
+    p = _patches(spark, sf).withColumn("x", F.transform(_pixel_probs(), lambda x: F.get(x, 0)))
+    score = F.map_from_arrays(F.array(*[F.lit(c) for c in TWO_HEAD_IDS]), F.slice(B.patch_probs(), 1, 4))
+    p = p.withColumn("classification_scores", score)
+    s = PX.score_runs(p, _stored_probs, "x", channels=1, mode=K.PREDICTION_MODES[2], keep=("frame_id", "classification_scores"))
+    return _result(PX.postprocess_runs(s, K.PREDICTION_MODES[2]).withColumn("mask", RN.from_runs("runs")))
+
+
 # ---- classifier scores (binary-classification mode) on class_counts_v ------
 
 def _scores(spark, sf):

@@ -1013,6 +1013,35 @@ SELECT frame_id, array_to_string(list_transform(range(8), lambda i:
          CAST(round(({SCALED})[i * 8 + 1] * {D(1 - K.OVERLAY_ALPHA)} + CAST(({COLOR_LIST.replace('CASE c ', 'CASE mask[i + 1] ')})[1] AS DOUBLE)
                     * {D(K.OVERLAY_ALPHA)}, 0) AS INTEGER)), ',') AS overlay
 FROM mask_v""")
+# the same rows from runs
+for _runs, _pixels in (("f3_run_histogram", "f3_mask_histogram"), ("c15_run_colors", "c15_colorize"),
+                       ("n5_run_two_head_channels", "n5_two_head_channels"), ("n5_run_two_head_binary", "n5_two_head_binary")):
+    ORACLE[_runs] = ORACLE[_pixels]
+oracle("f11_mask_runs", ["mask_v"], """
+WITH p AS (SELECT frame_id, unnest(mask) AS v, generate_subscripts(mask, 1) AS i FROM mask_v),
+s AS (SELECT frame_id, v, i, lag(v) OVER (PARTITION BY frame_id ORDER BY i) IS DISTINCT FROM v AS fresh FROM p),
+r AS (SELECT frame_id, v, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY frame_id ORDER BY i) AS nth FROM s),
+n AS (SELECT frame_id, nth, any_value(v) AS v, count(*) AS n FROM r GROUP BY ALL)
+SELECT frame_id, string_agg(v || 'x' || n, ',' ORDER BY nth) AS runs FROM n GROUP BY frame_id""")
+BYTES = f"list_transform({SCALED}, lambda v: CAST(greatest(0, least(255, v)) AS BIGINT))"
+oracle("c16_run_overlay", ["mask_v"], f"""
+WITH b AS (SELECT frame_id, mask, {BYTES} AS px FROM mask_v)
+SELECT frame_id, array_to_string(list_transform(range(24), lambda i: printf('%02x',
+         (px[CAST(i // 3 * 8 + i % 3 + 1 AS INTEGER)] * {round(100 - 100 * K.OVERLAY_ALPHA)}
+          + ({COLOR_LIST.replace('CASE c ', 'CASE mask[CAST(i // 3 + 1 AS INTEGER)] ')})[CAST(i % 3 + 1 AS INTEGER)] * {round(100 * K.OVERLAY_ALPHA)} + 50) // 100)), '') AS overlay,
+       'ok' AS status FROM b""")
+oracle("c13_preprocess", ["patches_v"], f"""
+WITH b AS (SELECT frame_id, label, {BYTES} AS px FROM patches_v),
+-- the upper left pixels of the four blocks: rows and columns 2 and 4
+m AS (SELECT frame_id, coalesce(label NOT IN (3, 5), true) AS ok,
+             list_transform([19, 21, 35, 37], lambda i: CAST(round_even((px[i] + px[i + 1] + px[i + 8] + px[i + 9]) / 4.0, 0) AS BIGINT)) AS q FROM b)
+SELECT frame_id, CASE WHEN ok THEN array_to_string(list_transform(q, lambda v: printf('%02x', v)), '') END AS processed,
+       CASE WHEN ok THEN '2,2,6,6' ELSE '' END AS crop,
+       CASE WHEN ok THEN 2 END AS processed_width, CASE WHEN ok THEN 2 END AS processed_height,
+       CASE WHEN ok THEN round(list_min(q) / {D(255)}, 9) END AS norm_min, CASE WHEN ok THEN round(list_max(q) / {D(255)}, 9) END AS norm_max,
+       CASE WHEN ok THEN round(list_sum(q) / 4.0 / {D(255)}, 9) END AS norm_mean,
+       CASE WHEN ok THEN 'ok' ELSE 'error' END AS status, CASE WHEN NOT ok THEN 'undecodable' END AS error
+FROM m""")
 oracle("n1_frame_metrics", ["patches_v", "lap_v"], f"""
 SELECT p.frame_id, 8 AS width, 8 AS height, 'ok' AS status, round({fold_sum('p.pixels')} / len(p.pixels), 6) AS brightness,
        round(l.laplacian_var, 6) AS laplacian_var,
@@ -1035,6 +1064,7 @@ FROM mask_v m JOIN (
              + least({D(K.DEFECT8_BONUS_CAP)}, coalesce(max(ratio) FILTER (WHERE class_id = 8), {D(0)}) * {D(K.DEFECT8_BONUS_FACTOR)})), 3)
            AS risk_score
   FROM (SELECT *, round(cnt / {D(8)}, 6) AS ratio FROM n4_counts_v) GROUP BY frame_id) r USING (frame_id)""")
+ORACLE["n4_score_runs"] = ORACLE["n4_score_frames"]
 
 # ---- classifier scores ------------------------------------------------------
 

@@ -183,6 +183,12 @@ def patch_probs(pixels: str = "pixels") -> F.Column:
     return F.transform(F.col(pixels), lambda x: x + 0.5)
 
 
+def bytes_of(values: F.Column) -> F.Column:
+    """array of numbers -> binary, one byte a value (held between 0 and 255)."""
+    two = F.transform(values, lambda v: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), v.cast("long"))).cast("long")), 2, "0"))
+    return F.unhex(F.array_join(two, ""))
+
+
 CLASSIFIER_IDS = (1, 2, 6, 9)
 
 
