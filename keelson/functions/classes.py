@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.functions.num import brnd, rnd  # noqa: F401
+from keelson.functions.num import brnd, rnd
 
 from keelson import constants as K
 
