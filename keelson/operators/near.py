@@ -11,7 +11,9 @@ frame among the classes near it, so the result is one row per frame
 Hot keys: a cell (group, choice, bits) with over a ``PARTS``-th of all entries,
 and a class with over a ``PARTS``-th of all frames, of which there can be only
 ``PARTS``, are broadcast to be spread by a salt, the cell's other side once per
-salt. Nothing is dropped.
+salt. Nothing is dropped. Only those are broadcast: entries and classes grow with
+the table while the file of the classes, from which Spark takes their size, is
+small, so their joins are merge joins by hint.
 """
 
 from __future__ import annotations
@@ -76,7 +78,7 @@ def near_frames(frames: DataFrame, max_distance: int, keys: tuple[str, ...] = ("
     tell = spread.select(F.col("_class.h").alias("_h"), F.col("_first").alias("_other"), "_cell",
                          F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
     close = F.bit_count(F.col("_class.h").bitwiseXOR(F.col("_h"))) <= max_distance
-    met = ask.join(tell, ["_cell", "_salt"]).where((F.col("_other") < F.col("_first")) & close)
+    met = ask.join(tell.hint("shuffle_merge"), ["_cell", "_salt"]).where((F.col("_other") < F.col("_first")) & close)
     # every class is there with its own first frame, so one that meets none stays
     least = (met.select("_class", F.col("_other").alias("_least")).unionByName(classes.select("_class", F.col("_first").alias("_least")))
              .groupBy("_class").agg(F.min("_least").alias("_least")))
@@ -86,12 +88,12 @@ def near_frames(frames: DataFrame, max_distance: int, keys: tuple[str, ...] = ("
 def _attach(rows: DataFrame, least: DataFrame, classes: DataFrame, order: str, name: str) -> DataFrame:
     """Each frame gets its class's smallest near frame; classes with very many
     frames meet them by broadcast, and those frames are dealt by their order."""
-    hot = hot_keys(classes, "_class", "_n", PARTS).join(least, F.col("_hot") == F.col("_class"))
+    hot = F.broadcast(hot_keys(classes, "_class", "_n", PARTS)).join(least, F.col("_hot") == F.col("_class"))
     hot = F.broadcast(hot.select("_hot", F.col("_least").alias("_hot_least")))
     met = rows.join(hot, F.col("_class") == F.col("_hot"), "left")
     salt = F.when(F.col("_hot").isNotNull() | F.col("_class.h").isNull(), F.xxhash64(order)).otherwise(F.lit(0))
     least = least.select(F.col("_class").alias("_c"), "_least", F.lit(0).cast("bigint").alias("_s"))
-    out = met.withColumn("_salt", salt).join(least, (F.col("_class") == F.col("_c")) & (F.col("_salt") == F.col("_s")), "left")
+    out = met.withColumn("_salt", salt).join(least.hint("shuffle_merge"), (F.col("_class") == F.col("_c")) & (F.col("_salt") == F.col("_s")), "left")
     found: Column = F.coalesce("_hot_least", "_least")
     return out.withColumn(name, F.when(found < F.col(order), found)).drop("_class", "_hot", "_hot_least", "_salt", "_c", "_least", "_s")
 

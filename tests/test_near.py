@@ -72,3 +72,21 @@ def test_plan_has_no_product_and_equal_hashes_stay_linear(spark):
 def test_no_frames(spark):
     assert N.near_frames(spark.createDataFrame([], SCHEMA), 1).count() == 0
     assert N.near_frames(spark.createDataFrame([(1, 0, 0, None)], SCHEMA), 1).collect()[0].near_idx is None
+
+
+def test_only_hot_keys_are_broadcast(spark, monkeypatch):
+    plans = []
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def cut(df, _cut=N.cut_lineage):
+        plans.append(plan(df))
+        return _cut(df)
+    monkeypatch.setattr(N, "cut_lineage", cut)
+    plans.append(plan(N.near_frames(spark.createDataFrame(frames(60, 3), SCHEMA), 6)))
+    joins = [line.split("HashJoin ")[1] for p in plans for line in p.splitlines() if "BroadcastHashJoin " in line]
+    assert joins
+    for keys in joins:
+        left, right = keys.split("], [")
+        assert ("_hot#" in left and "BuildLeft" in right) or ("_hot#" in right and "BuildRight" in right), keys
