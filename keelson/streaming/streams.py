@@ -96,49 +96,88 @@ def stream_duplicates(sdf: DataFrame, threshold: int = K.HAMMING_THRESHOLD) -> D
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _ordered_dedup(threshold: int, keep_ms: int) -> StatefulProcessor:
+#: Frames that a video's state value holds; more go to a list of such packs.
+PACKED = 4096
+
+
+def _ordered_dedup(threshold: int, keep_ms: int, packed: int = PACKED) -> StatefulProcessor:
     # the class is made here so that it is pickled whole: executors needn't import keelson
     class OrderedDedup(StatefulProcessor):
-        """State of a video: frames that wait, by index; the last good hash
-        with the latest time seen. A timer at a batch's latest time releases
-        what the watermark has passed, one ``keep_ms`` later ends the video."""
+        """State of a video: the last good hash, the latest time seen, the
+        earliest one that waits (due), the time of its last timer (ends) and the
+        frames that wait, packed as columns: a call of the state costs far more
+        than a frame, so there is one to read and one to write. A timer at a
+        batch's latest time releases what the watermark has passed; one
+        ``keep_ms`` after the latest of all ends the video."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
+            pack = "idx array<long>, ok array<boolean>, hashes array<string>, at array<long>"
             self.handle = handle
-            self.last = handle.getValueState("last", "hex string, seen long")
-            self.waiting = handle.getMapState("waiting", "frame_idx long", "ok boolean, hex string, at long")
+            self.video = handle.getValueState("video", f"hex string, seen long, due long, ends long, more boolean, {pack}")
+            self.more = handle.getListState("more", pack)
+
+        def read(self) -> dict:
+            held = self.video.get()
+            if held is None:
+                return {"hex": None, "seen": -1, "due": None, "ends": None, "more": False, "frames": []}
+            return dict(zip(("hex", "seen", "due", "ends", "more"), held)) | {"frames": list(zip(*held[5:], strict=True))}
+
+        def write(self, s: dict) -> None:
+            def pack(frames):
+                return tuple(map(list, zip(*frames, strict=True))) or ([], [], [], [])
+            while len(s["frames"]) > packed:
+                self.more.appendValue(pack(s["frames"][:packed]))
+                s |= {"more": True, "frames": s["frames"][packed:]}
+            self.video.update((s["hex"], s["seen"], s["due"], s["ends"], s["more"], *pack(s["frames"])))
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            s = self.read()
             # what is due goes out first: new rows are later than the watermark
-            yield from self.release(key, timerValues.getCurrentWatermarkInMs())
-            hex_, seen = self.last.get() or (None, -1)
-            for r in rows:
-                self.waiting.updateValue((r["frame_idx"],), (r["quality_ok"], r["hex"], r["at"]))
-                seen = max(seen, r["at"])
-            self.last.update((hex_, seen))
-            self.handle.registerTimer(seen)
-            self.handle.registerTimer(seen + keep_ms)
+            yield from self.release(key, s, timerValues.getCurrentWatermarkInMs())
+            new = [(r["frame_idx"], r["quality_ok"], r["hex"], r["at"]) for r in rows]
+            times = [f[3] for f in new]
+            s["frames"] += new
+            s["seen"] = max(s["seen"], *times)
+            s["due"] = min(times) if s["due"] is None else min(s["due"], *times)
+            self.handle.registerTimer(s["seen"])
+            if s["ends"] is None:
+                s["ends"] = s["seen"] + keep_ms
+                self.handle.registerTimer(s["ends"])
+            self.write(s)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-            return self.release(key, timerValues.getCurrentWatermarkInMs())
-
-        def release(self, key, now: int) -> Iterator[Row]:
-            state = self.last.get()
-            if state is None:
+            s, now = self.read(), timerValues.getCurrentWatermarkInMs()
+            if s["seen"] < 0:
+                return
+            before = s["due"], s["ends"]
+            yield from self.release(key, s, now)
+            if s["seen"] < 0:
+                self.video.clear()
                 return
-            hex_, seen = state
-            due = sorted((k[0], *v) for k, v in self.waiting.iterator() if v[2] <= now)
-            for idx, ok, h, _ in due:
-                far = (int(h, 16) ^ int(hex_, 16)).bit_count() if hex_ is not None and h is not None else None
-                yield Row(video_id=key[0], frame_idx=idx, quality_ok=ok, prev_hex=hex_, hamming_to_prev=far,
-                          is_duplicate=far is not None and far <= threshold)
-                self.waiting.removeKey((idx,))
-                if ok and h is not None:
-                    hex_ = h
-            if seen + keep_ms <= now:
-                self.last.clear()  # nothing has come for so long: the video is over
-            elif due:
-                self.last.update((hex_, seen))
+            if s["ends"] <= now:  # frames came since that timer was set
+                s["ends"] = s["seen"] + keep_ms
+                self.handle.registerTimer(s["ends"])
+            if before != (s["due"], s["ends"]):
+                self.write(s)
+
+        def release(self, key, s: dict, now: int) -> Iterator[Row]:
+            if s["due"] is not None and s["due"] <= now:
+                packs = [zip(*p, strict=True) for p in self.more.get()] if s["more"] else []
+                # by index; one that came again replaces the one before
+                waiting = {f[0]: f for p in [*packs, s["frames"]] for f in p}
+                if s["more"]:
+                    self.more.clear()
+                for idx in sorted(i for i, f in waiting.items() if f[3] <= now):
+                    _, ok, h, _ = waiting.pop(idx)
+                    last = s["hex"]
+                    far = (int(h, 16) ^ int(last, 16)).bit_count() if last is not None and h is not None else None
+                    yield Row(video_id=key[0], frame_idx=idx, quality_ok=ok, prev_hex=last, hamming_to_prev=far,
+                              is_duplicate=far is not None and far <= threshold)
+                    if ok and h is not None:
+                        s["hex"] = h
+                s |= {"more": False, "frames": list(waiting.values()), "due": min((f[3] for f in waiting.values()), default=None)}
+            if 0 <= s["seen"] <= now - keep_ms:
+                s |= {"hex": None, "seen": -1, "ends": None}  # nothing has come for so long: the video is over
 
         def close(self) -> None:
             pass

@@ -164,3 +164,100 @@ def test_stream_latest_run(spark, tmp):
     got = {r.kind: r.run_id for r in ST.current_table(spark, f"{tmp}/latest").collect()}
     ref = {r.kind: r.run_id for r in ST.latest_per_kind(runs).collect()}
     assert got == ref
+
+
+class _State:
+    """A handle, its states and its timers in one: counts the calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.items, self.times = 0, None, [], []
+
+    def getValueState(self, *_):
+        return self
+
+    getListState = getMapState = getValueState
+
+    def _call(self):
+        self.calls += 1
+
+    def get(self):
+        self._call()
+        return self.value
+
+    def iterator(self):
+        self._call()
+        return iter([])
+
+    def update(self, v):
+        self._call()
+        self.value = v
+
+    def updateValue(self, k, v):
+        self._call()
+
+    removeKey = registerTimer = appendValue = lambda self, *_: self._call()
+    clear = _call
+
+
+class _At:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def _brute_prev(frames, threshold=8):
+    last, out = None, []
+    for i, ok, h, _ in sorted(frames):
+        far = (int(h, 16) ^ int(last, 16)).bit_count() if last is not None and h is not None else None
+        out.append((i, last, far))
+        last = h if ok and h is not None else last
+    return out
+
+
+def test_a_batch_of_a_video_is_a_few_calls_of_the_state():
+    frames = [(i, i % 3 > 0, f"{i * 7919:016x}", 1000 + i) for i in range(500)]
+    state = _State()
+    p = ST._ordered_dedup(8, 10 ** 9)
+    p.init(state)
+    rows = [dict(zip(("frame_idx", "quality_ok", "hex", "at"), f, strict=True)) for f in reversed(frames)]
+    assert list(p.handleInputRows((5,), iter(rows), _At(0))) == []
+    got = list(p.handleExpiredTimer((5,), _At(2000), None))
+    assert state.calls <= 10
+    assert [(r.frame_idx, r.prev_hex, r.hamming_to_prev) for r in got] == _brute_prev(frames)
+
+
+def test_packs_beyond_the_value_go_to_the_list():
+    class Video(_State):
+        """Value state and list state apart."""
+        def getListState(self, *_):
+            self.list = _List()
+            return self.list
+
+    class _List(_State):
+        def appendValue(self, v):
+            self.items.append(v)
+
+        def get(self):
+            return iter(self.items)
+
+        def clear(self):
+            self.items = []
+
+    frames = [(i, i % 4 > 0, None if i % 5 == 0 else f"{i * 104729:016x}", 1000 + i) for i in range(40)]
+    state = Video()
+    p = ST._ordered_dedup(8, 10 ** 9, packed=3)
+    p.init(state)
+    got = []
+    for part in range(4):  # every fourth frame; the watermark stays before the first, then passes half, then all
+        rows = [dict(zip(("frame_idx", "quality_ok", "hex", "at"), f, strict=True)) for f in frames[part::4]]
+        got += p.handleInputRows((5,), iter(rows), _At(0))
+    assert got == [] and len(state.list.items) > 8
+    again = dict(zip(("frame_idx", "quality_ok", "hex", "at"), (frames[39][0], True, f"{1:016x}", 1039), strict=True))
+    got += p.handleInputRows((5,), iter([again]), _At(1019))  # a repeated index replaces the one that waits
+    assert [r.frame_idx for r in got] == list(range(20))
+    got += p.handleExpiredTimer((5,), _At(5000), None)
+    frames[39] = (39, True, f"{1:016x}", 1039)
+    assert [(r.frame_idx, r.prev_hex, r.hamming_to_prev) for r in got] == _brute_prev(frames)
+    assert state.list.items == []
