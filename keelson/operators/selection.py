@@ -73,7 +73,7 @@ def _compatible(acc: Column, f: Column, h: Column, gap: int, dist: int | None) -
 def _pick_round(cand: DataFrame, picks: DataFrame, keys: list[str], k: int, gap: int,
                 dist: int | None) -> DataFrame:
     """One walk step for every bucket: append the best compatible candidate."""
-    j = cand.join(picks, keys, "left")
+    j = cand.join(picks.hint("shuffle_merge"), keys, "left")
     acc = F.coalesce(F.col("acc"), F.array().cast(PICK_TYPE))
     good = (F.size(acc) < k) & _compatible(acc, F.col("frame_idx"), F.col("hash"), gap, dist)
     best = F.max(F.when(good, F.struct(F.col("score").alias("s"), F.col("frame_idx").alias("f"),
@@ -87,13 +87,14 @@ def pick_diverse(cand: DataFrame, k: int = K.FRAMES_PER_BUCKET, gap: int = K.MIN
                  dist: int = K.BUCKET_MIN_DISTANCE, keys: tuple[str, ...] = ("video_id", "bucket")) -> DataFrame:
     """H1 + H2 + H3: per (video, bucket) up to ``k`` picks, first with the
     gap and hash-distance rules, then (if short) with the gap rule only.
-    ``cand`` needs ``score``, ``frame_idx``, ``hash``. Returns (keys, acc)."""
+    ``cand`` needs ``score``, ``frame_idx``, ``hash``. Returns (keys, acc).
+    Candidates and the picks of each round are materialised: rounds in one plan
+    share their partitioning, so one task would hold the sorts of all of them."""
     keys = list(keys)
+    cand = cut_lineage(cand.select(*keys, "score", "frame_idx", "hash"))
     picks = cand.select(*keys).distinct().withColumn("acc", F.array().cast(PICK_TYPE))
-    for _ in range(k):
-        picks = _pick_round(cand, picks, keys, k, gap, dist)
-    for _ in range(k):
-        picks = _pick_round(cand, picks, keys, k, gap, None)
+    for rule_dist in [dist] * k + [None] * k:
+        picks = cut_lineage(_pick_round(cand, picks, keys, k, gap, rule_dist))
     return picks
 
 
@@ -173,23 +174,25 @@ def select_representative(cand: DataFrame, target: int = K.TARGET_FRAMES, bucket
     ranked = (top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         F.col("_r"), F.struct(F.col("score").alias("s"), F.col("frame_idx").alias("f"), F.col("hash").alias("h")).alias("c"))))
         .alias("_p")).select(*keys, F.transform("_p", lambda e: e["c"]).alias("prefix"))
-        .join(sizes, keys))
-    folded = _fold_prefix(ranked, keys, k, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE)
+        .join(sizes.hint("shuffle_merge"), keys))
+    # read by the picks and by the buckets left open: folded once
+    folded = cut_lineage(_fold_prefix(ranked, keys, k, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE))
     open_ = (F.col("h1_n") < k) & (F.col("_total") > n_prefix)
     picks = folded.where(~open_).select(*keys, "acc")
     unresolved = folded.where(open_).select(*keys)
     # H1 may need candidates beyond the prefix: such buckets are walked by
-    # rounds over all their candidates; where there are none, that side of the
-    # union is empty and AQE drops it
-    rest_cand = big.join(unresolved, keys, "left_semi")
-    picks = picks.unionByName(pick_diverse(rest_cand, k, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE, tuple(keys)))
-    picks = picks.join(sizes.select(*keys, "_B"), keys)
+    # rounds over all their candidates
+    if not unresolved.isEmpty():
+        rest_cand = big.join(unresolved.hint("shuffle_merge"), keys, "left_semi")
+        picks = picks.unionByName(pick_diverse(rest_cand, k, K.MIN_INDEX_GAP, K.BUCKET_MIN_DISTANCE, tuple(keys)))
+    # merge joins: the tables cut above are small files of many rows, which Spark would broadcast
+    picks = picks.hint("shuffle_merge").join(sizes.select(*keys, "_B").hint("shuffle_merge"), keys)
     chosen = round_robin(picks, target, K.GLOBAL_MIN_DISTANCE, key)
     n = chosen.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    rest = big.join(chosen, [key, "frame_idx"], "left_anti")
+    rest = big.join(chosen.hint("shuffle_merge"), [key, "frame_idx"], "left_anti")
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("frame_idx").asc())
     fill = (rest.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= target)
-                .join(n, key, "left").where(F.col("_r") <= F.lit(target) - F.coalesce(F.col("_n"), F.lit(0)))
+                .join(n.hint("shuffle_merge"), key, "left").where(F.col("_r") <= F.lit(target) - F.coalesce(F.col("_n"), F.lit(0)))
                 .select(key, "frame_idx", F.lit("fill").alias("picked_by")))
     return small.unionByName(chosen).unionByName(fill)
 

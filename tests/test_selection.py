@@ -52,3 +52,20 @@ def test_prev_good_hash_matches_loop(spark):
         ref = brute.prev_good(g)
         got = sorted(g, key=lambda x: x["frame_idx"])
         assert [x["is_duplicate"] for x in got] == [r["dup"] for r in ref]
+
+
+def test_rounds_are_plans_of_their_own(spark, monkeypatch):
+    """No plan of the selection holds the sorts of all rounds of the walk, and none broadcasts a table of the data."""
+    plans = []
+
+    def cut(df, _cut=S.cut_lineage):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return _cut(df)
+    rows = [(1, i, float((i * 37) % 101), 12345) for i in range(600)] + [(2, i, float(i % 7), (i * 2654435761) % (1 << 63)) for i in range(300)]
+    df = cut(spark.createDataFrame(rows, "video_id long, frame_idx long, score double, hash long"))
+    monkeypatch.setattr(S, "cut_lineage", cut)
+    out = S.select_representative(df, 16, 4, 3, prefix=36)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert set(map(tuple, out.select("video_id", "frame_idx").collect())) == _walk_all(df, 16, 4, 3)
+    assert max(sum(" Sort [" in line for line in p.splitlines()) for p in plans) <= 12
+    assert not any("Broadcast" in p for p in plans)
