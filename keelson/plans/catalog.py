@@ -125,11 +125,15 @@ def d5_fallback_dark(spark, sf):
 
 def varied_frames(spark, sf) -> DataFrame:
     """frames_v in blocks of 50 frames, with hashes that vary: a frame's
-    brightness flips up to 19 bits of its hash, at one of three places."""
+    brightness flips up to 19 bits of its hash, at one of three places.
+    Materialised, since classes and frames both read it."""
+    from keelson.session import DROP_SHUFFLES, cut_lineage, held
     fr = B.frames_v(spark, sf).withColumn("bits", FR.hex_to_hash("dhash"))
     flips = F.expr("shiftleft(shiftleft(1L, cast(floor(brightness) AS int) % 20) - 1, cast(frame_idx % 3 AS int) * 20)")
-    return fr.select("video_id", F.floor(F.col("frame_idx") / 50).cast("int").alias("bucket"), "frame_idx",
-                     F.col("bits").bitwiseXOR(flips).alias("hash"))
+    fr = fr.select("video_id", F.floor(F.col("frame_idx") / 50).cast("int").alias("bucket"), "frame_idx",
+                   F.col("bits").bitwiseXOR(flips).alias("hash"))
+    with held(spark, DROP_SHUFFLES):
+        return cut_lineage(fr)
 
 
 @query("e8_near_frames_1")

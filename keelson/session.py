@@ -80,6 +80,10 @@ def held(spark: SparkSession, conf: dict[str, object]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: For :func:`held` around phases that end in cut_lineage: a job's shuffle files go when it ends, not when the driver
+#: happens to collect its garbage; what the next phase needs is in a table.
+DROP_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 #: Tables that cut_lineage wrote in this process, by application.
 _CUTS: dict[str, list[str]] = {}
 
@@ -108,6 +112,18 @@ def release_cuts(spark: SparkSession) -> int:
     return len(paths)
 
 
+def release_cut(df: DataFrame) -> None:
+    """Delete the table of a DataFrame that :func:`cut_lineage` returned, once
+    nothing reads it any more."""
+    spark = df.sparkSession
+    known = _CUTS.get(spark.sparkContext.applicationId, [])
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for path in [p for p in known if p.rsplit("/", 1)[1] == folder.rsplit("/", 1)[1]]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            known.remove(path)
+
+
 _SHIPPED: set[int] = set()
 
 

@@ -1,5 +1,6 @@
 """Near frames (E8) against all pairs."""
 
+import os
 import random
 
 import pytest
@@ -90,3 +91,40 @@ def test_only_hot_keys_are_broadcast(spark, monkeypatch):
     for keys in joins:
         left, right = keys.split("], [")
         assert ("_hot#" in left and "BuildLeft" in right) or ("_hot#" in right and "BuildRight" in right), keys
+
+
+@pytest.mark.parametrize(("whole", "turn", "parts"), [(0, 1, 1024), (20, 3_000, 16), (28, 10 ** 6, 2)])
+def test_large_groups_go_through_the_index_in_turns(spark, monkeypatch, whole, turn, parts):
+    """No group, some and most are compared whole; a turn of the index is one choice of bands, some or all."""
+    for k, v in (("WHOLE", whole), ("TURN", turn), ("PARTS", parts)):
+        monkeypatch.setattr(N, k, v)
+    rows = frames(250, 4) + [(5, 0, i, 3 * i) for i in range(60)] + [(6, 0, i, 7) for i in range(60)]
+    for d in (1, 3):
+        got = N.near_frames(spark.createDataFrame(rows, SCHEMA), d)
+        assert sorted(map(tuple, got.collect()), key=str) == brute(rows, d)
+
+
+def test_cells_of_one_number_are_told_apart(spark, monkeypatch):
+    """Groups that meet in the index by chance are no groups of each other."""
+    monkeypatch.setattr(N, "WHOLE", 0)
+    monkeypatch.setattr(N.F, "xxhash64", lambda *c: N.F.lit(0).cast("bigint"))
+    rows = frames(60, 5)
+    got = N.near_frames(spark.createDataFrame(rows, SCHEMA), 2)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 2)
+
+
+def test_small_groups_write_no_index_and_leave_two_tables(spark, monkeypatch):
+    """A class of a small group is shuffled as it is, not once per choice of bands (28 for six bits)."""
+    plans, made = [], []
+
+    def cut(df, _cut=N.cut_lineage):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        made.append(_cut(df))
+        return made[-1]
+    monkeypatch.setattr(N, "cut_lineage", cut)
+    rows = [(i // 50, 0, i % 50, i * 37 % 1000) for i in range(400)]
+    got = N.near_frames(spark.createDataFrame(rows, SCHEMA), 6)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 6)
+    assert plans and not any("Generate" in p for p in plans)
+    there = [os.path.exists(df.inputFiles()[0].removeprefix("file:")) for df in made]
+    assert sum(there) == 2, there
